@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions.naming import POS_PREFIX, PROV_PREFIX, SAMPLE_ID, sample_id
 from provspark.operators.sizing import broadcast_if_small
+from provspark.operators.storage import materialise
 
 
 LITERAL_IDS = 1000  # up to here a list of row ids is written into the predicate itself
@@ -237,7 +238,7 @@ def join(left: TrackedFrame, right: TrackedFrame, left_on: str, right_on: str, *
 def ids_frame(spark, row_ids) -> DataFrame:
     """Row ids as a one-column table; accepts any iterable of ints or a DataFrame."""
     if isinstance(row_ids, DataFrame):
-        return row_ids.select(F.col(f"`{row_ids.columns[0]}`").cast("long").alias("__id")).distinct()
+        return row_ids.select(F.col(f"`{row_ids.columns[0]}`").cast("long").alias("__id"))
     return spark.createDataFrame([(int(i),) for i in set(row_ids)], "__id long")
 
 
@@ -255,3 +256,13 @@ def by_source_rows(df: DataFrame, prov: str, row_ids, how: str) -> DataFrame:
     ids = ids_frame(df.sparkSession, row_ids)
     rows = None if isinstance(row_ids, DataFrame) else len(row_ids)
     return df.join(broadcast_if_small(ids, rows), df[prov] == ids["__id"], how)
+
+
+def settled_ids(spark, row_ids):
+    """Evaluate a request once: a sorted list if it is short, else a stored table of distinct ids."""
+    if not isinstance(row_ids, DataFrame):
+        return sorted({int(i) for i in row_ids})
+    stored = materialise(ids_frame(spark, row_ids).distinct(), "ids")
+    if stored.count() <= LITERAL_IDS:
+        return sorted(row[0] for row in stored.collect())
+    return stored

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from provspark.functions.naming import SAMPLE_ID
 from provspark.functions.vectors import zero_ranges
 from provspark.operators import lineage
+from provspark.operators.frame import settled_ids
 from provspark.operators.network import Network, gradient_sums, prediction, probability
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN
 from provspark.sources.artifacts import REMOVED, Run, commit_version
@@ -86,6 +87,7 @@ def delete_features(
     columns = lineage.output_columns(run, column_source, column)
     ranges = lineage.feature_ranges(run, columns)
     path = run.new_version_path()
+    row_ids = settled_ids(run.spark, row_ids)
 
     rows = run.relational_table.rows_from(prov, row_ids)
     relational = run.relational_table.write_overlay(
@@ -106,6 +108,7 @@ def delete_instances(run: Run, source: str, row_ids, rate: float = 1.0, sign: in
     """Delete all samples from the given source rows; the weights unlearn those of training."""
     prov = run.prov_of(source)
     path = run.new_version_path()
+    row_ids = settled_ids(run.spark, row_ids)
 
     def tombstones(rows: DataFrame, kept: list[str]) -> DataFrame:
         data = [c for c in rows.columns if c not in kept]
