@@ -7,6 +7,7 @@ from the training rows (means, categories) is a small state; the states of all e
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.text import char_count, tokens, word_count
+from provspark.operators.storage import together
 
 # Dense one-hot blocks wider than this are refused (an id column, most likely); nothing is cut.
 MAX_CATEGORIES = 100_000
@@ -52,6 +54,22 @@ class Encoder:
         return [(start, start + self.width(n_inputs))] * n_inputs
 
 
+# Up to this many categories every slot is an expression of its own, and compiled.
+COMPILED_SLOTS = 64
+
+
+def _slots(value: Column, known) -> Column:
+    if len(known) <= COMPILED_SLOTS:
+        return F.array(*[value.eqNullSafe(F.lit(k)).cast("double") for k in known])
+    kind = next(
+        name
+        for python, name in ((bool, "boolean"), (int, "bigint"), (float, "double"), (str, "string"))
+        if all(k is None or isinstance(k, python) for k in known)
+    )
+    constant = F.from_json(F.lit(json.dumps(known)), f"array<{kind}>")
+    return F.transform(constant, lambda k: value.eqNullSafe(k).cast("double"))
+
+
 def _number(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(float("nan")))
 
@@ -125,7 +143,7 @@ class OneHot(Encoder):
     def column(self, inputs):
         blocks = []
         for value, known in zip(inputs, self.state, strict=True):
-            block = F.array(*[value.eqNullSafe(F.lit(k)).cast("double") for k in known])
+            block = _slots(value, known)
             if self.unknown == "error":
                 is_known = value.isin([k for k in known if k is not None])
                 is_known = F.coalesce(is_known, F.lit(None in known))
@@ -149,12 +167,12 @@ class OneHot(Encoder):
 class HashedText(Encoder):
     """Bag of tokens hashed into ``dimensions`` counts, scaled to unit length.
 
-    ``hash="md5"`` can be recomputed by any engine; ``"xxhash64"`` is several times cheaper.
+    ``hash="xxhash64"`` is several times cheaper; ``"md5"`` can be recomputed by any engine.
     Counting runs in the JVM on the token array of the row: no explode, no shuffle.
     """
 
     dimensions: int = 32
-    hash: str = "md5"
+    hash: str = "xxhash64"
     normalise: bool = True
 
     def bucket(self, token: Column) -> Column:
@@ -286,8 +304,10 @@ class ColumnEncoders:
             inputs = [F.col(f"`{c}`") for c in columns]
             moments.append(encoder.moments(inputs))
             values.append(encoder.categories(inputs))
-        learned_moments = _fit_moments(train, [c for cs in moments for c in cs])
-        learned_values = _fit_categories(train, [c for cs in values for c in cs])
+        learned_moments, learned_values = together(
+            lambda: _fit_moments(train, [c for cs in moments for c in cs]),
+            lambda: _fit_categories(train, [c for cs in values for c in cs]),
+        )
         fitted = []
         for (name, encoder, columns), ms, vs in zip(self.parts, moments, values):
             state = [learned_moments.pop(0) for _ in ms], [learned_values.pop(0) for _ in vs]

@@ -30,14 +30,12 @@ test_rows_originating_from.__test__ = False  # not a test case
 def output_columns(run, source: str, column: str) -> list[str]:
     """Output columns computed from a source column."""
     wanted = f"{run.alias_of(source)}.{column}"
-    found = run.column_provenance().where(F.array_contains("sources", wanted))
-    return sorted(row[0] for row in found.select("output_column").collect())
+    return sorted(c for c, origin in run.document["column_provenance"].items() if wanted in origin)
 
 
 def feature_ranges(run, columns: list[str]) -> list[tuple[int, int]]:
     """Half-open ranges of feature positions that the output columns influence."""
-    found = run.matrix_provenance().where(F.col("input_column").isin(list(columns)))
-    return sorted((row["start"], row["stop"]) for row in found.collect())
+    return sorted((start, stop) for c, start, stop in run.document["matrix_provenance"] if c in columns)
 
 
 def backward_rows(samples: DataFrame, source: TrackedFrame) -> DataFrame:

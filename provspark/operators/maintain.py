@@ -16,6 +16,7 @@ from provspark.operators import lineage
 from provspark.operators.frame import settled_ids
 from provspark.operators.network import Network, gradient_sums, prediction, probability
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN
+from provspark.operators.storage import together
 from provspark.sources.artifacts import REMOVED, Run, commit_version
 
 
@@ -89,18 +90,21 @@ def delete_features(
     path = run.new_version_path()
     row_ids = settled_ids(run.spark, row_ids)
 
-    rows = run.relational_table.rows_from(prov, row_ids)
-    relational = run.relational_table.write_overlay(
-        f"{path}/relational", prov, row_ids, null_out(rows, columns).withColumn(REMOVED, F.lit(False))
-    )
-    vectors = run.matrix_table.rows_from(prov, row_ids)
-    matrix = run.matrix_table.write_overlay(
-        f"{path}/matrix", prov, row_ids, patch_features(vectors, ranges).withColumn(REMOVED, F.lit(False))
-    )
-    network = run.model()
-    if ranges:
+    def relational_part():
+        rows = null_out(run.relational_table.rows_from(prov, row_ids), columns)
+        rows = rows.withColumn(REMOVED, F.lit(False))
+        return run.relational_table.write_overlay(f"{path}/relational", prov, row_ids, rows)
+
+    def matrix_part():
+        vectors = run.matrix_table.rows_from(prov, row_ids)
+        patched = patch_features(vectors, ranges).withColumn(REMOVED, F.lit(False))
         pairs = before_after(vectors.where(F.col(SPLIT) == TRAIN), ranges)
-        network = unlearn_features(network, pairs, rate)
+        return together(
+            lambda: run.matrix_table.write_overlay(f"{path}/matrix", prov, row_ids, patched),
+            lambda: unlearn_features(run.model(), pairs, rate) if ranges else run.model(),
+        )
+
+    relational, (matrix, network) = together(relational_part, matrix_part)
     return commit_version(run, "delete_features", path, relational, matrix, network)
 
 
@@ -114,16 +118,21 @@ def delete_instances(run: Run, source: str, row_ids, rate: float = 1.0, sign: in
         data = [c for c in rows.columns if c not in kept]
         return null_out(rows, data).withColumn(REMOVED, F.lit(True))
 
-    rows = run.relational_table.rows_from(prov, row_ids)
-    relational = run.relational_table.write_overlay(
-        f"{path}/relational", prov, row_ids, tombstones(rows, [SAMPLE_ID, SPLIT_KEY, *run.key_cols])
-    )
-    vectors = run.matrix_table.rows_from(prov, row_ids)
-    matrix = run.matrix_table.write_overlay(
-        f"{path}/matrix", prov, row_ids, tombstones(vectors, [SAMPLE_ID, SPLIT, *run.key_cols])
-    )
-    removed = vectors.where(F.col(SPLIT) == TRAIN)
-    network = unlearn_instances(run.model(), removed, rate, sign)
+    def relational_part():
+        rows = run.relational_table.rows_from(prov, row_ids)
+        rows = tombstones(rows, [SAMPLE_ID, SPLIT_KEY, *run.key_cols])
+        return run.relational_table.write_overlay(f"{path}/relational", prov, row_ids, rows)
+
+    def matrix_part():
+        vectors = run.matrix_table.rows_from(prov, row_ids)
+        gone = tombstones(vectors, [SAMPLE_ID, SPLIT, *run.key_cols])
+        removed = vectors.where(F.col(SPLIT) == TRAIN)
+        return together(
+            lambda: run.matrix_table.write_overlay(f"{path}/matrix", prov, row_ids, gone),
+            lambda: unlearn_instances(run.model(), removed, rate, sign),
+        )
+
+    relational, (matrix, network) = together(relational_part, matrix_part)
     return commit_version(run, "delete_instances", path, relational, matrix, network)
 
 

@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provspark.operators.storage import materialise
+
 # Tasks get the code below with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -138,6 +140,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each feature vector as one binary value of single-precision floats."""
+    for batch in batches:
+        if batch.num_rows:
+            values = _matrix(batch.column(0)).astype(np.float32)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (values.shape[1] * 4)
+            buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]
+            x = pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)
+            yield pa.RecordBatch.from_arrays([x, batch.column(1)], ["x", "y"])
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """Packed vectors as a matrix; a view, as long as the values lie one after another."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]]
+    return values.view(np.float32).reshape(len(column), width)
+
+
 def _vector(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(float)
 
@@ -213,6 +233,9 @@ def mean_loss(samples: DataFrame, network: Network, features="features", label="
 class Trainer:
     """Mini-batch Adam, one Spark job per epoch.
 
+    The vectors are packed into binary values and stored once, so that an epoch hands them to
+    the tasks without converting every number.
+
     Every task runs mini-batches over its own rows from the shared weights; weights and moment
     estimates are then averaged over the tasks by their number of rows (local SGD with model
     averaging). With one task this is ordinary mini-batch training; with many, a pass over the
@@ -232,10 +255,13 @@ class Trainer:
         spark = train.sparkSession
         size = network.flat.size
         tasks = self.tasks or 2 * spark.sparkContext.defaultParallelism
-        rows = train.select(features, F.col(label).cast("double")).coalesce(tasks)
+        width = network.layers[0][0].shape[0]
+        rows = train.select(features, F.col(label).cast("double"))
+        rows = materialise(rows.mapInArrow(_packed, "x binary, y double"), "packed").coalesce(tasks)
         theta, first, second, step = network.flat, np.zeros(size), np.zeros(size), 0.0
         for epoch in range(self.epochs):
-            run = self._epoch(spark.sparkContext.broadcast((network.layers, theta, first, second, step)), epoch)
+            shared = spark.sparkContext.broadcast((network.layers, theta, first, second, step))
+            run = self._epoch(shared, epoch, width)
             total = _summed(rows.mapInArrow(run, "pos long, value double"), 3 * size + 2)
             weight = total[-1]
             if not weight:
@@ -244,7 +270,7 @@ class Trainer:
             step = total[-2] / weight
         return network.with_flat(theta)
 
-    def _epoch(self, shared, epoch: int):
+    def _epoch(self, shared, epoch: int, width: int):
         lr, size_of_batch, (b1, b2) = self.learning_rate, self.batch_size, self.betas
         epsilon, seed = self.epsilon, self.seed
 
@@ -254,11 +280,11 @@ class Trainer:
             theta, first, second = theta.copy(), first.copy(), second.copy()
             seen, rng = 0, np.random.default_rng([seed, epoch])
             for batch in batches:
-                x, y = _matrix(batch.column(0)), _vector(batch.column(1))
+                x, y = _unpacked(batch.column(0), width), _vector(batch.column(1))
                 order = rng.permutation(len(y))
                 for at in range(0, len(y), size_of_batch):
                     pick = order[at:at + size_of_batch]
-                    g = network.with_flat(theta).gradient_sum(x[pick], y[pick]) / len(pick)
+                    g = network.with_flat(theta).gradient_sum(x[pick].astype(float), y[pick]) / len(pick)
                     step += 1
                     first += (1 - b1) * (g - first)
                     second += (1 - b2) * (g * g - second)

@@ -7,7 +7,8 @@ comparison with one threshold, so it is a map-only column whatever the size of t
   a sample keeps its side when others are deleted.
 * ``exact_threshold``: exactly ``ceil(fraction * n)`` test samples, as the usual seeded split of
   an in-memory table gives. The threshold is the k-th smallest rank, found by counting ranks per
-  prefix: each pass brings at most 4096 counts to the driver and narrows the rank by 12 bits.
+  prefix: a pass over that one column brings at most 65,536 counts to the driver and narrows the
+  rank by 16 bits, until at most a few thousand candidates are left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from provspark.functions.naming import SAMPLE_ID, split_key
 
 TRAIN, TEST = "train", "test"
 SPLIT, SPLIT_KEY = "split", "split_key"
-_DIGITS = 3
+_DIGITS = 4
+_FEW = 4096  # so many ranks may come to the driver to be sorted
 _WIDTH = 32
 
 
@@ -44,26 +46,22 @@ def exact_threshold(df: DataFrame, fraction: float, key: str = SPLIT_KEY) -> str
     ranks = df.select(F.col(key).alias("rank"))
     prefix, wanted = "", None
     while len(prefix) < _WIDTH:
-        length = min(len(prefix) + _DIGITS, _WIDTH)
-        counts = (
-            ranks.where(F.col("rank").startswith(prefix))
-            .groupBy(F.substring("rank", 1, length).alias("head"))
-            .count()
-            .collect()
-        )
-        counts = sorted((row["head"], row["count"]) for row in counts)
+        head = F.substring("rank", 1, len(prefix) + _DIGITS).alias("head")
+        within = ranks.where(F.col("rank").startswith(prefix))
+        counts = sorted((row["head"], row["count"]) for row in within.groupBy(head).count().collect())
         if wanted is None:
-            total = sum(n for _, n in counts)
-            wanted = math.ceil(_exact_fraction(fraction) * total)
+            wanted = math.ceil(_exact_fraction(fraction) * sum(n for _, n in counts))
         if wanted == 0:
             return ""
-        for head, n in counts:
+        for prefix, n in counts:
             if wanted <= n:
                 break
             wanted -= n
-        prefix = head
         if wanted == n:  # the whole group is on the test side
             return prefix.ljust(_WIDTH, "f")
+        if n <= _FEW:
+            rest = ranks.where(F.col("rank").startswith(prefix)).collect()
+            return sorted(row["rank"] for row in rest)[wanted - 1]
     return prefix
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,22 @@ def materialise(df: DataFrame, kind: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a stored table that fits in fewer scan tasks; others stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    tasks = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if tasks >= cores else df.repartition(cores, key)
+
+
+def together(*actions):
+    """Run independent actions as concurrent Spark jobs; returns their results in order."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inherit(a)) for a in actions]]
+
+
 def write_json_document(spark: SparkSession, document: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
 

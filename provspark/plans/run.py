@@ -14,7 +14,7 @@ from provspark.operators.network import Trainer, perceptron, prediction, probabi
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, exact_threshold, hash_threshold, split_column, with_split_key,
 )
-from provspark.operators.storage import write_json_document
+from provspark.operators.storage import spread, together, write_json_document
 from provspark.sources.artifacts import (
     LayeredTable, Run, default_root, load_run, register, run_path, write_maps,
 )
@@ -65,7 +65,7 @@ def run_pipeline(
         threshold = hash_threshold(test_size)
     else:
         raise ValueError(f"unknown split {split}")
-    samples = stored.withColumn(SPLIT, split_column(threshold))
+    samples = spread(stored, SAMPLE_ID).withColumn(SPLIT, split_column(threshold))
 
     encoders = encode_features().fit(samples.where(F.col(SPLIT) == TRAIN))
     label = extract_label if isinstance(extract_label, Column) else extract_label(samples)
@@ -83,6 +83,8 @@ def run_pipeline(
         "key_cols": list(prepared.key_cols),
         "output_cols": prepared.columns,
         "num_features": encoders.width,
+        "column_provenance": {c: sorted(origin) for c, origin in prepared.col_prov.items()},
+        "matrix_provenance": encoders.matrix_provenance(),
         "encoders": encoders.state(),
         "source_paths": source_paths,
     }
@@ -95,8 +97,10 @@ def run_pipeline(
     network = create_network(encoders.width)
     if trainer is not None:
         network = trainer.fit(run.matrix(TRAIN), network)
-    network.to_frame(spark).coalesce(1).write.parquet(run.model_path)
-    score(run.matrix(TEST), network).write.parquet(f"{path}/scores")
+    together(
+        lambda: network.to_frame(spark).coalesce(1).write.parquet(run.model_path),
+        lambda: score(run.matrix(TEST), network).write.parquet(f"{path}/scores"),
+    )
     register(run, "run", path)
     return run
 

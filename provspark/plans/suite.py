@@ -25,7 +25,7 @@ from provspark.operators.network import (
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, epoch_order, exact_threshold, hash_threshold, split_column, with_split_key,
 )
-from provspark.operators.storage import materialise, new_folder
+from provspark.operators.storage import materialise, new_folder, spread
 from provspark.plans import complaints
 from provspark.plans.run import retrain_without_rows, run_pipeline, score
 from provspark.sources import synth
@@ -83,7 +83,7 @@ def text_frame(spark: SparkSession, documents_path: str, labels_path: str) -> Tr
 def text_encoders() -> ColumnEncoders:
     return ColumnEncoders([
         ("words", chain(WordCount(), StandardScaler()), ["text"]),
-        ("tokens", HashedText(TEXT_DIMENSIONS), ["text"]),
+        ("tokens", HashedText(TEXT_DIMENSIONS, hash="md5"), ["text"]),
         ("language", OneHot(), ["lang"]),
     ])
 
@@ -565,7 +565,8 @@ SELECT doc_id, CASE WHEN s < 0 THEN 'negative' ELSE 'positive' END AS sentiment
 """)
 def q_sentiment_lexicon(spark, sf_dir):
     scorer = tx.lexicon_sentiment(F.col("text"), DOCUMENT_NEGATIVE, DOCUMENT_POSITIVE)
-    return table(spark, sf_dir, "documents").project("sentiment", ["text"], scorer).data().select("doc_id", "sentiment")
+    documents = spread(table(spark, sf_dir, "documents").data(), "doc_id")
+    return documents.select("doc_id", scorer.alias("sentiment"))
 
 
 @query("WITH " + TEXT_ROWS + "SELECT doc_id, label FROM samples")
@@ -600,8 +601,8 @@ SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 16 AS bucket, count(*) A
 FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY 1, 2
 """)
 def q_token_hash(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").data()
-    encoders = ColumnEncoders([("tokens", HashedText(TEXT_DIMENSIONS, normalise=False), ["text"])])
+    documents = spread(table(spark, sf_dir, "documents").data(), "doc_id")
+    encoders = ColumnEncoders([("tokens", HashedText(TEXT_DIMENSIONS, hash="md5", normalise=False), ["text"])])
     counts = encoders.transform(documents).select("doc_id", F.posexplode("features").alias("bucket", "n"))
     return counts.where("n > 0").select("doc_id", F.col("bucket").cast("long"), F.col("n").cast("long"))
 

@@ -30,7 +30,7 @@ import datetime
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
@@ -38,7 +38,7 @@ from provspark.operators.frame import by_source_rows
 from provspark.operators.network import Network
 from provspark.operators.sizing import broadcast_if_small
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN, split_column
-from provspark.operators.storage import read_json_document, shared_folder, write_json_document
+from provspark.operators.storage import read_json_document, shared_folder, together, write_json_document
 
 REMOVED = "__removed"
 MAX_LISTED_FILES = 10_000  # beyond this many affected files the whole table is read
@@ -105,9 +105,9 @@ class LayeredTable:
             others = by_source_rows(previous.where(~F.col(REMOVED)), prov, row_ids, "left_anti")
             gone = previous.where(F.col(REMOVED))
             changed = changed.unionByName(others).unionByName(gone)
-        changed.write.parquet(path)
-        rows = self.spark.read.parquet(path).count()
-        return replace(self, overlay_path=path, overlay_rows=rows)
+        counted = Observation()
+        changed.observe(counted, F.count("*").alias("rows")).write.parquet(path)
+        return replace(self, overlay_path=path, overlay_rows=counted.get["rows"])
 
 
 @dataclass(frozen=True)
@@ -205,12 +205,12 @@ def run_path(root: str, pipeline: str, run_id: str) -> str:
 
 def write_maps(spark: SparkSession, path: str, col_prov: dict, ranges: list) -> None:
     """Column and matrix provenance as JSON lines; a few rows, one file each."""
-    spark.createDataFrame(
-        [(c, sorted(origin)) for c, origin in col_prov.items()], "output_column string, sources array<string>"
-    ).coalesce(1).write.json(f"{path}/column_provenance")
-    spark.createDataFrame(ranges, "input_column string, start int, stop int").coalesce(1).write.json(
-        f"{path}/matrix_provenance"
-    )
+    origins = [(c, sorted(origin)) for c, origin in col_prov.items()]
+    tables = {
+        "column_provenance": spark.createDataFrame(origins, "output_column string, sources array<string>"),
+        "matrix_provenance": spark.createDataFrame(ranges, "input_column string, start int, stop int"),
+    }
+    together(*[lambda n=n, df=df: df.coalesce(1).write.json(f"{path}/{n}") for n, df in tables.items()])
 
 
 def register(run: Run, kind: str, path: str) -> None:
@@ -264,12 +264,14 @@ def commit_version(
 ) -> Run:
     """Finish a version whose row tables are stored: weights, layer list, registry entry."""
     spark = run.spark
-    network.to_frame(spark).coalesce(1).write.parquet(f"{path}/model")
     layers = {
         name: [t.base_path, t.overlay_path, t.overlay_rows]
         for name, t in (("relational", relational), ("matrix", matrix))
     }
-    write_json_document(spark, layers, f"{path}/layers")
+    together(
+        lambda: network.to_frame(spark).coalesce(1).write.parquet(f"{path}/model"),
+        lambda: write_json_document(spark, layers, f"{path}/layers"),
+    )
     updated = replace(
         run, version=run.version + 1, relational_table=relational, matrix_table=matrix, model_path=f"{path}/model"
     )
@@ -280,8 +282,10 @@ def commit_version(
 def compact(run: Run) -> Run:
     """Write the current state as a new base; earlier folders may be dropped afterwards."""
     path = run.new_version_path()
-    run.relational_table.read().write.parquet(f"{path}/relational")
-    run.matrix_table.read().write.partitionBy(SPLIT).parquet(f"{path}/matrix")
+    together(
+        lambda: run.relational_table.read().write.parquet(f"{path}/relational"),
+        lambda: run.matrix_table.read().write.partitionBy(SPLIT).parquet(f"{path}/matrix"),
+    )
     return commit_version(
         run, "compact", path, LayeredTable(run.spark, f"{path}/relational"),
         LayeredTable(run.spark, f"{path}/matrix"), run.model(),
