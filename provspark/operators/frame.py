@@ -136,7 +136,10 @@ class TrackedFrame:
         array = F.expr(array) if isinstance(array, str) else array
         origin = frozenset().union(*[self.col_prov[c] for c in source_columns])
         kept = [_quoted(c) for c in self.columns if c != target_column]
-        df = self.df.select(*kept, *self.key_cols, F.posexplode(array).alias(position, target_column))
+        # The outer form, because the optimizer would evaluate the array of the inner form twice:
+        # once more in a filter for empty arrays. Those rows are dropped here instead.
+        pieces = F.posexplode_outer(array).alias(position, target_column)
+        df = self.df.select(*kept, *self.key_cols, pieces).where(F.col(position).isNotNull())
         return replace(
             self,
             df=df.withColumn(position, F.col(position).cast("long")),

@@ -603,7 +603,7 @@ FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP
 def q_token_hash(spark, sf_dir):
     documents = spread(table(spark, sf_dir, "documents").data(), "doc_id")
     encoders = ColumnEncoders([("tokens", HashedText(TEXT_DIMENSIONS, hash="md5", normalise=False), ["text"])])
-    counts = encoders.transform(documents).select("doc_id", F.posexplode("features").alias("bucket", "n"))
+    counts = encoders.transform(documents).select("doc_id", F.posexplode_outer("features").alias("bucket", "n"))
     return counts.where("n > 0").select("doc_id", F.col("bucket").cast("long"), F.col("n").cast("long"))
 
 
