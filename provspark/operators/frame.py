@@ -25,6 +25,10 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _names(columns) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
 @dataclass(frozen=True)
 class TrackedFrame:
     df: DataFrame
@@ -118,7 +122,7 @@ class TrackedFrame:
         )
 
     def __getitem__(self, columns) -> "TrackedFrame":
-        return self.select(*([columns] if isinstance(columns, str) else columns))
+        return self.select(*_names(columns))
 
     def rename(self, columns: dict[str, str]) -> "TrackedFrame":
         targets = [columns.get(c, c) for c in self.columns]
@@ -173,22 +177,28 @@ class TrackedFrame:
     def join(
         self,
         other: "TrackedFrame",
-        left_on: str,
-        right_on: str,
+        left_on: str | list[str],
+        right_on: str | list[str],
         null_safe: bool = False,
         salt: int = 1,
     ) -> "TrackedFrame":
-        """Inner equi-join; both keys are kept and the provenance of both sides is carried.
+        """Inner equi-join that carries the provenance of both sides.
 
+        Keys of different names are both kept, keys of the same name once.
         Spark picks the strategy from the sizes and splits hot keys at run time. ``salt``
         spreads every key of the left side over that many tasks from the start (the right
         side is repeated ``salt`` times), for keys known to hold a large part of the rows.
         ``null_safe`` matches null with null.
         """
+        left_on, right_on = _names(left_on), _names(right_on)
         right, renamed = self._without_collisions(other)
-        left_key, right_key = _quoted(left_on), _quoted(renamed[right_on])
         left_df, right_df = self.df, right.df
-        on = left_key.eqNullSafe(right_key) if null_safe else left_key == right_key
+        on, twice = F.lit(True), []
+        for left_key, right_key in zip(left_on, right_on, strict=True):
+            a, b = _quoted(left_key), _quoted(renamed[right_key])
+            on = on & (a.eqNullSafe(b) if null_safe else a == b)
+            if left_key == right_key:
+                twice.append((left_key, renamed[right_key]))
         if salt > 1:
             spread = F.pmod(F.xxhash64(*self.key_cols), F.lit(salt)).cast("int")
             left_df = left_df.withColumn("__salt_l", spread)
@@ -196,25 +206,29 @@ class TrackedFrame:
             right_df = right_df.withColumn("__salt_r", copies)
             on = on & (F.col("__salt_l") == F.col("__salt_r"))
         joined = left_df.join(right_df, on, "inner").drop("__salt_l", "__salt_r")
+        col_prov = {**self.col_prov, **right.col_prov}
+        for kept, copy in twice:
+            col_prov[kept] = col_prov[kept] | col_prov.pop(copy)
         return TrackedFrame(
-            joined,
+            joined.drop(*[copy for _, copy in twice]),
             self.prov_cols + right.prov_cols,
-            {**self.col_prov, **right.col_prov},
+            col_prov,
             self.pos_cols + right.pos_cols,
         )
 
-    def join_latest(self, other: "TrackedFrame", left_on: str, right_on: str) -> "TrackedFrame":
+    def join_latest(self, other: "TrackedFrame", left_on, right_on) -> "TrackedFrame":
         """Inner join with the last row per key of ``other`` (a lookup that is overwritten)."""
         return self.join(other.latest_by(right_on), left_on, right_on)
 
-    def latest_by(self, key: str) -> "TrackedFrame":
+    def latest_by(self, key: str | list[str]) -> "TrackedFrame":
         """The last row per key in source order; keys are combined before the shuffle."""
-        rest = [c for c in self.df.columns if c != key]
+        keys = _names(key)
+        rest = [c for c in self.df.columns if c not in keys]
         order = F.struct(*[_quoted(c) for c in self.key_cols])
-        last = self.df.groupBy(_quoted(key)).agg(
+        last = self.df.groupBy(*[_quoted(c) for c in keys]).agg(
             F.max_by(F.struct(*[_quoted(c) for c in rest]), order).alias("__last")
         )
-        return replace(self, df=last.select(_quoted(key), *[F.col(f"__last.`{c}`") for c in rest]))
+        return replace(self, df=last.select(*[_quoted(c) for c in keys], *[F.col(f"__last.`{c}`") for c in rest]))
 
     # --- selection by source row -------------------------------------------------------
 
@@ -233,7 +247,7 @@ class TrackedFrame:
         return name
 
 
-def join(left: TrackedFrame, right: TrackedFrame, left_on: str, right_on: str, **options) -> TrackedFrame:
+def join(left: TrackedFrame, right: TrackedFrame, left_on, right_on, **options) -> TrackedFrame:
     """``left.join(right, …)`` as a function."""
     return left.join(right, left_on, right_on, **options)
 

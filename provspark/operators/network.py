@@ -21,6 +21,7 @@ from provspark.operators.storage import materialise
 # Tasks get the code below with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MAX_PARTIAL_BYTES = 16 * 2**30  # partial models shuffled per epoch, all tasks together
 LOG_FLOOR = -100.0  # a logarithm in the loss is never below this (fixed value)
 
 
@@ -198,6 +199,7 @@ def gradient_sums(samples: DataFrame, network: Network, columns=("features",), l
 
     picked = samples.select(*columns, F.col(label).cast("double"))
     total = _summed(picked.mapInArrow(partial, "pos long, value double"), k * size + 1)
+    shared.destroy()
     return [total[i * size:(i + 1) * size] for i in range(k)], int(total[-1])
 
 
@@ -239,8 +241,9 @@ class Trainer:
     Every task runs mini-batches over its own rows from the shared weights; weights and moment
     estimates are then averaged over the tasks by their number of rows (local SGD with model
     averaging). With one task this is ordinary mini-batch training; with many, a pass over the
-    data costs one job instead of one per mini-batch. ``tasks`` bounds the number of partial
-    models per epoch; it does not bound the data.
+    data costs one job instead of one per mini-batch. ``tasks`` limits the number of partial
+    models per epoch, by default to what adds up to 16 GiB; every task streams its rows, however
+    many they are.
     """
 
     epochs: int = 25
@@ -254,7 +257,7 @@ class Trainer:
     def fit(self, train: DataFrame, network: Network, features="features", label="label") -> Network:
         spark = train.sparkSession
         size = network.flat.size
-        tasks = self.tasks or 2 * spark.sparkContext.defaultParallelism
+        tasks = self.tasks or max(1, MAX_PARTIAL_BYTES // (3 * 8 * size))
         width = network.layers[0][0].shape[0]
         rows = train.select(features, F.col(label).cast("double"))
         rows = materialise(rows.mapInArrow(_packed, "x binary, y double"), "packed").coalesce(tasks)
@@ -263,6 +266,7 @@ class Trainer:
             shared = spark.sparkContext.broadcast((network.layers, theta, first, second, step))
             run = self._epoch(shared, epoch, width)
             total = _summed(rows.mapInArrow(run, "pos long, value double"), 3 * size + 2)
+            shared.destroy()
             weight = total[-1]
             if not weight:
                 return network

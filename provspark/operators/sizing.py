@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only below this many rows; the callers pass narrow key tables.
 BROADCAST_ROWS = 500_000
+# Tables with one short row per input file or input split may be larger: some 300 MB at most.
+BROADCAST_FILES = 2_000_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

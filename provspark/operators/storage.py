@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -12,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="provspark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode without a setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="provspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:

@@ -8,6 +8,7 @@ for vectors), since sums of doubles depend on the order of the rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from provspark.functions.naming import SAMPLE_ID, source_name_of
 from provspark.functions.vectors import micro_text
 from provspark.operators import audit, lineage, maintain
 from provspark.operators.encoders import (
-    CharCount, ColumnEncoders, HashedText, OneHot, StandardScaler, WordCount, chain, range_table,
+    BatchEmbedding, CharCount, ColumnEncoders, FunctionEncoder, HashedText, OneHot, StandardScaler, WordCount, chain, range_table,
 )
 from provspark.operators.frame import TrackedFrame, join
 from provspark.operators.network import (
@@ -508,11 +509,14 @@ def q_split_hash(spark, sf_dir):
     return samples.select("o_orderkey", SPLIT)
 
 
-@query(None)
+@query("WITH " + ORDER_ROWS + """
+SELECT sample_id, md5('1:' || sample_id) AS place FROM orders_split WHERE split = 'train'
+""")
 def q_epoch_order(spark, sf_dir):
+    """The training samples as one epoch visits them, in every partition by their place."""
     _, samples = order_samples(spark, sf_dir)
-    shuffled = epoch_order(samples.where(F.col(SPLIT) == TRAIN), epoch=1)
-    return shuffled.select(SAMPLE_ID, F.monotonically_increasing_id().alias("place"))
+    shuffled = epoch_order(samples.where(F.col(SPLIT) == TRAIN).select(SAMPLE_ID), epoch=1)
+    return shuffled.select(SAMPLE_ID, F.md5(F.concat(F.lit("1:"), SAMPLE_ID).cast("binary")).alias("place"))
 
 
 # --- scalar functions and encoders ---------------------------------------------------------------------
@@ -632,6 +636,34 @@ def q_charcount_encoder(spark, sf_dir):
     )
 
 
+@query("""
+SELECT doc_id, length(text)::BIGINT AS chars, len(string_split(text, ' ')) - 1 AS blanks FROM documents
+""")
+def q_batch_embedding(spark, sf_dir):
+    """Vectors from a pandas UDF, where a pretrained model would be plugged in."""
+
+    @F.pandas_udf("array<double>")
+    def embed(text: pd.Series) -> pd.Series:
+        return pd.Series(list(np.column_stack([text.str.len(), text.str.count(" ")]).astype(float)))
+
+    documents = spread(table(spark, sf_dir, "documents").data(), "doc_id")
+    encoders = ColumnEncoders([("vectors", BatchEmbedding(embed, 2), ["text"])]).fit(documents)
+    return encoders.transform(documents).select(
+        "doc_id", F.get("features", 0).cast("long").alias("chars"), F.get("features", 1).cast("long").alias("blanks")
+    )
+
+
+@query("SELECT doc_id, n_chars * n_chars AS squared, doc_id + n_chars AS total FROM documents")
+def q_function_encoder(spark, sf_dir):
+    """An arbitrary function of two columns as an encoder."""
+    documents = table(spark, sf_dir, "documents").data()
+    both = FunctionEncoder(lambda n, i: F.array((n * n).cast("double"), (i + n).cast("double")), 2)
+    encoded = ColumnEncoders([("both", both, ["n_chars", "doc_id"])]).fit(documents).transform(documents)
+    return encoded.select(
+        "doc_id", F.get("features", 0).cast("long").alias("squared"), F.get("features", 1).cast("long").alias("total")
+    )
+
+
 # --- provenance of features ---------------------------------------------------------------------------------
 
 RANGES = """
@@ -708,11 +740,15 @@ def q_run_registry(spark, sf_dir):
     return entries.select("pipeline", "version", "kind", F.size("source_paths").cast("long").alias("n_sources"))
 
 
-@query("WITH " + TEXT_ROWS + "SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic FROM samples")
+@query("WITH " + TEXT_ROWS + """
+SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic, NULL::VARCHAR AS text FROM samples WHERE toxic = 1
+""")
 def q_export_csv(spark, sf_dir):
-    run, path = text_run(spark, sf_dir), new_folder(spark, "export")
-    export_csv(run.relational().select("doc_id", "lang", "toxic"), path)
-    return spark.read.option("header", True).csv(path)
+    """The relation after a deletion as CSV; shown are the rows that lost their text."""
+    run, path = after_feature_deletion(spark, sf_dir), new_folder(spark, "export")
+    export_csv(run.relational().select("doc_id", "lang", "toxic", "text"), path)
+    exported = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return exported.where("text IS NULL")
 
 
 # --- scoring, loss, gradients ---------------------------------------------------------------------------------
@@ -808,7 +844,11 @@ def q_mlp_train_score(spark, sf_dir):
     return score(run.matrix(TEST), network)
 
 
-@query(None)
+@query("WITH " + FEATURE_ROWS + """
+SELECT sample_id, CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction,
+       round(-(label * ln(p) + (1 - label) * ln(1 - p)) * 1e6)::BIGINT AS loss_micro
+FROM scored WHERE split = 'test'
+""")
 def q_sample_loss(spark, sf_dir):
     run = text_run(spark, sf_dir)
     p = probability(run.model())

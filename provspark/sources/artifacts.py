@@ -298,7 +298,7 @@ def export_csv(df: DataFrame, path: str) -> None:
         (F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))) if t.startswith("array") else F.col(f"`{c}`")).alias(c)
         for c, t in df.dtypes
     ]
-    df.select(*columns).write.option("header", True).csv(path)
+    df.select(*columns).write.options(header=True, escape='"').csv(path)
 
 
 __all__ = [

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from provspark.functions.naming import normalise_path, prov_column, source_name
 from provspark.operators.frame import TrackedFrame
-from provspark.operators.sizing import broadcast_if_small
+from provspark.operators.sizing import BROADCAST_FILES, broadcast_if_small
 from provspark.operators.storage import materialise
 
 # Tokens read as null by default: the public default list of pandas' CSV reader (fixed values).
@@ -52,7 +52,7 @@ def _with_file_ordinal(df: DataFrame, path_column: str, files: list[str]) -> tup
         list(zip(listing, range(len(listing)))), "__file string, __ordinal long"
     )
     joined = df.join(
-        broadcast_if_small(ordinals, len(listing)), df[path_column] == F.col("__file"), "left"
+        broadcast_if_small(ordinals, len(listing), BROADCAST_FILES), df[path_column] == F.col("__file"), "left"
     ).drop("__file")
     missing = F.raise_error(F.concat(F.lit("file not in listing: "), F.col(path_column)))
     return joined, F.coalesce(F.col("__ordinal"), missing.cast("long"))
@@ -105,7 +105,7 @@ def _positions(raw: DataFrame, values: list[Column], files: list[str], prov: str
         "splits",
     )
     df = landed.join(
-        broadcast_if_small(splits), (F.col("__path") == F.col("__p")) & (F.col("__start") == F.col("__s"))
+        broadcast_if_small(splits, limit=BROADCAST_FILES), (F.col("__path") == F.col("__p")) & (F.col("__start") == F.col("__s"))
     )
     df, ordinal = _with_file_ordinal(df, "__path", files)
     position = F.col("__order") + F.col("__shift") + F.shiftleft(ordinal, FILE_BITS)
@@ -167,7 +167,7 @@ def read_lines(
     """
     alias = alias or source_name(path)
     raw = spark.read.text(path)
-    parts = F.split(F.trim(F.col("value")), "\\Q" + sep + "\\E", -1)
+    parts = F.split(F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\x0c")), "\\Q" + sep + "\\E", -1)
     values = [F.get(parts, i).alias(name) for i, name in enumerate(names)]
     values.append((F.size(parts) != len(names)).alias("_field_count_error"))
     prov = prov_column(alias)

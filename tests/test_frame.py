@@ -75,10 +75,15 @@ def test_explode_keeps_keys_unique(mails):
 
 def test_join_multiplies_duplicates_and_skips_nulls(people, mails):
     joined = join(mails, people, left_on="email", right_on="email")
-    assert joined.columns == ["email", "text", "email_r", "country", "level"]
+    assert joined.columns == ["email", "text", "country", "level"]
     pairs = sorted(tuple(r) for r in joined.provenance().collect())
     assert pairs == [(0, 0), (0, 3), (3, 1)]
-    assert joined.col_prov["email"] == {"mails.email"} and joined.col_prov["email_r"] == {"people.email"}
+    assert joined.col_prov["email"] == {"mails.email", "people.email"}
+    other = mails.join(people.rename({"email": "address", "country": "text"}), "email", "address")
+    assert other.columns == ["email", "text", "address", "text_r", "level"]
+    assert other.col_prov["text_r"] == {"people.country"} and other.col_prov["address"] == {"people.email"}
+    both = people.join(people, ["email", "country"], ["email", "country"])
+    assert both.columns == ["email", "country", "level", "level_r"] and both.count() == 3
     null_safe = mails.join(people, "email", "email", null_safe=True)
     assert sorted(tuple(r) for r in null_safe.provenance().collect()) == [(0, 0), (0, 3), (2, 2), (3, 1)]
 
