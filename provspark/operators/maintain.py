@@ -91,16 +91,16 @@ def delete_features(
     row_ids = settled_ids(run.spark, row_ids)
 
     def relational_part():
-        rows = null_out(run.relational_table.rows_from(prov, row_ids), columns)
-        rows = rows.withColumn(REMOVED, F.lit(False))
-        return run.relational_table.write_overlay(f"{path}/relational", prov, row_ids, rows)
+        rows = run.relational_table.rows_from(prov, row_ids)
+        emptied = null_out(rows.df, columns).withColumn(REMOVED, F.lit(False))
+        return rows.replaced_by(emptied, f"{path}/relational")
 
     def matrix_part():
         vectors = run.matrix_table.rows_from(prov, row_ids)
-        patched = patch_features(vectors, ranges).withColumn(REMOVED, F.lit(False))
-        pairs = before_after(vectors.where(F.col(SPLIT) == TRAIN), ranges)
+        patched = patch_features(vectors.df, ranges).withColumn(REMOVED, F.lit(False))
+        pairs = before_after(vectors.df.where(F.col(SPLIT) == TRAIN), ranges)
         return together(
-            lambda: run.matrix_table.write_overlay(f"{path}/matrix", prov, row_ids, patched),
+            lambda: vectors.replaced_by(patched, f"{path}/matrix"),
             lambda: unlearn_features(run.model(), pairs, rate) if ranges else run.model(),
         )
 
@@ -120,15 +120,15 @@ def delete_instances(run: Run, source: str, row_ids, rate: float = 1.0, sign: in
 
     def relational_part():
         rows = run.relational_table.rows_from(prov, row_ids)
-        rows = tombstones(rows, [SAMPLE_ID, SPLIT_KEY, *run.key_cols])
-        return run.relational_table.write_overlay(f"{path}/relational", prov, row_ids, rows)
+        gone = tombstones(rows.df, [SAMPLE_ID, SPLIT_KEY, *run.key_cols])
+        return rows.replaced_by(gone, f"{path}/relational")
 
     def matrix_part():
         vectors = run.matrix_table.rows_from(prov, row_ids)
-        gone = tombstones(vectors, [SAMPLE_ID, SPLIT, *run.key_cols])
-        removed = vectors.where(F.col(SPLIT) == TRAIN)
+        gone = tombstones(vectors.df, [SAMPLE_ID, SPLIT, *run.key_cols])
+        removed = vectors.df.where(F.col(SPLIT) == TRAIN)
         return together(
-            lambda: run.matrix_table.write_overlay(f"{path}/matrix", prov, row_ids, gone),
+            lambda: vectors.replaced_by(gone, f"{path}/matrix"),
             lambda: unlearn_instances(run.model(), removed, rate, sign),
         )
 

@@ -16,7 +16,7 @@ from provspark.operators.split import (
 )
 from provspark.operators.storage import spread, together, write_json_document
 from provspark.sources.artifacts import (
-    LayeredTable, Run, default_root, load_run, register, run_path, write_maps,
+    LayeredTable, Run, default_root, load_run, register, run_path, write_base, write_maps,
 )
 
 RESERVED = {SAMPLE_ID, SPLIT, SPLIT_KEY, "features", "label"}
@@ -70,9 +70,7 @@ def run_pipeline(
     encoders = encode_features().fit(samples.where(F.col(SPLIT) == TRAIN))
     label = extract_label if isinstance(extract_label, Column) else extract_label(samples)
     encoded = encoders.transform(samples.withColumn("label", label.cast("double")))
-    encoded.select(SAMPLE_ID, SPLIT, *prepared.key_cols, "features", "label").write.partitionBy(
-        SPLIT
-    ).parquet(f"{path}/matrix")
+    write_base(encoded.select(SAMPLE_ID, SPLIT, *prepared.key_cols, "features", "label"), f"{path}/matrix")
 
     write_maps(spark, path, prepared.col_prov, encoders.matrix_provenance())
     document = {

@@ -904,7 +904,7 @@ def q_updates(spark, sf_dir):
     """The patch list of a feature deletion."""
     run = text_run(spark, sf_dir)
     ranges = lineage.feature_ranges(run, lineage.output_columns(run, "documents", "text"))
-    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir))
+    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).df
     return maintain.updates(hits, ranges).select(SAMPLE_ID, F.explode("ranges").alias("r")).select(SAMPLE_ID, "r.*")
 
 
@@ -915,7 +915,7 @@ FROM zeroed WHERE toxic = 1 AND split = 'train'
 def q_unlearn_pairs(spark, sf_dir):
     run = text_run(spark, sf_dir)
     ranges = lineage.feature_ranges(run, lineage.output_columns(run, "documents", "text"))
-    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).where(F.col(SPLIT) == TRAIN)
+    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).df.where(F.col(SPLIT) == TRAIN)
     pairs = maintain.before_after(hits, ranges)
     return pairs.select(
         SAMPLE_ID, "label", micro_text(F.col("features")).alias("before"), micro_text(F.col("patched")).alias("after")

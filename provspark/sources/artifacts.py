@@ -18,7 +18,8 @@ Both row tables carry the provenance columns, so no operator has to align one wi
 A deletion must not cost a rewrite of everything. A version holds an *overlay* per row table:
 all rows that differ from the base, in their new state, and tombstones (keys without data) of
 removed rows. Reading a version is the base without the overlay's keys, plus the overlay's
-rows. ``compact`` writes a version out as a new base, without any trace of the deleted values.
+rows. A deletion that concerns too many rows for that is written as a new base, and ``compact``
+does so at any time; a new base holds no trace of the deleted values.
 
 ``<root>/runs`` registers every run and version. Its row is written last, so an interrupted
 run or deletion is never visible.
@@ -36,12 +37,13 @@ from pyspark.sql import functions as F
 from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
 from provspark.operators.frame import by_source_rows
 from provspark.operators.network import Network
-from provspark.operators.sizing import broadcast_if_small
+from provspark.operators.sizing import BROADCAST_ROWS, broadcast_if_small
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN, split_column
 from provspark.operators.storage import read_json_document, shared_folder, together, write_json_document
 
 REMOVED = "__removed"
 MAX_LISTED_FILES = 10_000  # beyond this many affected files the whole table is read
+OVERLAY_ROWS = BROADCAST_ROWS
 
 RUNS_SCHEMA = (
     "run_id string, pipeline string, version int, kind string, path string, "
@@ -55,7 +57,11 @@ def default_root(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class LayeredTable:
-    """A stored table and, for a later version, the overlay on it."""
+    """A stored table and, for a later version, the overlay on it.
+
+    An overlay never has more rows than may be broadcast, so reading a version moves no base
+    row. A deletion that would exceed this is written as a new base instead.
+    """
 
     spark: SparkSession
     base_path: str
@@ -78,36 +84,62 @@ class LayeredTable:
     def read(self) -> DataFrame:
         return self._merged(self.base(), self.overlay())
 
-    def rows_from(self, prov: str, row_ids) -> DataFrame:
+    def rows_from(self, prov: str, row_ids) -> "SourceRows":
         """Current rows that stem from the source rows, opening only files that hold some.
 
         The search reads one column; the wide columns are read from the files found.
         """
         base = self.base()
         with_path = base.select(prov, F.col("_metadata.file_path").alias("__file"))
-        found = by_source_rows(with_path, prov, row_ids, "left_semi").select("__file").distinct()
-        files = [row[0] for row in found.limit(MAX_LISTED_FILES + 1).collect()]
+        found = by_source_rows(with_path, prov, row_ids, "left_semi").groupBy("__file").count()
+        files = found.limit(MAX_LISTED_FILES + 1).collect()
+        rows = sum(row["count"] for row in files)
         if len(files) <= MAX_LISTED_FILES:
-            base = base.where(F.col("_metadata.file_path").isin(files))
+            base = base.where(F.col("_metadata.file_path").isin([row["__file"] for row in files]))
+        else:
+            rows = found.agg(F.sum("count")).first()[0]
         base = by_source_rows(base, prov, row_ids, "left_semi")
         overlay = self.overlay()
         if overlay is not None:
             overlay = by_source_rows(overlay, prov, row_ids, "left_semi")
-        return self._merged(base, overlay)
+        return SourceRows(self, prov, row_ids, self._merged(base, overlay), rows)
+
+
+@dataclass(frozen=True)
+class SourceRows:
+    """The rows of a table that stem from given source rows."""
 
-    def write_overlay(self, path: str, prov: str, row_ids, changed: DataFrame) -> "LayeredTable":
-        """Store the overlay of the next version: ``changed`` and what stays of the last one.
+    table: LayeredTable
+    prov: str
+    row_ids: object
+    df: DataFrame
+    base_rows: int  # so many of them lie in the base
 
-        ``changed`` holds the new state of all current rows from ``row_ids``.
+    def replaced_by(self, changed: DataFrame, path: str) -> LayeredTable:
+        """The table's next version, in which these rows have the state ``changed``.
+
+        ``changed`` has the same keys, and the flag ``__removed`` on rows that are gone.
         """
-        previous = self.overlay()
+        table = self.table
+        if self.base_rows + table.overlay_rows > OVERLAY_ROWS:
+            kept = by_source_rows(table.read(), self.prov, self.row_ids, "left_anti")
+            merged = kept.unionByName(changed.where(~F.col(REMOVED)).drop(REMOVED))
+            write_base(merged, path)
+            return LayeredTable(table.spark, path)
+        previous = table.overlay()
         if previous is not None:
-            others = by_source_rows(previous.where(~F.col(REMOVED)), prov, row_ids, "left_anti")
-            gone = previous.where(F.col(REMOVED))
-            changed = changed.unionByName(others).unionByName(gone)
+            current = previous.where(~F.col(REMOVED))
+            others = by_source_rows(current, self.prov, self.row_ids, "left_anti")
+            changed = changed.unionByName(others).unionByName(previous.where(F.col(REMOVED)))
         counted = Observation()
         changed.observe(counted, F.count("*").alias("rows")).write.parquet(path)
-        return replace(self, overlay_path=path, overlay_rows=counted.get["rows"])
+        return replace(table, overlay_path=path, overlay_rows=counted.get["rows"])
+
+
+def write_base(df: DataFrame, path: str) -> None:
+    """Write a whole row table; the one with a split is partitioned by it."""
+    writer = df.write.partitionBy(SPLIT) if SPLIT in df.columns else df.write
+    writer.parquet(path)
 
 
 @dataclass(frozen=True)
@@ -283,8 +315,8 @@ def compact(run: Run) -> Run:
     """Write the current state as a new base; earlier folders may be dropped afterwards."""
     path = run.new_version_path()
     together(
-        lambda: run.relational_table.read().write.parquet(f"{path}/relational"),
-        lambda: run.matrix_table.read().write.partitionBy(SPLIT).parquet(f"{path}/matrix"),
+        lambda: write_base(run.relational_table.read(), f"{path}/relational"),
+        lambda: write_base(run.matrix_table.read(), f"{path}/matrix"),
     )
     return commit_version(
         run, "compact", path, LayeredTable(run.spark, f"{path}/relational"),
@@ -302,6 +334,6 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "LayeredTable", "REMOVED", "Run", "SPLIT_KEY", "TEST", "TRAIN", "commit_version", "compact",
-    "default_root", "export_csv", "load_run", "open_version", "register", "run_path", "runs", "write_maps",
+    "LayeredTable", "REMOVED", "Run", "SPLIT_KEY", "SourceRows", "TEST", "TRAIN", "commit_version", "compact",
+    "default_root", "export_csv", "load_run", "open_version", "register", "run_path", "runs", "write_base", "write_maps",
 ]

@@ -216,6 +216,25 @@ def test_large_requests_and_small_file_limits(spark, run, monkeypatch):
     assert expected.exceptAll(slow).count() == 0 == slow.exceptAll(expected).count()
 
 
+def test_large_deletions_are_written_as_a_new_base(run, monkeypatch):
+    def state(limit):
+        monkeypatch.setattr(artifacts, "OVERLAY_ROWS", limit)
+        first = maintain.delete_features(run, "mails_path", "mail_subject", "customers_path", [1, 3])
+        second = maintain.delete_instances(first, "customers_path", [3, 5])
+        return first, maintain.delete_features(second, "customers_path", "country", "customers_path", IDS)
+
+    _, small = state(10**6)
+    first, large = state(0)
+    assert first.matrix_table.overlay() is None and large.matrix_table.overlay() is None
+    _, mixed = state(25)  # the first deletion fits an overlay, a later one does not
+    assert mixed.matrix_table.overlay() is None
+    for other in (large, mixed):
+        assert small.samples().exceptAll(other.samples()).count() == 0
+        assert other.samples().exceptAll(small.samples()).count() == 0
+        assert as_dict(small.matrix(), "features") == as_dict(other.matrix(), "features")
+        assert np.allclose(small.model().flat, other.model().flat)
+
+
 def test_compaction_rescoring_export(spark, root, run, tmp_path):
     changed = maintain.delete_instances(
         maintain.delete_features(run, "mails_path", "mail_subject", "customers_path", [1, 3]), "customers_path", [5]
