@@ -154,7 +154,11 @@ class TrackedFrame:
     # --- joins -------------------------------------------------------------------------
 
     def _without_collisions(self, other: "TrackedFrame") -> tuple["TrackedFrame", dict[str, str]]:
-        """Give the columns of ``other`` that this frame has too the suffix ``_r``."""
+        """Give the columns of ``other`` that this frame has too the suffix ``_r``.
+
+        A source that is already in this frame becomes a second instance with an alias of its
+        own, also in the column provenance: ``people.email`` turns into ``people_r.email``.
+        """
         taken = set(self.df.columns)
         renamed = {}
         for c in other.df.columns:
@@ -164,11 +168,17 @@ class TrackedFrame:
             taken.add(new)
             renamed[c] = new
         changed = {old: new for old, new in renamed.items() if old != new}
+        alias = {c[len(PROV_PREFIX):]: renamed[c][len(PROV_PREFIX):] for c in other.prov_cols}
+
+        def instance(source: str) -> str:
+            name = next(a for a in sorted(alias, key=len, reverse=True) if source.startswith(f"{a}."))
+            return alias[name] + source[len(name):]
+
         return (
             TrackedFrame(
                 other.df.withColumnsRenamed(changed),
                 tuple(renamed[c] for c in other.prov_cols),
-                {renamed[c]: origin for c, origin in other.col_prov.items()},
+                {renamed[c]: frozenset(map(instance, origin)) for c, origin in other.col_prov.items()},
                 tuple(renamed[c] for c in other.pos_cols),
             ),
             renamed,

@@ -21,6 +21,7 @@ from provspark.operators.storage import materialise
 # Tasks get the code below with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+DIRECT_BYTES = 64 * 2**20  # partial sums up to this size are added up without a shuffle
 MAX_PARTIAL_BYTES = 16 * 2**30  # partial models shuffled per epoch, all tasks together
 LOG_FLOOR = -100.0  # a logarithm in the loss is never below this (fixed value)
 
@@ -169,12 +170,15 @@ def _sum_rows(values: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Add up the vectors of all tasks by position; the result has the size of the model."""
-    rows = parts.groupBy("pos").agg(F.sum("value").alias("value")).toArrow()
-    total = np.zeros(size)
-    total[rows["pos"].to_numpy()] = rows["value"].to_numpy()
-    return total
+def _summed(parts: DataFrame, size: int, tasks: int | None = None) -> np.ndarray:
+    """Add up the vectors of all tasks by position; the result has the size of the model.
+
+    If the number of tasks is known and their vectors are small together, the shuffle is saved.
+    """
+    if tasks is None or tasks * size * 16 > DIRECT_BYTES:
+        parts = parts.groupBy("pos").agg(F.sum("value").alias("value"))
+    rows = parts.toArrow()
+    return np.bincount(rows["pos"].to_numpy(), weights=rows["value"].to_numpy(), minlength=size)
 
 
 def gradient_sums(samples: DataFrame, network: Network, columns=("features",), label="label"):
@@ -261,11 +265,12 @@ class Trainer:
         width = network.layers[0][0].shape[0]
         rows = train.select(features, F.col(label).cast("double"))
         rows = materialise(rows.mapInArrow(_packed, "x binary, y double"), "packed").coalesce(tasks)
+        parts = rows.rdd.getNumPartitions()
         theta, first, second, step = network.flat, np.zeros(size), np.zeros(size), 0.0
         for epoch in range(self.epochs):
             shared = spark.sparkContext.broadcast((network.layers, theta, first, second, step))
             run = self._epoch(shared, epoch, width)
-            total = _summed(rows.mapInArrow(run, "pos long, value double"), 3 * size + 2)
+            total = _summed(rows.mapInArrow(run, "pos long, value double"), 3 * size + 2, parts)
             shared.destroy()
             weight = total[-1]
             if not weight:

@@ -84,6 +84,9 @@ def test_join_multiplies_duplicates_and_skips_nulls(people, mails):
     assert other.col_prov["text_r"] == {"people.country"} and other.col_prov["address"] == {"people.email"}
     both = people.join(people, ["email", "country"], ["email", "country"])
     assert both.columns == ["email", "country", "level", "level_r"] and both.count() == 3
+    third = joined.join(people, "email", "email")
+    assert third.prov_cols == ("__prov_mails", "__prov_people", "__prov_people_r")
+    assert third.col_prov["level_r"] == {"people_r.level"}
     null_safe = mails.join(people, "email", "email", null_safe=True)
     assert sorted(tuple(r) for r in null_safe.provenance().collect()) == [(0, 0), (0, 3), (2, 2), (3, 1)]
 
@@ -103,6 +106,8 @@ def test_join_with_the_last_row_per_key(people, mails):
 
 def test_self_join_gets_its_own_provenance(people):
     joined = people.join(people, "email", "email")
+    assert joined.col_prov["level"] == {"people.level"} and joined.col_prov["level_r"] == {"people_r.level"}
+    assert joined.col_prov["email"] == {"people.email", "people_r.email"}
     assert joined.prov_cols == ("__prov_people", "__prov_people_r")
     assert sorted(tuple(r) for r in joined.provenance().collect()) == [(0, 0), (0, 3), (1, 1), (3, 0), (3, 3)]
 

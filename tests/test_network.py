@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from provspark.operators import network as network_module
 from provspark.operators.network import (
     Network, Trainer, gradient_sums, logistic, mean_loss, perceptron, prediction, probability,
 )
@@ -54,8 +55,9 @@ def test_certain_mistakes_have_a_bounded_loss(spark):
     assert network.loss_sum(np.array([[1.0], [-1.0]]), np.array([0.0, 1.0])) == 200.0
 
 
-@pytest.mark.parametrize("tasks", [1, 3])
-def test_training_learns(data, tasks):
+@pytest.mark.parametrize("tasks, direct", [(1, 64 << 20), (3, 64 << 20), (3, 0)])
+def test_training_learns(data, tasks, direct, monkeypatch):
+    monkeypatch.setattr(network_module, "DIRECT_BYTES", direct)
     x, y, df = data
     trainer = Trainer(epochs=30, learning_rate=0.01, batch_size=32, tasks=tasks)
     trained = trainer.fit(df, perceptron(6))
