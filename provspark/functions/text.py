@@ -30,8 +30,8 @@ def tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    # One piece more than there are spaces: no array is built for a mere count.
-    return F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    # One piece more than there are spaces (of one byte each): no array is built for a count.
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def char_count(text: Column) -> Column:

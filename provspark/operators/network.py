@@ -145,12 +145,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each feature vector as one binary value of single-precision floats."""
     for batch in batches:
-        if batch.num_rows:
-            values = _matrix(batch.column(0)).astype(np.float32)
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (values.shape[1] * 4)
-            buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]
-            x = pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)
-            yield pa.RecordBatch.from_arrays([x, batch.column(1)], ["x", "y"])
+        if not batch.num_rows:
+            continue
+        matrix = _matrix(batch.column(0))
+        size = matrix.shape[1] * 4
+        rows = max(1, 2**30 // size)  # the positions inside one binary column are 32-bit numbers
+        for at in range(0, batch.num_rows, rows):
+            values = np.ascontiguousarray(matrix[at:at + rows], dtype=np.float32)
+            ends = np.arange(len(values) + 1, dtype=np.int32) * size
+            x = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([x, batch.column(1).slice(at, rows)], ["x", "y"])
 
 
 def _unpacked(column: pa.Array, width: int) -> np.ndarray:

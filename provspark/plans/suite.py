@@ -741,14 +741,14 @@ def q_run_registry(spark, sf_dir):
 
 
 @query("WITH " + TEXT_ROWS + """
-SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic, NULL::VARCHAR AS text FROM samples WHERE toxic = 1
+SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic FROM samples WHERE toxic = 1
 """)
 def q_export_csv(spark, sf_dir):
     """The relation after a deletion as CSV; shown are the rows that lost their text."""
     run, path = after_feature_deletion(spark, sf_dir), new_folder(spark, "export")
     export_csv(run.relational().select("doc_id", "lang", "toxic", "text"), path)
     exported = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return exported.where("text IS NULL")
+    return exported.where("text IS NULL").drop("text")
 
 
 # --- scoring, loss, gradients ---------------------------------------------------------------------------------
@@ -775,7 +775,7 @@ def q_accuracy(spark, sf_dir):
 
 
 @query("WITH " + FEATURE_ROWS + """
-SELECT lang AS "group", count(*) FILTER (WHERE label = 1) AS positives,
+SELECT lang, count(*) FILTER (WHERE label = 1) AS positives,
        round(avg(CASE WHEN label = 1 THEN CASE WHEN p > 0.5 THEN 0.0 ELSE 1.0 END END) * 1e6)::BIGINT AS fnr_micro
 FROM scored WHERE split = 'test' GROUP BY lang
 """)
@@ -783,7 +783,7 @@ def q_equal_opportunity(spark, sf_dir):
     run = text_run(spark, sf_dir)
     tested = run.scores().join(run.samples().select(SAMPLE_ID, "lang"), SAMPLE_ID)
     rates = audit.false_negative_rates(tested, F.col("lang"))
-    return rates.select("group", "positives", micro(F.col("fnr")).alias("fnr_micro"))
+    return rates.select(F.col("group").alias("lang"), "positives", micro(F.col("fnr")).alias("fnr_micro"))
 
 
 @query("WITH " + FEATURE_ROWS + """,
