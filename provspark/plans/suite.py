@@ -836,6 +836,41 @@ def q_gradient_linear(spark, sf_dir):
     return weights_table(spark, total / n)
 
 
+def fixed_perceptron(num_features: int, hidden: int = 4) -> Network:
+    """Two layers whose weights follow from their positions."""
+    j, k = np.arange(num_features)[:, None], np.arange(hidden)[None, :]
+    inner = ((j * 5 + k * 3) % 7 - 3) / 10.0, 0.05 * k[0] - 0.1
+    outer = ((k.T * 2 % 5 - 2) / 10.0 + 0.05), np.array([0.1])
+    return Network((inner, outer))
+
+
+@query("WITH " + FEATURE_ROWS + """,
+hidden AS (
+  SELECT sample_id, label, features, k, (k * 2 % 5 - 2) / 10.0 + 0.05 AS w, greatest(0.0, 0.05 * k - 0.1 +
+    list_sum(list_transform(features, lambda x, j: x * (((j - 1) * 5 + k * 3) % 7 - 3) / 10.0))) AS h
+  FROM matrix, (SELECT unnest(range(4)) AS k) WHERE split = 'train'),
+errors AS (SELECT sample_id, 1 / (1 + exp(-(0.1 + sum(h * w)))) - any_value(label) AS e FROM hidden GROUP BY sample_id),
+parts AS (
+  SELECT k, h, e, CASE WHEN h > 0 THEN e * w ELSE 0.0 END AS back, features FROM hidden JOIN errors USING (sample_id)),
+inner_weights AS (
+  SELECT j, k, avg(back * x) AS g FROM (
+    SELECT k, back, unnest(features) AS x, unnest(range(len(features))) AS j FROM parts) GROUP BY j, k),
+gradient AS (
+  SELECT 'layer0' AS layer, j AS i, k AS j, g FROM inner_weights
+  UNION ALL SELECT 'layer0', -1, k, avg(back) FROM parts GROUP BY k
+  UNION ALL SELECT 'layer1', k, 0, avg(e * h) FROM parts GROUP BY k
+  UNION ALL SELECT 'layer1', -1, 0, avg(e) FROM errors)
+SELECT layer, i::INTEGER AS i, j::INTEGER AS j, round(g * 1e6)::BIGINT AS value_micro FROM gradient
+""")
+def q_gradient_mlp(spark, sf_dir):
+    """Mean gradient of the two-layer network over all training samples."""
+    run = text_run(spark, sf_dir)
+    network = fixed_perceptron(run.document["num_features"])
+    (total,), n = gradient_sums(run.matrix(TRAIN), network)
+    gradient = network.with_flat(total / n).to_frame(spark)
+    return gradient.select("layer", "i", "j", micro(F.col("value")).alias("value_micro"))
+
+
 @query(None)
 def q_mlp_train_score(spark, sf_dir):
     """Train the two-layer network data-parallel and score the test side."""
