@@ -78,11 +78,13 @@ def read_parquet(spark: SparkSession, path: str, alias: str | None = None) -> Tr
 def _positions(raw: DataFrame, values: list[Column], files: list[str], prov: str,
                land: str | None) -> DataFrame:
     """Land parsed records and add their position; ``raw`` is a scan of splittable text."""
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     landed = materialise(
         raw.select(
             *values,
-            F.col("_metadata.file_path").alias("__path"),
-            F.col("_metadata.file_block_start").alias("__start"),
+            path.alias("__path"),
+            start.alias("__start"),
+            F.xxhash64(path, start).alias("__split"),
             # Increases in record order inside a split; comes from the one pass that lands
             # the rows, so it cannot disagree with another reading of the text.
             F.monotonically_increasing_id().alias("__order"),
@@ -90,26 +92,21 @@ def _positions(raw: DataFrame, values: list[Column], files: list[str], prov: str
         "landed",
         land,
     )
-    names = [c for c in landed.columns if c not in ("__path", "__start", "__order")]
+    names = [c for c in landed.columns if c not in ("__path", "__start", "__split", "__order")]
     # One row per input split: bounded by the splits the driver schedules, not by the records.
-    splits = landed.groupBy("__path", "__start").agg(
+    splits = landed.groupBy("__split", "__path", "__start").agg(
         F.min("__order").alias("__first"), F.count("*").alias("__n")
     )
+    splits, ordinal = _with_file_ordinal(splits, "__path", files)
     before = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = materialise(
-        splits.select(
-            F.col("__path").alias("__p"),
-            F.col("__start").alias("__s"),
-            (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
-        ),
-        "splits",
-    )
-    df = landed.join(
-        broadcast_if_small(splits, limit=BROADCAST_FILES), (F.col("__path") == F.col("__p")) & (F.col("__start") == F.col("__s"))
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    same_hash = F.count("*").over(Window.partitionBy("__split"))
+    shift = F.when(same_hash == 1, shift + F.shiftleft(ordinal, FILE_BITS)).otherwise(
+        F.raise_error(F.lit("two input splits have the same hash")).cast("long")
     )
-    df, ordinal = _with_file_ordinal(df, "__path", files)
-    position = F.col("__order") + F.col("__shift") + F.shiftleft(ordinal, FILE_BITS)
-    return df.select(*names, position.alias(prov))
+    splits = materialise(splits.select(F.col("__split").alias("__key"), shift.alias("__shift")), "splits")
+    df = landed.join(broadcast_if_small(splits, limit=BROADCAST_FILES), F.col("__split") == F.col("__key"))
+    return df.select(*names, (F.col("__order") + F.col("__shift")).alias(prov))
 
 
 def read_csv(
