@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from provspark.operators.storage import materialise
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:
@@ -61,6 +63,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Cut a batch into runs of rows of about ``limit`` bytes of text, so that work on it stays small."""
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield low, high
+        low = high
+
+
 def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts after each other, and where each text's words begin.
 
@@ -80,6 +95,15 @@ def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
     return words, offsets.astype(np.int64)
 
 
+def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words in lower case without punctuation at their ends; see ``flat_words``."""
+    words, offsets = flat_words(pc.utf8_lower(pc.fill_null(texts, "")), lower=False)
+    words = pc.utf8_trim(words, EDGES)
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(real)))
+    return words.filter(pa.array(real)), before[offsets]
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; the same in every process."""
     if not len(words):

@@ -111,8 +111,8 @@ def judge_urls(
 ) -> DataFrame:
     """Add ``host, path, rule, block_score, verdict`` (score of the trees: 0 to 1, 1 is block).
 
-    The trees and the suffix statistics learn from a sample of about ``train_rows`` URLs that a rule
-    labels, drawn by a hash of the URL; the suffix table therefore has at most that many rows and is
+    The trees and the suffix statistics learn from a sample of about ``train_rows`` different URLs that
+    a rule labels, drawn by a hash of the URL; the suffix table therefore has at most that many rows and is
     broadcast. Scoring is one pass without a shuffle.
     """
     own = ("host", "path", "rule", "block_score", "verdict")
@@ -121,7 +121,7 @@ def judge_urls(
     judged = with_host_path(pages.select(*kept, F.col(url).alias("url")))
     judged = judged.withColumn("rule", rule_of(rules)).withColumn("by_rule", verdict_of(rules))
     label = (F.col("by_rule") == "block").cast("double")
-    sample = bounded_sample(judged.where("by_rule is not null").select("url", "host", "path", label.alias("label")), train_rows, "url")
+    sample = bounded_sample(judged.where("by_rule is not null").select("url", "host", "path", label.alias("label")).distinct(), train_rows, "url")
     sample = with_lexical_features(sample)
     n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
     if n and 0 < blocked < n:
