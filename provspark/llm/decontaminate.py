@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.common import plain_words, text_slices
@@ -215,13 +215,33 @@ def with_leaks(
     for block in _blocks(spark, benchmark, item, item_text):
         block.set_seeds(_frequencies(docs, text, block))
         parts.append(_finder(spark.sparkContext.broadcast(block), score)(F.col(text)))
-    leaks = F.array().cast(LEAKS) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
-    if len(parts) > 1:
-        # Segments of one item may lie in several blocks.
-        items = F.array_sort(F.array_distinct(F.transform(leaks, lambda x: x.item_id)))
-        best = lambda i: F.array_max(F.transform(F.filter(leaks, lambda x: x.item_id.eqNullSafe(i)), lambda x: x.score))
-        leaks = F.transform(items, lambda i: F.struct(i.alias("item_id"), best(i).alias("score")))
-    return docs.withColumn(out, leaks)
+    if not parts:
+        return docs.withColumn(out, F.array().cast(LEAKS))
+    return docs.withColumn(out, parts[0] if len(parts) == 1 else _merged(F.concat(*parts)))
+
+
+def _merged(leaks: Column) -> Column:
+    """The best score of each item; segments of one item may lie in several blocks."""
+
+    @F.arrow_udf(LEAKS)
+    def merged(leaks: pa.Array) -> pa.Array:
+        rows = []
+        for found in leaks.to_pylist():
+            best: dict = {}
+            for x in found:
+                best[x["item_id"]] = max(best.get(x["item_id"], 0.0), x["score"])
+            rows.append(best)
+        return _as_array(rows)
+
+    return merged(leaks)
+
+
+def _as_array(rows: list[dict]) -> pa.Array:
+    order = lambda x: sorted(x.items(), key=lambda y: (y[0] is None, y[0]))
+    return pa.array(
+        [[{"item_id": i, "score": s} for i, s in order(x)] for x in rows],
+        pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])),
+    )
 
 
 def _finder(held, score: float):
@@ -230,8 +250,6 @@ def _finder(held, score: float):
         found = []
         for low, high in text_slices(texts):
             found += leaks_in(texts[low:high], held.value, score)
-        order = lambda x: sorted(x.items(), key=lambda y: (y[0] is None, y[0]))
-        rows = [[{"item_id": i, "score": s} for i, s in order(x)] for x in found]
-        return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))
+        return _as_array(found)
 
     return leaks

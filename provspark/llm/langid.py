@@ -38,7 +38,7 @@ FAMILIES = {
     "austronesian": "id ms tl jv",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTERS = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = (" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(joined, np.uint32)
     row = np.repeat(np.arange(len(lowered)), lengths)
-    letter = np.where(codes < len(_LETTERS), _LETTERS[np.minimum(codes, len(_LETTERS) - 1)], True)
+    letter = _LETTERS[codes]
     codes = np.where(letter, codes, 32).astype(np.uint64)
     # One space between words.
     kept = letter | np.concatenate(([True], letter[:-1]))

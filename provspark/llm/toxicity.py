@@ -30,7 +30,7 @@ WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, LETTER_BUCKETS = 1 << 14, 1 << 12
 WORD_DIM, LETTER_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRAIN_ROWS, TRAIN_CHARS = 3000, 200_000
-EPOCHS, RESELECT, BATCH, RATE = 24, 4, 256, 0.01
+STEPS, RESELECT, BATCH, RATE = 600, 150, 128, 0.01
 EMPTY = -30.0
 
 
@@ -240,30 +240,33 @@ def fit_network(texts: list[str], labels: np.ndarray, toxic_share: float, seed:
     codes = np.where(position >= 0, numbers[np.maximum(position, 0)], -1)
     train = np.nonzero(some & ~apart)[0]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
-    step = 0
     clean = np.nonzero((labels[text] == 0) & ~apart[text])[0]
-    for epoch in range(EPOCHS):
-        if epoch and epoch % RESELECT == 0:
-            _, which, _ = worst(model, words, numbers, offsets)
-        chosen = np.concatenate((which[train], draw.choice(clean, min(len(clean), len(train) // 2), replace=False) if len(clean) else which[train][:0]))
-        chosen = draw.permutation(chosen)
-        rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-        for at in range(0, len(chosen), BATCH):
-            part = chosen[at : at + BATCH]
-            used, local = np.unique(codes[part], return_inverse=True)
-            local = local.reshape(len(part), WINDOW) - (used[0] < 0)
-            own = _subset(words, used[used >= 0])
-            _, grads = gradients(model, own, local, labels[text[part]].astype(float))
-            step += 1
-            for k, g in grads.items():
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                model[k] = model[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    chosen = train[:0]
+    for step in range(1, STEPS + 1):
+        if step % RESELECT == 0:
+            _, which, _ = worst(_single(model), words, numbers, offsets)
+            chosen = chosen[:0]
+        if len(chosen) < BATCH:
+            other = draw.choice(clean, min(len(clean), len(train) // 2), replace=False) if len(clean) else clean
+            chosen = draw.permutation(np.concatenate((which[train], other)))
+        part, chosen = chosen[:BATCH], chosen[BATCH:]
+        used, local = np.unique(codes[part], return_inverse=True)
+        local = local.reshape(len(part), WINDOW) - (used[0] < 0)
+        _, grads = gradients(model, _subset(words, used[used >= 0]), local, labels[text[part]].astype(float))
+        rate = RATE * (1 - step / STEPS) + 1e-4
+        for k, g in grads.items():
+            m, v = moments[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            model[k] = model[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    model = _single(model)
     top, _, _ = worst(model, words, numbers, offsets)
     use = apart & some if (apart & some).sum() >= 20 and len(set(labels[apart & some].tolist())) == 2 else some
     balance = np.where(labels == 1, toxic_share / max(labels.mean(), 1e-9), (1 - toxic_share) / max(1 - labels.mean(), 1e-9))
-    model["curve"] = _curve(top[use], labels[use].astype(float), balance[use])
+    return model | {"curve": _curve(top[use], labels[use].astype(float), balance[use])}
+
+
+def _single(model: dict) -> dict:
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
@@ -277,14 +280,22 @@ def _subset(words: Vocabulary, numbers: np.ndarray) -> Vocabulary:
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Slope and offset of a logistic curve, by Newton steps with a small pull towards slope 1."""
+    """Slope and offset of a logistic curve: damped Newton steps, with a small pull towards slope 1 and offset 0."""
     w = np.array([1.0, 0.0])
     design = np.stack((x, np.ones_like(x)), axis=1)
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.05 * ((w - [1, 0]) ** 2).sum())
+
+    for _ in range(50):
         p = _sigmoid(design @ w)
         g = design.T @ (weight * (p - y)) + 0.1 * (w - [1, 0])
         hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(hessian, g), -2, 2)
+        step, rate = np.linalg.solve(hessian, g), 1.0
+        while rate > 1e-6 and loss(w - rate * step) > loss(w):
+            rate /= 2
+        w = w - rate * step
     return np.array([max(w[0], 0.05), w[1]])
 
 
@@ -293,7 +304,7 @@ def scores(model: dict, texts: pa.Array) -> np.ndarray:
     words, offsets = plain_words(texts)
     coded = words.dictionary_encode()
     top, _, _ = worst(model, Vocabulary(coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int64), offsets)
-    slope, offset = model["curve"].astype(np.float64)
+    slope, offset = model["curve"]
     return np.where(np.diff(offsets) > 0, _sigmoid(slope * top + offset), 0.0)
 
 

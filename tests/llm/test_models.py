@@ -13,6 +13,7 @@ from provspark.llm.common import held_out
 from provspark.llm.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR_LLM", "/root/testdata/sf0.01")
+LARGER = "/root/testdata/sf0.1"
 data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
 
@@ -56,11 +57,11 @@ def test_windows_cover_every_word():
 
 @data
 def test_toxicity_held_out(spark):
-    found = QUERIES["op6_toxicity"](spark, SF_DIR)
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    found = QUERIES["op6_toxicity"](spark, LARGER)
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     rows = found.where("held_out").join(labels, "doc_id").collect()
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
-    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
     assert hits >= 0.6 * sum(r.toxic for r in rows)
 
 
