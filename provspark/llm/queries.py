@@ -93,7 +93,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
 ), good AS (
   SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0
-    AND len(list_filter(x, y -> y IS NOT NULL AND isfinite(y))) = len(x) AND len(list_filter(x, y -> y <> 0)) > 0
+    AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = len(x) AND len(list_filter(x, lambda y: y <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
   ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93
@@ -151,7 +151,7 @@ WITH RECURSIVE words AS (
     '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 copies AS (
   SELECT min(doc_id) AS rep, list_sort(s) AS s, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
