@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.operators.storage import materialise
@@ -21,6 +22,18 @@ def held_out(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value with the code of its classes; a task that calls the result unpacks it once."""
+    packed, here = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not here:
+            here.append(pickle.loads(packed.value))
+        return here[0]
+
+    return get
+
+
 def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """About ``rows`` rows of ``df``, all of them if it has no more; which ones is a function of the keys alone."""
     there = df.count()
@@ -81,10 +94,8 @@ def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
 
     Returns the words and ``n + 1`` offsets; null texts have no words. Only A-Z are lower-cased.
     """
-    texts = pc.fill_null(texts, "")
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    if texts.type != pa.large_string():
-        texts = texts.cast(pa.large_string())
+    # A copy that begins at its buffers' start: text functions of Arrow misread some slices.
+    texts = pa.concat_arrays([pc.fill_null(texts, "")])
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, offsets = lists.flatten(), lists.offsets.to_numpy()
     offsets = offsets - offsets[0]
@@ -97,7 +108,7 @@ def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarra
 
 def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words in lower case without punctuation at their ends; see ``flat_words``."""
-    words, offsets = flat_words(pc.utf8_lower(pc.fill_null(texts, "")), lower=False)
+    words, offsets = flat_words(pc.utf8_lower(pa.concat_arrays([pc.fill_null(texts, "")])), lower=False)
     words = pc.utf8_trim(words, EDGES)
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate(([0], np.cumsum(real)))
@@ -106,11 +117,27 @@ def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def hash_words(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word; the same in every process."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
     coded = words.dictionary_encode()
-    hashes = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False)
-    return hashes[coded.indices.to_numpy()]
+    return hash_texts(coded.dictionary)[coded.indices.to_numpy()]
+
+
+def hash_texts(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each text: the sum of one random number per byte and place."""
+    texts = pa.concat_arrays([texts])
+    if not len(texts):
+        return np.zeros(0, np.uint64)
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[: len(texts) + 1].astype(np.int64)
+    if ends[-1] == 0:
+        return np.zeros(len(texts), np.uint64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[: ends[-1]]
+    lengths = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], lengths)
+    values = mix((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(0x632BE59BD9B4E019))
+    # Empty texts have no bytes to add up.
+    sums, some = np.zeros(len(texts), np.uint64), lengths > 0
+    sums[some] = np.add.reduceat(values, ends[:-1][some])
+    return mix(sums)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

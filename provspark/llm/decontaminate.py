@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import plain_words, text_slices
+from provspark.llm.common import plain_words, shared, text_slices
 from provspark.operators.storage import materialise
 
 SEGMENT, STRIDE, SEED, LEAST = 128, 64, 3, 8
@@ -187,13 +187,14 @@ def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:
 
 def _frequencies(docs: DataFrame, text: str, block: Block) -> np.ndarray:
     """Share of each word of a block among all words of all documents; counted inside the tasks, then added."""
-    held = docs.sparkSession.sparkContext.broadcast(block)
+    held = shared(docs.sparkSession, block)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(held.value.vocabulary) + 1, np.int64)
+        block = held()
+        counts = np.zeros(len(block.vocabulary) + 1, np.int64)
         for batch in batches:
             for low, high in text_slices(batch.column(0)):
-                numbers, _ = held.value.numbers(batch.column(0)[low:high])
+                numbers, _ = block.numbers(batch.column(0)[low:high])
                 counts += np.bincount(numbers + 1, minlength=len(counts))
         some = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
@@ -214,7 +215,7 @@ def with_leaks(
     spark, parts = docs.sparkSession, []
     for block in _blocks(spark, benchmark, item, item_text):
         block.set_seeds(_frequencies(docs, text, block))
-        parts.append(_finder(spark.sparkContext.broadcast(block), score)(F.col(text)))
+        parts.append(_finder(shared(spark, block), score)(F.col(text)))
     if not parts:
         return docs.withColumn(out, F.array().cast(LEAKS))
     return docs.withColumn(out, parts[0] if len(parts) == 1 else _merged(F.concat(*parts)))
@@ -249,7 +250,7 @@ def _finder(held, score: float):
     def leaks(texts: pa.Array) -> pa.Array:
         found = []
         for low, high in text_slices(texts):
-            found += leaks_in(texts[low:high], held.value, score)
+            found += leaks_in(texts[low:high], held(), score)
         return _as_array(found)
 
     return leaks

@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,8 +230,8 @@ def main_text(page: str | None) -> str:
 def extract_main(pages: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
     """Add ``out``: the main text of each page. One pass without a shuffle."""
 
-    @F.pandas_udf("string")
-    def extracted(html: pd.Series) -> pd.Series:
-        return html.map(main_text, na_action=None)
+    @F.arrow_udf("string")
+    def extracted(pages: pa.Array) -> pa.Array:
+        return pa.array([main_text(page.as_py()) for page in pages], pa.string())
 
     return pages.withColumn(out, extracted(F.col(html)))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.llm.common import text_slices
+from provspark.llm.common import shared, text_slices
 
 FEATURES = 1 << 12
 TRAIN_ROWS_PER_LANGUAGE = 1000
@@ -172,7 +172,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", out:
     docs = docs.drop(out, score)
     if model is None:
         return docs.withColumns({out: F.lit("und"), score: F.lit(0.0)})
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:
@@ -181,8 +181,8 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", out:
             part = texts[low:high]
             for at in range(0, len(part), 1024):
                 x, some = features(part[at : at + 1024])
-                best, chance = held.value.predict(x)
-                langs += [held.value.languages[b] if s else "und" for b, s in zip(best, some)]
+                best, chance = held().predict(x)
+                langs += [held().languages[b] if s else "und" for b, s in zip(best, some)]
                 scores.append(np.where(some, chance, 0.0))
         fields = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
         return pa.StructArray.from_arrays(fields, ["lang", "score"])

@@ -12,8 +12,10 @@ of their sets reaches the threshold.
 3. What is left is confirmed on the full sets (as 64-bit hashes of the shingles).
 
 Buckets may be huge, so their pairs are never listed: first every member meets one member of its
-bucket, twice, each time another; that joins groups of copies. Then all pairs of a bucket whose ends
-still lie in different components are tested, so no link between components is lost.
+bucket, drawn by hash; that joins groups of copies. Where different components still meet
+in a bucket, their documents are compared in tiles, by bits and then by full sets, and a tile names one
+link per document and component. So no link between components is lost, and nothing grows with the
+square of a group but the work inside the tiles.
 
 Defined cases: texts without words (null, empty) and rows without an id link with nothing and are
 kept; rows with one id are judged each by its text; repeated rows get the same component; no rows
@@ -35,7 +37,8 @@ from provspark.operators.storage import materialise
 
 BANDS, ROWS, CHUNK = 40, 6, 512
 WORDS = -(-BANDS * ROWS // 64)
-STARS = 2
+STARS = 1
+TILE_ROWS, TILE_ITEMS = 512, 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -106,7 +109,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for low, high in text_slices(batch.column(1)):
                 part = batch.slice(low, high - low)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1), size)]
+                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(1), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
     wanted = docs.join(broadcast_if_small(nodes.select(F.col("node").alias("key"))), "key", "left_semi")
@@ -124,8 +127,7 @@ def _estimate(a: str, b: str) -> Column:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, from candidates ``(a, b)``."""
-    same = 0.25 + 0.75 * percent / 100
-    least = percent / 100 - 6 * (same * (1 - same) / (BANDS * ROWS)) ** 0.5 / 0.75
+    least = _least(percent)
     bits = classes.select("node", "bits")
     near = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     near = materialise(near.where(_estimate("bits_a", "bits_b") >= least).select("a", "b").distinct(), "candidates")
@@ -138,6 +140,90 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return materialise(linked.select("a", "b").distinct(), "links")
 
 
+def _leftovers(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components that still meet in a bucket of ``placed(bucket, node, label)``.
+
+    A unit is the documents of all buckets with the same largest component. Its other documents are
+    compared with those of that component and with each other, block by block.
+    """
+    meet = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+    meet = meet.agg(F.max(F.struct("n", "label"))["label"].alias("unit"), F.count("*").alias("n")).where("n > 1")
+    inside = placed.join(meet.select("bucket", "unit"), "bucket")
+    inside = materialise(inside.select("unit", (F.col("label") == F.col("unit")).alias("main"), "node", "label").distinct(), "inside")
+    nodes = materialise(inside.select("node").distinct(), "nodes")
+    rows = classes.select("node", "bits").join(_sets(docs, nodes, size), "node")
+    rows = inside.join(rows, "node")
+    many = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum(F.size("items")) / TILE_ITEMS)).cast("int")
+    rows = materialise(rows, "unit-rows")
+    blocks = materialise(rows.groupBy("unit", "main").agg(many.alias("blocks")), "unit-blocks")
+    item = F.struct("node", "label", "bits", "items")
+    dealt = rows.join(blocks, ["unit", "main"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = materialise(dealt.groupBy("unit", "main", "block").agg(F.collect_list(item).alias("rows")), "tiles")
+    few, main = (blocks.where(F.col("main") == m).select("unit", F.sequence(F.lit(0), F.col("blocks") - 1).alias(c)) for m, c in ((False, "i"), (True, "j")))
+    low = few.select("unit", F.explode("i").alias("i"), F.col("i").alias("all"))
+    with_main = low.select("unit", "i").join(main, "unit").select("unit", "i", F.lit(True).alias("main"), F.explode("j").alias("j"))
+    with_few = low.select("unit", "i", F.lit(False).alias("main"), F.explode(F.filter("all", lambda j: j >= F.col("i"))).alias("j"))
+    left = dealt.where("not main").select("unit", F.col("block").alias("i"), F.col("rows").alias("left"))
+    right = dealt.select("unit", "main", F.col("block").alias("j"), F.col("rows").alias("right"))
+    pairs = with_main.union(with_few).join(left, ["unit", "i"]).join(right, ["unit", "main", "j"])
+    least = _least(percent)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                links = tile_links(Block(a.values), Block(b.values), least, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+    found = pairs.select("left", "right").mapInArrow(compared, "a long, b long")
+    return materialise(found.select(*_ordered(F.col("a"), F.col("b"))).distinct(), "links")
+
+
+class Block:
+    """Documents of a tile: nodes, component labels, bit planes and full sets."""
+
+    def __init__(self, rows: pa.StructArray):
+        nodes, labels, bits, items = rows.flatten()
+        self.nodes, self.labels = nodes.to_numpy(), labels.to_numpy()
+        self.bits = bits.flatten().to_numpy().view(np.uint64).reshape(len(rows), 2 * WORDS)
+        self.items = items.flatten().to_numpy()
+        self.ends = np.concatenate(([0], np.cumsum(items.value_lengths().to_numpy())))
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.items[self.ends[i] : self.ends[i + 1]]
+
+
+def tile_links(few: Block, others: Block, least: float, percent: int) -> tuple[list[int], list[int]]:
+    """Of each document of ``few`` one link to each other component among ``others``."""
+    a, b = [], []
+    sizes = np.diff(others.ends)
+    for i in range(len(few.nodes)):
+        both = few.bits[i] ^ others.bits
+        differ = np.bitwise_count(both[:, :WORDS] | both[:, WORDS:]).sum(axis=1)
+        near = ((1 - differ / (BANDS * ROWS)) - 0.25) / 0.75 >= least
+        near = np.nonzero(near & (others.labels != few.labels[i]))[0]
+        if not len(near):
+            continue
+        own = few.set_of(i)
+        lengths = sizes[near]
+        before = np.cumsum(lengths) - lengths
+        items = others.items[np.repeat(others.ends[near] - before, lengths) + np.arange(lengths.sum())]
+        hit = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+        common = np.add.reduceat(hit.astype(np.int64), before)
+        linked = near[100 * common >= percent * (lengths + len(own) - common)]
+        _, first = np.unique(others.labels[linked], return_index=True)
+        for j in linked[first]:
+            a.append(int(few.nodes[i]))
+            b.append(int(others.nodes[j]))
+    return a, b
+
+
+def _least(percent: int) -> float:
+    """The estimate that a pair at the threshold reaches but for one case in a billion."""
+    same = 0.25 + 0.75 * percent / 100
+    return percent / 100 - 6 * (same * (1 - same) / (BANDS * ROWS)) ** 0.5 / 0.75
+
+
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -163,27 +249,18 @@ def near_duplicates(
     for turn in range(STARS + 1):
         placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         placed = materialise(placed, "placed") if turn else placed
-        if turn < STARS:
+        if turn == STARS:
+            found = _leftovers(placed, classes, docs, shingle, percent)
+        else:
             draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label")
             stars = placed.groupBy("bucket").agg(F.min(draw).alias("star"))
             pairs = placed.join(stars, "bucket").where("label != star.label")
-            pairs = pairs.select(*_ordered(F.col("node"), F.col("star.node")))
-        else:
-            # Where components still meet: all pairs but those inside a component.
-            meet = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
-            meet = meet.agg(F.max_by("label", "n").alias("main"), F.count("*").alias("n")).where("n > 1")
-            others = placed.join(meet.select("bucket", "main"), "bucket")
-            few = others.where("label != main").select("bucket", F.col("node").alias("node_f"), F.col("label").alias("label_f"))
-            pairs = others.join(few, "bucket").where("label != label_f and (label = main or node < node_f)")
-            pairs = pairs.select(*_ordered(F.col("node"), F.col("node_f")))
-        pairs = pairs.where("a != b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _confirmed(pairs, classes, docs, shingle, percent)
+            pairs = pairs.select(*_ordered(F.col("node"), F.col("star.node"))).where("a != b").distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialise(pairs, "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            found = _confirmed(pairs, classes, docs, shingle, percent)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             labels = components(links).toDF("node", "label")

@@ -19,12 +19,11 @@ one named like the output, which is replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import plain_words, text_slices
+from provspark.llm.common import hash_texts, plain_words, shared, text_slices
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, LETTER_BUCKETS = 1 << 14, 1 << 12
@@ -42,7 +41,7 @@ class Vocabulary:
     """Buckets of the different words of some texts, and of their letter trigrams (one run per word)."""
 
     def __init__(self, words: list[str]):
-        hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+        hashes = hash_texts(pa.array(words, pa.large_string()))
         self.word = (hashes >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
         codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.array([len(w) for w in words], np.int64)
@@ -335,11 +334,11 @@ def with_toxicity(docs: DataFrame, model: dict | None, text: str = "text", out:
     docs = docs.drop(out)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        parts = [scores(held.value, texts[low:high]) for low, high in text_slices(texts, 1 << 20)]
+        parts = [scores(held(), texts[low:high]) for low, high in text_slices(texts, 1 << 20)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(out, scored(F.col(text)))
