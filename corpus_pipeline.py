@@ -52,7 +52,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text read back from them."""
     model = pieces.load_pieces(PIECE_MODEL)
-    done = pieces.decode(pieces.encode(docs, model), model)
+    done = pieces.encode(docs, model, decoded="decoded")
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").alias("text"))
 
 

@@ -133,7 +133,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pieces.load_pieces(PIECE_MODEL)
-    done = pieces.decode(pieces.encode(docs, model), model)
+    done = pieces.encode(docs, model, decoded="decoded")
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("same"),

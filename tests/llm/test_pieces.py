@@ -63,8 +63,8 @@ def test_round_trip_and_cases(spark, model):
     longest = "".join(random.Random(1).choice("abcdeé") for _ in range(20_000))
     rows = [(0, None), (1, ""), (2, "▁ a ▁▁b"), (3, longest), (4, "a" * 300 + " b"), (5, "\x00\x01  x"), (None, "same"), (None, "same"), (7, "same"), (7, "same"), (7, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("old"))
-    done = pieces.decode(pieces.encode(df, model), model).collect()
-    assert len(done) == len(rows)
+    done = pieces.decode(pieces.encode(df, model, decoded="too"), model).collect()
+    assert len(done) == len(rows) and all(r.too == r.decoded for r in done)
     for r in done:
         assert r.decoded == r.text
         assert (r.ids is None) == (r.text is None) and (r.text != "" or r.ids == [])
