@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from provspark.functions.text import char_count, tokens, word_count
 from provspark.operators.storage import together
 
-# Dense one-hot blocks wider than this are refused (an id column, most likely); nothing is cut.
-MAX_CATEGORIES = 100_000
-
 
 class Encoder:
     """Base of all encoders: stateless, one position per input column.
@@ -54,20 +51,15 @@ class Encoder:
         return [(start, start + self.width(n_inputs))] * n_inputs
 
 
-# Up to this many categories every slot is an expression of its own, and compiled.
-COMPILED_SLOTS = 64
+def _as_text(value: Column) -> Column:
+    """Categories of any atomic type are stored and compared as text; zero has one sign."""
+    text = value.cast("string")
+    return F.when(F.typeof(value).isin("float", "double") & (text == "-0.0"), "0.0").otherwise(text)
 
 
-def _slots(value: Column, known) -> Column:
-    if len(known) <= COMPILED_SLOTS:
-        return F.array(*[value.eqNullSafe(F.lit(k)).cast("double") for k in known])
-    kind = next(
-        name
-        for python, name in ((bool, "boolean"), (int, "bigint"), (float, "double"), (str, "string"))
-        if all(k is None or isinstance(k, python) for k in known)
-    )
-    constant = F.from_json(F.lit(json.dumps(known)), f"array<{kind}>")
-    return F.transform(constant, lambda k: value.eqNullSafe(k).cast("double"))
+def _constant(known) -> Column:
+    """The categories as one array constant, however many there are."""
+    return F.from_json(F.lit(json.dumps(list(known))), "array<string>")
 
 
 def _number(value: Column) -> Column:
@@ -122,6 +114,10 @@ class StandardScaler(Encoder):
         return [(start + i, start + i + 1) for i in range(n_inputs)]
 
 
+def _slots(text: Column, known) -> Column:
+    return F.transform(_constant(known), lambda k: text.eqNullSafe(k).cast("double"))
+
+
 @dataclass(frozen=True)
 class OneHot(Encoder):
     """One position per category in sorted order, for each input column.
@@ -137,17 +133,16 @@ class OneHot(Encoder):
         return list(inputs)
 
     def with_state(self, moments, categories):
-        ordered = [sorted((v for v in c if v is not None)) + [None] * (None in c) for c in categories]
-        return replace(self, state=tuple(tuple(c) for c in ordered))
+        return replace(self, state=tuple(tuple(c) for c in categories))
 
     def column(self, inputs):
         blocks = []
         for value, known in zip(inputs, self.state, strict=True):
-            block = _slots(value, known)
+            text = _as_text(value)
+            block = _slots(text, known)
             if self.unknown == "error":
-                is_known = value.isin([k for k in known if k is not None])
-                is_known = F.coalesce(is_known, F.lit(None in known))
-                message = F.concat(F.lit("unknown category: "), F.coalesce(value.cast("string"), F.lit("null")))
+                is_known = F.exists(block, lambda x: x == 1.0)
+                message = F.concat(F.lit("unknown category: "), F.coalesce(text, F.lit("null")))
                 block = F.when(is_known, block).otherwise(F.raise_error(message).cast("array<double>"))
             blocks.append(block)
         return F.concat(*blocks)
@@ -371,21 +366,27 @@ def _fit_moments(train: DataFrame, columns: list[Column]) -> list[tuple[float, f
     return [(row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i in range(len(columns))]
 
 
-def _fit_categories(train: DataFrame, columns: list[Column]) -> list[list[Any]]:
-    """Distinct values per column; duplicates are dropped in each task before the shuffle."""
+def _fit_categories(train: DataFrame, columns: list[Column]) -> list[list[str | None]]:
+    """Distinct values per column as text, in the order of the values, null last.
+
+    Duplicates are dropped in each task before the shuffle. What comes to the driver is as large as
+    the feature vector is wide, which is also what the model has weights for.
+    """
     if not columns:
         return []
     one_of = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), *[
             (c if j == i else F.lit(None)).alias(f"v{j}") for j, c in enumerate(columns)
-        ]) for i in range(len(columns)) for c in [columns[i]]])
+        ]) for i, c in enumerate(columns)])
     )
     found = train.select(one_of.alias("one")).select("one.*").distinct()
-    limit = MAX_CATEGORIES * len(columns)
-    rows = found.limit(limit + 1).collect()
-    result = [[row[f"v{i}"] for row in rows if row["i"] == i] for i in range(len(columns))]
-    if len(rows) > limit or any(len(r) > MAX_CATEGORIES for r in result):
-        raise ValueError(f"a column has more than {MAX_CATEGORIES} categories; one-hot is the wrong encoder")
+    texts = [_as_text(F.col(f"v{j}")).alias(f"t{j}") for j in range(len(columns))]
+    rows = found.select("*", *texts).collect()
+    result = []
+    for i in range(len(columns)):
+        known = {row[f"t{i}"]: row[f"v{i}"] for row in rows if row["i"] == i}
+        values = sorted((t for t, v in known.items() if v is not None), key=known.get)
+        result.append(values + [None] * (None in known))
     return result
 
 

@@ -25,6 +25,18 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _folder(df: DataFrame):
+    """How names are compared: Spark ignores case unless the session says otherwise."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return (lambda name: name) if sensitive else str.lower
+
+
+def _referenced(df: DataFrame, value: Column) -> set[str]:
+    """Names of the columns of ``df`` that an expression reads."""
+    found = df.select(value)._jdf.queryExecution().analyzed().references().toSeq()
+    return {found.apply(i).name() for i in range(found.size())}
+
+
 def _names(columns) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
@@ -35,6 +47,11 @@ class TrackedFrame:
     prov_cols: tuple[str, ...]
     col_prov: dict[str, frozenset[str]]
     pos_cols: tuple[str, ...] = field(default=())
+    # All columns of the sources as "source.column", also those that were projected away.
+    sources: frozenset[str] = frozenset()
+
+    def __post_init__(self):
+        object.__setattr__(self, "sources", self.sources.union(*self.col_prov.values()))
 
     # --- views -------------------------------------------------------------------------
 
@@ -107,6 +124,9 @@ class TrackedFrame:
                 func = F.pandas_udf(func, returns)
             value = func(*[_quoted(c) for c in source_columns])
         origin = frozenset().union(*[self.col_prov[c] for c in source_columns])
+        undeclared = _referenced(self.df, value) - set(source_columns)
+        if undeclared:
+            raise ValueError(f"{target_column} reads columns that are not declared: {sorted(undeclared)}")
         return replace(
             self,
             df=self.df.withColumn(target_column, value),
@@ -125,12 +145,12 @@ class TrackedFrame:
         return self.select(*_names(columns))
 
     def rename(self, columns: dict[str, str]) -> "TrackedFrame":
-        targets = [columns.get(c, c) for c in self.columns]
-        if len(set(targets)) != len(targets):
+        targets = [columns.get(c, c) for c in self.df.columns]
+        if len(set(map(_folder(self.df), targets))) != len(targets):
             raise ValueError("rename would produce duplicate column names")
         return replace(
             self,
-            df=self.df.withColumnsRenamed(columns),
+            df=self.df.select(*[_quoted(c).alias(t) for c, t in zip(self.df.columns, targets)]),
             col_prov={columns.get(c, c): origin for c, origin in self.col_prov.items()},
         )
 
@@ -159,15 +179,15 @@ class TrackedFrame:
         A source that is already in this frame becomes a second instance with an alias of its
         own, also in the column provenance: ``people.email`` turns into ``people_r.email``.
         """
-        taken = set(self.df.columns)
+        same = _folder(self.df)
+        taken = set(map(same, self.df.columns))
         renamed = {}
         for c in other.df.columns:
             new = c
-            while new in taken:
+            while same(new) in taken:
                 new += "_r"
-            taken.add(new)
+            taken.add(same(new))
             renamed[c] = new
-        changed = {old: new for old, new in renamed.items() if old != new}
         alias = {c[len(PROV_PREFIX):]: renamed[c][len(PROV_PREFIX):] for c in other.prov_cols}
 
         def instance(source: str) -> str:
@@ -176,10 +196,11 @@ class TrackedFrame:
 
         return (
             TrackedFrame(
-                other.df.withColumnsRenamed(changed),
+                other.df.select(*[_quoted(c).alias(new) for c, new in renamed.items()]),
                 tuple(renamed[c] for c in other.prov_cols),
                 {renamed[c]: frozenset(map(instance, origin)) for c, origin in other.col_prov.items()},
                 tuple(renamed[c] for c in other.pos_cols),
+                frozenset(map(instance, other.sources)),
             ),
             renamed,
         )
@@ -224,6 +245,7 @@ class TrackedFrame:
             self.prov_cols + right.prov_cols,
             col_prov,
             self.pos_cols + right.pos_cols,
+            self.sources | right.sources,
         )
 
     def join_latest(self, other: "TrackedFrame", left_on, right_on) -> "TrackedFrame":
@@ -231,14 +253,16 @@ class TrackedFrame:
         return self.join(other.latest_by(right_on), left_on, right_on)
 
     def latest_by(self, key: str | list[str]) -> "TrackedFrame":
-        """The last row per key in source order; keys are combined before the shuffle."""
-        keys = _names(key)
-        rest = [c for c in self.df.columns if c not in keys]
-        order = F.struct(*[_quoted(c) for c in self.key_cols])
-        last = self.df.groupBy(*[_quoted(c) for c in keys]).agg(
-            F.max_by(F.struct(*[_quoted(c) for c in rest]), order).alias("__last")
-        )
-        return replace(self, df=last.select(*[_quoted(c) for c in keys], *[F.col(f"__last.`{c}`") for c in rest]))
+        """The last row per key in source order.
+
+        Only keys and row ids are aggregated (combined before the shuffle); the wide rows are then
+        looked up by the row ids found.
+        """
+        ids = [_quoted(c) for c in self.key_cols]
+        last = F.max(ids[0]) if len(ids) == 1 else F.max(F.struct(*ids))
+        found = self.df.groupBy(*[_quoted(c) for c in _names(key)]).agg(last.alias("__last")).select("__last")
+        row = ids[0] if len(ids) == 1 else F.struct(*ids)
+        return replace(self, df=self.df.join(found, row == F.col("__last"), "left_semi"))
 
     # --- selection by source row -------------------------------------------------------
 
@@ -265,8 +289,14 @@ def join(left: TrackedFrame, right: TrackedFrame, left_on, right_on, **options)
 def ids_frame(spark, row_ids) -> DataFrame:
     """Row ids as a one-column table; accepts any iterable of ints or a DataFrame."""
     if isinstance(row_ids, DataFrame):
-        return row_ids.select(F.col(f"`{row_ids.columns[0]}`").cast("long").alias("__id"))
-    return spark.createDataFrame([(int(i),) for i in set(row_ids)], "__id long")
+        ids = row_ids.select(F.col(f"`{row_ids.columns[0]}`").cast("long").alias("__id"))
+        return ids.where("__id IS NOT NULL")
+    return spark.createDataFrame([(i,) for i in _settled(row_ids)], "__id long")
+
+
+def _settled(row_ids) -> list[int]:
+    """Different ids in order; a null id names no row."""
+    return sorted({int(i) for i in row_ids if i is not None})
 
 
 def by_source_rows(df: DataFrame, prov: str, row_ids, how: str) -> DataFrame:
@@ -276,9 +306,9 @@ def by_source_rows(df: DataFrame, prov: str, row_ids, how: str) -> DataFrame:
     table: looked up map-side while they are few, else joined by a shuffle.
     """
     if not isinstance(row_ids, DataFrame):
-        row_ids = sorted({int(i) for i in row_ids})
+        row_ids = _settled(row_ids)
         if len(row_ids) <= LITERAL_IDS:
-            found = F.col(f"`{prov}`").isin(row_ids)
+            found = F.coalesce(F.col(f"`{prov}`").isin(row_ids), F.lit(False))
             return df.where(found if how == "left_semi" else ~found)
     ids = ids_frame(df.sparkSession, row_ids)
     rows = None if isinstance(row_ids, DataFrame) else len(row_ids)
@@ -288,7 +318,7 @@ def by_source_rows(df: DataFrame, prov: str, row_ids, how: str) -> DataFrame:
 def settled_ids(spark, row_ids):
     """Evaluate a request once: a sorted list if it is short, else a stored table of distinct ids."""
     if not isinstance(row_ids, DataFrame):
-        return sorted({int(i) for i in row_ids})
+        return _settled(row_ids)
     stored = materialise(ids_frame(spark, row_ids).distinct(), "ids")
     if stored.count() <= LITERAL_IDS:
         return sorted(row[0] for row in stored.collect())

@@ -30,6 +30,9 @@ test_rows_originating_from.__test__ = False  # not a test case
 def output_columns(run, source: str, column: str) -> list[str]:
     """Output columns computed from a source column."""
     wanted = f"{run.alias_of(source)}.{column}"
+    known = run.document.get("source_columns")
+    if known is not None and wanted not in known:
+        raise ValueError(f"{wanted} is no column of this run's sources")
     return sorted(c for c, origin in run.document["column_provenance"].items() if wanted in origin)
 
 

@@ -6,23 +6,26 @@ returns sums of the size of the model. Only such sums and the weights reach the
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.operators.storage import materialise
+from provspark.functions.naming import SAMPLE_ID
+from provspark.operators.storage import delete_folder, new_folder
 
 # Tasks get the code below with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIRECT_BYTES = 64 * 2**20  # partial sums up to this size are added up without a shuffle
-MAX_PARTIAL_BYTES = 16 * 2**30  # partial models shuffled per epoch, all tasks together
+SLICE = 1 << 16  # numbers per block of a partial sum
 LOG_FLOOR = -100.0  # a logarithm in the loss is never below this (fixed value)
 
 
@@ -134,27 +137,30 @@ def logistic(num_features: int) -> Network:
 
 # --- Spark jobs ---------------------------------------------------------------------------
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column with equally long lists as a matrix, without a copy per row."""
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column with lists of one length as a matrix, without a copy per row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    if len(column) and not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
+        raise ValueError(f"a feature vector has not {width} positions")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each feature vector as one binary value of single-precision floats."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        matrix = _matrix(batch.column(0))
-        size = matrix.shape[1] * 4
+def _packer(width: int):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each feature vector as one binary value of single-precision floats."""
+        size = width * 4
         rows = max(1, 2**30 // size)  # the positions inside one binary column are 32-bit numbers
-        for at in range(0, batch.num_rows, rows):
-            values = np.ascontiguousarray(matrix[at:at + rows], dtype=np.float32)
-            ends = np.arange(len(values) + 1, dtype=np.int32) * size
-            x = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([x, batch.column(1).slice(at, rows)], ["x", "y"])
+        for batch in batches:
+            matrix = _matrix(batch.column(0), width)
+            for at in range(0, batch.num_rows, rows):
+                values = np.ascontiguousarray(matrix[at:at + rows], dtype=np.float32)
+                ends = np.arange(len(values) + 1, dtype=np.int32) * size
+                x = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+                rest = [batch.column(i).slice(at, rows) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([x, *rest], ["x", "y", "step"])
+
+    return packed
 
 
 def _unpacked(column: pa.Array, width: int) -> np.ndarray:
@@ -168,21 +174,43 @@ def _vector(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(float)
 
 
+SUMS = "slice int, task int, part binary"
+
+
 def _sum_rows(values: np.ndarray) -> pa.RecordBatch:
+    """A partial sum as blocks of ``SLICE`` numbers."""
+    parts = [values[at:at + SLICE].tobytes() for at in range(0, len(values), SLICE)]
+    task = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(len(values)), pa.int64()), pa.array(values, pa.float64())], ["pos", "value"]
+        [pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())],
+        ["slice", "task", "part"],
     )
 
 
-def _summed(parts: DataFrame, size: int, tasks: int | None = None) -> np.ndarray:
-    """Add up the vectors of all tasks by position; the result has the size of the model.
+def _added(table: pa.Table) -> pa.Table:
+    """One block for all blocks of a group; they come in the order of their tasks."""
+    table = table.sort_by("task")
+    total = sum(np.frombuffer(part, np.float64) for part in table["part"].to_pylist())
+    return pa.table(
+        {"slice": table["slice"][:1], "task": table["task"][:1], "part": pa.array([total.tobytes()], pa.binary())}
+    )
+
 
-    If the number of tasks is known and their vectors are small together, the shuffle is saved.
+def _summed(parts: DataFrame, size: int, tasks: int) -> np.ndarray:
+    """Add up the vectors of all tasks; the result has the size of the model.
+
+    Small sums come to the driver as they are. Others are added up in two levels, so that a group
+    holds about the root of the number of tasks, as blocks of half a megabyte.
     """
-    if tasks is None or tasks * size * 16 > DIRECT_BYTES:
-        parts = parts.groupBy("pos").agg(F.sum("value").alias("value"))
-    rows = parts.toArrow()
-    return np.bincount(rows["pos"].to_numpy(), weights=rows["value"].to_numpy(), minlength=size)
+    if tasks * size * 8 > DIRECT_BYTES:
+        lanes = math.isqrt(tasks) + 1
+        parts = parts.groupBy("slice", F.col("task") % lanes).applyInArrow(_added, SUMS)
+        parts = parts.groupBy("slice").applyInArrow(_added, SUMS)
+    total = np.zeros(size)
+    for row in sorted(parts.collect(), key=lambda r: (r["slice"], r["task"])):
+        at = row["slice"] * SLICE
+        total[at:at + SLICE] += np.frombuffer(row["part"], np.float64)
+    return total
 
 
 def gradient_sums(samples: DataFrame, network: Network, columns=("features",), label="label"):
@@ -190,7 +218,7 @@ def gradient_sums(samples: DataFrame, network: Network, columns=("features",), l
 
     All columns are handled in one pass: one partial sum per task, then one sum by position.
     """
-    size, k = network.flat.size, len(columns)
+    size, k, width = network.flat.size, len(columns), network.layers[0][0].shape[0]
     shared = samples.sparkSession.sparkContext.broadcast(network.layers)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,24 +228,24 @@ def gradient_sums(samples: DataFrame, network: Network, columns=("features",), l
                 continue
             y = _vector(batch.column(k))
             for i in range(k):
-                total[i * size:(i + 1) * size] += model.gradient_sum(_matrix(batch.column(i)), y)
+                total[i * size:(i + 1) * size] += model.gradient_sum(_matrix(batch.column(i), width), y)
             total[-1] += batch.num_rows
         if total[-1]:
             yield _sum_rows(total)
 
     picked = samples.select(*columns, F.col(label).cast("double"))
-    total = _summed(picked.mapInArrow(partial, "pos long, value double"), k * size + 1)
+    total = _summed(picked.mapInArrow(partial, SUMS), k * size + 1, picked.rdd.getNumPartitions())
     shared.destroy()
     return [total[i * size:(i + 1) * size] for i in range(k)], int(total[-1])
 
 
 def probability(network: Network, features: Column | str = "features") -> Column:
     """Probability of class 1 as a column."""
+    width = network.layers[0][0].shape[0]
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            p = network.probability(_matrix(batch)) if len(batch) else np.zeros(0)
-            yield pa.array(p, pa.float64())
+            yield pa.array(network.probability(_matrix(batch, width)), pa.float64())
 
     return F.arrow_udf(score, "double")(features)
 
@@ -241,70 +269,69 @@ def mean_loss(samples: DataFrame, network: Network, features="features", label="
 
 @dataclass(frozen=True)
 class Trainer:
-    """Mini-batch Adam, one Spark job per epoch.
-
-    The vectors are packed into binary values and stored once, so that an epoch hands them to
-    the tasks without converting every number.
-
-    Every task runs mini-batches over its own rows from the shared weights; weights and moment
-    estimates are then averaged over the tasks by their number of rows (local SGD with model
-    averaging). With one task this is ordinary mini-batch training; with many, a pass over the
-    data costs one job instead of one per mini-batch. ``tasks`` limits the number of partial
-    models per epoch, by default to what adds up to 16 GiB; every task streams its rows, however
-    many they are.
+    """Synchronous Adam on large batches, one Spark job per step.
+
+    Every sample belongs to one of ``steps`` batches, by a hash of its id (without an id: of its
+    values); an epoch takes all batches once, in a seeded order. A step sums the gradients of its
+    batch over all tasks and moves the weights once, on the driver. The trained weights are thus a
+    function of the samples, the settings and the seed; tasks, files and cores only change the order
+    in which numbers are added. The vectors are packed into binary values and stored by batch once,
+    so that a step reads its own files and converts nothing.
     """
 
     epochs: int = 25
-    learning_rate: float = 0.001
-    batch_size: int = 128
+    steps: int = 8
+    learning_rate: float = 0.01
     seed: int = 42
-    tasks: int | None = None
     betas: tuple[float, float] = (0.9, 0.999)
     epsilon: float = 1e-8
 
     def fit(self, train: DataFrame, network: Network, features="features", label="label") -> Network:
-        spark = train.sparkSession
-        size = network.flat.size
-        tasks = self.tasks or max(1, MAX_PARTIAL_BYTES // (3 * 8 * size))
+        spark, size = train.sparkSession, network.flat.size
         width = network.layers[0][0].shape[0]
-        rows = train.select(features, F.col(label).cast("double"))
-        rows = materialise(rows.mapInArrow(_packed, "x binary, y double"), "packed").coalesce(tasks)
-        parts = rows.rdd.getNumPartitions()
-        theta, first, second, step = network.flat, np.zeros(size), np.zeros(size), 0.0
-        for epoch in range(self.epochs):
-            shared = spark.sparkContext.broadcast((network.layers, theta, first, second, step))
-            run = self._epoch(shared, epoch, width)
-            total = _summed(rows.mapInArrow(run, "pos long, value double"), 3 * size + 2, parts)
-            shared.destroy()
-            weight = total[-1]
-            if not weight:
-                return network
-            theta, first, second = (total[i * size:(i + 1) * size] / weight for i in range(3))
-            step = total[-2] / weight
-        return network.with_flat(theta)
-
-    def _epoch(self, shared, epoch: int, width: int):
-        lr, size_of_batch, (b1, b2) = self.learning_rate, self.batch_size, self.betas
-        epsilon, seed = self.epsilon, self.seed
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            layers, theta, first, second, step = shared.value
-            network = Network(layers)
-            theta, first, second = theta.copy(), first.copy(), second.copy()
-            seen, rng = 0, np.random.default_rng([seed, epoch])
-            for batch in batches:
-                x, y = _unpacked(batch.column(0), width), _vector(batch.column(1))
-                order = rng.permutation(len(y))
-                for at in range(0, len(y), size_of_batch):
-                    pick = order[at:at + size_of_batch]
-                    g = network.with_flat(theta).gradient_sum(x[pick].astype(float), y[pick]) / len(pick)
-                    step += 1
-                    first += (1 - b1) * (g - first)
-                    second += (1 - b2) * (g * g - second)
-                    theta -= lr * (first / (1 - b1**step)) / (np.sqrt(second / (1 - b2**step)) + epsilon)
-                seen += len(y)
-            if seen:
-                state = np.concatenate([theta, first, second, [step]]) * seen
-                yield _sum_rows(np.append(state, float(seen)))
-
-        return run
+        key = [SAMPLE_ID] if SAMPLE_ID in train.columns else [features, label]
+        step = F.pmod(F.xxhash64(*key, F.lit(self.seed)), F.lit(self.steps)).cast("int")
+        rows = train.select(features, F.col(label).cast("double"), step)
+        path = new_folder(spark, "packed")
+        packed = rows.mapInArrow(_packer(width), "x binary, y double, step int")
+        packed.write.partitionBy("step").parquet(path)
+        try:
+            stored = spark.read.schema("x binary, y double, step int").parquet(path)
+            batches = [stored.where(F.col("step") == k).select("x", "y") for k in range(self.steps)]
+            tasks = [batch.rdd.getNumPartitions() for batch in batches]
+            theta, first, second = network.flat, np.zeros(size), np.zeros(size)
+            (b1, b2), moves, rng = self.betas, 0, np.random.default_rng(self.seed)
+            for _ in range(self.epochs):
+                for k in rng.permutation(self.steps):
+                    total = _batch_gradient(batches[k], network.with_flat(theta), tasks[k])
+                    if not total[-1]:
+                        continue
+                    g, moves = total[:-1] / total[-1], moves + 1
+                    first = b1 * first + (1 - b1) * g
+                    second = b2 * second + (1 - b2) * g * g
+                    theta = theta - self.learning_rate * (first / (1 - b1**moves)) / (
+                        np.sqrt(second / (1 - b2**moves)) + self.epsilon
+                    )
+            return network.with_flat(theta)
+        finally:
+            delete_folder(spark, path)
+
+
+def _batch_gradient(batch: DataFrame, network: Network, tasks: int) -> np.ndarray:
+    """Summed gradient over packed samples, and their number."""
+    width = network.layers[0][0].shape[0]
+    shared = batch.sparkSession.sparkContext.broadcast(network.layers)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = Network(shared.value), None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _unpacked(batch.column(0), width).astype(float), _vector(batch.column(1))
+                part = np.append(model.gradient_sum(x, y), float(len(y)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield _sum_rows(total)
+
+    total = _summed(batch.mapInArrow(partial, SUMS), network.flat.size + 1, max(1, tasks))
+    shared.destroy()
+    return total

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROW_GROUP_BYTES = 16 << 20
+
+
 @functools.cache
 def _local_folder(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="provspark-")
@@ -36,10 +39,17 @@ def materialise(df: DataFrame, kind: str, path: str | None = None) -> DataFrame:
     """Write a table once and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or new_folder(spark, kind)
-    df.write.parquet(path)
+    # Small row groups: a task holds the one it writes in memory.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a stored folder, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for a stored table that fits in fewer scan tasks; others stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism

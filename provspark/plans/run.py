@@ -15,6 +15,7 @@ from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, exact_threshold, hash_threshold, split_column, with_split_key,
 )
 from provspark.operators.storage import spread, together, write_json_document
+from provspark.sources.readers import scans_without
 from provspark.sources.artifacts import (
     LayeredTable, Run, default_root, load_run, register, run_path, write_base, write_maps,
 )
@@ -81,6 +82,7 @@ def run_pipeline(
         "key_cols": list(prepared.key_cols),
         "output_cols": prepared.columns,
         "num_features": encoders.width,
+        "source_columns": sorted(prepared.sources),
         "column_provenance": {c: sorted(origin) for c, origin in prepared.col_prov.items()},
         "matrix_provenance": encoders.matrix_provenance(),
         "encoders": encoders.state(),
@@ -122,10 +124,14 @@ def summary(run: Run) -> dict:
 
 def retrain_without_rows(dataprep, alias: str, row_ids):
     """The same preparation as if the source rows had never existed: the costly alternative
-    to incremental maintenance. Returns a function for ``run_pipeline``."""
+    to incremental maintenance. Returns a function for ``run_pipeline``.
+
+    The rows are taken out of the tracked scan, so that everything after it sees the reduced source.
+    """
 
     def reduced(spark, **source_paths):
-        return dataprep(spark, **source_paths).not_originating_from(alias, row_ids)
+        with scans_without(alias, row_ids):
+            return dataprep(spark, **source_paths)
 
     return reduced
 

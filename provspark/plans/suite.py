@@ -21,7 +21,7 @@ from provspark.operators.encoders import (
 )
 from provspark.operators.frame import TrackedFrame, join
 from provspark.operators.network import (
-    Network, Trainer, cross_entropy, gradient_sums, mean_loss, perceptron, prediction, probability,
+    Network, Trainer, cross_entropy, gradient_sums, logistic, mean_loss, perceptron, prediction, probability,
 )
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, epoch_order, exact_threshold, hash_threshold, split_column, with_split_key,
@@ -126,7 +126,7 @@ def toxic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_frame(spark: SparkSession, sf_dir: str) -> TrackedFrame:
     """orders with their customers: the relational stand-in for mails and customers."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp'1996-01-01'")
+    orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").project(
         "is_premium", ["c_mktsegment"], F.col("c_mktsegment") == "BUILDING"
     )
@@ -146,8 +146,7 @@ orders_prep AS (
   SELECT o_orderkey, lower(o_orderpriority) AS title, c_nationkey, c_mktsegment = 'BUILDING' AS is_premium,
          o_orderkey AS prov_orders, c_custkey AS prov_customer,
          md5(o_orderkey || ':' || c_custkey) AS sample_id
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 orders_split AS (
   SELECT *, CASE WHEN md5('42:' || sample_id) <= '""" + HASH_LIMIT + """' THEN 'test' ELSE 'train' END AS split
   FROM orders_prep)
@@ -239,16 +238,18 @@ def q_csv_scan(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, FALSE AS wrong_count, c_custkey AS prov_customer
+SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
+       round(c_acctbal * 100)::BIGINT::VARCHAR AS cents, c_mktsegment, FALSE AS wrong_count, NULL::VARCHAR AS line,
+       c_custkey AS prov_customer
 FROM customer
 """)
 def q_lines_scan(spark, sf_dir):
     path = new_folder(spark, "lines")
-    table(spark, sf_dir, "customer").data().select(
-        F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")
-    ).write.text(path)
-    lines = read_lines(spark, path, ["c_custkey", "c_name", "c_mktsegment"], alias="customer")
-    return visible(lines).withColumnRenamed("_field_count_error", "wrong_count")
+    names = ["c_custkey", "c_name", "c_nationkey", "cents", "c_mktsegment"]
+    customers = table(spark, sf_dir, "customer").data().withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("long"))
+    customers.select(F.concat_ws(",", *names)).write.text(path)
+    lines = visible(read_lines(spark, path, names, alias="customer"))
+    return lines.withColumnsRenamed({"_field_count_error": "wrong_count", "_line": "line"})
 
 
 @query("SELECT doc_id, text, lang, n_chars FROM documents")
@@ -263,8 +264,8 @@ def q_tsv_roundtrip(spark, sf_dir):
 
 @query("""
 SELECT d.doc_id AS mail_id, lower(d.text) AS title, d.lang AS country, l.quality = 1 AS is_premium,
-       d.doc_id AS prov_documents
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+       d.doc_id AS prov_documents, l.rid AS prov_labels
+FROM documents d JOIN (SELECT *, row_number() OVER () - 1 AS rid FROM labels) l ON d.doc_id = l.doc_id
 WHERE d.lang IN ('en', 'de', 'fr') AND (contains(d.text, 'the') OR contains(d.text, 'der'))
 """)
 def q_flagship_prep(spark, sf_dir):
@@ -281,7 +282,7 @@ def q_flagship_prep(spark, sf_dir):
         .project("title", ["text"], F.lower("text"))
         .select("mail_id", "title", "country", "is_premium")
     )
-    return visible(prepared).drop("prov_labels")
+    return visible(prepared)
 
 
 @query("SELECT * REPLACE (lower(o_orderpriority) AS o_orderpriority), o_orderkey AS prov_orders FROM orders")
@@ -397,7 +398,7 @@ def q_join_three(spark, sf_dir):
 
 @query("""
 SELECT a.n_name, b.n_name AS n_name_r, a.n_nationkey::BIGINT AS prov_nation, b.n_nationkey::BIGINT AS prov_nation_r,
-       c_custkey FROM customer JOIN nation a ON c_nationkey = a.n_nationkey
+       c_custkey, c_custkey AS prov_customer FROM customer JOIN nation a ON c_nationkey = a.n_nationkey
 JOIN nation b ON a.n_regionkey = b.n_nationkey
 """)
 def q_join_self(spark, sf_dir):
@@ -405,7 +406,7 @@ def q_join_self(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     joined = table(spark, sf_dir, "customer").join(nation, "c_nationkey", "n_nationkey")
     joined = joined.join(nation, "n_regionkey", "n_nationkey").select("c_custkey", "n_name", "n_name_r")
-    return visible(joined).drop("prov_customer")
+    return visible(joined)
 
 
 @query("""
@@ -436,11 +437,19 @@ def order_samples(spark, sf_dir) -> tuple[TrackedFrame, DataFrame]:
     return frame, with_split_key(frame.with_sample_id(), SEED).withColumn(SPLIT, split_column(HASH_LIMIT))
 
 
-def _rows_from_source(spark, sf_dir, split):
-    frame, samples = order_samples(spark, sf_dir)
-    one_side = TrackedFrame(samples.where(F.col(SPLIT) == split), frame.prov_cols, frame.col_prov)
-    hits = one_side.originating_from("customer", premium_customers(spark, sf_dir))
-    return visible(hits).select(SAMPLE_ID, "prov_orders", "prov_customer")
+_ORDER_RUNS: dict[tuple, Run] = {}
+
+
+def order_run(spark: SparkSession, sf_dir: str) -> Run:
+    """The stored run on orders and customers."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ORDER_RUNS:
+        _ORDER_RUNS[key] = run_pipeline(spark, "orders", order_paths(sf_dir), order_dataprep, order_encoders, premium_label, **ORDER_OPTIONS)
+    return _ORDER_RUNS[key]
+
+
+def _from_source(hits: DataFrame) -> DataFrame:
+    return hits.select(SAMPLE_ID, F.col("__prov_orders").alias("prov_orders"), F.col("__prov_customer").alias("prov_customer"))
 
 
 ROWS_FROM_SOURCE = "WITH " + ORDER_ROWS + """
@@ -451,12 +460,12 @@ WHERE split = '{split}' AND prov_customer IN (SELECT c_custkey FROM customer WHE
 
 @query(ROWS_FROM_SOURCE.replace("{split}", "train"))
 def q_rows_from_source_train(spark, sf_dir):
-    return _rows_from_source(spark, sf_dir, TRAIN)
+    return _from_source(lineage.train_rows_originating_from(order_run(spark, sf_dir), "customer", premium_customers(spark, sf_dir)))
 
 
 @query(ROWS_FROM_SOURCE.replace("{split}", "test"))
 def q_rows_from_source_test(spark, sf_dir):
-    return _rows_from_source(spark, sf_dir, TEST)
+    return _from_source(lineage.test_rows_originating_from(order_run(spark, sf_dir), "customer", premium_customers(spark, sf_dir)))
 
 
 @query("WITH " + ORDER_ROWS + """
@@ -699,12 +708,20 @@ def q_feature_ranges(spark, sf_dir):
     return found.select("start", "stop")
 
 
-@query("""
-SELECT * FROM (VALUES ('doc_id', 'documents.doc_id'), ('text', 'documents.text'), ('lang', 'documents.lang'),
-  ('is_premium', 'labels.quality'), ('toxic', 'labels.toxic')) t(output_column, source)
+@query("WITH " + TEXT_ROWS + """
+SELECT t.output_column, t.source, u.n FROM (VALUES ('doc_id', 'documents.doc_id'), ('text', 'documents.text'),
+  ('lang', 'documents.lang'), ('is_premium', 'labels.quality'), ('toxic', 'labels.toxic')) t(output_column, source)
+JOIN (UNPIVOT (SELECT count(doc_id) AS doc_id, count(CASE WHEN toxic = 0 THEN text END) AS text, count(lang) AS lang,
+               count(is_premium) AS is_premium, count(toxic) AS toxic FROM samples)
+      ON doc_id, text, lang, is_premium, toxic INTO NAME output_column VALUE n) u USING (output_column)
 """)
 def q_output_columns(spark, sf_dir):
-    return text_run(spark, sf_dir).column_provenance().select("output_column", F.explode("sources").alias("source"))
+    """Where the output columns come from, and how many values each has left after a deletion."""
+    run = after_feature_deletion(spark, sf_dir)
+    left = run.relational().agg(*[F.count(c).alias(c) for c in run.output_cols])
+    left = left.unpivot([], run.output_cols, "output_column", "n")
+    origins = run.column_provenance().select("output_column", F.explode("sources").alias("source"))
+    return origins.join(left, "output_column")
 
 
 # --- stored artifacts -------------------------------------------------------------------------------------------
@@ -733,22 +750,30 @@ def q_model_table(spark, sf_dir):
     return stored.select("layer", "i", "j", micro(F.col("value")).alias("value_micro"))
 
 
-@query("SELECT 'texts' AS pipeline, 0 AS version, 'run' AS kind, 2::BIGINT AS n_sources")
+@query("WITH " + TEXT_ROWS + """
+SELECT 'texts' AS pipeline, 0 AS version, 'run' AS kind, 2::BIGINT AS n_sources, count(*) AS n_rows, 0::BIGINT AS n_changed
+FROM samples
+UNION ALL SELECT 'texts', 1, 'delete_features', 2, count(*), count(*) FILTER (WHERE toxic = 1) FROM samples
+""")
 def q_run_registry(spark, sf_dir):
-    run = text_run(spark, sf_dir)
-    entries = runs(spark, run.root).where((F.col("run_id") == run.run_id) & (F.col("version") == 0))
-    return entries.select("pipeline", "version", "kind", F.size("source_paths").cast("long").alias("n_sources"))
+    """The registered versions with the rows they have and the rows they changed."""
+    first, second = text_run(spark, sf_dir), after_feature_deletion(spark, sf_dir)
+    entries = runs(spark, first.root).where((F.col("run_id") == first.run_id) & F.col("kind").isin("run", "delete_features"))
+    sizes = [r.samples().agg(F.count("*").alias("n_rows")).withColumn("version", F.lit(r.version)) for r in (first, second)]
+    return entries.join(sizes[0].unionByName(sizes[1]), "version").select(
+        "pipeline", "version", "kind", F.size("source_paths").cast("long").alias("n_sources"), "n_rows",
+        F.col("overlay_rows").alias("n_changed"),
+    )
 
 
 @query("WITH " + TEXT_ROWS + """
-SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic FROM samples WHERE toxic = 1
+SELECT doc_id::VARCHAR AS doc_id, lang, toxic::VARCHAR AS toxic, CASE WHEN toxic = 0 THEN text END AS text FROM samples
 """)
 def q_export_csv(spark, sf_dir):
-    """The relation after a deletion as CSV; shown are the rows that lost their text."""
+    """The whole relation after a deletion as CSV, read back."""
     run, path = after_feature_deletion(spark, sf_dir), new_folder(spark, "export")
     export_csv(run.relational().select("doc_id", "lang", "toxic", "text"), path)
-    exported = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return exported.where("text IS NULL").drop("text")
+    return spark.read.options(header=True, multiLine=True, escape='"', lineSep="\n").csv(path)
 
 
 # --- scoring, loss, gradients ---------------------------------------------------------------------------------
@@ -871,11 +896,45 @@ def q_gradient_mlp(spark, sf_dir):
     return gradient.select("layer", "i", "j", micro(F.col("value")).alias("value_micro"))
 
 
+TRAINED_STEPS, TRAINED_RATE = 3, 0.01
+
+
+def _adam_sql() -> str:
+    """Full-gradient Adam steps of a logistic regression from zero weights, one pair of tables per step."""
+    sql = """, tr AS (SELECT list_append(features, 1.0) AS x, label AS y FROM matrix WHERE split = 'train'),
+    s0 AS (SELECT list_transform(x, lambda a: 0.0::DOUBLE) AS w, list_transform(x, lambda a: 0.0::DOUBLE) AS m,
+                  list_transform(x, lambda a: 0.0::DOUBLE) AS v FROM tr LIMIT 1)"""
+    for k in range(1, TRAINED_STEPS + 1):
+        sql += f""",
+    d{k} AS (SELECT x, 1 / (1 + exp(-list_sum(list_transform(x, lambda a, j: a * w[j])))) - y AS e FROM tr, s{k - 1}),
+    g{k} AS (SELECT list(g ORDER BY i) AS g FROM (
+      SELECT i, avg(e * a) AS g FROM (SELECT e, unnest(x) AS a, unnest(range(1, len(x) + 1)) AS i FROM d{k}) GROUP BY i)),
+    u{k} AS (SELECT w, list_transform(m, lambda a, i: 0.9 * a + 0.1 * g[i]) AS m,
+                    list_transform(v, lambda a, i: 0.999 * a + 0.001 * g[i] * g[i]) AS v FROM s{k - 1}, g{k}),
+    s{k} AS (SELECT list_transform(w, lambda a, i: a - {TRAINED_RATE} * (m[i] / {1 - 0.9**k!r}) / (sqrt(v[i] / {1 - 0.999**k!r}) + 1e-8)) AS w,
+                    m, v FROM u{k})"""
+    return sql
+
+
+@query("WITH " + FEATURE_ROWS + _adam_sql() + f"""
+SELECT i::INTEGER AS position, round(a * 1e5)::BIGINT AS value FROM (
+  SELECT unnest(range(len(w))) AS i, unnest(w) AS a FROM s{TRAINED_STEPS})
+""")
+def q_logistic_train(spark, sf_dir):
+    """Weights of a logistic regression after three full-gradient steps over all training samples."""
+    run = text_run(spark, sf_dir)
+    trainer = Trainer(epochs=TRAINED_STEPS, steps=1, learning_rate=TRAINED_RATE)
+    trained = trainer.fit(run.matrix(TRAIN), logistic(run.document["num_features"]))
+    rows = [(i, float(w)) for i, w in enumerate(trained.flat)]
+    weights = spark.createDataFrame(rows, "position int, w double")
+    return weights.select("position", F.round(F.col("w") * 1e5).cast("long").alias("value"))
+
+
 @query(None)
 def q_mlp_train_score(spark, sf_dir):
     """Train the two-layer network data-parallel and score the test side."""
     run = text_run(spark, sf_dir)
-    network = Trainer(epochs=5).fit(run.matrix(TRAIN), perceptron(run.document["num_features"]))
+    network = Trainer().fit(run.matrix(TRAIN), perceptron(run.document["num_features"]))
     return score(run.matrix(TEST), network)
 
 
@@ -1017,21 +1076,27 @@ def order_dataprep(spark, orders_path, customer_path):
     return order_frame(spark, orders_path.rsplit("/", 1)[0])
 
 
+def order_paths(sf_dir: str) -> dict[str, str]:
+    return {"orders_path": f"{sf_dir}/orders.parquet", "customer_path": f"{sf_dir}/customer.parquet"}
+
+
+def premium_label(df: DataFrame) -> Column:
+    return F.col("is_premium").cast("double")
+
+
+ORDER_OPTIONS = dict(create_network=fixed_network, random_seed=SEED, split="hash", trainer=None)
+
+
 @query("WITH " + ORDER_ROWS + """
 SELECT split, count(*) AS retrained, count(*) AS maintained, count(*) AS same FROM orders_split
 WHERE NOT is_premium GROUP BY split
 """)
 def q_retrain_vs_ivm(spark, sf_dir):
     """Deleting customers from a stored run and rerunning without them give the same samples."""
-    paths = {"orders_path": f"{sf_dir}/orders.parquet", "customer_path": f"{sf_dir}/customer.parquet"}
     gone = premium_customers(spark, sf_dir)
-    options = dict(create_network=fixed_network, random_seed=SEED, split="hash", trainer=None)
-    label = F.col("is_premium").cast("double")
-    run = run_pipeline(spark, "orders", paths, order_dataprep, order_encoders, label, **options)
-    maintained = maintain.delete_instances(run, "customer", gone).samples()
-    again = run_pipeline(
-        spark, "orders", paths, retrain_without_rows(order_dataprep, "customer", gone), order_encoders, label, **options
-    ).samples()
+    maintained = maintain.delete_instances(order_run(spark, sf_dir), "customer", gone).samples()
+    reduced = retrain_without_rows(order_dataprep, "customer", gone)
+    again = run_pipeline(spark, "orders", order_paths(sf_dir), reduced, order_encoders, premium_label, **ORDER_OPTIONS).samples()
     columns = [SAMPLE_ID, SPLIT, "o_orderkey", "title", "c_nationkey", "is_premium"]
     both = maintained.select(*columns, F.lit(1).alias("m")).unionByName(
         again.select(*columns, F.lit(2).alias("m"))

@@ -199,8 +199,11 @@ class Run:
         return df if split is None else df.where(F.col(SPLIT) == split)
 
     def scores(self) -> DataFrame:
-        """Predictions for the test samples as of training."""
-        return self.spark.read.parquet(f"{self.path}/scores")
+        """Predictions, as of training, for the test samples that are left."""
+        scores = self.spark.read.parquet(f"{self.path}/scores")
+        if not self.version:
+            return scores
+        return scores.join(self.matrix(TEST).select(SAMPLE_ID), SAMPLE_ID, "left_semi")
 
     def model(self) -> Network:
         return Network.from_frame(self.spark.read.parquet(self.model_path))

@@ -13,6 +13,8 @@ a source of one file that is simply the 0-based position.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,17 +31,32 @@ NA_VALUES = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+EXTRA = "__extra_field"
 FILE_BITS = 40  # positions below, file ordinals above
 
+_LEFT_OUT: ContextVar[dict] = ContextVar("left_out", default={})
+
+
+@contextmanager
+def scans_without(alias: str, row_ids):
+    """Within this block, tracked scans of the source leave the given rows out; the others keep their ids."""
+    token = _LEFT_OUT.set({**_LEFT_OUT.get(), alias: row_ids})
+    try:
+        yield
+    finally:
+        _LEFT_OUT.reset(token)
+
+
+def _scan(df: DataFrame, alias: str, columns: list[str]) -> TrackedFrame:
+    frame = TrackedFrame(df, (prov_column(alias),), {c: frozenset({f"{alias}.{c}"}) for c in columns})
+    left_out = _LEFT_OUT.get()
+    return frame.not_originating_from(alias, left_out[alias]) if alias in left_out else frame
+
 
 def track(df: DataFrame, alias: str, row_id: Column) -> TrackedFrame:
     """Tracked frame over a table that already carries its own row ids."""
     prov = prov_column(alias)
-    return TrackedFrame(
-        df.withColumn(prov, row_id.cast("long")),
-        (prov,),
-        {c: frozenset({f"{alias}.{c}"}) for c in df.columns},
-    )
+    return _scan(df.withColumn(prov, row_id.cast("long")), alias, df.columns)
 
 
 def _with_file_ordinal(df: DataFrame, path_column: str, files: list[str]) -> tuple[DataFrame, Column]:
@@ -72,7 +89,7 @@ def read_parquet(spark: SparkSession, path: str, alias: str | None = None) -> Tr
     df, ordinal = _with_file_ordinal(df, "__path", raw.inputFiles())
     position = F.col(prov) + F.shiftleft(ordinal, FILE_BITS)
     df = df.select(*columns, position.alias(prov))
-    return TrackedFrame(df, (prov,), {c: frozenset({f"{alias}.{c}"}) for c in columns})
+    return _scan(df, alias, columns)
 
 
 def _positions(raw: DataFrame, values: list[Column], files: list[str], prov: str,
@@ -118,12 +135,15 @@ def read_csv(
     na_values=NA_VALUES,
     alias: str | None = None,
     land: str | None = None,
+    multi_line: bool = False,
 ) -> TrackedFrame:
     """Tracked scan of a delimited file.
 
     ``schema`` is a Spark schema, a DDL string, or a list of names (all read as strings).
     Values in ``na_values`` become null; pass ``()`` to keep them. A value that does not fit
-    its type raises. Records must not span lines, so that large files stay splittable.
+    its type raises, and so does a record with more fields than the schema; missing fields are
+    null. Quoted line breaks need ``multi_line=True``, which reads each file in one task; without
+    it records end with their line, so that large files stay splittable.
     ``land`` is the folder for the Parquet copy (default: the shared folder).
     """
     alias = alias or source_name(path)
@@ -131,10 +151,10 @@ def read_csv(
         schema = T.StructType.fromDDL(schema)
     if isinstance(schema, list):
         schema = T.StructType([T.StructField(name, T.StringType()) for name in schema])
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*schema.fieldNames(), EXTRA]])
     raw = (
         spark.read.schema(as_text)
-        .options(header=header, sep=sep, quote='"', escape='"', nullValue="", emptyValue="")
+        .options(header=header, sep=sep, quote='"', escape='"', nullValue="", emptyValue="", multiLine=multi_line, enforceSchema=True)
         .csv(path)
     )
     values = []
@@ -145,9 +165,13 @@ def read_csv(
         else:
             value = F.coalesce(value, F.lit(""))
         values.append(value.cast(field.dataType).alias(field.name))
+    message = F.concat(F.lit(f"a record has more than {len(schema)} fields, from: "), F.col(EXTRA))
+    first = schema.fields[0]
+    surplus = F.when(F.col(EXTRA).isNotNull(), F.raise_error(message).cast(first.dataType))
+    values[0] = F.coalesce(surplus, values[0]).alias(first.name)
     prov = prov_column(alias)
     df = _positions(raw, values, raw.inputFiles(), prov, land)
-    return TrackedFrame(df, (prov,), {f.name: frozenset({f"{alias}.{f.name}"}) for f in schema.fields})
+    return _scan(df, alias, schema.fieldNames())
 
 
 def read_lines(
@@ -160,16 +184,17 @@ def read_lines(
 ) -> TrackedFrame:
     """Tracked scan of plain lines, trimmed and split at every separator (no quoting).
 
-    Lines with another number of fields keep what they have, flagged in ``_field_count_error``.
+    Lines with another number of fields keep what they have, are flagged in ``_field_count_error``
+    and stand whole in ``_line``, so that nothing is lost.
     """
     alias = alias or source_name(path)
     raw = spark.read.text(path)
     parts = F.split(F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\x0c")), "\\Q" + sep + "\\E", -1)
+    wrong = F.size(parts) != len(names)
     values = [F.get(parts, i).alias(name) for i, name in enumerate(names)]
-    values.append((F.size(parts) != len(names)).alias("_field_count_error"))
-    prov = prov_column(alias)
-    df = _positions(raw, values, raw.inputFiles(), prov, land)
-    return TrackedFrame(df, (prov,), {n: frozenset({f"{alias}.{n}"}) for n in names})
+    values += [wrong.alias("_field_count_error"), F.when(wrong, F.col("value")).alias("_line")]
+    df = _positions(raw, values, raw.inputFiles(), prov_column(alias), land)
+    return _scan(df, alias, [*names, "_field_count_error", "_line"])
 
 
 # --- tab-separated intermediates -------------------------------------------------------
@@ -182,11 +207,15 @@ def _escaped(column: Column) -> Column:
 
 
 def _unescaped(text: Column) -> Column:
-    # A control character stands in for the escaped backslash while the others are restored.
-    text = F.when(text != F.lit("\\N"), text)
-    for code, raw in (("\\\\", "\u0001"), ("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\u0001", "\\")):
-        text = F.replace(text, F.lit(code), F.lit(raw))
-    return text
+    # Between escaped backslashes there are no others, so each piece can be restored by itself.
+    pieces = F.split(F.when(text != F.lit("\\N"), text), r"\\\\", -1)
+
+    def restored(piece: Column) -> Column:
+        for code, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            piece = F.replace(piece, F.lit(code), F.lit(raw))
+        return piece
+
+    return F.array_join(F.transform(pieces, restored), "\\")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

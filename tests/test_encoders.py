@@ -51,10 +51,25 @@ def test_one_hot_with_many_categories(spark):
         assert (matrix.sum(axis=0) == 1).all() and (matrix.sum(axis=1) == 1).all()
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(en, "MAX_CATEGORIES", 5)
-    with pytest.raises(ValueError, match="more than 5 categories"):
-        ColumnEncoders([("c", OneHot(), ["id"])]).fit(spark.range(6))
+@pytest.mark.parametrize("kind", ["date", "decimal(12,3)", "timestamp", "double", "boolean"])
+@pytest.mark.parametrize("n", [3, 65])
+def test_one_hot_of_any_type_and_width(spark, kind, n):
+    numbers = {
+        "date": "date_add(date'2024-01-30', CAST(id AS INT))", "decimal(12,3)": "CAST(id / 4 AS DECIMAL(12,3))", "timestamp": "timestamp_micros(id * 500000)",
+        "double": "CAST(id - 1 AS DOUBLE) / 3", "boolean": "id % 2 = 0",
+    }
+    df = spark.range(n).selectExpr("id", f"CAST(IF(id = 1, NULL, {numbers[kind]}) AS {kind}) AS c")
+    fitted = ColumnEncoders([("c", OneHot(), ["c"])]).fit(df)
+    assert fitted.width == df.select("c").distinct().count()
+    restored = ColumnEncoders([("c", OneHot(), ["c"])]).with_saved_state(json.loads(json.dumps(fitted.state())))
+    matrix = vectors(restored, df.orderBy("c"))
+    assert (matrix.sum(axis=1) == 1).all() and (matrix.sum(axis=0) >= 1).all()
+
+
+def test_one_hot_with_200_000_categories(spark):
+    fitted = ColumnEncoders([("c", OneHot(unknown="ignore"), ["c"])]).fit(spark.range(200_000).selectExpr("CAST(id AS STRING) AS c"))
+    encoded = fitted.transform(spark.createDataFrame([("7",), ("none",)], "c string"))
+    assert [r[0] for r in encoded.selectExpr("aggregate(features, 0D, (a, x) -> a + x)").collect()] == [1.0, 0.0]
 
 
 def test_mixed_types_in_one_fit(spark):

@@ -144,3 +144,36 @@ def test_filter_reaches_the_scan_and_columns_are_pruned(spark, tmp_path):
     plan = narrow.df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,1)" in plan and "pad" not in plan.split("ReadSchema")[1]
     assert [r[0] for r in narrow.provenance().orderBy("__prov_t").limit(3).collect()] == [1, 4, 7]
+
+
+def test_names_can_be_swapped(people):
+    swapped = people.rename({"email": "country", "country": "email"})
+    assert swapped.data().columns.count("email") == 1 and swapped.col_prov["email"] == people.col_prov["country"]
+    row, before = swapped.df.first(), people.df.first()
+    assert (row["email"], row["country"]) == (before["country"], before["email"])
+    with pytest.raises(ValueError):
+        people.rename({"country": "EMAIL"})
+
+
+def test_names_that_differ_in_case_collide(people):
+    other = people.rename({"country": "Country"})
+    joined = people.join(other, "email", "email")
+    assert joined.select("country", "Country_r").count() == joined.count()
+
+
+def test_undeclared_columns_are_refused(people):
+    with pytest.raises(ValueError, match="country"):
+        people.project("both", ["email"], F.concat("email", "country"))
+
+
+def test_null_ids_name_no_row(spark, people):
+    prov = people.prov_cols[0]
+    alias = prov[len("__prov_"):]
+    for ids in ([0, None], spark.createDataFrame([(0,), (None,)], "id long"), [None, 0, *range(10**6, 10**6 + 2000)]):
+        assert people.originating_from(alias, ids).count() == 1
+        assert people.not_originating_from(alias, ids).count() == people.count() - 1
+
+
+def test_last_row_per_key_sorts_nothing_wide(people):
+    plan = people.latest_by("email").df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

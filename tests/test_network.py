@@ -55,25 +55,34 @@ def test_certain_mistakes_have_a_bounded_loss(spark):
     assert network.loss_sum(np.array([[1.0], [-1.0]]), np.array([0.0, 1.0])) == 200.0
 
 
-@pytest.mark.parametrize("tasks, direct", [(1, 64 << 20), (3, 64 << 20), (3, 0)])
-def test_training_learns(data, tasks, direct, monkeypatch):
+@pytest.mark.parametrize("direct", [64 << 20, 0])
+def test_training_is_a_function_of_data_and_seed(data, direct, monkeypatch):
     monkeypatch.setattr(network_module, "DIRECT_BYTES", direct)
     x, y, df = data
-    trainer = Trainer(epochs=30, learning_rate=0.01, batch_size=32, tasks=tasks)
-    trained = trainer.fit(df, perceptron(6))
-    accuracy = ((trained.probability(x) > 0.5) == y).mean()
-    assert accuracy > 0.9
-    again = trainer.fit(df, perceptron(6))
-    assert np.allclose(trained.flat, again.flat)
-
-
-def test_one_task_is_plain_mini_batch_adam(spark):
-    """One batch, one epoch: the first Adam step moves every weight by the learning rate."""
-    df = spark.createDataFrame([([1.0, -2.0], 1.0)], "features array<double>, label double").coalesce(1)
+    trainer = Trainer(epochs=10, steps=4, learning_rate=0.05)
+    trained = [trainer.fit(df.repartition(n), perceptron(6)).flat for n in (1, 3, 8)]
+    for other in trained[1:]:
+        assert np.allclose(trained[0], other, rtol=0, atol=1e-9)
+    network = perceptron(6).with_flat(trained[0])
+    assert ((network.probability(x) > 0.5) == y).mean() > 0.9
+    share = y.mean()
+    base_rate_loss = -(share * np.log(share) + (1 - share) * np.log(1 - share))
+    assert network.loss_sum(x, y) / len(y) < 0.6 * base_rate_loss
+
+
+def test_one_step_is_adam(spark):
+    """The first Adam step moves every weight by the learning rate."""
+    df = spark.createDataFrame([([1.0, -2.0], 1.0)], "features array<double>, label double")
     trained = Trainer(epochs=1, learning_rate=0.01).fit(df, logistic(2))
     assert np.allclose(trained.flat, [0.01, -0.01, 0.01], atol=1e-6)
 
 
+def test_wrong_width_is_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 1.0), ([1.0, 2.0, 3.0, 4.0], 0.0)], "features array<double>, label double")
+    with pytest.raises(Exception, match="has not 3 positions"):
+        gradient_sums(df.coalesce(1), logistic(3))
+
+
 def test_weights_as_a_table(spark):
     network = perceptron(4, hidden=3, seed=5)
     stored = network.to_frame(spark)

@@ -279,3 +279,15 @@ def test_reserved_names_are_refused(spark, root, paths):
 def test_perceptron_is_the_default(run):
     assert [w.shape for w, _ in run.model().layers] == [(run.document["num_features"], 64), (64, 1)]
     assert [w.shape for w, _ in perceptron(3).layers] == [(3, 64), (64, 1)]
+
+
+def test_unknown_source_column_is_an_error(run, paths):
+    with pytest.raises(ValueError, match="mail_subjekt"):
+        maintain.delete_features(run, "mails_path", "mail_subjekt", "customers_path", [1])
+
+
+def test_scores_of_deleted_samples_are_gone(run):
+    alias = source_name(run.document["source_paths"]["mails_path"])
+    ids = [r[0] for r in run.matrix(TEST).select(run.prov_of(alias)).distinct().limit(2).collect()]
+    left = maintain.delete_instances(run, alias, ids)
+    assert left.scores().count() == left.matrix(TEST).count() < run.scores().count()

@@ -8,7 +8,7 @@ from provspark import read_csv, read_lines, read_parquet, read_tsv
 from provspark.functions.naming import normalise_path, source_name, source_name_of
 from provspark.functions.text import parse_date
 from provspark.sources import synth
-from provspark.sources.readers import FILE_BITS, write_tsv
+from provspark.sources.readers import FILE_BITS, scans_without, write_tsv
 
 
 @pytest.fixture
@@ -50,7 +50,7 @@ def test_parquet_positions_in_a_folder_of_files(spark, tmp_path):
 
 
 def test_null_tokens_types_and_ragged_lines(spark, write_lines):
-    path = write_lines(x=["1,NA,", "2,DE,7", "3", "4,'q',8,extra"])
+    path = write_lines(x=["1,NA,", "2,DE,7", "3", "4,'q',8"])
     rows = read_csv(spark, path, "id long, country string, n int", alias="x").data().orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, None, None), (2, "DE", 7), (3, None, None), (4, "'q'", 8)]
     kept = read_csv(spark, path, ["id", "country", "n"], na_values=(), alias="x").data().orderBy("id").collect()
@@ -70,11 +70,32 @@ def test_misfit_value_raises(spark, write_lines):
 def test_lines_with_a_wrong_field_count(spark, write_lines):
     frame = read_lines(spark, write_lines(x=["a,b ", " c", "d,e,f"]), ["p", "q"], alias="x")
     rows = frame.df.orderBy("__prov_x").collect()
-    assert [tuple(r) for r in rows] == [("a", "b", False, 0), ("c", None, True, 1), ("d", "e", True, 2)]
+    assert [tuple(r) for r in rows] == [("a", "b", False, None, 0), ("c", None, True, " c", 1), ("d", "e", True, "d,e,f", 2)]
+    wrong = frame.filter("_field_count_error").select("_line")
+    assert wrong.count() == 2 and wrong.col_prov == {"_line": frozenset({"x._line"})}
+
+
+def test_records_over_several_lines(spark, write_lines):
+    path = write_lines(x=["1,one", '2,"two', 'lines"', "3,three"])
+    rows = read_csv(spark, path, "id long, t string", alias="x", multi_line=True).df.orderBy("__prov_x").collect()
+    assert [tuple(r) for r in rows] == [(1, "one", 0), (2, "two\nlines", 1), (3, "three", 2)]
+
+
+def test_too_many_fields_raise(spark, write_lines):
+    with pytest.raises(Exception, match="more than 2 fields, from: EXTRA"):
+        read_csv(spark, write_lines(x=["1,a", "2,b,EXTRA"]), "id long, t string").count()
+
+
+def test_scans_can_leave_rows_out(spark, write_lines):
+    path = write_lines(x=["a,old", "a,new", "b,only"])
+    with scans_without("x", [1]):
+        reduced = read_csv(spark, path, ["k", "v"], alias="x")
+    assert {tuple(r) for r in reduced.latest_by("k").df.collect()} == {("a", "old", 0), ("b", "only", 2)}
+    assert {r.v for r in read_csv(spark, path, ["k", "v"], alias="x").latest_by("k").df.collect()} == {"new", "only"}
 
 
 def test_tsv_keeps_every_character(spark, tmp_path):
-    data = [("a\tb\nc\\n\r\\", 1), (None, 2), ("", None), ("\\N", 4)]
+    data = [("a\tb\nc\\n\r\\", 1), (None, 2), ("", None), ("\\N", 4), ("a\x01b\\\\t\\\t", 5)]
     write_tsv(spark.createDataFrame(data, "s string, n int"), str(tmp_path / "t"))
     back = read_tsv(spark, str(tmp_path / "t"), "s string, n int").collect()
     assert {tuple(r) for r in back} == set(data)
