@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from provspark.llm.common import hash_texts, plain_words, shared, text_slices
 
 WINDOW, STRIDE = 32, 16
-WORD_BUCKETS, LETTER_BUCKETS = 1 << 14, 1 << 12
+WORD_BUCKETS, LETTER_BUCKETS = 1 << 16, 1 << 12
 WORD_DIM, LETTER_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRAIN_ROWS, TRAIN_CHARS = 3000, 200_000
 STEPS, RESELECT, BATCH, RATE = 600, 150, 128, 0.01
@@ -76,12 +76,20 @@ def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     many = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
     text = np.repeat(np.arange(len(n)), many)
     first = np.cumsum(many) - many
-    start = (np.arange(len(text)) - first[text]) * STRIDE
-    position = start[:, None] + np.arange(WINDOW)[None, :]
-    position = np.where(position < n[text][:, None], position + offsets[text][:, None], -1)
+    start = ((np.arange(len(text)) - first[text]) * STRIDE).astype(np.int32)
+    position = start[:, None] + np.arange(WINDOW, dtype=np.int32)[None, :]
+    beyond = position >= n[text].astype(np.int32)[:, None]
+    position += offsets[text].astype(np.int32)[:, None]
+    position[beyond] = -1
     return position, text, first
 
 
+def codes_of(position: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Word numbers at the positions, -1 beyond the text."""
+    codes = np.append(numbers, -1).astype(np.int32)
+    return codes[position]
+
+
 def new_model(seed: int = 11) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
     normal = lambda *shape, scale: draw.normal(size=shape) * scale
@@ -117,15 +125,18 @@ def _layer(model: dict, side: str, projected: np.ndarray, codes: np.ndarray, kee
     return out
 
 
-def forward(model: dict, inputs: np.ndarray, codes: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Logits of windows given as word numbers (-1 beyond the text)."""
+def project(model: dict, inputs: np.ndarray) -> list[np.ndarray]:
+    """What each word adds to the gates of either direction; the last row serves the code -1."""
     zero = np.zeros((1, 3 * HIDDEN), inputs.dtype)
-    states = []
-    for side in "fb":
-        # The last row serves the code -1.
-        projected = np.vstack((inputs @ model[f"{side}_in"] + model[f"{side}_bias"], zero))
+    return [np.vstack((inputs @ model[f"{side}_in"] + model[f"{side}_bias"], zero)) for side in "fb"]
+
+
+def forward(model: dict, projected: list[np.ndarray], codes: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Logits of windows given as word numbers (-1 beyond the text)."""
+    states, codes = [], codes.astype(np.intp)
+    for side, own in zip("fb", projected):
         steps: list | None = None if keep is None else []
-        states.append(_layer(model, side, projected, codes, steps))
+        states.append(_layer(model, side, own, codes, steps))
         if keep is not None:
             keep[side] = steps
     both = np.concatenate(states, axis=2)
@@ -144,7 +155,7 @@ def gradients(model: dict, words: Vocabulary, codes: np.ndarray, labels: np.ndar
     """Mean log loss of windows and its gradient for every parameter."""
     keep: dict = {}
     inputs = words.inputs(model)
-    logits = forward(model, inputs, codes, keep)
+    logits = forward(model, project(model, inputs), codes, keep)
     p = _sigmoid(logits)
     loss = float(np.mean(np.logaddexp(0, logits) - labels * logits))
     grads = {k: np.zeros_like(v) for k, v in model.items()}
@@ -182,22 +193,23 @@ def gradients(model: dict, words: Vocabulary, codes: np.ndarray, labels: np.ndar
     return loss, grads
 
 
-def worst(model: dict, words: Vocabulary, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's highest window logit (``EMPTY`` without words), the number of that window, and all windows."""
-    position, text, first = windows_of(offsets)
-    codes = np.where(position >= 0, numbers[np.maximum(position, 0)] if len(numbers) else -1, -1)
-    inputs = words.inputs(model)
-    logits = np.empty(len(codes), inputs.dtype)
+def worst(model: dict, words: Vocabulary, codes: np.ndarray, text: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the highest window logit (``EMPTY`` without words) and the number of that window."""
+    projected = project(model, words.inputs(model))
+    logits = np.empty(len(codes), projected[0].dtype)
     for at in range(0, len(codes), 2048):
-        logits[at : at + 2048] = forward(model, inputs, codes[at : at + 2048])
-    top, which = np.full(len(offsets) - 1, EMPTY), np.full(len(offsets) - 1, -1)
-    some = np.diff(offsets) > 0
+        logits[at : at + 2048] = forward(model, projected, codes[at : at + 2048])
+    return _highest(logits, text, first, some)
+
+
+def _highest(values: np.ndarray, text: np.ndarray, first: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top, which = np.full(len(some), EMPTY, values.dtype), np.full(len(some), -1)
     if some.any():
-        top[some] = np.maximum.reduceat(logits, first[some])
-        # The first window with the highest logit.
-        hits = np.nonzero(logits == top[text].astype(logits.dtype))[0]
+        top[some] = np.maximum.reduceat(values, first[some])
+        # The first window with the highest value.
+        hits = np.nonzero(values == top[text])[0]
         which[text[hits][::-1]] = hits[::-1]
-    return top, which, codes
+    return top.astype(np.float64), which
 
 
 def _numbered(texts: list[str]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
@@ -229,21 +241,19 @@ def fit_network(texts: list[str], labels: np.ndarray, toxic_share: float, seed:
     model["word"][:, 0] = np.clip(np.log((held[1] + 1) / (n[1] + 2)) - np.log((held[0] + 1) / (n[0] + 2)), -3, 3)
     model["word"][(held[0] + held[1]) == 0, 0] = 0
     position, text, first = windows_of(offsets)
-    lead = np.where(position >= 0, model["word"][words.word[numbers[np.maximum(position, 0)]], 0], -9).max(axis=1)
     some = np.diff(offsets) > 0
-    which = np.full(len(texts), -1)
-    best = np.full(len(texts), -9.0)
-    best[some] = np.maximum.reduceat(lead, first[some])
-    hits = np.nonzero(lead == best[text])[0]
-    which[text[hits][::-1]] = hits[::-1]
-    codes = np.where(position >= 0, numbers[np.maximum(position, 0)], -1)
+    codes = codes_of(position, numbers)
+    del position, numbers, seen, text_of, learn
+    # At first the worst window is the one with the most telling word.
+    lead = np.append(model["word"][words.word, 0], EMPTY).astype(np.float32)
+    _, which = _highest(np.array([lead[c].max() for c in codes], np.float32), text, first, some)
     train = np.nonzero(some & ~apart)[0]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     clean = np.nonzero((labels[text] == 0) & ~apart[text])[0]
     chosen = train[:0]
     for step in range(1, STEPS + 1):
         if step % RESELECT == 0:
-            _, which, _ = worst(_single(model), words, numbers, offsets)
+            _, which = worst(_single(model), words, codes, text, first, some)
             chosen = chosen[:0]
         if len(chosen) < BATCH:
             other = draw.choice(clean, min(len(clean), len(train) // 2), replace=False) if len(clean) else clean
@@ -259,7 +269,7 @@ def fit_network(texts: list[str], labels: np.ndarray, toxic_share: float, seed:
             v += 0.001 * (g * g - v)
             model[k] = model[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = _single(model)
-    top, _, _ = worst(model, words, numbers, offsets)
+    top, _ = worst(model, words, codes, text, first, some)
     use = apart & some if (apart & some).sum() >= 20 and len(set(labels[apart & some].tolist())) == 2 else some
     balance = np.where(labels == 1, toxic_share / max(labels.mean(), 1e-9), (1 - toxic_share) / max(1 - labels.mean(), 1e-9))
     return model | {"curve": _curve(top[use], labels[use].astype(float), balance[use])}
@@ -302,9 +312,11 @@ def scores(model: dict, texts: pa.Array) -> np.ndarray:
     """Score of each text, 0 to 1."""
     words, offsets = plain_words(texts)
     coded = words.dictionary_encode()
-    top, _, _ = worst(model, Vocabulary(coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int64), offsets)
+    position, text, first = windows_of(offsets)
+    codes, some = codes_of(position, coded.indices.to_numpy()), np.diff(offsets) > 0
+    top, _ = worst(model, Vocabulary(coded.dictionary.to_pylist()), codes, text, first, some)
     slope, offset = model["curve"]
-    return np.where(np.diff(offsets) > 0, _sigmoid(slope * top + offset), 0.0)
+    return np.where(some, _sigmoid(slope * top + offset), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", use: Column | None = None, rows: int = TRAIN_ROWS) -> dict | None:
