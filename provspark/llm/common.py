@@ -87,6 +87,8 @@ def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, in
         high = max(low + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield low, high
         low = high
+    # Tasks share their machine's memory with the JVM: give back what the batch needed.
+    pa.default_memory_pool().release_unused()
 
 
 def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
