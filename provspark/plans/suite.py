@@ -551,7 +551,7 @@ def q_parse_date(spark, sf_dir):
     """Dates written in two notations and parsed back."""
     iso = F.col("o_orderkey") % 2 == 0
     raw = F.when(iso, F.col("o_orderdate").cast("string")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
-    orders = table(spark, sf_dir, "orders").project("raw_date", ["o_orderdate"], raw)
+    orders = table(spark, sf_dir, "orders").project("raw_date", ["o_orderdate", "o_orderkey"], raw)
     parsed = tx.parse_date(F.col("raw_date"), ["dd.MM.yyyy"])
     orders = orders.project("parsed", ["raw_date"], parsed.cast("timestamp_ntz"))
     orders = orders.project("year", ["parsed"], F.year("parsed"))
