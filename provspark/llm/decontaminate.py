@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are white-space separated, lower-cased, without punctuation at their ends. Test items are cut
 into overlapping segments of at most ``SEGMENT`` words, so long items stay cheap and no part of them
-is left out. A segment's seeds are its runs of ``SEED`` words that are rare by chance: with word
-frequencies counted over all documents, the expected frequency of the run is at most ``RARE``; each
-segment keeps its ``LEAST`` rarest runs whatever their frequency. How often a run really occurs does
-not matter, so an item that a third of all documents hold is found like any other.
+is left out. All runs of ``SEED`` words of a segment are its seeds, so a copy is found by any run that
+it keeps, whichever words it lacks and however common the words or the item are.
 
 Every document that holds a seed is aligned with the seed's segment around the place of the hit
 (match +1, mismatch and gap -0.5 per word). The score is the alignment's, divided by the segment's
-length; a segment counts from ``score`` on.
+length; a segment counts from ``score`` on. Places that cannot reach it are passed over: a word of the
+document that the segment does not have costs any alignment across it at least 0.5, and the others
+add at most 1, so the best sum of a stretch bounds the score.
 
-Documents are read in place: two passes, no shuffle of text. The segments go to the tasks in blocks
+Documents are read in place: one pass, no shuffle of text. The segments go to the tasks in blocks
 of at most about ``BLOCK_WORDS`` words; a larger benchmark takes more passes, not more memory.
 
 Defined cases: null or empty texts and items match nothing; items with fewer than ``SEED`` words
@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 from provspark.llm.common import plain_words, shared, text_slices
 from provspark.operators.storage import materialise
 
-SEGMENT, STRIDE, SEED, LEAST = 128, 64, 3, 8
-RARE = 1e-8
+SEGMENT, STRIDE, SEED = 128, 64, 3
 BLOCK_WORDS = 1 << 19
-ALIGNED = 512
+HITS, ALIGNED = 1 << 16, 512
 MISMATCH = GAP = 0.5
 LEAKS = "array<struct<item_id:bigint,score:double>>"
 
@@ -70,20 +69,23 @@ class Block:
         self.vocabulary = pa.array(vocabulary, pa.large_string())
         self.parts = [np.array([number[w] for w in r.words], np.int64) for r in rows]
 
-    def set_seeds(self, frequency: np.ndarray) -> None:
-        """Index the rare runs. ``frequency``: of each word of the vocabulary among all words of the corpus."""
-        logs = np.log(np.maximum(frequency, 1e-12))
+        self.lengths = np.array([len(p) for p in self.parts])
+        self.set_seeds()
+        # Which words a segment has, by hash: it may say yes to others, never no to its own.
+        self.held = np.zeros(1 << (16 * int(self.lengths.sum())).bit_length(), bool)
+        self.held[self.places(np.repeat(np.arange(len(self.parts)), self.lengths), np.concatenate(self.parts))] = True
+
+    def places(self, segment: np.ndarray, words: np.ndarray) -> np.ndarray:
+        keys = segment.astype(np.uint64) * np.uint64(len(self.vocabulary) + 1) + (words + 1).astype(np.uint64)
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.held).bit_length())
+
+    def set_seeds(self) -> None:
+        """Index all runs of ``SEED`` words."""
         keys, where = [], []
         for s, part in enumerate(self.parts):
-            size = min(SEED, len(part))
-            runs = self.keys(part, size)
-            chance = sum(logs[part[i : i + len(runs)]] for i in range(size))
-            chosen = chance <= np.log(RARE)
-            chosen[np.argsort(chance, kind="stable")[:LEAST]] = True
-            if size < SEED:
-                continue
-            keys.append(runs[chosen])
-            where.append(np.stack((np.full(chosen.sum(), s), np.nonzero(chosen)[0]), axis=1))
+            runs = self.keys(part, SEED)
+            keys.append(runs)
+            where.append(np.stack((np.full(len(runs), s), np.arange(len(runs))), axis=1))
         keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         where = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
         order = np.argsort(keys, kind="stable")
@@ -153,25 +155,53 @@ def leaks_in(texts: pa.Array, block: Block, least: float) -> list[dict]:
     seed = np.searchsorted(block.seeds, keys)
     hit = (seed < len(block.seeds)) & (block.seeds[np.minimum(seed, len(block.seeds) - 1)] == keys)
     at, seed = at[hit], seed[hit]
+    pairs = np.cumsum(block.many[seed])
+    low = 0
+    while low < len(at):
+        # At most about HITS pairs of hit and segment at a time.
+        high = max(low + 1, int(np.searchsorted(pairs, (pairs[low - 1] if low else 0) + HITS, side="right")))
+        align_hits(numbers, offsets, document, block, least, at[low:high], seed[low:high], found)
+        low = high
+    return found
+
+
+def at_most(numbers: np.ndarray, block: Block, segment: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A bound of the alignment score of each segment with its window: the best sum of a stretch of the window."""
+    place = start[:, None] + np.arange((end - start).max())
+    words = numbers[np.minimum(place, len(numbers) - 1)]
+    held = block.held[block.places(segment[:, None], words)] & (words >= 0) & (place < end[:, None])
+    sums = np.cumsum(np.where(held, np.float32(1), np.float32(-MISMATCH)), axis=1, dtype=np.float32)
+    before = np.minimum.accumulate(np.minimum(sums, 0), axis=1)
+    return np.minimum((sums - before).max(axis=1), block.lengths[segment])
+
+
+def align_hits(
+    numbers: np.ndarray, offsets: np.ndarray, document: np.ndarray, block: Block, least: float, at: np.ndarray, seed: np.ndarray,
+    found: list[dict],
+) -> None:
+    """Put into ``found`` what alignments around the hits ``at`` of the seeds reach."""
     many = block.many[seed]
     place = np.repeat(block.first[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at, (segment, position) = np.repeat(at, many), block.where[place].T
-    lengths = np.array([len(p) for p in block.parts])
+    lengths = block.lengths
     pad = lengths // 4 + 4
     # Hits on about the same diagonal lie in one window.
     diagonal = (at - position) // pad[segment]
     windows = np.unique(np.stack((document[at], segment, diagonal), axis=1), axis=0)
+    windows = windows[np.argsort(lengths[windows[:, 1]], kind="stable")]
     for low in range(0, len(windows), ALIGNED):
         some = windows[low : low + ALIGNED]
-        some = some[np.argsort(lengths[some[:, 1]], kind="stable")]
         start = np.maximum(some[:, 2] * pad[some[:, 1]] - pad[some[:, 1]], offsets[some[:, 0]])
         end = np.minimum((some[:, 2] + 2) * pad[some[:, 1]] + lengths[some[:, 1]], offsets[some[:, 0] + 1])
+        able = at_most(numbers, block, some[:, 1], start, end) >= least * lengths[some[:, 1]]
+        some, start, end = some[able], start[able], end[able]
+        if not len(some):
+            continue
         scores = align([block.parts[s] for s in some[:, 1]], [numbers[a:b] for a, b in zip(start, end)])
         for (doc, s, _), score in zip(some, scores / lengths[some[:, 1]]):
             if score >= least:
                 item = block.items[s]
                 found[doc][item] = max(found[doc].get(item, 0.0), float(score))
-    return found
 
 
 def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:
@@ -185,27 +215,6 @@ def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:
             yield Block(rows)
 
 
-def _frequencies(docs: DataFrame, text: str, block: Block) -> np.ndarray:
-    """Share of each word of a block among all words of all documents; counted inside the tasks, then added."""
-    held = shared(docs.sparkSession, block)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held()
-        counts = np.zeros(len(block.vocabulary) + 1, np.int64)
-        for batch in batches:
-            for low, high in text_slices(batch.column(0)):
-                numbers, _ = block.numbers(batch.column(0)[low:high])
-                counts += np.bincount(numbers + 1, minlength=len(counts))
-        some = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
-
-    rows = docs.select(text).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(block.vocabulary) + 1)
-    for r in rows:
-        counts[r.word] = r.n
-    return counts[1:] / max(1.0, counts.sum())
-
-
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     score: float = 0.5, out: str = "leaks",
@@ -214,7 +223,6 @@ def with_leaks(
     docs = docs.drop(out)
     spark, parts = docs.sparkSession, []
     for block in _blocks(spark, benchmark, item, item_text):
-        block.set_seeds(_frequencies(docs, text, block))
         parts.append(_finder(shared(spark, block), score)(F.col(text)))
     if not parts:
         return docs.withColumn(out, F.array().cast(LEAKS))

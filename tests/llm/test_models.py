@@ -164,6 +164,19 @@ def test_leaks(spark):
     assert decontaminate.with_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_leaks_of_an_item_that_many_documents_hold(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    own, common = [f"own{i}" for i in range(40)], [f"w{i}" for i in range(40)]
+    rows = [(i, f"{prose(30)} {' '.join((own, common)[i % 2])} {prose(30)}") for i in range(100)]
+    rows += [(100 + i, prose(100)) for i in range(50)] + [(200, " ".join(own[10:])), (201, " ".join(common[10:])), (202, f"{prose(9)} {' '.join(own[:30])}")]
+    benchmark = spark.createDataFrame([(0, " ".join(own)), (1, " ".join(common))], "item_id long, text string")
+    done = decontaminate.with_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    found = {r.doc_id: [(x.item_id, round(x.score, 6)) for x in r.leaks] for r in done if r.leaks}
+    assert found == {**{i: [(i % 2, 1.0)] for i in range(100)}, 200: [(0, 0.75)], 201: [(1, 0.75)], 202: [(0, 0.75)]}
+
+
 def test_folds(spark):
     import zlib
 
