@@ -7,7 +7,9 @@ it keeps, whichever words it lacks and however common the words or the item are.
 
 Every document that holds a seed is aligned with the seed's segment around the place of the hit
 (match +1, mismatch and gap -0.5 per word). The score is the alignment's, divided by the segment's
-length; a segment counts from ``score`` on. Places that cannot reach it are passed over: a word of the
+length; a segment counts from ``score`` on, or from an alignment of ``COPIED`` on, whatever its share:
+so many words are a copy, also where they are an excerpt of a long item. As segments overlap by
+``STRIDE`` words, an excerpt of that length lies in one of them. Places that cannot reach it are passed over: a word of the
 document that the segment does not have costs any alignment across it at least 0.5, and the others
 add at most 1, so the best sum of a stretch bounds the score.
 
@@ -34,6 +36,7 @@ from provspark.llm.common import plain_words, shared, text_slices
 from provspark.operators.storage import materialise
 
 SEGMENT, STRIDE, SEED = 128, 64, 3
+COPIED = 30
 BLOCK_WORDS = 1 << 19
 HITS, ALIGNED = 1 << 16, 512
 MISMATCH = GAP = 0.5
@@ -131,7 +134,7 @@ def align(parts: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 
 
 def leaks_in(texts: pa.Array, block: Block, least: float) -> list[dict]:
-    """For each text the best score by item, of those that reach ``least``."""
+    """For each text the best score by item, of those that count; ``least``: the share that does."""
     found: list[dict] = [{} for _ in range(len(texts))]
     numbers, offsets = block.numbers(texts)
     document = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -184,6 +187,7 @@ def align_hits(
     place = np.repeat(block.first[seed], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at, (segment, position) = np.repeat(at, many), block.where[place].T
     lengths = block.lengths
+    enough = np.minimum(least * lengths, COPIED)
     pad = lengths // 4 + 4
     # Hits on about the same diagonal lie in one window.
     diagonal = (at - position) // pad[segment]
@@ -193,15 +197,15 @@ def align_hits(
         some = windows[low : low + ALIGNED]
         start = np.maximum(some[:, 2] * pad[some[:, 1]] - pad[some[:, 1]], offsets[some[:, 0]])
         end = np.minimum((some[:, 2] + 2) * pad[some[:, 1]] + lengths[some[:, 1]], offsets[some[:, 0] + 1])
-        able = at_most(numbers, block, some[:, 1], start, end) >= least * lengths[some[:, 1]]
+        able = at_most(numbers, block, some[:, 1], start, end) >= enough[some[:, 1]]
         some, start, end = some[able], start[able], end[able]
         if not len(some):
             continue
         scores = align([block.parts[s] for s in some[:, 1]], [numbers[a:b] for a, b in zip(start, end)])
-        for (doc, s, _), score in zip(some, scores / lengths[some[:, 1]]):
-            if score >= least:
+        for (doc, s, _), score in zip(some, scores):
+            if score >= enough[s]:
                 item = block.items[s]
-                found[doc][item] = max(found[doc].get(item, 0.0), float(score))
+                found[doc][item] = max(found[doc].get(item, 0.0), float(score / lengths[s]))
 
 
 def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:

@@ -177,6 +177,22 @@ def test_leaks_of_an_item_that_many_documents_hold(spark):
     assert found == {**{i: [(i % 2, 1.0)] for i in range(100)}, 200: [(0, 0.75)], 201: [(1, 0.75)], 202: [(0, 0.75)]}
 
 
+def test_leaks_of_excerpts(spark):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: [draw.choice(words) for _ in range(n)]
+    own, rows = some(300), []
+    for n in (32, 50, 60, 63, 64):
+        rows += [(1000 * n + at, " ".join(some(80) + own[at : at + n] + some(80))) for at in range(0, 301 - n, 23)]
+    rows += [(at, " ".join(some(20) + [draw.choice(words) if i % 5 == 2 else w for i, w in enumerate(own[at : at + 85])])) for at in (0, 40, 120, 215)]
+    others = [(500 + i, " ".join(some(60) + own[9 * i : 9 * i + 20] + some(60))) for i in range(30)]
+    docs = spark.createDataFrame(rows + others, "doc_id long, text string")
+    done = decontaminate.with_leaks(docs, spark.createDataFrame([(7, " ".join(own))], "item_id long, text string"))
+    found = {r.doc_id: r.leaks[0] for r in done.where("size(leaks) > 0").collect()}
+    assert set(found) == {i for i, _ in rows}
+    assert all(x.item_id == 7 and 0.2 < x.score <= 1 for x in found.values())
+
+
 def test_folds(spark):
     import zlib
 
