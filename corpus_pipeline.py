@@ -44,8 +44,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced in the texts."""
-    done = pii.sanitise(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Personal data and the terms that disclose it are replaced in all texts, whether or not they hold the data."""
+    done = pii.sanitise(docs, everywhere=True).withColumn("n_chars", F.char_length("text").cast("long"))
     return done.select(*docs.columns)
 
 

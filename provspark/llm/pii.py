@@ -9,7 +9,8 @@ content of the entity,
 
 which is 1 if the term occurs only in lines with the entity. Terms seen beside the entity in at least
 ``min_support`` different lines are generalised from ``generalise_at`` and removed from ``remove_at``
-on, in every text that holds the entity.
+on: with ``everywhere`` in every text that names them, with or without the entity, removed if any
+entity asks for it; else only in the texts that hold the entity.
 
 Matches are leftmost and do not overlap within a kind. The patterns below say the same as the plain
 ones but never try the inside of a run again, so a long run costs linear time. No match crosses a
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.common import materialise
+from provspark.operators.sizing import broadcast_if_small
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -43,6 +45,8 @@ GUARDS = {
 }
 TERM = r"\p{L}{4,}"
 BLOCK = 256
+# Texts with terms, counted by term, that are joined by broadcast.
+TERM_ROWS = 100_000
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -172,21 +176,40 @@ def disclosing_terms(
     return materialise(pairs.select("entity", "term", "disclosure", (F.col("disclosure") >= remove_at).alias("removed")), "disclosure")
 
 
-def find_private(df: DataFrame, text: str = "text", **limits) -> DataFrame:
+def _terms_of_entities(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(_key, _terms)``: the terms that disclose an entity of the text."""
+    texts = found.select("_key", F.explode(F.array_distinct(F.transform("pii_spans", _entity))).alias("entity")).distinct()
+    return texts.join(terms, "entity").groupBy("_key").agg(F.collect_set(F.struct("term", "removed")).alias("_terms"))
+
+
+def _terms_of_texts(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``(_key, _terms)``: the terms a text names that disclose any entity; texts that name none are left out."""
+    terms = materialise(terms.groupBy("term").agg(F.max("removed").alias("removed")), "terms")
+    named = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
+    texts = df.select(F.md5(text).alias("_key"), F.explode(named).alias("term")).join(broadcast_if_small(terms), "term")
+    texts = texts.groupBy("_key").agg(F.collect_set(F.struct("term", "removed")).alias("_terms"))
+    texts = materialise(texts, "text-terms")
+    return broadcast_if_small(texts, texts.agg(F.sum(F.size("_terms"))).first()[0] or 0, TERM_ROWS)
+
+
+def find_private(df: DataFrame, text: str = "text", everywhere: bool = False, **limits) -> DataFrame:
     """Add ``pii_spans``: the base entities by kind and start, then the spans of disclosing terms.
 
-    Only texts that hold an entity meet the disclosure table; the others pass without a shuffle.
+    Without ``everywhere`` only texts that hold an entity meet the disclosure table; the others pass
+    without a shuffle.
     """
     terms = disclosing_terms(df, text, **limits)
     df = df.drop("pii_spans")
     found = with_entities(df, text, "pii_spans")
     if terms.isEmpty():
         return found
-    clean = found.where("size(pii_spans) = 0").withColumn("pii_spans", F.array().cast(SPANS))
-    held = found.where("size(pii_spans) > 0").withColumn("_key", F.md5(F.col(text)))
-    texts = held.select("_key", F.explode(F.array_distinct(F.transform("pii_spans", _entity))).alias("entity")).distinct()
-    term = F.struct("term", "removed")
-    texts = texts.join(terms, "entity").groupBy("_key").agg(F.collect_set(term).alias("_terms"))
+    if everywhere:
+        held, clean = found.withColumn("_key", F.md5(text)), None
+        texts = _terms_of_texts(df, text, terms)
+    else:
+        clean = found.where("size(pii_spans) = 0").withColumn("pii_spans", F.array().cast(SPANS))
+        held = found.where("size(pii_spans) > 0").withColumn("_key", F.md5(F.col(text)))
+        texts = _terms_of_entities(held, terms)
     held = held.join(texts, "_key", "left")
     held = held.withColumn("_words", matches(F.col(text), "term", TERM, F.col("_terms").isNotNull()))
 
@@ -195,7 +218,8 @@ def find_private(df: DataFrame, text: str = "text", **limits) -> DataFrame:
         return F.transform(F.filter("_words", is_term), lambda s: s.withField("kind", F.lit(kind)))
 
     spans = F.coalesce(F.concat("pii_spans", known("removed", True), known("general", False)), "pii_spans")
-    return held.withColumn("pii_spans", spans).drop("_key", "_terms", "_words").unionByName(clean)
+    held = held.withColumn("pii_spans", spans).drop("_key", "_terms", "_words")
+    return held if clean is None else held.unionByName(clean)
 
 
 def span_text(spans: Column) -> Column:
@@ -210,12 +234,12 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s.kind.isin(*KINDS))
 
 
-def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", everywhere: bool = False, **limits) -> DataFrame:
     """``df`` with entities replaced by their kind, disclosing terms generalised (``[term]``) or removed.
 
     Adds ``pii_spans`` with positions in the text as it was. Spans that overlap are replaced as one.
     """
-    found = find_private(df, text, **limits)
+    found = find_private(df, text, everywhere, **limits)
     ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     whole = F.col(text)

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"), everywhere=True)
     spans = F.col("pii_spans")
     return found.select(
         "doc_id",
