@@ -13,7 +13,13 @@ so many words are a copy, also where they are an excerpt of a long item. As segm
 document that the segment does not have costs any alignment across it at least 0.5, and the others
 add at most 1, so the best sum of a stretch bounds the score.
 
-Documents are read in place: one pass, no shuffle of text. The segments go to the tasks in blocks
+All these are matches. Not all of them tell that the item was copied: ``telling`` says so from an
+alignment of ``TELLING`` on, and below if words as common by chance are rare: with word frequencies
+counted over all documents, the product for the item's commonest words, as many as the alignment, is
+at most ``RARE``. Items of fewer than ``TELLING`` words must be there whole for that, and items of
+fewer than ``SEED`` words never tell. Documents should be rejected for telling matches only.
+
+Documents are read in place: one pass, two where items are short; no shuffle of text. The segments go to the tasks in blocks
 of at most about ``BLOCK_WORDS`` words; a larger benchmark takes more passes, not more memory.
 
 Defined cases: null or empty texts and items match nothing; items with fewer than ``SEED`` words
@@ -36,11 +42,11 @@ from provspark.llm.common import plain_words, shared, text_slices
 from provspark.operators.storage import materialise
 
 SEGMENT, STRIDE, SEED = 128, 64, 3
-COPIED = 30
+COPIED, TELLING, RARE = 30, 8, 1e-8
 BLOCK_WORDS = 1 << 19
 HITS, ALIGNED = 1 << 16, 512
 MISMATCH = GAP = 0.5
-LEAKS = "array<struct<item_id:bigint,score:double>>"
+LEAKS = "array<struct<item_id:bigint,score:double,telling:boolean>>"
 
 
 def segments(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -74,6 +80,7 @@ class Block:
 
         self.lengths = np.array([len(p) for p in self.parts])
         self.set_seeds()
+        self.chances: dict[int, np.ndarray] = {}
         # Which words a segment has, by hash: it may say yes to others, never no to its own.
         self.held = np.zeros(1 << (16 * int(self.lengths.sum())).bit_length(), bool)
         self.held[self.places(np.repeat(np.arange(len(self.parts)), self.lengths), np.concatenate(self.parts))] = True
@@ -99,6 +106,24 @@ class Block:
             if len(part) < SEED:
                 self.short.setdefault(tuple(part.tolist()), []).append(s)
 
+    def short_items(self, least: float) -> bool:
+        """Whether a match may be shorter than ``TELLING``, so that word frequencies are needed."""
+        return bool((np.minimum(least * self.lengths, COPIED) < TELLING).any())
+
+    def set_chances(self, frequency: np.ndarray, least: float) -> None:
+        """Log chance of the commonest 1, 2, ... words of short segments. ``frequency``: of each word of the vocabulary."""
+        logs = np.log(np.maximum(frequency, 1e-12))
+        for s in np.nonzero(np.minimum(least * self.lengths, COPIED) < TELLING)[0]:
+            self.chances[int(s)] = np.cumsum(np.sort(logs[self.parts[s]])[::-1])
+
+    def telling(self, s: int, score: float) -> bool:
+        if score >= TELLING:
+            return True
+        length = len(self.parts[s])
+        if length < SEED or (length < TELLING and score < length):
+            return False
+        return bool(self.chances[int(s)][int(np.ceil(score)) - 1] <= np.log(RARE))
+
     def keys(self, numbers: np.ndarray, size: int) -> np.ndarray:
         """One number per run of words; below 2^63 for up to 2^20 words and runs of three."""
         out = np.zeros(max(0, len(numbers) - size + 1), np.int64)
@@ -134,7 +159,7 @@ def align(parts: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 
 
 def leaks_in(texts: pa.Array, block: Block, least: float) -> list[dict]:
-    """For each text the best score by item, of those that count; ``least``: the share that does."""
+    """For each text ``(best score, telling)`` by item, of those that count; ``least``: the share that does."""
     found: list[dict] = [{} for _ in range(len(texts))]
     numbers, offsets = block.numbers(texts)
     document = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -145,7 +170,7 @@ def leaks_in(texts: pa.Array, block: Block, least: float) -> list[dict]:
         for at in np.nonzero(np.isin(keys, list(wanted)) & inside)[0]:
             if (numbers[at : at + size] >= 0).all():
                 for s in wanted[int(keys[at])]:
-                    found[document[at]][block.items[s]] = 1.0
+                    found[document[at]][block.items[s]] = (1.0, False)
     known = numbers >= 0
     n = len(numbers) - SEED + 1
     if n <= 0 or not len(block.seeds):
@@ -205,7 +230,12 @@ def align_hits(
         for (doc, s, _), score in zip(some, scores):
             if score >= enough[s]:
                 item = block.items[s]
-                found[doc][item] = max(found[doc].get(item, 0.0), float(score / lengths[s]))
+                found[doc][item] = _best(found[doc].get(item), (float(score / lengths[s]), block.telling(s, score)))
+
+
+def _best(a: tuple | None, b: tuple) -> tuple:
+    """The best score of two matches of an item, telling if one of them is."""
+    return b if a is None else (max(a[0], b[0]), a[1] or b[1])
 
 
 def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:
@@ -219,20 +249,48 @@ def _blocks(spark, benchmark: DataFrame, item: str, text: str) -> list[Block]:
             yield Block(rows)
 
 
+def _frequencies(docs: DataFrame, text: str, block: Block) -> np.ndarray:
+    """Share of each word of a block among all words of all documents; counted inside the tasks, then added."""
+    held = shared(docs.sparkSession, block)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held()
+        counts = np.zeros(len(block.vocabulary) + 1, np.int64)
+        for batch in batches:
+            for low, high in text_slices(batch.column(0)):
+                numbers, _ = block.numbers(batch.column(0)[low:high])
+                counts += np.bincount(numbers + 1, minlength=len(counts))
+        some = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
+
+    rows = docs.select(text).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(block.vocabulary) + 1)
+    for r in rows:
+        counts[r.word] = r.n
+    return counts[1:] / max(1.0, counts.sum())
+
+
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     score: float = 0.5, out: str = "leaks",
 ) -> DataFrame:
-    """Add ``out``: the test items a document holds, an array of ``(item_id, score)`` ordered by item."""
+    """Add ``out``: the test items a document holds, an array of ``(item_id, score, telling)`` ordered by item."""
     docs = docs.drop(out)
     spark, parts = docs.sparkSession, []
     for block in _blocks(spark, benchmark, item, item_text):
+        if block.short_items(score):
+            block.set_chances(_frequencies(docs, text, block), score)
         parts.append(_finder(shared(spark, block), score)(F.col(text)))
     if not parts:
         return docs.withColumn(out, F.array().cast(LEAKS))
     return docs.withColumn(out, parts[0] if len(parts) == 1 else _merged(F.concat(*parts)))
 
 
+def telling_leaks(leaks: Column) -> Column:
+    """Those matches that a document should be rejected for."""
+    return F.filter(leaks, lambda x: x.telling)
+
+
 def _merged(leaks: Column) -> Column:
     """The best score of each item; segments of one item may lie in several blocks."""
 
@@ -242,7 +300,7 @@ def _merged(leaks: Column) -> Column:
         for found in leaks.to_pylist():
             best: dict = {}
             for x in found:
-                best[x["item_id"]] = max(best.get(x["item_id"], 0.0), x["score"])
+                best[x["item_id"]] = _best(best.get(x["item_id"]), (x["score"], x["telling"]))
             rows.append(best)
         return _as_array(rows)
 
@@ -252,8 +310,8 @@ def _merged(leaks: Column) -> Column:
 def _as_array(rows: list[dict]) -> pa.Array:
     order = lambda x: sorted(x.items(), key=lambda y: (y[0] is None, y[0]))
     return pa.array(
-        [[{"item_id": i, "score": s} for i, s in order(x)] for x in rows],
-        pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])),
+        [[{"item_id": i, "score": s, "telling": t} for i, (s, t) in order(x)] for x in rows],
+        pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("telling", pa.bool_())])),
     )
 
 

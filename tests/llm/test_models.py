@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from provspark.llm import decontaminate, langid, toxicity
+import corpus_pipeline
+from provspark.llm import decontaminate, langid, queries, toxicity
 from provspark.llm.common import held_out
 from provspark.llm.queries import QUERIES
 
@@ -193,6 +194,26 @@ def test_leaks_of_excerpts(spark):
     assert all(x.item_id == 7 and 0.2 < x.score <= 1 for x in found.values())
 
 
+def test_short_items_tell_only_if_whole_and_rare(spark, tmp_path):
+    draw = random.Random(10)
+    words = [f"w{i}" for i in range(5000)] + ["what"] * 100 + ["is"] * 400 + ["the"] * 700
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [(0, "What is the capital of Zembla?"), (1, "yes"), (2, "the is"), (3, "is the what"), (4, "what is the long river that runs through Zembla")]
+    rows = [(i, prose(100)) for i in range(100)]
+    rows += [(200, prose(20) + " what is the matter"), (201, "yes"), (202, prose(9) + " is the what"), (203, prose(30) + " what is the capital of Zembla " + prose(30))]
+    rows += [(204, "what is the long river that flows through Zembla"), (205, "what is the long walk")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    done = {r.doc_id: {x.item_id: x.telling for x in r.leaks} for r in decontaminate.with_leaks(docs, benchmark).collect()}
+    assert done[200] == {0: False} and done[201] == {1: False} and done[202][3] is False
+    assert done[203][0] is True and done[204][4] is True and done[205] == {0: False}
+    assert {i for i in done if True in done[i].values()} == {203, 204}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()} == {(203, 0), (204, 4)}
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert {i for i, _ in rows} - {r.doc_id for r in kept.collect()} == {203, 204}
+
+
 def test_folds(spark):
     import zlib
 
