@@ -3,8 +3,9 @@
 A page is parsed into a tree without the parts that never hold an article (scripts, forms, menus,
 and elements whose class or id names them). Every paragraph passes points for its length and commas
 to its parent, and half of them to its grandparent; the points of a container are discounted by the
-share of its text that stands in links. The best container is kept, with siblings that score well or
-read like prose. Its blocks, in page order, are the text.
+share of its text that stands in links. The best container is kept, with all siblings that score well
+or have text of which little stands in links, of whatever tag: lists, tables, short blocks, bare text
+(what is inline between two blocks counts as one). The blocks, in page order, are the text.
 
 Defined cases: a null or empty page, and one without text, give an empty text; character references
 are decoded; an element that is not closed ends where its parent or the next block of its kind
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -215,16 +217,17 @@ def main_text(page: str | None) -> str:
     best = max(containers.values(), key=lambda n: score[id(n)])
     if best.parent is None or best.tag in ("body", "article", "main"):
         return "\n\n".join(_texts(best))
-    limit, blocks = max(10.0, 0.2 * score[id(best)]), []
-    for sibling in _kept(best.parent):
-        if sibling is best:
-            blocks.extend(_texts(best))
-        elif not isinstance(sibling, str):
-            density = _link_density(sibling)
-            prose = sibling.tag in PARAGRAPHS and sibling.n_text and density < 0.25
-            if score.get(id(sibling), 0.0) >= limit or prose:
-                blocks.extend(_texts(sibling))
-    return "\n\n".join(blocks)
+    limit, shown = max(10.0, 0.2 * score[id(best)]), Node("div", None, {})
+    for _, run in groupby(_kept(best.parent), lambda c: id(c) if not isinstance(c, str) and c.tag in BLOCKS else 0):
+        run = list(run)
+        n_text = sum(len("".join(c.split())) if isinstance(c, str) else c.n_text for c in run)
+        n_link = sum(c.n_link for c in run if not isinstance(c, str))
+        if run[0] is best or score.get(id(run[0]), 0.0) >= limit or n_link < 0.25 * n_text:
+            shown.children.extend(run)
+        else:
+            # What stands before and after is not one block.
+            shown.children.append(Node("div", None, {}))
+    return "\n\n".join(_texts(shown))
 
 
 def extract_main(pages: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:

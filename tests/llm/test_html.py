@@ -30,6 +30,21 @@ def test_article_is_found(open_, close):
     assert html.main_text(page) == EXPECTED
 
 
+def test_siblings_of_the_best_container_are_kept():
+    prose = "".join(f"<p>{markup.escape(p)}</p>" for p in PARAGRAPHS + PARAGRAPHS[:2])
+    parts = [
+        "<ul><li>First point</li><li>Second point</li></ul>", "<ol><li>One</li></ol>", "<dl><dt>Term</dt><dd>Meaning</dd></dl>",
+        "<table><tr><th>Year</th><td>1990</td></tr></table>", "<figure><img src=x><figcaption>A view</figcaption></figure>",
+        "<details><summary>More</summary>to read</details>", "Bare text with <b>bold</b> and <a href=x>one</a> link.", "<div><p>Short end.</p></div>",
+    ]
+    shown = ["First point", "Second point", "One", "Term", "Meaning", "Year", "1990", "A view", "More", "to read", "Bare text with bold and one link.", "Short end."]
+    links = "<ul><li><a href=a>Another story</a></li><li><a href=b>And one more</a></li></ul><a href=c>Next page</a>"
+    page = f"<body>{CHROME}<div><div>{prose}</div>{''.join(parts[:-1])}{parts[-1]}{links}</div>{AFTER}</body>"
+    assert html.main_text(page) == "\n\n".join([*PARAGRAPHS, *PARAGRAPHS[:2], *shown])
+    page = f"<body>{CHROME}<section>Before<table><tr><td>In a table</td></tr></table><section>{prose}</section></section>{links}</body>"
+    assert html.main_text(page) == "\n\n".join(["Before", "In a table", *PARAGRAPHS, *PARAGRAPHS[:2]])
+
+
 def test_broken_markup_and_references():
     page = "<body><nav><a href=x>m</a></nav><article><h1>A &amp; B</h1><p><b>One &quot;x&quot;,\n two<br><p>Three&nbsp;four &#233; &am"
     assert html.main_text(page) == 'A & B\n\nOne "x", two\n\nThree four é &am'
