@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.llm.common import bounded_sample
+from provspark.operators.sizing import broadcast_if_small
+from provspark.operators.storage import materialise
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
@@ -111,9 +113,9 @@ def judge_urls(
 ) -> DataFrame:
     """Add ``host, path, rule, block_score, verdict`` (score of the trees: 0 to 1, 1 is block).
 
-    The trees and the suffix statistics learn from a sample of about ``train_rows`` different URLs that
-    a rule labels, drawn by a hash of the URL; the suffix table therefore has at most that many rows and is
-    broadcast. Scoring is one pass without a shuffle.
+    The suffix statistics count all different URLs that a rule labels; the trees learn from a sample of
+    about ``train_rows`` of them, drawn by a hash of the URL. Scoring is one pass, without a shuffle while
+    the suffix table is small enough for a broadcast.
     """
     own = ("host", "path", "rule", "block_score", "verdict")
     columns = [c for c in pages.columns if c.lower() not in own]
@@ -121,19 +123,22 @@ def judge_urls(
     judged = with_host_path(pages.select(*kept, F.col(url).alias("url")))
     judged = judged.withColumn("rule", rule_of(rules)).withColumn("by_rule", verdict_of(rules))
     label = (F.col("by_rule") == "block").cast("double")
-    sample = bounded_sample(judged.where("by_rule is not null").select("url", "host", "path", label.alias("label")).distinct(), train_rows, "url")
-    sample = with_lexical_features(sample)
-    n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
-    if n and 0 < blocked < n:
+    labelled = judged.where("by_rule is not null").select("url", "host", "path", label.alias("label")).distinct()
+    sample = with_lexical_features(bounded_sample(labelled, train_rows, "url"))
+    drawn, blocked = sample.agg(F.count("*"), F.sum("label")).first()
+    if drawn and 0 < blocked < drawn:
+        counts = with_lexical_features(labelled).groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
+        counts = materialise(counts, "suffixes")
+        n, blocked = counts.agg(F.sum("n"), F.sum("blocked")).first()
         rate = blocked / n
-        suffixes = sample.groupBy("suffix").agg(
-            ((F.sum("label") + 10 * rate) / (F.count("*") + 10)).alias("suffix_rate"),
-            (F.count("*") / n).alias("suffix_share"),
+        suffixes = counts.select(
+            "suffix", ((F.col("blocked") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / n).alias("suffix_share"),
         )
+        suffixes = broadcast_if_small(suffixes)
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
         def prepared(df: DataFrame) -> DataFrame:
-            df = df.join(F.broadcast(suffixes), "suffix", "left")
+            df = df.join(suffixes, "suffix", "left")
             return vectors.transform(df.fillna({"suffix_rate": rate, "suffix_share": 0.0}))
 
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=64).fit(

@@ -147,3 +147,12 @@ def test_trees_learn(spark):
 
 def test_digest_of_nothing(spark):
     assert spark.range(1).select(F.sha2(pii.span_text(F.array().cast(pii.SPANS)), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_suffixes_outside_the_sample_count(spark):
+    ends = [a + b for a in "xyz" for b in "abcdefgh"]
+    rules = [urls.Rule(("allow", "block")[i % 2], f"known.{e}") for i, e in enumerate(ends)]
+    made = [f"http://known.{e}/{'abcdefghijklmnopqrst'[k]}" for e in ends for k in range(20)] + [f"http://other.{e}/a" for e in ends]
+    df = spark.createDataFrame([(u,) for u in made], "url string")
+    done = urls.judge_urls(df, rules, train_rows=24, trees=3).where("rule is null").collect()
+    assert {r.host[-2:]: r.verdict for r in done} == {e: ("allow", "block")[i % 2] for i, e in enumerate(ends)}
