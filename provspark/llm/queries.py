@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm import chat, decontaminate, embeddings, html, langid, minhash, pieces, pii, toxicity, urls
+from provspark.llm import (
+    chat, compress, decontaminate, embeddings, html, interaction, langid, minhash, packing, pieces, pii, toxicity, urls,
+)
 from provspark.llm.common import held_out
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +183,114 @@ URL_RULES = [
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
+
+
+FAILS = {
+    "A": interaction.few_words(200),
+    "B": interaction.repeated_words(50),
+    "C": interaction.many_capitals(3),
+    "D": interaction.holds_any("#$%&*|"),
+    "E": interaction.REPEAT,
+}
+
+
+@query
+def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part"))
+    return interaction.audit(docs, FAILS, "part", table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_interaction"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), label AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), flagged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 200 AS INT) + CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) * 2
+    + CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) * 4
+    + CAST(regexp_matches(text, '[#$%&*|]') AS INT) * 8
+    + CAST(t.doc_id > min(t.doc_id) OVER (PARTITION BY text) AS INT) * 16 AS mask
+  FROM texts t LEFT JOIN label USING (doc_id)
+), masks AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flagged GROUP BY ALL
+), letter(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+  FROM orders, range(1, 6) r(step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN CAST(mask AS BIGINT) & CAST(before + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(before AS BIGINT) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(before AS BIGINT) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(before AS BIGINT) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(before AS BIGINT) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query
+def op12_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = compress.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    digest = F.lit(compress.codebooks_digest(codebooks)).alias("codebooks_sha256")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", digest)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The codebooks and assignments of each round, one after another."""
+    assign = """a{r} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance FROM (
+    SELECT v.vec_id, v.part, b.entry, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS distance
+    FROM parts v JOIN b{r} b ON v.part = b.part
+  ) GROUP BY vec_id, part
+)"""
+    move = """b{s} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT a.part, a.entry, i, sum(v.x[i]) AS s, count(*) AS n
+      FROM a{r} a JOIN parts v ON v.vec_id = a.vec_id AND v.part = a.part, range(1, 1000) r(i) WHERE i <= len(v.x) GROUP BY ALL
+    ) GROUP BY part, entry
+  ) m ON m.part = b.part AND m.entry = b.entry
+)"""
+    out = []
+    for r in range(rounds):
+        out += [assign.format(r=r), move.format(r=r, s=r + 1)]
+    return ",\n".join([*out, assign.format(r=rounds)])
+
+
+ORACLES["op12_compress"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS MATERIALIZED (
+  SELECT vec_id, CAST(p AS INT) AS part, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x FROM kept, range(0, 8) r(p)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16
+), b0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN firsts USING (vec_id)),
+{_rounds_sql(6)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM a6 GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6
+)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded c JOIN kept USING (vec_id), digest
+"""
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.load_tokenizer(spark, BYTE_MODEL), capacity=2048)
