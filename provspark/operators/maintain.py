@@ -1,23 +1,29 @@
 """Incremental maintenance: delete values or records from all artifacts without a rerun.
 
-Cost follows the affected rows: they are found by one narrow column, read from the files that
-hold them, and stored as an overlay (see ``sources.artifacts``). Labels and encoder states stay
-as they were fitted.
+Cost follows the files that hold affected rows: they are looked up in an index, and they alone are read
+and written anew (see ``sources.tables``), whatever the size of the request. A request may ask for any
+number of columns, records and sources; it is one version and one pass over those files. Labels and
+encoder states stay as they were fitted.
+
+A deletion applies to the latest version of the run's branch: if another one was faster, both are in
+effect in the end. Deleted data stays in earlier versions until ``purge``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.naming import SAMPLE_ID
 from provspark.functions.vectors import zero_ranges
 from provspark.operators import lineage
-from provspark.operators.frame import settled_ids
 from provspark.operators.network import Network, gradient_sums, prediction, probability
-from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN
-from provspark.operators.storage import together
-from provspark.sources.artifacts import REMOVED, Run, commit_version
+from provspark.operators.split import SPLIT, TEST, TRAIN
+from provspark.operators.storage import materialise, together
+from provspark.sources.artifacts import Run, next_version
+from provspark.sources.tables import REQUESTS, request_table
 
 
 # --- building blocks, usable on any table ---------------------------------------------------
@@ -75,6 +81,83 @@ def unlearn_instances(network: Network, removed: DataFrame, rate: float = 1.0, s
 
 # --- deletions on a stored run --------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Target:
+    """What a request asks for: to empty the impact of a source column, or to remove the sample."""
+
+    columns: tuple[str, ...] = ()
+    ranges: tuple[tuple[int, int], ...] = ()
+    remove: bool = False
+
+    @staticmethod
+    def column(run: Run, source: str, column: str) -> "Target":
+        columns = lineage.output_columns(run, source, column)
+        return Target(tuple(columns), tuple(lineage.feature_ranges(run, columns)))
+
+
+def _asked(targets: list[Target], condition) -> Column:
+    """Whether a row is asked for any target that meets the condition."""
+    numbers = [i for i, t in enumerate(targets) if condition(t)]
+    if not numbers:
+        return F.lit(False)
+    return F.coalesce(F.arrays_overlap("__targets", F.array(*[F.lit(i) for i in numbers])), F.lit(False))
+
+
+def patched_by(targets: list[Target], column: str = "features") -> Column:
+    """The feature vector with the ranges of all asked targets zeroed."""
+    vector = F.col(column)
+    for i, target in enumerate(targets):
+        if target.ranges:
+            asked = F.coalesce(F.array_contains("__targets", i), F.lit(False))
+            vector = F.when(asked, zero_ranges(vector, list(target.ranges))).otherwise(vector)
+    return vector
+
+
+def apply_requests(run: Run, kind: str, requests: DataFrame, size: int, targets: list[Target], rate: float, sign: int) -> Run:
+    """Apply a request table ``(prov, id, target)`` to all artifacts, as one version."""
+    removed = _asked(targets, lambda t: t.remove)
+    patching = _asked(targets, lambda t: t.ranges)
+    columns = sorted({c for t in targets for c in t.columns})
+
+    def relational(df: DataFrame) -> DataFrame:
+        df = df.where(~removed)
+        for c in columns:
+            df = null_out(df, [c], _asked(targets, lambda t, c=c: c in t.columns))
+        return df
+
+    changes = {
+        "relational": relational,
+        "matrix": lambda df: df.where(~removed).withColumn("features", patched_by(targets)),
+        "scores": lambda df: df.where(~removed),
+    }
+    if not any(t.remove for t in targets):
+        del changes["scores"]
+        if not any(t.ranges for t in targets):
+            del changes["matrix"]
+
+    def unlearned(run: Run, hits) -> Network:
+        network = run.model()
+        rows = hits.rows().where((F.col(SPLIT) == TRAIN) & F.col("__targets").isNotNull())
+        moved = network.flat
+        if any(t.ranges for t in targets):
+            pairs = rows.where(patching & ~removed).withColumn("patched", patched_by(targets))
+            moved = moved + unlearn_features(network, pairs, rate).flat - network.flat
+        if any(t.remove for t in targets):
+            moved = moved + unlearn_instances(network, rows.where(removed), rate, sign).flat - network.flat
+        return network.with_flat(moved)
+
+    def make(run: Run):
+        hits = dict(zip(run.tables, together(*[lambda t=t: t.hits(requests, size) for t in run.tables.values()]), strict=True))
+        hits = {name: h for name, h in hits.items() if name in changes}
+        actions = [lambda h=h, c=changes[name]: h.replaced(c) for name, h in hits.items()]
+        actions.append(lambda: hits["relational"].rows().where("__targets is not null").count() if hits["relational"].files else 0)
+        actions.append(lambda: unlearned(run, hits["matrix"]) if "matrix" in hits and hits["matrix"].files else run.model())
+        *written, changed, network = together(*actions)
+        return dict(zip(hits, written, strict=True)), {name: h.files for name, h in hits.items()}, network, changed
+
+    return next_version(run, kind, make)
+
+
 def delete_features(
     run: Run, column_source: str, column: str, row_source: str, row_ids, rate: float = 1.0
 ) -> Run:
@@ -84,56 +167,39 @@ def delete_features(
     and the weights unlearn the old values. Returns the new version of the run. Sources are
     given by alias, path or parameter name.
     """
-    prov = run.prov_of(row_source)
-    columns = lineage.output_columns(run, column_source, column)
-    ranges = lineage.feature_ranges(run, columns)
-    path = run.new_version_path()
-    row_ids = settled_ids(run.spark, row_ids)
-
-    def relational_part():
-        rows = run.relational_table.rows_from(prov, row_ids)
-        emptied = null_out(rows.df, columns).withColumn(REMOVED, F.lit(False))
-        return rows.replaced_by(emptied, f"{path}/relational")
-
-    def matrix_part():
-        vectors = run.matrix_table.rows_from(prov, row_ids)
-        patched = patch_features(vectors.df, ranges).withColumn(REMOVED, F.lit(False))
-        pairs = before_after(vectors.df.where(F.col(SPLIT) == TRAIN), ranges)
-        return together(
-            lambda: vectors.replaced_by(patched, f"{path}/matrix"),
-            lambda: unlearn_features(run.model(), pairs, rate) if ranges else run.model(),
-        )
-
-    relational, (matrix, network) = together(relational_part, matrix_part)
-    return commit_version(run, "delete_features", path, relational, matrix, network)
+    target = Target.column(run, column_source, column)
+    requests, size = request_table(run.spark, [(run.prov_of(row_source), row_ids, 0)])
+    return apply_requests(run, "delete_features", requests, size, [target], rate, 1)
 
 
 def delete_instances(run: Run, source: str, row_ids, rate: float = 1.0, sign: int = 1) -> Run:
     """Delete all samples from the given source rows; the weights unlearn those of training."""
-    prov = run.prov_of(source)
-    path = run.new_version_path()
-    row_ids = settled_ids(run.spark, row_ids)
-
-    def tombstones(rows: DataFrame, kept: list[str]) -> DataFrame:
-        data = [c for c in rows.columns if c not in kept]
-        return null_out(rows, data).withColumn(REMOVED, F.lit(True))
-
-    def relational_part():
-        rows = run.relational_table.rows_from(prov, row_ids)
-        gone = tombstones(rows.df, [SAMPLE_ID, SPLIT_KEY, *run.key_cols])
-        return rows.replaced_by(gone, f"{path}/relational")
-
-    def matrix_part():
-        vectors = run.matrix_table.rows_from(prov, row_ids)
-        gone = tombstones(vectors.df, [SAMPLE_ID, SPLIT, *run.key_cols])
-        removed = vectors.df.where(F.col(SPLIT) == TRAIN)
-        return together(
-            lambda: vectors.replaced_by(gone, f"{path}/matrix"),
-            lambda: unlearn_instances(run.model(), removed, rate, sign),
-        )
-
-    relational, (matrix, network) = together(relational_part, matrix_part)
-    return commit_version(run, "delete_instances", path, relational, matrix, network)
+    requests, size = request_table(run.spark, [(run.prov_of(source), row_ids, 0)])
+    return apply_requests(run, "delete_instances", requests, size, [Target(remove=True)], rate, sign)
+
+
+def delete_batch(run: Run, requests: DataFrame, rate: float = 1.0, sign: int = 1) -> Run:
+    """Many requests as one version: a table ``(row_source, row_id, column_source, column)``.
+
+    A row with a column asks for its values in all samples from the source row, one without for the
+    samples themselves. Rows and vectors are the same as after the calls one by one; the weights
+    take one step for all changed values and one for all removed samples, from the same point.
+    """
+    spark, names = run.spark, ("row_source", "column_source", "column")
+    table = requests.select(*names, F.col("row_id").cast("long").alias("row_id")).where("row_id is not null")
+    table = materialise(table.distinct(), "requests")
+    targets, known = [], []
+    # Different names only: as many as the sources have columns, and an unknown one is an error.
+    for row in table.select(*names).distinct().toLocalIterator():
+        target = Target(remove=True) if row.column is None else Target.column(run, row.column_source, row.column)
+        if target not in targets:
+            targets.append(target)
+        known.append((row.row_source, row.column_source, row.column, run.prov_of(row.row_source), targets.index(target)))
+    named = spark.createDataFrame(known, "s string, cs string, c string, prov string, target int")
+    same = F.col("row_source").eqNullSafe(F.col("s")) & F.col("column_source").eqNullSafe(F.col("cs")) & F.col("column").eqNullSafe(F.col("c"))
+    found = table.join(F.broadcast(named), same).select("prov", F.col("row_id").alias("id"), "target").distinct()
+    found = materialise(found, "requests") if known else spark.createDataFrame([], REQUESTS)
+    return apply_requests(run, "delete_batch", found, found.count(), targets, rate, sign)
 
 
 def rescore(run: Run) -> DataFrame:

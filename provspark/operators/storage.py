@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+
+from py4j.protocol import Py4JJavaError
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/provspark/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/provspark/{kind}-{uuid.uuid4().hex}"
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    return path
+
+
+@contextmanager
+def made_folders():
+    """The list of folders that the code in this block asks for."""
+    folders: list[str] = []
+    token = _MADE.set(folders)
+    try:
+        yield folders
+    finally:
+        _MADE.reset(token)
 
 
 def materialise(df: DataFrame, kind: str, path: str | None = None) -> DataFrame:
@@ -50,6 +72,43 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Remove files or folders, several at a time."""
+    if paths:
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda p: delete_folder(spark, p), paths))
+
+
+def create_exclusive(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless there is one; of several writers exactly one succeeds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() == "file":
+        # Hadoop's local file system looks before it creates, which is not one step; a link is.
+        name = target.toUri().getPath()
+        folder = os.path.dirname(name)
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as file:
+            file.write(text)
+        try:
+            os.link(draft, name)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for a stored table that fits in fewer scan tasks; others stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -63,7 +122,7 @@ def together(*actions):
     """Run independent actions as concurrent Spark jobs; returns their results in order."""
     inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(actions)) as pool:
-        return [f.result() for f in [pool.submit(inherit(a)) for a in actions]]
+        return [f.result() for f in [pool.submit(copy_context().run, inherit(a)) for a in actions]]
 
 
 def write_json_document(spark: SparkSession, document: dict, path: str) -> None:

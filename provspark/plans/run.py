@@ -7,17 +7,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.functions.naming import SAMPLE_ID
+from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
 from provspark.operators.audit import accuracy
 from provspark.operators.frame import TrackedFrame
 from provspark.operators.network import Trainer, perceptron, prediction, probability
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, exact_threshold, hash_threshold, split_column, with_split_key,
 )
-from provspark.operators.storage import spread, together, write_json_document
+from provspark.operators.storage import made_folders, spread, together, write_json_document
 from provspark.sources.readers import scans_without
 from provspark.sources.artifacts import (
-    LayeredTable, Run, default_root, load_run, register, run_path, write_base, write_maps,
+    TABLES, Run, commit_files, default_root, load_run, publish, run_path, write_files, write_maps, write_model,
 )
 
 RESERVED = {SAMPLE_ID, SPLIT, SPLIT_KEY, "features", "label"}
@@ -36,6 +36,7 @@ def run_pipeline(
     split: str = "exact",
     trainer: Trainer | None = Trainer(),
     root: str | None = None,
+    cluster_by: str | None = None,
 ) -> Run:
     """Run a supervised-learning preparation and return its stored artifacts (version 0).
 
@@ -47,19 +48,29 @@ def run_pipeline(
 
     ``split="exact"`` has exactly ``ceil(test_size * n)`` test samples; ``"hash"`` needs no
     pass over the data and keeps samples on their side when others are deleted.
+
+    ``cluster_by`` names the source (by alias or parameter) whose records deletions will mostly be about:
+    all samples of a record then lie in one file, for one shuffle of the prepared rows.
     """
     root = root or default_root(spark)
     run_id = str(uuid.uuid4())
     path = run_path(root, name, run_id)
 
-    prepared: TrackedFrame = dataprep(spark, **source_paths)
+    with made_folders() as intermediates:
+        prepared: TrackedFrame = dataprep(spark, **source_paths)
     clash = RESERVED & set(prepared.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
+    if cluster_by is not None:
+        named = source_name(source_paths.get(cluster_by, cluster_by))
+        cluster_by = next((c for c in prepared.prov_cols if c in (PROV_PREFIX + cluster_by, PROV_PREFIX + named)), None)
+        if cluster_by is None:
+            raise ValueError(f"cluster_by names no source; known: {prepared.prov_cols}")
 
     # The prepared rows are the relational artifact and the base of all later steps.
-    with_split_key(prepared.with_sample_id(), random_seed).write.parquet(f"{path}/relational")
-    stored = spark.read.parquet(f"{path}/relational")
+    rows = with_split_key(prepared.with_sample_id(), random_seed)
+    written = {"relational": write_files(rows, path, "relational", cluster_by=cluster_by)}
+    stored = spark.read.schema(written["relational"].schema).parquet(f"{path}/{written['relational'].folder}")
     if split == "exact":
         threshold = exact_threshold(stored, test_size)
     elif split == "hash":
@@ -71,7 +82,9 @@ def run_pipeline(
     encoders = encode_features().fit(samples.where(F.col(SPLIT) == TRAIN))
     label = extract_label if isinstance(extract_label, Column) else extract_label(samples)
     encoded = encoders.transform(samples.withColumn("label", label.cast("double")))
-    write_base(encoded.select(SAMPLE_ID, SPLIT, *prepared.key_cols, "features", "label"), f"{path}/matrix")
+    encoded = encoded.select(SAMPLE_ID, SPLIT, *prepared.key_cols, "features", "label")
+    written["matrix"] = write_files(encoded, path, "matrix", TABLES["matrix"], cluster_by)
+    matrix = spark.read.schema(written["matrix"].schema).parquet(f"{path}/{written['matrix'].folder}")
 
     write_maps(spark, path, prepared.col_prov, encoders.matrix_provenance())
     document = {
@@ -87,28 +100,28 @@ def run_pipeline(
         "matrix_provenance": encoders.matrix_provenance(),
         "encoders": encoders.state(),
         "source_paths": source_paths,
+        "intermediates": intermediates,
     }
     write_json_document(spark, document, f"{path}/run")
 
-    run = Run(
-        spark, root, name, run_id, 0, document, LayeredTable(spark, f"{path}/relational"),
-        LayeredTable(spark, f"{path}/matrix"), f"{path}/model",
-    )
     network = create_network(encoders.width)
     if trainer is not None:
-        network = trainer.fit(run.matrix(TRAIN), network)
-    together(
-        lambda: network.to_frame(spark).coalesce(1).write.parquet(run.model_path),
-        lambda: score(run.matrix(TEST), network).write.parquet(f"{path}/scores"),
+        network = trainer.fit(matrix.where(F.col(SPLIT) == TRAIN), network)
+    scored = score(matrix.where(F.col(SPLIT) == TEST), network, prepared.key_cols)
+    model_path, written["scores"] = together(
+        lambda: write_model(path, network, spark), lambda: write_files(scored, path, "scores", cluster_by=cluster_by)
     )
-    register(run, "run", path)
+    nothing = dict.fromkeys(TABLES)
+    tables = commit_files(spark, path, nothing, written, {}, TABLES)
+    run = Run(spark, root, name, run_id, 0, document, tables, model_path)
+    publish(run, "run", 0)
     return run
 
 
-def score(samples: DataFrame, network) -> DataFrame:
+def score(samples: DataFrame, network, keys=()) -> DataFrame:
     """Class per sample at a threshold of one half."""
-    scored = samples.select(SAMPLE_ID, "label", probability(network).alias("probability"))
-    return scored.select(SAMPLE_ID, "label", prediction(F.col("probability")).alias("prediction"))
+    scored = samples.select(SAMPLE_ID, *keys, "label", probability(network).alias("probability"))
+    return scored.select(SAMPLE_ID, *keys, "label", prediction(F.col("probability")).alias("prediction"))
 
 
 def summary(run: Run) -> dict:

@@ -762,7 +762,7 @@ def q_run_registry(spark, sf_dir):
     sizes = [r.samples().agg(F.count("*").alias("n_rows")).withColumn("version", F.lit(r.version)) for r in (first, second)]
     return entries.join(sizes[0].unionByName(sizes[1]), "version").select(
         "pipeline", "version", "kind", F.size("source_paths").cast("long").alias("n_sources"), "n_rows",
-        F.col("overlay_rows").alias("n_changed"),
+        F.col("changed_rows").alias("n_changed"),
     )
 
 
@@ -961,7 +961,7 @@ def after_feature_deletion(spark, sf_dir) -> Run:
     """The run after deleting the text of all toxic documents."""
     key = (spark.sparkContext.applicationId, sf_dir, "features")
     if key not in _DELETED:
-        run = text_run(spark, sf_dir)
+        run = text_run(spark, sf_dir).branch("features")
         _DELETED[key] = maintain.delete_features(run, "documents", "text", "documents", toxic_rows(spark, sf_dir))
     return _DELETED[key]
 
@@ -970,7 +970,7 @@ def after_instance_deletion(spark, sf_dir) -> Run:
     """The run after deleting all toxic documents."""
     key = (spark.sparkContext.applicationId, sf_dir, "instances")
     if key not in _DELETED:
-        run = text_run(spark, sf_dir)
+        run = text_run(spark, sf_dir).branch("instances")
         _DELETED[key] = maintain.delete_instances(run, "documents", toxic_rows(spark, sf_dir))
     return _DELETED[key]
 
@@ -998,7 +998,7 @@ def q_updates(spark, sf_dir):
     """The patch list of a feature deletion."""
     run = text_run(spark, sf_dir)
     ranges = lineage.feature_ranges(run, lineage.output_columns(run, "documents", "text"))
-    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).df
+    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir))
     return maintain.updates(hits, ranges).select(SAMPLE_ID, F.explode("ranges").alias("r")).select(SAMPLE_ID, "r.*")
 
 
@@ -1009,7 +1009,7 @@ FROM zeroed WHERE toxic = 1 AND split = 'train'
 def q_unlearn_pairs(spark, sf_dir):
     run = text_run(spark, sf_dir)
     ranges = lineage.feature_ranges(run, lineage.output_columns(run, "documents", "text"))
-    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).df.where(F.col(SPLIT) == TRAIN)
+    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).where(F.col(SPLIT) == TRAIN)
     pairs = maintain.before_after(hits, ranges)
     return pairs.select(
         SAMPLE_ID, "label", micro_text(F.col("features")).alias("before"), micro_text(F.col("patched")).alias("after")
@@ -1094,7 +1094,7 @@ WHERE NOT is_premium GROUP BY split
 def q_retrain_vs_ivm(spark, sf_dir):
     """Deleting customers from a stored run and rerunning without them give the same samples."""
     gone = premium_customers(spark, sf_dir)
-    maintained = maintain.delete_instances(order_run(spark, sf_dir), "customer", gone).samples()
+    maintained = maintain.delete_instances(order_run(spark, sf_dir).branch(), "customer", gone).samples()
     reduced = retrain_without_rows(order_dataprep, "customer", gone)
     again = run_pipeline(spark, "orders", order_paths(sf_dir), reduced, order_encoders, premium_label, **ORDER_OPTIONS).samples()
     columns = [SAMPLE_ID, SPLIT, "o_orderkey", "title", "c_nationkey", "is_premium"]

@@ -3,51 +3,57 @@
 Layout below ``<root>/<pipeline>/<run_id>/``:
 
 =====================  ===================================================================
-``relational/``        prepared rows: sample_id, split_key, provenance, output columns
-``matrix/``            partitioned by split: sample_id, provenance, features, label
-``model/``             weights as (layer, i, j, value)
-``scores/``            test samples: sample_id, label, prediction
+``data/relational/``   prepared rows: sample_id, split_key, provenance, output columns
+``data/matrix/``       by split: sample_id, provenance, features, label
+``data/scores/``       test samples: sample_id, provenance, label, prediction
+``meta/``              manifests, indexes and weights, see ``sources.tables``
 ``column_provenance/`` JSON lines (output_column, sources)
 ``matrix_provenance/`` JSON lines (input_column, start, stop)
 ``run/``               JSON document: split threshold, encoder states, source paths, …
-``versions/…/``        one folder per deletion, see below
+``versions/…``         one small JSON document per version, ``<branch>/<number>.json``
 =====================  ===================================================================
 
-Both row tables carry the provenance columns, so no operator has to align one with the other.
+The row tables carry the provenance columns, so no operator has to align one with another.
 
-A deletion must not cost a rewrite of everything. A version holds an *overlay* per row table:
-all rows that differ from the base, in their new state, and tombstones (keys without data) of
-removed rows. Reading a version is the base without the overlay's keys, plus the overlay's
-rows. A deletion that concerns too many rows for that is written as a new base, and ``compact``
-does so at any time; a new base holds no trace of the deleted values.
+A version names the files of its tables; a deletion writes the files with affected rows anew, and all
+others stay shared. It becomes visible by its document, which is written last and exclusively: of two
+writers of one number exactly one succeeds, and the other starts again on the version it lost to. So an
+interrupted run or deletion is never visible, and none gets lost.
 
-``<root>/runs`` registers every run and version. Its row is written last, so an interrupted
-run or deletion is never visible.
+``branch`` opens a line of versions of its own from any version, without copying. ``purge`` removes every
+file that no version to be kept names; until then earlier versions can be opened.
+
+``<root>/runs`` lists all runs and versions for inspection; the documents decide.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
+import time
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
-from provspark.operators.frame import by_source_rows
 from provspark.operators.network import Network
-from provspark.operators.sizing import BROADCAST_ROWS, broadcast_if_small
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN, split_column
-from provspark.operators.storage import read_json_document, shared_folder, together, write_json_document
+from provspark.operators.storage import (
+    create_exclusive, delete_folder, delete_paths, read_json_document, shared_folder, together, write_json_document,
+)
+from provspark.sources.tables import MANIFEST, FileTable, commit_files, relative_file, write_files
 
-REMOVED = "__removed"
-MAX_LISTED_FILES = 10_000  # beyond this many affected files the whole table is read
-OVERLAY_ROWS = BROADCAST_ROWS
+MAIN = "main"
+TABLES = {"relational": (), "matrix": (TRAIN, TEST), "scores": ()}
+PATIENCE = 60  # seconds to wait for the document of a version that another writer has claimed
 
 RUNS_SCHEMA = (
-    "run_id string, pipeline string, version int, kind string, path string, "
-    "overlay_rows long, created_at timestamp, source_paths map<string,string>"
+    "run_id string, pipeline string, branch string, version int, kind string, "
+    "changed_rows long, created_at timestamp, source_paths map<string,string>"
 )
 
 
@@ -55,91 +61,8 @@ def default_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/provspark-runs"
 
 
-@dataclass(frozen=True)
-class LayeredTable:
-    """A stored table and, for a later version, the overlay on it.
-
-    An overlay never has more rows than may be broadcast, so reading a version moves no base
-    row. A deletion that would exceed this is written as a new base instead.
-    """
-
-    spark: SparkSession
-    base_path: str
-    overlay_path: str | None = None
-    overlay_rows: int = 0
-
-    def base(self) -> DataFrame:
-        return self.spark.read.parquet(self.base_path)
-
-    def overlay(self) -> DataFrame | None:
-        return None if self.overlay_path is None else self.spark.read.parquet(self.overlay_path)
-
-    def _merged(self, base: DataFrame, overlay: DataFrame | None) -> DataFrame:
-        if overlay is None:
-            return base
-        keys = broadcast_if_small(self.overlay().select(SAMPLE_ID), self.overlay_rows)
-        kept = base.join(keys, SAMPLE_ID, "left_anti")
-        return kept.unionByName(overlay.where(~F.col(REMOVED)).drop(REMOVED))
-
-    def read(self) -> DataFrame:
-        return self._merged(self.base(), self.overlay())
-
-    def rows_from(self, prov: str, row_ids) -> "SourceRows":
-        """Current rows that stem from the source rows, opening only files that hold some.
-
-        The search reads one column; the wide columns are read from the files found.
-        """
-        base = self.base()
-        with_path = base.select(prov, F.col("_metadata.file_path").alias("__file"))
-        found = by_source_rows(with_path, prov, row_ids, "left_semi").groupBy("__file").count()
-        files = found.limit(MAX_LISTED_FILES + 1).collect()
-        rows = sum(row["count"] for row in files)
-        if len(files) <= MAX_LISTED_FILES:
-            base = base.where(F.col("_metadata.file_path").isin([row["__file"] for row in files]))
-        else:
-            rows = found.agg(F.sum("count")).first()[0]
-        base = by_source_rows(base, prov, row_ids, "left_semi")
-        overlay = self.overlay()
-        if overlay is not None:
-            overlay = by_source_rows(overlay, prov, row_ids, "left_semi")
-        return SourceRows(self, prov, row_ids, self._merged(base, overlay), rows)
-
-
-@dataclass(frozen=True)
-class SourceRows:
-    """The rows of a table that stem from given source rows."""
-
-    table: LayeredTable
-    prov: str
-    row_ids: object
-    df: DataFrame
-    base_rows: int  # so many of them lie in the base
-
-    def replaced_by(self, changed: DataFrame, path: str) -> LayeredTable:
-        """The table's next version, in which these rows have the state ``changed``.
-
-        ``changed`` has the same keys, and the flag ``__removed`` on rows that are gone.
-        """
-        table = self.table
-        if self.base_rows + table.overlay_rows > OVERLAY_ROWS:
-            kept = by_source_rows(table.read(), self.prov, self.row_ids, "left_anti")
-            merged = kept.unionByName(changed.where(~F.col(REMOVED)).drop(REMOVED))
-            write_base(merged, path)
-            return LayeredTable(table.spark, path)
-        previous = table.overlay()
-        if previous is not None:
-            current = previous.where(~F.col(REMOVED))
-            others = by_source_rows(current, self.prov, self.row_ids, "left_anti")
-            changed = changed.unionByName(others).unionByName(previous.where(F.col(REMOVED)))
-        counted = Observation()
-        changed.observe(counted, F.count("*").alias("rows")).write.parquet(path)
-        return replace(table, overlay_path=path, overlay_rows=counted.get["rows"])
-
-
-def write_base(df: DataFrame, path: str) -> None:
-    """Write a whole row table; the one with a split is partitioned by it."""
-    writer = df.write.partitionBy(SPLIT) if SPLIT in df.columns else df.write
-    writer.parquet(path)
+class VersionTaken(Exception):
+    """Another writer was first."""
 
 
 @dataclass(frozen=True)
@@ -152,21 +75,35 @@ class Run:
     run_id: str
     version: int
     document: dict
-    relational_table: LayeredTable
-    matrix_table: LayeredTable
+    tables: dict
     model_path: str
+    branch_name: str = MAIN
 
-    # --- paths -------------------------------------------------------------------------
+    # --- paths and versions ----------------------------------------------------------------
 
     @property
     def path(self) -> str:
         return run_path(self.root, self.pipeline, self.run_id)
 
-    def new_version_path(self) -> str:
-        return f"{self.path}/versions/{self.version + 1}-{uuid.uuid4().hex}"
+    def branch(self, name: str | None = None) -> "Run":
+        """The same state as the first version of another line of versions; copies nothing."""
+        other = replace(self, branch_name=name or uuid.uuid4().hex)
+        publish(other, "branch", 0)
+        return other
+
+    def latest(self) -> "Run":
+        return load_run(self.spark, self.pipeline, self.run_id, root=self.root, branch=self.branch_name)
 
     # --- row tables --------------------------------------------------------------------
 
+    @property
+    def relational_table(self) -> FileTable:
+        return self.tables["relational"]
+
+    @property
+    def matrix_table(self) -> FileTable:
+        return self.tables["matrix"]
+
     @property
     def key_cols(self) -> list[str]:
         return self.document["key_cols"]
@@ -194,16 +131,12 @@ class Run:
         return df.select(SAMPLE_ID, SPLIT, *self.key_cols)
 
     def matrix(self, split: str | None = None) -> DataFrame:
-        """Features and label; asking for one split reads only its partition."""
-        df = self.matrix_table.read()
-        return df if split is None else df.where(F.col(SPLIT) == split)
+        """Features and label; asking for one split reads only its files."""
+        return self.matrix_table.read(split)
 
     def scores(self) -> DataFrame:
         """Predictions, as of training, for the test samples that are left."""
-        scores = self.spark.read.parquet(f"{self.path}/scores")
-        if not self.version:
-            return scores
-        return scores.join(self.matrix(TEST).select(SAMPLE_ID), SAMPLE_ID, "left_semi")
+        return self.tables["scores"].read().select(SAMPLE_ID, "label", "prediction")
 
     def model(self) -> Network:
         return Network.from_frame(self.spark.read.parquet(self.model_path))
@@ -248,83 +181,156 @@ def write_maps(spark: SparkSession, path: str, col_prov: dict, ranges: list) ->
     together(*[lambda n=n, df=df: df.coalesce(1).write.json(f"{path}/{n}") for n, df in tables.items()])
 
 
-def register(run: Run, kind: str, path: str) -> None:
-    """Make a version visible; one small append."""
-    row = (
-        run.run_id, run.pipeline, run.version, kind, path, run.matrix_table.overlay_rows,
-        datetime.datetime.now(), run.document["source_paths"],
-    )
+def publish(run: Run, kind: str, changed_rows: int) -> None:
+    """Make a version visible; raises ``VersionTaken`` if its number is in use."""
+    tables = {
+        name: {"schema": t.schema.json(), "manifest": t.manifest, "index": list(t.index), "parts": list(t.parts)}
+        for name, t in run.tables.items()
+    }
+    document = {
+        "kind": kind, "branch": run.branch_name, "version": run.version, "tables": tables,
+        "model": run.model_path.removeprefix(run.path + "/"), "changed_rows": changed_rows,
+    }
+    path = f"{run.path}/versions/{run.branch_name}/{run.version}.json"
+    if not create_exclusive(run.spark, path, json.dumps(document)):
+        raise VersionTaken(path)
+    row = (run.run_id, run.pipeline, run.branch_name, run.version, kind, changed_rows, datetime.datetime.now(), run.document["source_paths"])
     run.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run.root}/runs")
 
 
 def runs(spark: SparkSession, root: str | None = None) -> DataFrame:
-    """The registry of all runs and versions."""
+    """The list of all runs and versions, purged ones too."""
     return spark.read.schema(RUNS_SCHEMA).parquet(f"{root or default_root(spark)}/runs")
 
 
+def version_documents(spark: SparkSession, path: str, branch: str | None = None) -> list[dict]:
+    """Documents of the versions of a run that are visible."""
+    folder = f"{path}/versions" if branch is None else f"{path}/versions/{branch}"
+    try:
+        texts = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).collect()
+    except AnalysisException:
+        return []
+    return [json.loads(row[0]) for row in texts if row[0].rstrip().endswith("}")]
+
+
 def load_run(
-    spark: SparkSession, pipeline: str, run_id: str, version: int | None = None, root: str | None = None
+    spark: SparkSession, pipeline: str, run_id: str, version: int | None = None, root: str | None = None, branch: str = MAIN
 ) -> Run:
     """Open a stored run, by default in its latest version."""
     root = root or default_root(spark)
-    entries = runs(spark, root).where((F.col("run_id") == run_id) & (F.col("pipeline") == pipeline)).collect()
-    by_version: dict[int, list] = {}
-    for entry in entries:
-        by_version.setdefault(entry["version"], []).append(entry)
-    if not by_version:
+    path = run_path(root, pipeline, run_id)
+    found = {d["version"]: d for d in version_documents(spark, path, branch)}
+    if not found:
         raise ValueError(f"no run {run_id} of {pipeline}")
-    version = max(by_version) if version is None else version
-    if version not in by_version:
+    version = max(found) if version is None else version
+    if version not in found:
         raise ValueError(f"run {run_id} has no version {version}")
-    if len(by_version[version]) > 1:
-        raise ValueError(f"version {version} of run {run_id} was written twice at the same time")
-    entry = by_version[version][0]
-    return open_version(spark, root, pipeline, run_id, version, entry["kind"], entry["path"])
-
-
-def open_version(spark, root, pipeline, run_id, version: int, kind: str, path: str) -> Run:
-    base = run_path(root, pipeline, run_id)
-    document = read_json_document(spark, f"{base}/run")
-    relational = LayeredTable(spark, f"{base}/relational")
-    matrix = LayeredTable(spark, f"{base}/matrix")
-    if version:
-        layers = read_json_document(spark, f"{path}/layers")
-        relational = LayeredTable(spark, *layers["relational"])
-        matrix = LayeredTable(spark, *layers["matrix"])
-    return Run(spark, root, pipeline, run_id, version, document, relational, matrix, f"{path}/model")
-
-
-def commit_version(
-    run: Run, kind: str, path: str, relational: LayeredTable, matrix: LayeredTable, network: Network
-) -> Run:
-    """Finish a version whose row tables are stored: weights, layer list, registry entry."""
-    spark = run.spark
-    layers = {
-        name: [t.base_path, t.overlay_path, t.overlay_rows]
-        for name, t in (("relational", relational), ("matrix", matrix))
+    return open_version(spark, root, pipeline, run_id, found[version])
+
+
+def open_version(spark: SparkSession, root: str, pipeline: str, run_id: str, state: dict) -> Run:
+    path = run_path(root, pipeline, run_id)
+    tables = {
+        name: FileTable(spark, path, name, T.StructType.fromJson(json.loads(t["schema"])), t["manifest"], tuple(t["index"]), tuple(t["parts"]))
+        for name, t in state["tables"].items()
     }
-    together(
-        lambda: network.to_frame(spark).coalesce(1).write.parquet(f"{path}/model"),
-        lambda: write_json_document(spark, layers, f"{path}/layers"),
-    )
-    updated = replace(
-        run, version=run.version + 1, relational_table=relational, matrix_table=matrix, model_path=f"{path}/model"
-    )
-    register(updated, kind, path)
-    return updated
+    document = read_json_document(spark, f"{path}/run")
+    return Run(spark, root, pipeline, run_id, state["version"], document, tables, f"{path}/{state['model']}", state["branch"])
+
+
+def write_model(run_folder: str, network: Network, spark: SparkSession) -> str:
+    path = f"{run_folder}/meta/model/{uuid.uuid4().hex}"
+    network.to_frame(spark).coalesce(1).write.parquet(path)
+    return path
+
+
+def next_version(run: Run, kind: str, make) -> Run:
+    """Commit a change on the latest version of the run's branch.
+
+    ``make(run)`` returns ``(written, replaced, network, changed_rows)``. If another writer commits in
+    the meantime, the files just written go and the change is made again on the version of the other.
+    """
+    while True:
+        written, replaced_files, network, changed = make(run)
+        parts = {name: t.parts for name, t in run.tables.items()}
+        tables, model = together(
+            lambda: commit_files(run.spark, run.path, run.tables, written, replaced_files, parts),
+            lambda: write_model(run.path, network, run.spark),
+        )
+        updated = replace(run, version=run.version + 1, tables=tables, model_path=model)
+        try:
+            publish(updated, kind, changed)
+            return updated
+        except VersionTaken:
+            for part in written.values():
+                if part is not None:
+                    delete_folder(run.spark, f"{run.path}/{part.folder}")
+            run = _newer(run)
+
+
+def _newer(run: Run) -> Run:
+    """The latest version of the branch, once it is later than ``run``."""
+    until = time.monotonic() + PATIENCE
+    while time.monotonic() < until:
+        latest = run.latest()
+        if latest.version > run.version:
+            return latest
+        time.sleep(0.2)
+    raise TimeoutError(f"version {run.version + 1} of run {run.run_id} is claimed but was never written")
 
 
 def compact(run: Run) -> Run:
-    """Write the current state as a new base; earlier folders may be dropped afterwards."""
-    path = run.new_version_path()
-    together(
-        lambda: write_base(run.relational_table.read(), f"{path}/relational"),
-        lambda: write_base(run.matrix_table.read(), f"{path}/matrix"),
-    )
-    return commit_version(
-        run, "compact", path, LayeredTable(run.spark, f"{path}/relational"),
-        LayeredTable(run.spark, f"{path}/matrix"), run.model(),
-    )
+    """Write all rows of the current state anew, in files of even size."""
+
+    def make(run: Run):
+        tables = run.tables
+        written = together(*[lambda t=t: write_files(t.read(), run.path, t.name, t.parts) for t in tables.values()])
+        files = {name: t.files().collect() for name, t in tables.items()}
+        return dict(zip(tables, written, strict=True)), files, run.model(), 0
+
+    return next_version(run, "compact", make)
+
+
+# --- what may go ------------------------------------------------------------------------------
+
+def file_references(run: Run) -> DataFrame:
+    """``(table, file, versions)``: how many visible versions name each stored file."""
+    manifests = sorted({t["manifest"] for d in version_documents(run.spark, run.path) for t in d["tables"].values()})
+    named = [d["tables"]["relational"]["manifest"] for d in version_documents(run.spark, run.path)]
+    uses = run.spark.createDataFrame([(m, named.count(m)) for m in manifests], "manifest string, uses long")
+    rows = run.spark.read.schema(MANIFEST).parquet(*[f"{run.path}/{m}" for m in manifests])
+    rows = rows.withColumn("manifest", F.regexp_extract(relative_file(), "^(meta/manifest/[0-9a-f]{32})", 1))
+    return rows.join(F.broadcast(uses), "manifest").groupBy("table", "file").agg(F.sum("uses").alias("versions"))
+
+
+def purge(run: Run, keep: list[Run] = ()) -> None:
+    """Remove for good what only other versions hold: all rows, weights and copies that ``run`` and ``keep`` do not name.
+
+    Other versions and branches stop to exist first, so none can be opened while its files go. Copies
+    of text sources and intermediate tables that the run made go too; a frame that still reads them
+    has to be made again. The sources themselves are not the run's and stay. What encoders learned
+    (categories, means) stays as it is, as do the ids in the index.
+    """
+    spark, path = run.spark, run.path
+    kept = {(r.branch_name, r.version) for r in (run, *keep)}
+    states = version_documents(spark, path)
+    missing = kept - {(d["branch"], d["version"]) for d in states}
+    if missing:
+        raise ValueError(f"no such versions: {sorted(missing)}")
+    delete_paths(spark, [f"{path}/versions/{d['branch']}/{d['version']}.json" for d in states if (d["branch"], d["version"]) not in kept])
+    states = [d for d in states if (d["branch"], d["version"]) in kept]
+    meta = {d["model"] for d in states}
+    for table in (t for d in states for t in d["tables"].values()):
+        meta |= {table["manifest"], *table["index"]}
+    live = spark.read.schema(MANIFEST).parquet(*sorted({f"{path}/{t['manifest']}" for d in states for t in d["tables"].values()}))
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/data", pathGlobFilter="*.parquet")
+    stored = stored.select("path").withColumn("file", F.regexp_extract("path", r"(data/[^/]+/[0-9a-f]{32}/.*)$", 1))
+    dead = stored.join(live.select("file").distinct(), "file", "left_anti").select("file")
+    delete_paths(spark, [f"{path}/{row.file}" for row in dead.collect()])
+    others = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/meta", pathGlobFilter="*.parquet")
+    folders = others.select(F.regexp_extract("path", r"(meta/[^/]+/[0-9a-f]{32})/", 1).alias("f")).distinct().collect()
+    delete_paths(spark, [f"{path}/{row.f}" for row in folders if row.f not in meta])
+    delete_paths(spark, run.document.get("intermediates", []))
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -337,6 +343,7 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 __all__ = [
-    "LayeredTable", "REMOVED", "Run", "SPLIT_KEY", "SourceRows", "TEST", "TRAIN", "commit_version", "compact",
-    "default_root", "export_csv", "load_run", "open_version", "register", "run_path", "runs", "write_base", "write_maps",
+    "FileTable", "Run", "SPLIT_KEY", "TABLES", "TEST", "TRAIN", "commit_files", "compact", "default_root", "export_csv",
+    "file_references", "load_run", "next_version", "open_version", "publish", "purge", "run_path", "runs",
+    "version_documents", "write_files", "write_json_document", "write_maps", "write_model",
 ]

@@ -1,5 +1,7 @@
 """Invariants of stored runs and of incremental maintenance, on the example with small tables."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from provspark.operators.split import SPLIT, TEST, TRAIN
 from provspark.plans import complaints
 from provspark.plans.run import retrain_without_rows, summary
 from provspark.sources import artifacts, synth
-from provspark.sources.artifacts import compact, export_csv, runs
+from provspark.sources.artifacts import compact, export_csv, file_references, purge, runs
 
 IDS = [1, 3, 5, 7, 11]
 
@@ -45,10 +47,15 @@ def execute(spark, root, paths, dataprep=complaints.dataprep, **options):
 
 
 @pytest.fixture(scope="module")
-def run(spark, root, paths):
+def stored(spark, root, paths):
     return execute(spark, root, paths)
 
 
+@pytest.fixture
+def run(stored):
+    return stored.branch()
+
+
 def as_dict(df, value):
     return {r[SAMPLE_ID]: r[value] for r in df.select(SAMPLE_ID, value).collect()}
 
@@ -93,7 +100,7 @@ def _lines(folder):
 
 
 def test_runs_are_registered_and_reload(spark, root, run):
-    loaded = load_run(spark, "example", run.run_id, root=root)
+    loaded = load_run(spark, "example", run.run_id, root=root, branch=run.branch_name)
     assert loaded.version == 0 and np.array_equal(loaded.model().flat, run.model().flat)
     assert loaded.document["num_features"] == run.document["num_features"]
     assert runs(spark, root).where(F.col("run_id") == run.run_id).count() >= 1
@@ -155,10 +162,10 @@ def test_deletions_repeat_commute_and_chain(run):
         "mails_path", "mail_subject", "customers_path", [5, 7, 11],
     )
     swapped = maintain.delete_features(
-        maintain.delete_features(run, "mails_path", "mail_subject", "customers_path", [11, 5, 7]),
+        maintain.delete_features(run.branch(), "mails_path", "mail_subject", "customers_path", [11, 5, 7]),
         "mails_path", "mail_subject", "customers_path", [3, 1],
     )
-    once = maintain.delete_features(run, "mails_path", "mail_subject", "customers_path", IDS)
+    once = maintain.delete_features(run.branch(), "mails_path", "mail_subject", "customers_path", IDS)
     again = maintain.delete_features(once, "mails_path", "mail_subject", "customers_path", IDS)
     for other in (swapped, once, again):
         assert twice.samples().exceptAll(other.samples()).count() == 0
@@ -177,8 +184,6 @@ def test_instance_deletion_equals_a_rerun_without_the_rows(spark, root, paths):
     assert maintained.samples().exceptAll(rerun.samples()).count() == 0
     assert rerun.samples().exceptAll(maintained.samples()).count() == 0
     assert as_dict(maintained.matrix(), "label") == as_dict(rerun.matrix(), "label")
-    overlay = maintained.relational_table.overlay()
-    assert overlay.where("title IS NOT NULL OR text IS NOT NULL").count() == 0  # tombstones hold no data
 
 
 def test_instance_unlearning_raises_the_loss_of_the_removed(spark, root, paths):
@@ -187,9 +192,9 @@ def test_instance_unlearning_raises_the_loss_of_the_removed(spark, root, paths):
     removed = base.matrix(TRAIN).where(F.col(prov).isin(IDS))
     before = mean_loss(removed, base.model()).first()["loss"]
     for rate in (0.1, 1.0, 10.0):
-        after = maintain.delete_instances(base, "customers_path", IDS, rate=rate)
+        after = maintain.delete_instances(base.branch(), "customers_path", IDS, rate=rate)
         assert mean_loss(removed, after.model()).first()["loss"] > before
-    other = maintain.delete_instances(base, "customers_path", IDS, rate=0.1, sign=-1)
+    other = maintain.delete_instances(base.branch(), "customers_path", IDS, rate=0.1, sign=-1)
     assert mean_loss(removed, other.model()).first()["loss"] < before
 
 
@@ -203,36 +208,172 @@ def test_empty_and_unmatched_requests_change_nothing(spark, run):
         assert gone.matrix().count() == run.matrix().count()
 
 
-def test_large_requests_and_small_file_limits(spark, run, monkeypatch):
-    """Beyond all size limits the same rows are found by shuffles and full scans."""
+def test_large_requests(spark, run, monkeypatch):
+    """Beyond all size limits the same rows are found by shuffles."""
     from provspark.operators import frame, sizing
 
-    expected = maintain.delete_instances(run, "customers_path", IDS).samples()
+    expected = maintain.delete_instances(run.branch(), "customers_path", IDS).samples()
     monkeypatch.setattr(frame, "LITERAL_IDS", 1)
-    monkeypatch.setattr(artifacts, "MAX_LISTED_FILES", 0)
     monkeypatch.setattr(sizing.broadcast_if_small, "__defaults__", (None, 0))
     request = spark.createDataFrame([(i,) for i in IDS], "i long")
     slow = maintain.delete_instances(run, "customers_path", request).samples()
     assert expected.exceptAll(slow).count() == 0 == slow.exceptAll(expected).count()
 
 
-def test_large_deletions_are_written_as_a_new_base(run, monkeypatch):
-    def state(limit):
-        monkeypatch.setattr(artifacts, "OVERLAY_ROWS", limit)
-        first = maintain.delete_features(run, "mails_path", "mail_subject", "customers_path", [1, 3])
-        second = maintain.delete_instances(first, "customers_path", [3, 5])
-        return first, maintain.delete_features(second, "customers_path", "country", "customers_path", IDS)
+def files_with(table, prov, ids):
+    """Files that hold a row of the given source rows, by reading all of them."""
+    df = table.spark.read.schema(table.schema).option("recursiveFileLookup", True).parquet(*[f"{table.root}/{r.file}" for r in table.files().collect()])
+    return {r[0] for r in df.where(F.col(prov).isin(ids)).select(artifacts.relative_file()).distinct().collect()}
+
+
+@pytest.mark.parametrize("literal", [1000, 1])
+@pytest.mark.parametrize("cluster_by", [None, "customers_path"])
+def test_only_files_with_hits_are_opened_and_replaced(spark, root, paths, monkeypatch, literal, cluster_by):
+    """For short lists and for requests that are tables, clustered or not."""
+    from provspark.operators import frame
+    from provspark.sources import tables
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        run = execute(spark, root, paths, trainer=None, cluster_by=cluster_by)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    prov = run.prov_of("customers_path")
+    opened = []
+    read = tables.FileTable._read
+    monkeypatch.setattr(tables.FileTable, "_read", lambda self, files: opened.append({r.file for r in files}) or read(self, files))
+    monkeypatch.setattr(frame, "LITERAL_IDS", literal)
+    for ids in ([3], [1, 5, 7]):
+        before = {name: {r.file for r in t.files().collect()} for name, t in run.tables.items()}
+        hit = {name: files_with(t, prov, ids) for name, t in run.tables.items()}
+        opened.clear()
+        after = maintain.delete_instances(run, "customers_path", spark.createDataFrame([(i,) for i in ids], "i long"))
+        assert set().union(*opened) == set().union(*hit.values())
+        for name, table in after.tables.items():
+            now = {r.file for r in table.files().collect()}
+            assert before[name] - now == hit[name]
+            assert not files_with(table, prov, ids)
+        if cluster_by:
+            assert len(hit["relational"]) <= len(ids) < len(before["relational"])
+        run = after
+
+
+def raw_texts(folder):
+    """All text below a folder, whatever the format of its files."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    out = []
+    for name in glob.glob(f"{folder}/**/*", recursive=True):
+        if name.endswith(".parquet") and os.path.isfile(name):
+            out.append(str(pq.ParquetFile(name).read().to_pydict()))
+        elif os.path.isfile(name):
+            out.append(open(name, "rb").read().decode("utf-8", "replace"))
+    return "\n".join(out)
+
+
+def test_purge_leaves_no_deleted_text(spark, tmp_path, monkeypatch):
+    from provspark.operators import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    paths = synth.write_example(spark.range(30).coalesce(1), str(tmp_path / "sources"))
+    run = execute(spark, str(tmp_path / "root"), paths, trainer=Trainer(epochs=1))
+    mails = run.prov_of("mails_path")
+    text = {r[mails]: r["text"] for r in run.samples().collect()}
+    title = {r[mails]: r["title"] for r in run.samples().collect()}
+    (gone, emptied, *_), unique = sorted(text), lambda t: f"secret{t}"
+    # Texts that occur once: write them into the source by hand, then run again.
+    import glob
+
+    (part,) = glob.glob(f"{paths['mails_path']}/part-*")
+    lines = open(part).read().splitlines()
+    for i in (gone, emptied):
+        fields = lines[i].split(",")
+        lines[i] = ",".join([*fields[:3], fields[3] + " " + unique(i), fields[4] + " body" + unique(i)])
+    with open(part, "w") as file:
+        file.write("\n".join(lines) + "\n")
+    for name in glob.glob(f"{paths['mails_path']}/.*.crc"):
+        os.unlink(name)
+    run = execute(spark, str(tmp_path / "root2"), paths, trainer=Trainer(epochs=1))
+    other = run.branch("other")
+    after = maintain.delete_features(maintain.delete_instances(run, "mails_path", [gone]), "mails_path", "mail_subject", "mails_path", [emptied])
+    after = compact(after)
+    for folder in ("root2", "shared"):
+        assert unique(gone) in raw_texts(tmp_path / folder)
+    expected = sorted(map(str, after.samples().collect()))
+    purge(after)
+    for folder in ("root2", "shared"):
+        there = raw_texts(tmp_path / folder)
+        assert unique(gone) not in there and f" {unique(emptied)}" not in there
+    assert f"body{unique(emptied)}" in raw_texts(tmp_path / "root2")
+    again = load_run(spark, "example", run.run_id, root=run.root)
+    assert again.version == after.version and sorted(map(str, again.samples().collect())) == expected
+    assert again.matrix().count() == again.samples().count() and again.model().flat.size and again.scores().count() > 0
+    assert {r.versions for r in file_references(again).collect()} == {1}
+    with pytest.raises(ValueError):
+        load_run(spark, "example", run.run_id, root=run.root, branch=other.branch_name)
+    assert maintain.delete_instances(again, "mails_path", [emptied]).samples().count() == len(expected) - 1
+
+
+def test_purge_keeps_what_it_is_told_to(run):
+    base = run.branch()
+    kept = maintain.delete_instances(base, "customers_path", [1])
+    after = maintain.delete_instances(kept, "customers_path", [3])
+    counts = {r.file: r.versions for r in file_references(after).collect()}
+    assert max(counts.values()) > 1
+
+
+def test_batch_equals_the_calls_one_by_one(spark, run):
+    asked = [("customers_path", i, "mails_path", "mail_subject") for i in (1, 3)]
+    asked += [("mails_path", i, "customers_path", "country") for i in range(0, 60, 4)]
+    asked += [("customers_path", 3, "mails_path", "mail_text"), ("customers_path", 5, None, None), ("customers_path", None, None, None)]
+    asked += [("mails_path", i, None, None) for i in (70, 71, 10**9)]
+    table = spark.createDataFrame(asked + asked[:3], "row_source string, row_id long, column_source string, column string")
+    batch = maintain.delete_batch(run.branch(), table)
+    single = run
+    for source, i, column_source, column in asked:
+        if i is None:
+            continue
+        if column is None:
+            single = maintain.delete_instances(single, source, [i])
+        else:
+            single = maintain.delete_features(single, column_source, column, source, [i])
+    assert batch.version == 1
+    assert batch.samples().exceptAll(single.samples()).count() == 0 == single.samples().exceptAll(batch.samples()).count()
+    assert as_dict(batch.matrix(), "features") == as_dict(single.matrix(), "features")
+    assert as_dict(batch.scores(), "prediction") == as_dict(single.scores(), "prediction")
+    bad = spark.createDataFrame([("customers_path", 1, "mails_path", "mail_subjekt")], table.schema)
+    with pytest.raises(ValueError, match="mail_subjekt"):
+        maintain.delete_batch(run, bad)
+    empty = maintain.delete_batch(run.branch(), table.limit(0))
+    assert empty.samples().count() == run.samples().count() and np.array_equal(empty.model().flat, run.model().flat)
+
+
+def test_batch_unlearning_by_hand(spark, run):
+    prov = run.prov_of("customers_path")
+    request = [("customers_path", 1, "mails_path", "mail_subject"), ("customers_path", 3, None, None)]
+    after = maintain.delete_batch(run, spark.createDataFrame(request, "row_source string, row_id long, column_source string, column string"))
+    model = run.model()
+
+    def data(i):
+        rows = run.matrix(TRAIN).where(F.col(prov) == i).collect()
+        return np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows])
 
-    _, small = state(10**6)
-    first, large = state(0)
-    assert first.matrix_table.overlay() is None and large.matrix_table.overlay() is None
-    _, mixed = state(25)  # the first deletion fits an overlay, a later one does not
-    assert mixed.matrix_table.overlay() is None
-    for other in (large, mixed):
-        assert small.samples().exceptAll(other.samples()).count() == 0
-        assert other.samples().exceptAll(small.samples()).count() == 0
-        assert as_dict(small.matrix(), "features") == as_dict(other.matrix(), "features")
-        assert np.allclose(small.model().flat, other.model().flat)
+    people = [i for i in (1, 3) if len(data(i)[0])]
+    expected = model.flat.copy()
+    if 1 in people:
+        x, y = data(1)
+        z = x.copy()
+        z[:, 0:8] = 0
+        z[:, 16] = 0
+        expected -= (model.gradient_sum(z, y) - model.gradient_sum(x, y)) / len(y)
+    if 3 in people:
+        x, y = data(3)
+        expected += model.gradient_sum(x, y) / len(y)
+    assert people and np.allclose(after.model().flat, expected)
 
 
 def test_compaction_rescoring_export(spark, root, run, tmp_path):
@@ -242,20 +383,50 @@ def test_compaction_rescoring_export(spark, root, run, tmp_path):
     packed = compact(changed)
     assert changed.samples().exceptAll(packed.samples()).count() == 0
     assert as_dict(changed.matrix(), "features") == as_dict(packed.matrix(), "features")
-    assert packed.relational_table.overlay() is None
+    files = [{r.file for r in r_.relational_table.files().collect()} for r_ in (changed, packed)]
+    assert not files[0] & files[1]
     fresh = maintain.rescore(changed)
     assert fresh.count() == changed.matrix(TEST).count()
     export_csv(changed.matrix(TRAIN), str(tmp_path / "x"))
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == changed.matrix(TRAIN).count()
 
 
-def test_concurrent_versions_are_detected(spark, root, paths):
-    base = execute(spark, root, paths, trainer=None)
-    maintain.delete_instances(base, "customers_path", [1])
-    maintain.delete_instances(base, "customers_path", [3])
-    with pytest.raises(ValueError, match="written twice"):
-        load_run(spark, "example", base.run_id, root=root)
-    assert load_run(spark, "example", base.run_id, version=0, root=root).version == 0
+def test_two_deletions_on_one_base_are_both_in_effect(spark, root, run):
+    one = maintain.delete_instances(run, "customers_path", [1])
+    two = maintain.delete_instances(run, "customers_path", [3])
+    assert (one.version, two.version) == (1, 2)
+    prov = run.prov_of("customers_path")
+    latest = load_run(spark, "example", run.run_id, root=root, branch=run.branch_name)
+    assert latest.version == 2
+    left = {r[0] for r in latest.samples().select(prov).distinct().collect()}
+    assert left == {r[0] for r in run.samples().select(prov).distinct().collect()} - {1, 3}
+    assert {r[0] for r in latest.matrix().select(prov).distinct().collect()} == left
+    assert load_run(spark, "example", run.run_id, version=0, root=root, branch=run.branch_name).samples().count() == run.samples().count()
+
+
+def test_deletions_at_the_same_time_are_all_in_effect(spark, root, run):
+    from provspark.operators.storage import together
+
+    together(*[lambda i=i: maintain.delete_instances(run, "customers_path", [i]) for i in IDS[:4]])
+    latest = run.latest()
+    assert latest.version == 4
+    prov = run.prov_of("customers_path")
+    assert not latest.samples().where(F.col(prov).isin(IDS[:4])).count()
+    assert not latest.matrix().where(F.col(prov).isin(IDS[:4])).count()
+
+
+def test_branches_do_not_see_each_other(run):
+    other = run.branch()
+    gone = maintain.delete_instances(run, "customers_path", [1])
+    assert other.latest().samples().count() == run.samples().count() > gone.samples().count()
+
+
+def test_exclusive_files(spark, tmp_path):
+    from provspark.operators.storage import create_exclusive, together
+
+    path = str(tmp_path / "a" / "one.json")
+    assert sum(together(*[lambda i=i: create_exclusive(spark, path, str(i)) for i in range(8)])) == 1
+    assert len(os.listdir(tmp_path / "a")) == 1
 
 
 def test_fairness_and_usage(spark, run):
