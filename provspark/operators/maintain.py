@@ -23,7 +23,7 @@ from provspark.operators.network import Network, gradient_sums, prediction, prob
 from provspark.operators.split import SPLIT, TEST, TRAIN
 from provspark.operators.storage import materialise, together
 from provspark.sources.artifacts import Run, next_version
-from provspark.sources.tables import REQUESTS, request_table
+from provspark.sources.tables import REQUESTS, Requests, find_hits
 
 
 # --- building blocks, usable on any table ---------------------------------------------------
@@ -113,8 +113,8 @@ def patched_by(targets: list[Target], column: str = "features") -> Column:
     return vector
 
 
-def apply_requests(run: Run, kind: str, requests: DataFrame, size: int, targets: list[Target], rate: float, sign: int) -> Run:
-    """Apply a request table ``(prov, id, target)`` to all artifacts, as one version."""
+def apply_requests(run: Run, kind: str, requests: Requests, targets: list[Target], rate: float, sign: int) -> Run:
+    """Apply a request to all artifacts, as one version; its targets are positions in ``targets``."""
     removed = _asked(targets, lambda t: t.remove)
     patching = _asked(targets, lambda t: t.ranges)
     columns = sorted({c for t in targets for c in t.columns})
@@ -147,8 +147,7 @@ def apply_requests(run: Run, kind: str, requests: DataFrame, size: int, targets:
         return network.with_flat(moved)
 
     def make(run: Run):
-        hits = dict(zip(run.tables, together(*[lambda t=t: t.hits(requests, size) for t in run.tables.values()]), strict=True))
-        hits = {name: h for name, h in hits.items() if name in changes}
+        hits = find_hits([t for name, t in run.tables.items() if name in changes], requests)
         actions = [lambda h=h, c=changes[name]: h.replaced(c) for name, h in hits.items()]
         actions.append(lambda: hits["relational"].rows().where("__targets is not null").count() if hits["relational"].files else 0)
         actions.append(lambda: unlearned(run, hits["matrix"]) if "matrix" in hits and hits["matrix"].files else run.model())
@@ -168,14 +167,14 @@ def delete_features(
     given by alias, path or parameter name.
     """
     target = Target.column(run, column_source, column)
-    requests, size = request_table(run.spark, [(run.prov_of(row_source), row_ids, 0)])
-    return apply_requests(run, "delete_features", requests, size, [target], rate, 1)
+    requests = Requests.of(run.spark, [(run.prov_of(row_source), row_ids, 0)])
+    return apply_requests(run, "delete_features", requests, [target], rate, 1)
 
 
 def delete_instances(run: Run, source: str, row_ids, rate: float = 1.0, sign: int = 1) -> Run:
     """Delete all samples from the given source rows; the weights unlearn those of training."""
-    requests, size = request_table(run.spark, [(run.prov_of(source), row_ids, 0)])
-    return apply_requests(run, "delete_instances", requests, size, [Target(remove=True)], rate, sign)
+    requests = Requests.of(run.spark, [(run.prov_of(source), row_ids, 0)])
+    return apply_requests(run, "delete_instances", requests, [Target(remove=True)], rate, sign)
 
 
 def delete_batch(run: Run, requests: DataFrame, rate: float = 1.0, sign: int = 1) -> Run:
@@ -199,7 +198,7 @@ def delete_batch(run: Run, requests: DataFrame, rate: float = 1.0, sign: int = 1
     same = F.col("row_source").eqNullSafe(F.col("s")) & F.col("column_source").eqNullSafe(F.col("cs")) & F.col("column").eqNullSafe(F.col("c"))
     found = table.join(F.broadcast(named), same).select("prov", F.col("row_id").alias("id"), "target").distinct()
     found = materialise(found, "requests") if known else spark.createDataFrame([], REQUESTS)
-    return apply_requests(run, "delete_batch", found, found.count(), targets, rate, sign)
+    return apply_requests(run, "delete_batch", Requests.of_table(found), targets, rate, sign)
 
 
 def rescore(run: Run) -> DataFrame:

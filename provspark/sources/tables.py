@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from provspark.functions.naming import PROV_PREFIX
 from provspark.operators import frame
-from provspark.operators.sizing import broadcast_if_small
+from provspark.operators.sizing import BROADCAST_ROWS, broadcast_if_small
 from provspark.operators.split import SPLIT
 from provspark.operators.storage import together
 
@@ -74,32 +74,87 @@ class FileTable:
         files = self.files()
         return self._read((files if part is None else files.where(F.col("part") == part)).collect())
 
-    # --- rows by their source -----------------------------------------------------------------
-
-    def files_of(self, requests: DataFrame, rows: int) -> list:
-        """Files of this version that hold a row of the request ``(prov, id, …)`` of so many rows."""
-        index = self.spark.read.schema(INDEX).parquet(*[f"{self.root}/{i}" for i in self.index])
-        index = index.where(F.col("table") == self.name)
-        if rows <= frame.LITERAL_IDS:
-            wanted = F.lit(False)
-            by_prov: dict[str, list[int]] = {}
-            for row in requests.select("prov", "id").distinct().collect():
-                by_prov.setdefault(row.prov, []).append(row.id)
-            for prov, ids in by_prov.items():
-                wanted = wanted | ((F.col("prov") == prov) & F.col("id").isin(ids))
-            found = index.where(wanted)  # reaches the scan: the index is sorted by these columns
-        else:
-            found = index.join(broadcast_if_small(requests.select("prov", "id").distinct(), rows), ["prov", "id"], "left_semi")
-        found = found.select("file").distinct()
-        return self.files().join(found, "file", "left_semi").collect()
-
-    def hits(self, requests: DataFrame, rows: int) -> "Hits":
-        return Hits(self, requests, rows, self.files_of(requests, rows))
-
     def rows_from(self, prov: str, row_ids) -> DataFrame:
         """Rows that stem from the given source rows; opens only files that hold some."""
-        requests, rows = request_table(self.spark, [(prov, row_ids, 0)])
-        return self.hits(requests, rows).rows().where("__targets is not null").drop("__targets")
+        hits = find_hits([self], Requests.of(self.spark, [(prov, row_ids, 0)]))[self.name]
+        return hits.rows().where("__targets is not null").drop("__targets")
+
+
+@dataclass(frozen=True)
+class Requests:
+    """Source rows and what is asked for them: ``(prov, id, target)``, evaluated once.
+
+    A short request is a list of ``(prov, target, ids)`` that goes into predicates; a longer one is a
+    stored table that is joined, by a lookup inside the tasks while that is small enough to be sent there.
+    """
+
+    size: int
+    literal: tuple[tuple[str, int, tuple[int, ...]], ...] | None = None
+    table: DataFrame | None = None
+
+    @staticmethod
+    def of(spark: SparkSession, asked: list[tuple]) -> "Requests":
+        """``asked`` has tuples of a provenance column, row ids (a list or a one-column table), and a target."""
+        asked = [(prov, frame.settled_ids(spark, ids), target) for prov, ids, target in asked]
+        if all(isinstance(ids, list) for _, ids, _ in asked) and sum(len(ids) for _, ids, _ in asked) <= frame.LITERAL_IDS:
+            literal = tuple((prov, target, tuple(ids)) for prov, ids, target in asked if ids)
+            return Requests(sum(len(ids) for _, _, ids in literal), literal)
+        table = None
+        for prov, ids, target in asked:
+            rows = frame.ids_frame(spark, ids).select(F.lit(prov).alias("prov"), F.col("__id").alias("id"), F.lit(target).alias("target"))
+            table = rows if table is None else table.unionByName(rows)
+        return Requests(table.count(), table=table)
+
+    @staticmethod
+    def of_table(table: DataFrame) -> "Requests":
+        """From a stored table ``(prov, id, target)`` of different rows."""
+        size = table.count()
+        if size > frame.LITERAL_IDS:
+            return Requests(size, table=table)
+        ids: dict[tuple, list] = {}
+        for row in table.collect():
+            ids.setdefault((row.prov, row.target), []).append(row.id)
+        return Requests(size, tuple((prov, target, tuple(sorted(i))) for (prov, target), i in sorted(ids.items())))
+
+    def in_index(self, index: DataFrame) -> DataFrame:
+        """Index rows of the request; a short one reaches the scan of the index, which is sorted."""
+        if self.literal is None:
+            asked = self.table.select("prov", "id").distinct()
+            return index.join(broadcast_if_small(asked, self.size), ["prov", "id"], "left_semi")
+        wanted = F.lit(False)
+        for prov, _, ids in self.literal:
+            wanted = wanted | ((F.col("prov") == prov) & F.col("id").isin(*ids))
+        return index.where(wanted)
+
+    def flagged(self, df: DataFrame) -> DataFrame:
+        """Add ``__targets``: what is asked for a row, null where nothing is."""
+        columns = df.columns
+        if self.literal is not None:
+            asked = [F.when(F.col(prov).isin(*ids), target) for prov, target, ids in self.literal]
+            targets = F.array_compact(F.array_distinct(F.array(*asked))) if asked else F.array().cast("array<int>")
+        else:
+            flags = [F.array().cast("array<int>")]
+            # One lookup per provenance column; there are as many as the run has sources.
+            for i, prov in enumerate(c for c in columns if c.startswith(PROV_PREFIX)):
+                ids = self.table.where(F.col("prov") == prov).groupBy(F.col("id").alias(f"__id{i}"))
+                ids = ids.agg(F.collect_set("target").alias(f"__t{i}"))
+                df = df.join(broadcast_if_small(ids, self.size), F.col(prov) == F.col(f"__id{i}"), "left")
+                flags.append(F.coalesce(f"__t{i}", flags[0]))
+            targets = F.array_distinct(F.concat(*flags))
+        return df.select(*columns, F.when(F.size(targets) > 0, targets).alias("__targets"))
+
+
+def find_hits(tables: list[FileTable], requests: Requests) -> dict[str, "Hits"]:
+    """For tables of one version, the files that hold a row of the request: one lookup for all of them."""
+    first = tables[0]
+    files = {t.name: [] for t in tables}
+    if requests.size:
+        index = first.spark.read.schema(INDEX).parquet(*[f"{first.root}/{i}" for i in first.index])
+        index = requests.in_index(index.where(F.col("table").isin(*files))).select("file").distinct()
+        manifest = first.spark.read.schema(MANIFEST).parquet(f"{first.root}/{first.manifest}")
+        for row in manifest.join(index, "file", "left_semi").collect():
+            files[row.table].append(row)
+    return {t.name: Hits(t, requests, files[t.name]) for t in tables}
 
 
 @dataclass(frozen=True)
@@ -107,25 +162,12 @@ class Hits:
     """The files of a table that a request concerns."""
 
     table: FileTable
-    requests: DataFrame
-    size: int
+    requests: Requests
     files: list
 
     def rows(self) -> DataFrame:
         """All rows of these files; ``__targets`` says what is asked for, null where nothing is."""
-        df = self.table._read(self.files)
-        flags = []
-        # One lookup per provenance column that the request names; there are as many as sources.
-        for i, prov in enumerate(c for c in df.columns if c.startswith(PROV_PREFIX)):
-            asked = self.requests.where(F.col("prov") == prov).groupBy(F.col("id").alias(f"__id{i}"))
-            asked = asked.agg(F.collect_set("target").alias(f"__t{i}"))
-            df = df.join(broadcast_if_small(asked, self.size), F.col(prov) == F.col(f"__id{i}"), "left")
-            flags.append(F.coalesce(f"__t{i}", F.array().cast("array<int>")))
-        targets = F.array_union(flags[0], F.array().cast("array<int>"))
-        for flag in flags[1:]:
-            targets = F.array_union(targets, flag)
-        df = df.withColumn("__targets", F.when(F.size(targets) > 0, targets))
-        return df.select(*self.table.schema.fieldNames(), "__targets")
+        return self.requests.flagged(self.table._read(self.files))
 
     def replaced(self, change: Callable[[DataFrame], DataFrame]) -> "Written | None":
         """Write these files anew with the rows that ``change`` makes of theirs."""
@@ -183,18 +225,23 @@ def commit_files(
     written = {name: w for name, w in written.items() if w is not None}
     before = next((t for t in tables.values() if t is not None), None)
     manifest, index = f"meta/manifest/{uuid.uuid4().hex}", f"meta/index/{uuid.uuid4().hex}"
-    old = None
+    old, gone = None, [row for files in replaced.values() for row in files]
     if before is not None:
-        gone = [row.file for files in replaced.values() for row in files]
         old = spark.read.schema(MANIFEST).parquet(f"{root}/{before.manifest}")
-        if gone:
-            named = spark.createDataFrame([(f,) for f in gone], "file string")
-            old = old.join(broadcast_if_small(named, len(gone)), "file", "left_anti").select("table", "part", "file", "rows")
+        names = [row.file for row in gone]
+        if len(names) <= frame.LITERAL_IDS:
+            old = old.where(~F.col("file").isin(*names)) if names else old
+        else:
+            named = spark.createDataFrame([(f,) for f in names], "file string")
+            old = old.join(broadcast_if_small(named, len(names)), "file", "left_anti").select("table", "part", "file", "rows")
     actions = []
     if written:
         new, pairs = _listed(spark, root, written, parts)
         files = new if old is None else old.unionByName(new)
-        pairs = pairs.repartitionByRange("table", "prov", "id").sortWithinPartitions("table", "prov", "id")
+        # Sorted as a whole; what was few rows before is one task, without sampling for ranges.
+        few = before is not None and sum(row.rows for row in gone) <= BROADCAST_ROWS
+        pairs = pairs.coalesce(1) if few else pairs.repartitionByRange("table", "prov", "id")
+        pairs = pairs.sortWithinPartitions("table", "prov", "id")
         actions.append(lambda: pairs.write.parquet(f"{root}/{index}"))
     else:
         files = old
@@ -207,22 +254,3 @@ def commit_files(
             table = FileTable(spark, root, name, written[name].schema, manifest, indexes, parts[name])
         out[name] = replace(table, manifest=manifest, index=indexes)
     return out
-
-
-def request_table(spark: SparkSession, asked: list[tuple]) -> tuple[DataFrame, int]:
-    """``(prov, id, target)`` of a request, evaluated once, and its size.
-
-    ``asked`` has tuples of a provenance column, row ids (a list or a one-column table) and what is
-    asked for. Null ids name no row.
-    """
-    literal, frames = [], []
-    for prov, row_ids, target in asked:
-        ids = frame.settled_ids(spark, row_ids)
-        if isinstance(ids, list):
-            literal += [(prov, i, target) for i in ids]
-        else:
-            frames.append(frame.ids_frame(spark, ids).select(F.lit(prov).alias("prov"), F.col("__id").alias("id"), F.lit(target).alias("target")))
-    table = spark.createDataFrame(literal, REQUESTS)
-    for ids in frames:
-        table = table.unionByName(ids)
-    return table, len(literal) + sum(ids.count() for ids in frames)

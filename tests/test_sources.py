@@ -1,4 +1,9 @@
+import csv
 import datetime
+import io
+import os
+import random
+import shutil
 import zlib
 
 import pytest
@@ -8,7 +13,7 @@ from provspark import read_csv, read_lines, read_parquet, read_tsv
 from provspark.functions.naming import normalise_path, source_name, source_name_of
 from provspark.functions.text import parse_date
 from provspark.sources import synth
-from provspark.sources.readers import FILE_BITS, scans_without, write_tsv
+from provspark.sources.readers import FILE_BITS, file_registry, scans_without, write_tsv
 
 
 @pytest.fixture
@@ -77,10 +82,110 @@ def test_lines_with_a_wrong_field_count(spark, write_lines):
 
 def test_records_over_several_lines(spark, write_lines):
     path = write_lines(x=["1,one", '2,"two', 'lines"', "3,three"])
-    rows = read_csv(spark, path, "id long, t string", alias="x", multi_line=True).df.orderBy("__prov_x").collect()
+    rows = read_csv(spark, path, "id long, t string", alias="x").df.orderBy("__prov_x").collect()
     assert [tuple(r) for r in rows] == [(1, "one", 0), (2, "two\nlines", 1), (3, "three", 2)]
 
 
+def as_csv(rows, end="\n"):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end, quoting=csv.QUOTE_MINIMAL).writerows(rows)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, small_splits, end):
+    """Records of all lengths, some longer than many splits, against Python's CSV reader."""
+    draw = random.Random(4)
+    pieces = ["a", '"', ",", "\n", "\r\n", "word ", '""', "é", "\n\n", '",', ',"', " "]
+    files = {}
+    for name in ("b", "a", "c"):
+        texts = ["".join(draw.choice(pieces) for _ in range(draw.choice([0, 1, 3, 10, 40, 400, 3000]) if draw.random() < 0.1 else draw.randint(0, 12))) for _ in range(150)]
+        files[name] = [[name, str(i), t] for i, t in enumerate(texts)]
+        (tmp_path / f"{name}.csv").write_bytes(as_csv(files[name], end).encode())
+    frame = read_csv(spark, str(tmp_path), ["f", "n", "t"], alias="x", na_values=())
+    found = {r["__prov_x"]: [r.f, r.n, r.t] for r in frame.df.collect()}
+    expected = {(k << FILE_BITS) + i: row for k, name in enumerate(sorted(files)) for i, row in enumerate(files[name])}
+    assert found == expected
+    assert spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions() > 20
+
+
+def test_quotes_inside_plain_fields(spark, write_lines):
+    path = write_lines(x=['1,a"b', '2,5" x 3"', '3,"q"', '4,"a""', 'b"', "", '5,"""x"""', '6,""', "7, \"y"])
+    rows = read_csv(spark, path, "id long, t string", alias="x", na_values=()).df.orderBy("__prov_x").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 'a"b', 0), (2, '5" x 3"', 1), (3, "q", 2), (4, 'a"\nb', 3), (5, '"x"', 4), (6, "", 5), (7, ' "y', 6),
+    ]
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, write_lines):
+    with pytest.raises(ValueError, match="ends inside a quoted field"):
+        read_csv(spark, write_lines(x=["1,one", '2,"two', "3,three"]), "id long, t string")
+
+
+def test_header_with_line_breaks(spark, write_lines):
+    path = write_lines(x=['id,"a', 'title"', '1,"x', 'y"', "2,z"])
+    rows = read_csv(spark, path, "id long, t string", alias="x", header=True).df.orderBy("__prov_x").collect()
+    assert [tuple(r) for r in rows] == [(1, "x\ny", 0), (2, "z", 1)]
+
+
+def test_no_lines_landed_are_left(spark, write_lines, monkeypatch, tmp_path):
+    from provspark.operators import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    read_csv(spark, write_lines(x=["1,a"]), "id long, t string")
+    assert not [n for n in os.listdir(tmp_path / "shared" / "provspark") if n.startswith("lines-")]
+
+
+@pytest.mark.parametrize("kind", ["csv", "lines", "parquet"])
+def test_row_ids_stay_when_files_come(spark, tmp_path, kind):
+    folder = tmp_path / "source"
+
+    def add(name):
+        if kind == "parquet":
+            spark.createDataFrame([(name, str(i)) for i in range(5)], "f string, n string").coalesce(1).write.parquet(str(tmp_path / "new"))
+            folder.mkdir(exist_ok=True)
+            (part,) = (tmp_path / "new").glob("part-*")
+            part.rename(folder / f"{name}.parquet")
+            shutil.rmtree(tmp_path / "new")
+        else:
+            folder.mkdir(exist_ok=True)
+            (folder / f"{name}.csv").write_text("".join(f"{name},{i}\n" for i in range(5)))
+
+    def ids():
+        with file_registry(str(tmp_path / "registry")):
+            frame = {
+                "csv": lambda: read_csv(spark, str(folder), ["f", "n"], alias="x"),
+                "lines": lambda: read_lines(spark, str(folder), ["f", "n"], alias="x"),
+                "parquet": lambda: read_parquet(spark, str(folder), alias="x"),
+            }[kind]()
+        return {(r.f, r.n): r["__prov_x"] for r in frame.df.collect()}
+
+    add("m")
+    first = ids()
+    assert sorted(first.values()) == list(range(5))
+    add("z")
+    add("b")
+    second = ids()
+    assert {k: second[k] for k in first} == first and len(set(second.values())) == 15
+    (name,) = folder.glob("b.*")
+    name.rename(folder / name.name.replace("b.", "zz."))
+    add("a")
+    third = ids()
+    assert {k: v for k, v in third.items() if k[0] in "mz"} == {k: v for k, v in second.items() if k[0] in "mz"}
+    assert len(set(third.values())) == 20
+    assert third == ids()
+
+
+def test_registry_of_two_scans_at_the_same_time(spark, tmp_path):
+    from provspark.operators.storage import together
+    from provspark.sources.readers import registered_files
+
+    found = together(*[lambda i=i: registered_files(spark, str(tmp_path), "x", ["a", f"b{i}"]) for i in range(4)])
+    last = registered_files(spark, str(tmp_path), "x", [])
+    assert sorted(last.values()) == list(range(5))
+    assert all(one[f] == last[f] for one in found for f in one)
+
+
 def test_too_many_fields_raise(spark, write_lines):
     with pytest.raises(Exception, match="more than 2 fields, from: EXTRA"):
         read_csv(spark, write_lines(x=["1,a", "2,b,EXTRA"]), "id long, t string").count()
