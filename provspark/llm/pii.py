@@ -9,8 +9,7 @@ content of the entity,
 
 which is 1 if the term occurs only in lines with the entity. Terms seen beside the entity in at least
 ``min_support`` different lines are generalised from ``generalise_at`` and removed from ``remove_at``
-on: with ``everywhere`` in every text that names them, with or without the entity, removed if any
-entity asks for it; else only in the texts that hold the entity.
+on, in every text that names them, with or without the entity; removed if any entity asks for it.
 
 Matches are leftmost and do not overlap within a kind. The patterns below say the same as the plain
 ones but never try the inside of a run again, so a long run costs linear time. No match crosses a
@@ -18,7 +17,7 @@ line break.
 
 Defined cases: a null text stays null and has no spans; repeated rows get the same result each, and
 as lines they count as often as they occur, while support counts different lines; no rows give no
-rows; other columns are kept, except one named ``pii_spans``, which is replaced.
+rows; other columns are kept, whatever their names, except one named ``pii_spans``, which is replaced.
 """
 
 from __future__ import annotations
@@ -147,9 +146,8 @@ def disclosing_terms(
 ) -> DataFrame:
     """``(entity, term, disclosure, removed)`` for the terms that disclose an entity, from the whole corpus.
 
-    Lines with an entity are counted per different line first, so copies cost one row; counts of
-    terms over all lines start inside the tasks, and only terms that stand beside an entity often
-    enough are counted.
+    Lines with an entity are counted per different line first, so copies cost one row. The lines of
+    every word are counted inside the tasks first, so that what is shuffled and joined is vocabulary.
     """
     lines = df.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
     held = with_entities(lines.where(_may_hold(F.col("line"))), "line", "spans").where("size(spans) > 0")
@@ -169,19 +167,13 @@ def disclosing_terms(
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit(False).alias("removed"))
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = words.groupBy("term").agg(F.count("*").alias("n_t"))
     information = F.log(F.lit(float(n_lines)) / F.col("n_e"))
     pairs = pairs.join(counted, "term").withColumn("disclosure", F.when(information > 0, (F.log(F.col("n_et") / F.col("n_t")) + information) / information).otherwise(0.0))
     pairs = pairs.where(F.col("disclosure") >= generalise_at)
     return materialise(pairs.select("entity", "term", "disclosure", (F.col("disclosure") >= remove_at).alias("removed")), "disclosure")
 
 
-def _terms_of_entities(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(_key, _terms)``: the terms that disclose an entity of the text."""
-    texts = found.select("_key", F.explode(F.array_distinct(F.transform("pii_spans", _entity))).alias("entity")).distinct()
-    return texts.join(terms, "entity").groupBy("_key").agg(F.collect_set(F.struct("term", "removed")).alias("_terms"))
-
-
 def _terms_of_texts(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """``(_key, _terms)``: the terms a text names that disclose any entity; texts that name none are left out."""
     terms = materialise(terms.groupBy("term").agg(F.max("removed").alias("removed")), "terms")
@@ -192,34 +184,25 @@ def _terms_of_texts(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return broadcast_if_small(texts, texts.agg(F.sum(F.size("_terms"))).first()[0] or 0, TERM_ROWS)
 
 
-def find_private(df: DataFrame, text: str = "text", everywhere: bool = False, **limits) -> DataFrame:
-    """Add ``pii_spans``: the base entities by kind and start, then the spans of disclosing terms.
-
-    Without ``everywhere`` only texts that hold an entity meet the disclosure table; the others pass
-    without a shuffle.
-    """
+def find_private(df: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """Add ``pii_spans``: the base entities by kind and start, then the spans of disclosing terms."""
+    columns = [c for c in df.columns if c != "pii_spans"]
+    kept = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)]
+    whole = f"in_{columns.index(text)}"
     terms = disclosing_terms(df, text, **limits)
-    df = df.drop("pii_spans")
-    found = with_entities(df, text, "pii_spans")
-    if terms.isEmpty():
-        return found
-    if everywhere:
-        held, clean = found.withColumn("_key", F.md5(text)), None
+    found = with_entities(df.select(*kept), whole, "pii_spans")
+    if not terms.isEmpty():
         texts = _terms_of_texts(df, text, terms)
-    else:
-        clean = found.where("size(pii_spans) = 0").withColumn("pii_spans", F.array().cast(SPANS))
-        held = found.where("size(pii_spans) > 0").withColumn("_key", F.md5(F.col(text)))
-        texts = _terms_of_entities(held, terms)
-    held = held.join(texts, "_key", "left")
-    held = held.withColumn("_words", matches(F.col(text), "term", TERM, F.col("_terms").isNotNull()))
+        found = found.withColumn("_key", F.md5(whole)).join(texts, "_key", "left")
+        found = found.withColumn("_words", matches(F.col(whole), "term", TERM, F.col("_terms").isNotNull()))
 
-    def known(kind: str, removed: bool) -> Column:
-        is_term = lambda s: F.exists("_terms", lambda t: (t.term == F.lower(s.value)) & (t.removed == removed))
-        return F.transform(F.filter("_words", is_term), lambda s: s.withField("kind", F.lit(kind)))
+        def known(kind: str, removed: bool) -> Column:
+            is_term = lambda s: F.exists("_terms", lambda t: (t.term == F.lower(s.value)) & (t.removed == removed))
+            return F.transform(F.filter("_words", is_term), lambda s: s.withField("kind", F.lit(kind)))
 
-    spans = F.coalesce(F.concat("pii_spans", known("removed", True), known("general", False)), "pii_spans")
-    held = held.withColumn("pii_spans", spans).drop("_key", "_terms", "_words")
-    return held if clean is None else held.unionByName(clean)
+        spans = F.coalesce(F.concat("pii_spans", known("removed", True), known("general", False)), "pii_spans")
+        found = found.withColumn("pii_spans", spans)
+    return found.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)], "pii_spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -234,23 +217,38 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s.kind.isin(*KINDS))
 
 
-def sanitise(df: DataFrame, text: str = "text", everywhere: bool = False, **limits) -> DataFrame:
+def sanitise(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``df`` with entities replaced by their kind, disclosing terms generalised (``[term]``) or removed.
 
     Adds ``pii_spans`` with positions in the text as it was. Spans that overlap are replaced as one.
     """
-    found = find_private(df, text, everywhere, **limits)
-    ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    whole = F.col(text)
+    found = find_private(df, text, **limits)
+    columns = found.columns
+    kept = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)]
+    whole, spans = F.col(f"in_{columns.index(text)}"), f"in_{columns.index('pii_spans')}"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    # The spans that are replaced, each with the end of what was replaced before it.
+    start = F.struct(F.array().cast("array<struct<before:bigint,start:bigint,kind:string>>").alias("cuts"), F.lit(0).cast("bigint").alias("at"))
 
     def step(a: Column, s: Column) -> Column:
-        label = F.when(s.kind == "removed", "").when(s.kind == "general", "[term]").otherwise(F.concat(F.lit("["), F.upper(s.kind), F.lit("]")))
-        added = F.concat(F.substring(whole, (a.at + 1).cast("int"), (s.start - a.at).cast("int")), label)
-        fresh = s.start >= a.at
-        return F.struct(
-            F.when(fresh, F.concat(a.out, added)).otherwise(a.out).alias("out"), F.greatest(a.at, s.end).alias("at")
-        )
-
-    replaced = F.aggregate(ordered, start, step, lambda a: F.concat(a.out, F.substring(whole, (a.at + 1).cast("int"), F.char_length(whole))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, replaced).otherwise(whole))
+        cut = F.array(F.struct(a.at.alias("before"), s.start.alias("start"), s.kind.alias("kind")))
+        return F.struct(F.when(s.start >= a.at, F.concat(a.cuts, cut)).otherwise(a.cuts).alias("cuts"), F.greatest(a.at, s.end).alias("at"))
+
+    # Four bytes a code point: a stretch is cut out without counting from the start of the text.
+    wide = F.encode(whole, "UTF-32")
+    done = found.select(*kept).withColumn("_cuts", F.when(F.size(spans) > 0, F.aggregate(ordered, start, step)))
+    done = done.withColumn("_wide", F.when(F.size(spans) > 0, wide))
+
+    def stretch(low: Column, n: Column | None = None) -> Column:
+        n = F.octet_length("_wide") if n is None else 4 * n
+        # With a byte order mark in front, so that one in the text is not taken for it.
+        cut = F.substring(F.col("_wide"), (4 * low + 1).cast("int"), n.cast("int"))
+        return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), cut), "UTF-32")
+
+    def label(kind: Column) -> Column:
+        return F.when(kind == "removed", "").when(kind == "general", "[term]").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+    parts = F.transform("_cuts.cuts", lambda c: F.concat(stretch(c.before, c.start - c.before), label(c.kind)))
+    replaced = F.concat(F.array_join(parts, ""), stretch(F.col("_cuts.at")))
+    text_of = {text: F.when(F.size(spans) > 0, replaced).otherwise(whole)}
+    return done.select(*[text_of.get(c, F.col(f"in_{i}")).alias(c) for i, c in enumerate(columns)])
