@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -87,8 +88,35 @@ def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, in
         high = max(low + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield low, high
         low = high
-    # Tasks share their machine's memory with the JVM: give back what the batch needed.
+    give_back()
+
+
+def give_back() -> None:
+    """Tasks share their machine's memory with the JVM and live on between stages: return what is free."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
+
+
+def by_row(rows: DataFrame, operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operate(rows)`` for an operator whose ``key`` names a row, also where keys repeat.
+
+    ``rows`` has the column ``key``, the result ``key``, ``component_id`` and others. Where a key stands in
+    several rows, each gets a number of its own for the operator, and the component is again the smallest
+    key that it reaches. Rows without a key are left as they are.
+    """
+    if rows.where("key is not null").groupBy("key").count().where("count > 1").isEmpty():
+        return operate(rows)
+    numbered = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    others = [c for c in rows.columns if c != "key"]
+    found = operate(numbered.select(F.when(F.col("key").isNotNull(), F.col("__row")).alias("key"), *others))
+    found = materialise(found, "by-row")
+    named = found.where("key is not null").withColumnRenamed("key", "__row").join(numbered.select("__row", "key"), "__row")
+    smallest = named.groupBy("component_id").agg(F.min("key").alias("__smallest"))
+    named = named.join(smallest, "component_id").withColumn("component_id", F.col("__smallest"))
+    return named.select(*found.columns).union(found.where("key is null"))
 
 
 def flat_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

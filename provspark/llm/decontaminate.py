@@ -42,7 +42,7 @@ from provspark.llm.common import plain_words, shared, text_slices
 from provspark.operators.storage import materialise
 
 SEGMENT, STRIDE, SEED = 128, 64, 3
-COPIED, TELLING, RARE = 30, 8, 1e-8
+COPIED, TELLING, WHOLE, RARE = 30, 8, 5, 1e-8
 BLOCK_WORDS = 1 << 19
 HITS, ALIGNED = 1 << 16, 512
 MISMATCH = GAP = 0.5
@@ -122,6 +122,8 @@ class Block:
         length = len(self.parts[s])
         if length < SEED or (length < TELLING and score < length):
             return False
+        if length >= WHOLE and score >= length:
+            return True
         return bool(self.chances[int(s)][int(np.ceil(score)) - 1] <= np.log(RARE))
 
     def keys(self, numbers: np.ndarray, size: int) -> np.ndarray:

@@ -15,7 +15,7 @@ n classes needs about (n / tile)^2 / 2 tile products, which are spread evenly ov
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length never link; rows without an id have no
-links and a null component and are kept; repeated rows count as vectors of their own; no rows give no
+links and a null component and are kept; rows that share an id are vectors of their own; repeated rows count as vectors of their own; no rows give no
 rows; other columns are not read.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import components
+from provspark.llm.common import by_row, components
 from provspark.operators.storage import materialise
 
 TILE_BYTES, TILE_ROWS = 1 << 20, 2048
@@ -120,6 +120,13 @@ def link_embeddings(
 ) -> DataFrame:
     """One row per row of ``vectors``: ``key, n_links, component_id, kept``."""
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"))
+    found = by_row(rows, lambda rows: _linked(rows, threshold))
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("key").alias(key), "n_links", "component_id", kept.alias("kept"))
+
+
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """``(key, n_links, component_id)`` of ``rows(key, vector, label)`` with different keys."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("key").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
     good = good & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
@@ -151,5 +158,4 @@ def link_embeddings(
     )
     done = clean.join(classes, ["label", "vector"]).select("key", "n_links", "component_id")
     rest = rows.where(~good).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
-    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))
-    return done.union(rest).select(F.col("key").alias(key), "n_links", "component_id", kept.alias("kept"))
+    return done.union(rest)

@@ -187,5 +187,6 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", out:
         fields = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
         return pa.StructArray.from_arrays(fields, ["lang", "score"])
 
-    docs = docs.withColumn("_predicted", predicted(F.col(text)))
-    return docs.withColumns({out: F.col("_predicted.lang"), score: F.col("_predicted.score")}).drop("_predicted")
+    found = "_predicted" + "_" * max(map(len, docs.columns))  # no column has this name
+    docs = docs.withColumn(found, predicted(F.col(text)))
+    return docs.withColumns({out: F.col(f"{found}.lang"), score: F.col(f"{found}.score")}).drop(found)

@@ -18,7 +18,7 @@ link per document and component. So no link between components is lost, and noth
 square of a group but the work inside the tiles.
 
 Defined cases: texts without words (null, empty) and rows without an id link with nothing and are
-kept; rows with one id are judged each by its text; repeated rows get the same component; no rows
+kept; rows that share an id are judged each by its text; repeated rows get the same component; no rows
 give no rows; other columns are not read.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import components, flat_words, hash_shingles, hash_words, mix, text_slices
+from provspark.llm.common import by_row, components, flat_words, hash_shingles, hash_words, mix, text_slices
 from provspark.operators.sizing import broadcast_if_small
 from provspark.operators.storage import materialise
 
@@ -235,7 +235,13 @@ def near_duplicates(
 
     ``component_id`` is the smallest key that links reach, ``kept`` whether that is the row's own.
     """
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = by_row(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), lambda rows: _near_duplicates(rows, shingle, percent))
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))
+    return rows.select(F.col("key").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``(key, n_shingles, component_id)`` of ``docs(key, text)`` with different keys."""
     signed = materialise(signatures(docs, shingle), "signatures")
     full = signed.where("n_shingles > 0 and key is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("key").alias("node"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets"))
@@ -269,6 +275,4 @@ def near_duplicates(
     reached = reached.select("set_a", "set_b", F.coalesce("label", "node").alias("component_id"))
     joined = full.select("key", "n_shingles", "set_a", "set_b").join(reached, ["set_a", "set_b"])
     rest = signed.where("not (n_shingles > 0 and key is not null)").select("key", "n_shingles", F.col("key").alias("component_id"))
-    rows = joined.select("key", "n_shingles", "component_id").union(rest)
-    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))
-    return rows.select(F.col("key").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+    return joined.select("key", "n_shingles", "component_id").union(rest)

@@ -67,6 +67,25 @@ def test_documents(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_documents_that_share_an_id(spark):
+    """Unlike texts under one id are documents of their own: their groups do not merge."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c), (None, a), (2, c), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, shingle=2).collect() if r.doc_id is not None)
+    # Groups: {1 a, 2 a}, {1 b, 3 b}, {4 c, 4 c, 2 c}, and the empty ones by themselves.
+    expected = [(1, 59, 1, True), (1, 59, 1, True), (2, 60, 1, False), (3, 60, 1, False), (2, 59, 2, True), (4, 59, 2, False), (4, 59, 2, False)]
+    assert found == sorted(expected + [(5, 0, 5, True)] * 2)
+
+
+def test_vectors_that_share_an_id(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, x, 0), (1, y, 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0), (4, None, 0), (4, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = sorted(tuple(r) for r in embeddings.link_embeddings(df).collect())
+    assert found == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+
+
 def test_large_group_of_near_copies(spark):
     draw = random.Random(1)
     base = [f"w{i}" for i in range(200)]

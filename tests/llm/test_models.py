@@ -178,6 +178,19 @@ def test_leaks_of_an_item_that_many_documents_hold(spark):
     assert found == {**{i: [(i % 2, 1.0)] for i in range(100)}, 200: [(0, 0.75)], 201: [(1, 0.75)], 202: [(0, 0.75)]}
 
 
+def test_short_item_that_many_documents_hold(spark):
+    """A whole item of five words tells, however many copies of it there are."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    for copies in (1, 100):
+        rows = [(i, f"{prose(20)} where did zorro hide gold {prose(20)}") for i in range(copies)] + [(1000 + i, prose(40)) for i in range(200)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        done = decontaminate.with_leaks(docs, spark.createDataFrame([(7, "Where did Zorro hide gold?")], "item_id long, text string"))
+        told = {r.doc_id for r in done.select("doc_id", decontaminate.telling_leaks(done.leaks).alias("x")).where("size(x) > 0").collect()}
+        assert told == set(range(copies))
+
+
 def test_leaks_of_excerpts(spark):
     draw = random.Random(9)
     words = [f"w{i}" for i in range(5000)]
