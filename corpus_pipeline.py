@@ -14,38 +14,47 @@ from provspark.llm.queries import PIECE_MODEL, table
 from provspark.operators.storage import materialise
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    return name + "_" * max(map(len, docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go; it learns from the labelled documents."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    score = _unused("toxicity", docs)
+    return toxicity.with_toxicity(docs, model, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id.
 
-    Of rows that share an id the first by text stays; rows without an id stay.
+    Different texts that share an id are documents of their own; of equal ones in a group the first by
+    their place stays. Rows without an id stay.
     """
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    repeated = materialise(repeated, "repeated")
-    if not repeated.isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        first = F.min(F.struct("text", *rest)).alias("_row")
-        ones = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "_row.*")
-        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(ones.select(*docs.columns))
-        docs = materialise(docs, "documents")
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    numbered = materialise(numbered, "numbered")
+    known = numbered.where("doc.doc_id is not null").select("row", "doc.doc_id", "doc.text")
+    found = minhash.near_duplicates(known, key="row").select("row", "component_id")
+    first = F.min(F.struct("doc_id", "row"))["row"]
+    stay = found.join(known.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("row")).select("row")
+    kept = numbered.join(stay, "row", "left_semi").unionByName(numbered.where("doc.doc_id is null"))
+    return kept.select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, also an edited copy, go; those that merely share common words with a short one stay."""
-    leaks = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks")
-    return leaks.where(F.size(decontaminate.telling_leaks(F.col("_leaks"))) == 0).select(*docs.columns)
+    out = _unused("leaks", docs)
+    leaks = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return leaks.where(F.size(decontaminate.telling_leaks(F.col(out))) == 0).select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are replaced in all texts, whether or not they hold the data."""
-    done = pii.sanitise(docs, everywhere=True).withColumn("n_chars", F.char_length("text").cast("long"))
+    done = pii.sanitise(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     return done.select(*docs.columns)
 
 
