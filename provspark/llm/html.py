@@ -1,11 +1,16 @@
 """Main text of web pages by tree scoring, whole pages in Arrow batches.
 
-A page is parsed into a tree without the parts that never hold an article (scripts, forms, menus,
-and elements whose class or id names them). Every paragraph passes points for its length and commas
-to its parent, and half of them to its grandparent; the points of a container are discounted by the
-share of its text that stands in links. The best container is kept, with all siblings that score well
-or have text of which little stands in links, of whatever tag: lists, tables, short blocks, bare text
-(what is inline between two blocks counts as one). The blocks, in page order, are the text.
+A page is parsed into a tree without the parts that never hold an article: scripts, forms, menus, and
+elements whose class or id names them. Names that may as well belong to an article (``related-work``,
+``form``) only count against containers, and only where links or little else stand in them. Every
+paragraph passes points for its length and commas to its parent, and half of them to its grandparent;
+the points of a container are discounted by the share of its text that stands in links.
+
+The best container is kept with its siblings, and so on up the tree: siblings that score well, and such
+of whatever tag that have text of which little stands in links: lists, tables, short blocks, bare text
+(what is inline between two blocks counts as one). Beside an ``article`` or ``main``, and in the body of
+a page above other containers, containers and bare text must score well to stay, while headings,
+paragraphs, lists and tables need only be text. The blocks, in page order, are the text.
 
 Defined cases: a null or empty page, and one without text, give an empty text; character references
 are decoded; an element that is not closed ends where its parent or the next block of its kind
@@ -40,21 +45,26 @@ ENDED_BY = {
     **{h: BLOCKS - {"hr"} for h in HEADINGS},
 }
 HOLDERS = frozenset("article section main div body td th ul ol dl table".split())
+# Parts of a page by the name of their class or id; of a name such as "comment-list-2" every word counts.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|popup|modal|cookies?|consent|gdpr|notices?|alert|"
-    r"newsletter|subscribe|signup|login|nav\w*|menu|breadcrumbs?|pag(?:er|ination)|skip|sidebar|side|aside|widget|"
-    r"related|recommend\w*|trending|share\w*|sharing|social|comments?|disqus|replies|respond|discussion|reactions|"
-    r"footer|foot|masthead|toolbar|copyright|legal|disclaimer|form|search|tags|outbrain|taboola|hidden)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|popup|modal|cookies?\w*|consent\w*|gdpr|notices?|alert|"
+    r"newsletter\w*|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|skip|sidebar\w*|aside|widget\w*|"
+    r"recommend\w*|trending|sharing|social\w*|comment\w*|disqus\w*|repl(?:y|ies)\w*|respond\w*|reactions|"
+    r"footer\w*|masthead|toolbar|copyright|disclaimer|outbrain|taboola|hidden)(?=$|[\s_-])",
     re.I,
 )
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:side|related|share\w*|foot|legal|form|search|tags|discussion)(?=$|[\s_-])", re.I)
+FEW_LETTERS = 100  # a container with a doubtful name and fewer letters is no part of the article
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|story|blog)(?=$|[\s_-])", re.I)
+LINKS = 0.25  # text with a larger share of links is no text of an article
+PLAIN = PARAGRAPHS | frozenset("ul ol dl table figure address".split())
 UNLIKELY_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert note".split()
 )
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "n_text", "n_link", "dropped", "likely")
+    __slots__ = ("tag", "parent", "children", "points", "n_text", "n_link", "dropped", "likely", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict):
         self.tag, self.parent, self.children = tag, parent, []
@@ -65,6 +75,7 @@ class Node:
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
         named = not spared and (bool(UNLIKELY.search(names)) or attrs.get("role") in UNLIKELY_ROLES)
         self.dropped = tag in NEVER or hidden or named
+        self.doubtful = tag in BLOCKS and tag not in PARAGRAPHS and not spared and bool(DOUBTFUL.search(names))
 
 
 class Tree(HTMLParser):
@@ -154,6 +165,20 @@ def _measure(nodes: list[Node]) -> None:
             node.parent.n_link += node.n_link
 
 
+def _drop_doubtful(nodes: list[Node]) -> list[Node]:
+    """Take out containers with a doubtful name that are links or hardly any text; what is left, measured again."""
+    doubtful = [n for n in nodes if n.doubtful and (n.n_text < FEW_LETTERS or _link_density(n) >= LINKS)]
+    if not doubtful:
+        return nodes
+    for node in doubtful:
+        node.dropped = True
+    for node in nodes:
+        node.n_text = node.n_link = 0
+    left = _walk(nodes[0])
+    _measure(left)
+    return left
+
+
 def _link_density(node: Node) -> float:
     return node.n_link / node.n_text if node.n_text else 0.0
 
@@ -196,6 +221,7 @@ def main_text(page: str | None) -> str:
     tree.close()
     nodes = _walk(tree.root)
     _measure(nodes)
+    nodes = _drop_doubtful(nodes)
     containers: dict[int, Node] = {}
     for node in nodes:
         own = node.tag not in PARAGRAPHS and any(isinstance(c, str) and len(c.split()) > 10 for c in node.children)
@@ -215,19 +241,24 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(_texts(tree.root))
     score = {k: n.points * (1 - _link_density(n)) for k, n in containers.items()}
     best = max(containers.values(), key=lambda n: score[id(n)])
-    if best.parent is None or best.tag in ("body", "article", "main"):
-        return "\n\n".join(_texts(best))
-    limit, shown = max(10.0, 0.2 * score[id(best)]), Node("div", None, {})
-    for _, run in groupby(_kept(best.parent), lambda c: id(c) if not isinstance(c, str) and c.tag in BLOCKS else 0):
-        run = list(run)
-        n_text = sum(len("".join(c.split())) if isinstance(c, str) else c.n_text for c in run)
-        n_link = sum(c.n_link for c in run if not isinstance(c, str))
-        if run[0] is best or score.get(id(run[0]), 0.0) >= limit or n_link < 0.25 * n_text:
-            shown.children.extend(run)
-        else:
-            # What stands before and after is not one block.
-            shown.children.append(Node("div", None, {}))
-    return "\n\n".join(_texts(shown))
+    limit, top = max(10.0, 0.2 * score[id(best)]), best
+    while top.parent is not None and top.tag != "body":
+        # Inside the container that scored best its siblings only need to be text.
+        strict = top.tag in ("article", "main") or (top is not best and top.parent.tag == "body")
+        kept: list = []
+        for _, run in groupby(_kept(top.parent), lambda c: id(c) if not isinstance(c, str) and c.tag in BLOCKS else 0):
+            run = list(run)
+            n_text = sum(len("".join(c.split())) if isinstance(c, str) else c.n_text for c in run)
+            n_link = sum(c.n_link for c in run if not isinstance(c, str))
+            text = n_link < LINKS * n_text and (not strict or (not isinstance(run[0], str) and run[0].tag in PLAIN))
+            if run[0] is top or score.get(id(run[0]), 0.0) >= limit or text:
+                kept.extend(run)
+            else:
+                # What stands before and after is not one block.
+                kept.append(Node("div", None, {}))
+        top.parent.children = kept
+        top = top.parent
+    return "\n\n".join(_texts(top))
 
 
 def extract_main(pages: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:

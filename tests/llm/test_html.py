@@ -60,3 +60,35 @@ def test_defined_cases(spark):
     assert done[3] == (4, "\n\n".join(["word, word"] * 50_000)) and done[4] == (5, "deep text, here")
     assert done[6] == done[7] == (7, "a")
     assert html.extract_main(df.limit(0)).count() == 0
+
+
+PROSE = "".join(f"<p>{markup.escape(p)}</p>" for p in PARAGRAPHS + PARAGRAPHS[:2])
+SHOWN = [*PARAGRAPHS, *PARAGRAPHS[:2]]
+OTHER = "<p>Another article, of some length, with commas, and sentences that are long enough, follows here on the page.</p>"
+OTHER_TEXT = "Another article, of some length, with commas, and sentences that are long enough, follows here on the page."
+
+
+@pytest.mark.parametrize("inside, expected", [
+    (f"<main><h1>Title</h1><p>Lead text</p><article>{PROSE}</article></main>", ["Title", "Lead text", *SHOWN]),
+    (f"<article>{PROSE}</article><article>{OTHER * 3}</article>", [*SHOWN, *[OTHER_TEXT] * 3]),
+    (f"<p>An intro of the page.</p><article>{PROSE}</article>", ["An intro of the page.", *SHOWN]),
+    (f"<div id=w><div class=c1><div>{PROSE}</div></div><div class=c2>{OTHER}</div></div>", [*SHOWN, OTHER_TEXT]),
+    (f"<main><article>{PROSE}</article><div>All rights are with us.</div></main>", SHOWN),
+    (f"<main><article>{PROSE}</article><ul><li><a href=a>Older</a></li><li><a href=b>Newer</a></li></ul></main>", SHOWN),
+])
+def test_the_best_container_climbs(inside, expected):
+    assert html.main_text(f"<body>{CHROME}{inside}{AFTER}</body>") == "\n\n".join(expected)
+
+
+@pytest.mark.parametrize("part, shown", [
+    ("<p class=form>The form of a poem.</p>", "The form of a poem."), ("<blockquote class=share>A share of it.</blockquote>", "A share of it."),
+    ("<p>To <span class=search>search</span> is human.</p>", "To search is human."),
+    (f"<div class=related-work><h2>Related work</h2>{OTHER}</div>", f"Related work\n\n{OTHER_TEXT}"),
+    ("<div class=related><p>See also</p></div>", None), ("<div class=share-this><a href=x>Share this with all your friends at once</a></div>", None),
+    (f"<div class=commentlist>{OTHER}</div>", None), (f"<div id=respond2>{OTHER}</div>", None), (f"<section class='comment-area-3'>{OTHER}</section>", None),
+    ("<div class=notice><p>Notice: the site is closed on Monday, and on Tuesday, too, as it was in the past.</p></div>", None),
+])
+def test_names_inside_an_article(part, shown):
+    for open_, close in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = f"<body>{CHROME}{open_}{PROSE}{part}<p>The end.</p>{close}{AFTER}</body>"
+        assert html.main_text(page) == "\n\n".join([*SHOWN, *([shown] if shown else []), "The end."])
