@@ -84,6 +84,8 @@ def main() -> None:
         "retrain_over_incremental": round(times["run_again"] / times["delete_features"], 2),
         "samples": facts["train_samples"] + facts["test_samples"],
         "accuracy": round(facts["accuracy"], 4),
+        "loss": round(facts["loss"], 4),
+        "base_rate_loss": round(facts["base_rate_loss"], 4),
     }))
 
 

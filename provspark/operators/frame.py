@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -286,8 +287,17 @@ def join(left: TrackedFrame, right: TrackedFrame, left_on, right_on, **options)
     return left.join(right, left_on, right_on, **options)
 
 
+class StoredIds(NamedTuple):
+    """A request that was evaluated: a stored table ``__id`` of different ids, and how many."""
+
+    df: DataFrame
+    rows: int
+
+
 def ids_frame(spark, row_ids) -> DataFrame:
-    """Row ids as a one-column table; accepts any iterable of ints or a DataFrame."""
+    """Row ids as a one-column table; accepts any iterable of ints, a DataFrame or ``StoredIds``."""
+    if isinstance(row_ids, StoredIds):
+        return row_ids.df
     if isinstance(row_ids, DataFrame):
         ids = row_ids.select(F.col(f"`{row_ids.columns[0]}`").cast("long").alias("__id"))
         return ids.where("__id IS NOT NULL")
@@ -302,24 +312,26 @@ def _settled(row_ids) -> list[int]:
 def by_source_rows(df: DataFrame, prov: str, row_ids, how: str) -> DataFrame:
     """Semi- or anti-join (``left_semi``, ``left_anti``) with source row ids.
 
-    A short list becomes a predicate that reaches the Parquet scan. Otherwise the ids are a
-    table: looked up map-side while they are few, else joined by a shuffle.
+    A request that is a table is evaluated once, here. A short one becomes a predicate that reaches
+    the Parquet scan. Otherwise the ids are a table: looked up map-side while they are few, else joined by a shuffle.
     """
-    if not isinstance(row_ids, DataFrame):
-        row_ids = _settled(row_ids)
-        if len(row_ids) <= LITERAL_IDS:
-            found = F.coalesce(F.col(f"`{prov}`").isin(row_ids), F.lit(False))
-            return df.where(found if how == "left_semi" else ~found)
+    row_ids = settled_ids(df.sparkSession, row_ids)
+    if not isinstance(row_ids, StoredIds) and len(row_ids) <= LITERAL_IDS:
+        found = F.coalesce(F.col(f"`{prov}`").isin(row_ids), F.lit(False))
+        return df.where(found if how == "left_semi" else ~found)
     ids = ids_frame(df.sparkSession, row_ids)
-    rows = None if isinstance(row_ids, DataFrame) else len(row_ids)
+    rows = row_ids.rows if isinstance(row_ids, StoredIds) else len(row_ids)
     return df.join(broadcast_if_small(ids, rows), df[prov] == ids["__id"], how)
 
 
 def settled_ids(spark, row_ids):
     """Evaluate a request once: a sorted list if it is short, else a stored table of distinct ids."""
+    if isinstance(row_ids, StoredIds):
+        return row_ids
     if not isinstance(row_ids, DataFrame):
         return _settled(row_ids)
     stored = materialise(ids_frame(spark, row_ids).distinct(), "ids")
-    if stored.count() <= LITERAL_IDS:
+    rows = stored.count()
+    if rows <= LITERAL_IDS:
         return sorted(row[0] for row in stored.collect())
-    return stored
+    return StoredIds(stored, rows)

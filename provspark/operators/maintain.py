@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provspark.functions.naming import SAMPLE_ID
-from provspark.functions.vectors import zero_ranges
+from provspark.functions.vectors import is_sparse, zero_ranges, zero_sparse_ranges, zeroed
 from provspark.operators import lineage
 from provspark.operators.network import Network, gradient_sums, prediction, probability
 from provspark.operators.split import SPLIT, TEST, TRAIN
@@ -38,7 +38,7 @@ def null_out(df: DataFrame, columns: list[str], where: Column | None = None) ->
 
 def patch_features(df: DataFrame, ranges, where: Column | None = None, column: str = "features") -> DataFrame:
     """Zero the ranges of the feature vector; rows outside ``where`` are not touched at all."""
-    patched = zero_ranges(F.col(column), ranges)
+    patched = zeroed(df, ranges, column)
     if where is not None:
         patched = F.when(where, patched).otherwise(F.col(column))
     return df.withColumn(column, patched)
@@ -54,7 +54,7 @@ def updates(samples: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
 
 def before_after(samples: DataFrame, ranges, column: str = "features") -> DataFrame:
     """Samples with the feature vector before and after the patch side by side."""
-    return samples.withColumn("patched", zero_ranges(F.col(column), ranges))
+    return samples.withColumn("patched", zeroed(samples, ranges, column))
 
 
 def unlearn_features(network: Network, pairs: DataFrame, rate: float = 1.0) -> Network:
@@ -103,13 +103,13 @@ def _asked(targets: list[Target], condition) -> Column:
     return F.coalesce(F.arrays_overlap("__targets", F.array(*[F.lit(i) for i in numbers])), F.lit(False))
 
 
-def patched_by(targets: list[Target], column: str = "features") -> Column:
+def patched_by(df: DataFrame, targets: list[Target], column: str = "features") -> Column:
     """The feature vector with the ranges of all asked targets zeroed."""
-    vector = F.col(column)
+    zero, vector = zero_sparse_ranges if is_sparse(df, column) else zero_ranges, F.col(column)
     for i, target in enumerate(targets):
         if target.ranges:
             asked = F.coalesce(F.array_contains("__targets", i), F.lit(False))
-            vector = F.when(asked, zero_ranges(vector, list(target.ranges))).otherwise(vector)
+            vector = F.when(asked, zero(vector, list(target.ranges))).otherwise(vector)
     return vector
 
 
@@ -127,7 +127,7 @@ def apply_requests(run: Run, kind: str, requests: Requests, targets: list[Target
 
     changes = {
         "relational": relational,
-        "matrix": lambda df: df.where(~removed).withColumn("features", patched_by(targets)),
+        "matrix": lambda df: df.where(~removed).withColumn("features", patched_by(df, targets)),
         "scores": lambda df: df.where(~removed),
     }
     if not any(t.remove for t in targets):
@@ -140,7 +140,7 @@ def apply_requests(run: Run, kind: str, requests: Requests, targets: list[Target
         rows = hits.rows().where((F.col(SPLIT) == TRAIN) & F.col("__targets").isNotNull())
         moved = network.flat
         if any(t.ranges for t in targets):
-            pairs = rows.where(patching & ~removed).withColumn("patched", patched_by(targets))
+            pairs = rows.where(patching & ~removed).withColumn("patched", patched_by(rows, targets))
             moved = moved + unlearn_features(network, pairs, rate).flat - network.flat
         if any(t.remove for t in targets):
             moved = moved + unlearn_instances(network, rows.where(removed), rate, sign).flat - network.flat

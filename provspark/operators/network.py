@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions.naming import SAMPLE_ID
-from provspark.operators.storage import delete_folder, new_folder
+from provspark.functions.vectors import is_sparse
+from provspark.operators.split import epoch_order
+from provspark.operators.storage import delete_paths, made_folders, new_folder
 
 # Tasks get the code below with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -137,10 +139,45 @@ def logistic(num_features: int) -> Network:
 
 # --- Spark jobs ---------------------------------------------------------------------------
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A list column with lists of one length as a matrix, without a copy per row."""
+class SparseRows:
+    """Rows of a sparse matrix, as far as a layer needs it: times weights, and transposed times deltas."""
+
+    def __init__(self, offsets: np.ndarray, positions: np.ndarray, values: np.ndarray, width: int):
+        self.offsets, self.positions, self.values, self.width = offsets, positions, values, width
+        self.transposed = False
+
+    @property
+    def T(self) -> "SparseRows":
+        other = SparseRows(self.offsets, self.positions, self.values, self.width)
+        other.transposed = not self.transposed
+        return other
+
+    def __matmul__(self, right: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        if self.transposed:
+            out = np.zeros((self.width, right.shape[1]))
+            np.add.at(out, self.positions, self.values[:, None] * right[rows])
+        else:
+            out = np.zeros((len(self.offsets) - 1, right.shape[1]))
+            np.add.at(out, rows, self.values[:, None] * right[self.positions])
+        return out
+
+
+def _sparse(column: pa.StructArray, width: int) -> SparseRows:
+    positions, values = column.flatten()
+    offsets = positions.offsets.to_numpy()
+    at = positions.flatten().to_numpy(zero_copy_only=False)
+    if len(at) and not 0 <= at.min() <= at.max() < width:
+        raise ValueError(f"a feature vector has not {width} positions")
+    return SparseRows(offsets - offsets[0], at, values.flatten().to_numpy(zero_copy_only=False).astype(float), width)
+
+
+def _matrix(column: pa.Array, width: int):
+    """A list column with lists of one length as a matrix, without a copy per row; a sparse one as ``SparseRows``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_struct(column.type):
+        return _sparse(column, width)
     if len(column) and not pc.all(pc.equal(pc.list_value_length(column), width)).as_py():
         raise ValueError(f"a feature vector has not {width} positions")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
@@ -152,6 +189,9 @@ def _packer(width: int):
         size = width * 4
         rows = max(1, 2**30 // size)  # the positions inside one binary column are 32-bit numbers
         for batch in batches:
+            if pa.types.is_struct(batch.column(0).type):
+                yield pa.RecordBatch.from_arrays([_packed_sparse(batch.column(0), width), *batch.columns[1:]], ["x", "y", "step"])
+                continue
             matrix = _matrix(batch.column(0), width)
             for at in range(0, batch.num_rows, rows):
                 values = np.ascontiguousarray(matrix[at:at + rows], dtype=np.float32)
@@ -163,6 +203,22 @@ def _packer(width: int):
     return packed
 
 
+def _packed_sparse(column: pa.StructArray, width: int) -> pa.Array:
+    """Each sparse vector as its 32-bit positions followed by its single-precision values."""
+    rows = _sparse(column, width)
+    positions, values = rows.positions.astype(np.int32), rows.values.astype(np.float32)
+    return pa.array([positions[a:b].tobytes() + values[a:b].tobytes() for a, b in zip(rows.offsets[:-1], rows.offsets[1:])], pa.binary())
+
+
+def _unpacked_sparse(column: pa.Array, width: int) -> SparseRows:
+    parts = column.to_pylist()
+    counts = np.array([len(p) // 8 for p in parts], np.int64)
+    positions = b"".join(p[: len(p) // 2] for p in parts)
+    values = b"".join(p[len(p) // 2 :] for p in parts)
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    return SparseRows(offsets, np.frombuffer(positions, np.int32), np.frombuffer(values, np.float32).astype(float), width)
+
+
 def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     """Packed vectors as a matrix; a view, as long as the values lie one after another."""
     ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
@@ -178,11 +234,12 @@ SUMS = "slice int, task int, part binary"
 
 
 def _sum_rows(values: np.ndarray) -> pa.RecordBatch:
-    """A partial sum as blocks of ``SLICE`` numbers."""
-    parts = [values[at:at + SLICE].tobytes() for at in range(0, len(values), SLICE)]
+    """A partial sum as blocks of ``SLICE`` numbers; blocks of zeros say nothing."""
+    starts = [at for at in range(0, len(values), SLICE) if values[at:at + SLICE].any()]
+    parts = [values[at:at + SLICE].tobytes() for at in starts]
     task = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays(
-        [pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())],
+        [pa.array([at // SLICE for at in starts], pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())],
         ["slice", "task", "part"],
     )
 
@@ -277,6 +334,10 @@ class Trainer:
     function of the samples, the settings and the seed; tasks, files and cores only change the order
     in which numbers are added. The vectors are packed into binary values and stored by batch once,
     so that a step reads its own files and converts nothing.
+
+    With ``batch_size`` an epoch visits all samples in an order of its own (``epoch_order``), so many
+    at a step: batches are new ones in every epoch, and steps grow with the data. Each epoch then costs
+    one sort of the packed samples by range.
     """
 
     epochs: int = 25
@@ -285,25 +346,48 @@ class Trainer:
     seed: int = 42
     betas: tuple[float, float] = (0.9, 0.999)
     epsilon: float = 1e-8
+    batch_size: int | None = None
+
+    def _dealt(self, packed: DataFrame, epoch: int) -> tuple[DataFrame, int, list[str]]:
+        """The packed samples by step, as this epoch visits them; how many steps, and the folders to drop afterwards."""
+        spark = packed.sparkSession
+        with made_folders() as made:
+            placed = epoch_order(packed, epoch + 1, "id")
+            steps = -(-placed.count() // self.batch_size)
+            path = new_folder(spark, "epoch")
+            step = F.floor(F.col("place") / self.batch_size).cast("int").alias("step")
+            placed.select("x", "y", step).repartition("step").write.partitionBy("step").parquet(path)
+        return spark.read.schema("x binary, y double, step int").parquet(path), steps, made
 
     def fit(self, train: DataFrame, network: Network, features="features", label="label") -> Network:
         spark, size = train.sparkSession, network.flat.size
         width = network.layers[0][0].shape[0]
         key = [SAMPLE_ID] if SAMPLE_ID in train.columns else [features, label]
         step = F.pmod(F.xxhash64(*key, F.lit(self.seed)), F.lit(self.steps)).cast("int")
-        rows = train.select(features, F.col(label).cast("double"), step)
+        whole = self.batch_size is None
+        sparse = is_sparse(train, features)
+        third = step if whole else F.concat_ws(":", *[F.col(k).cast("string") for k in key])
+        schema = "x binary, y double, " + ("step int" if whole else "id string")
+        rows = train.select(features, F.col(label).cast("double"), third)
         path = new_folder(spark, "packed")
-        packed = rows.mapInArrow(_packer(width), "x binary, y double, step int")
-        packed.write.partitionBy("step").parquet(path)
+        packed = rows.mapInArrow(_packer(width), schema.replace("id string", "step string"))
+        (packed.write.partitionBy("step") if whole else packed.withColumnRenamed("step", "id").write).parquet(path)
+        made: list[str] = []
         try:
-            stored = spark.read.schema("x binary, y double, step int").parquet(path)
-            batches = [stored.where(F.col("step") == k).select("x", "y") for k in range(self.steps)]
-            tasks = [batch.rdd.getNumPartitions() for batch in batches]
+            stored = spark.read.schema(schema).parquet(path)
+            steps = self.steps
             theta, first, second = network.flat, np.zeros(size), np.zeros(size)
             (b1, b2), moves, rng = self.betas, 0, np.random.default_rng(self.seed)
-            for _ in range(self.epochs):
-                for k in rng.permutation(self.steps):
-                    total = _batch_gradient(batches[k], network.with_flat(theta), tasks[k])
+            for epoch in range(self.epochs):
+                dealt = stored
+                if not whole:
+                    delete_paths(spark, made)
+                    dealt, steps, made = self._dealt(stored, epoch)
+                if not whole or not epoch:
+                    batches = [dealt.where(F.col("step") == k).select("x", "y") for k in range(steps)]
+                    tasks = [batch.rdd.getNumPartitions() for batch in batches]
+                for k in rng.permutation(steps) if whole else range(steps):
+                    total = _batch_gradient(batches[k], network.with_flat(theta), tasks[k], sparse)
                     if not total[-1]:
                         continue
                     g, moves = total[:-1] / total[-1], moves + 1
@@ -314,10 +398,10 @@ class Trainer:
                     )
             return network.with_flat(theta)
         finally:
-            delete_folder(spark, path)
+            delete_paths(spark, [path, *made])
 
 
-def _batch_gradient(batch: DataFrame, network: Network, tasks: int) -> np.ndarray:
+def _batch_gradient(batch: DataFrame, network: Network, tasks: int, sparse: bool = False) -> np.ndarray:
     """Summed gradient over packed samples, and their number."""
     width = network.layers[0][0].shape[0]
     shared = batch.sparkSession.sparkContext.broadcast(network.layers)
@@ -326,7 +410,8 @@ def _batch_gradient(batch: DataFrame, network: Network, tasks: int) -> np.ndarra
         model, total = Network(shared.value), None
         for batch in batches:
             if batch.num_rows:
-                x, y = _unpacked(batch.column(0), width).astype(float), _vector(batch.column(1))
+                x = _unpacked_sparse(batch.column(0), width) if sparse else _unpacked(batch.column(0), width).astype(float)
+                y = _vector(batch.column(1))
                 part = np.append(model.gradient_sum(x, y), float(len(y)))
                 total = part if total is None else total + part
         if total is not None:

@@ -16,10 +16,11 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provspark.functions.naming import SAMPLE_ID, split_key
+from provspark.operators.storage import materialise
 
 TRAIN, TEST = "train", "test"
 SPLIT, SPLIT_KEY = "split", "split_key"
@@ -74,7 +75,28 @@ def with_split_key(df: DataFrame, seed: int, sample: str = SAMPLE_ID) -> DataFra
     return df.withColumn(SPLIT_KEY, split_key(F.col(sample), seed))
 
 
+def epoch_rank(epoch: int, sample: str = SAMPLE_ID) -> Column:
+    return F.md5(F.concat(F.lit(f"{epoch}:"), F.col(sample)).cast("binary"))
+
+
 def epoch_order(df: DataFrame, epoch: int, sample: str = SAMPLE_ID) -> DataFrame:
-    """Seeded order of the samples inside every partition, another one for each epoch."""
-    rank = F.md5(F.concat(F.lit(f"{epoch}:"), F.col(sample)).cast("binary"))
-    return df.sortWithinPartitions(rank, F.col(sample))
+    """Seeded order of all samples, another one for each epoch, with the ``place`` of each from 0 on.
+
+    Ranges of the rank are partitions, in order; the places follow from one count per partition.
+    """
+    return with_place(df, [epoch_rank(epoch, sample), F.col(sample)], "place")
+
+
+def with_place(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows stored in an order over all of them, with their position in it; no task sees more than a range."""
+    keys = [f"__order_{i}" for i in range(len(order))]
+    sorted_rows = df.withColumns(dict(zip(keys, order))).orderBy(*[F.asc_nulls_first(k) for k in keys])
+    stored = materialise(sorted_rows.drop(*keys).withColumn("__id", F.monotonically_increasing_id()), "placed")
+    task = F.shiftright("__id", 33)
+    counts = stored.groupBy(task.alias("__task")).agg(F.count("*").alias("__n"))
+    # One row per task, as many as the shuffle has partitions.
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = stored.join(F.broadcast(counts), task == F.col("__task"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(out, place).drop("__id", "__task", "__before")

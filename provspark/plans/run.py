@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
 from provspark.operators.audit import accuracy
 from provspark.operators.frame import TrackedFrame
-from provspark.operators.network import Trainer, perceptron, prediction, probability
+from provspark.operators.network import Trainer, cross_entropy, mean_loss, perceptron, prediction, probability
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, exact_threshold, hash_threshold, split_column, with_split_key,
 )
 from provspark.operators.storage import made_folders, spread, together, write_json_document
-from provspark.sources.readers import scans_without
+from provspark.sources.readers import file_registry, scans_without
 from provspark.sources.artifacts import (
     TABLES, Run, commit_files, default_root, load_run, publish, run_path, write_files, write_maps, write_model,
 )
@@ -56,7 +56,7 @@ def run_pipeline(
     run_id = str(uuid.uuid4())
     path = run_path(root, name, run_id)
 
-    with made_folders() as intermediates:
+    with made_folders() as intermediates, file_registry(f"{root}/{name}/sources"):
         prepared: TrackedFrame = dataprep(spark, **source_paths)
     clash = RESERVED & set(prepared.columns)
     if clash:
@@ -79,7 +79,7 @@ def run_pipeline(
         raise ValueError(f"unknown split {split}")
     samples = spread(stored, SAMPLE_ID).withColumn(SPLIT, split_column(threshold))
 
-    encoders = encode_features().fit(samples.where(F.col(SPLIT) == TRAIN))
+    encoders = encode_features().fit(samples.where(F.col(SPLIT) == TRAIN), f"{path}/encoders")
     label = extract_label if isinstance(extract_label, Column) else extract_label(samples)
     encoded = encoders.transform(samples.withColumn("label", label.cast("double")))
     encoded = encoded.select(SAMPLE_ID, SPLIT, *prepared.key_cols, "features", "label")
@@ -125,13 +125,22 @@ def score(samples: DataFrame, network, keys=()) -> DataFrame:
 
 
 def summary(run: Run) -> dict:
-    """Samples per split, number of features, and accuracy on the test samples."""
+    """Samples per split, number of features, and how the test samples are told apart.
+
+    ``base_rate_loss`` is the loss of always giving the share of class 1 among the training samples:
+    weights that learned something have a lower ``loss``.
+    """
+    share = run.matrix(TRAIN).agg(F.avg("label")).first()[0] or 0.0
+    test = run.matrix(TEST)
+    base = test.agg(F.avg(cross_entropy(F.lit(share), F.col("label")))).first()[0]
     counts = {row[SPLIT]: row["count"] for row in run.matrix().groupBy(SPLIT).count().collect()}
     return {
         "train_samples": counts.get(TRAIN, 0),
         "test_samples": counts.get(TEST, 0),
         "num_features": run.document["num_features"],
         "accuracy": accuracy(run.scores()).first()["accuracy"],
+        "loss": mean_loss(test, run.model()).first()["loss"],
+        "base_rate_loss": base,
     }
 
 
@@ -143,8 +152,11 @@ def retrain_without_rows(dataprep, alias: str, row_ids):
     """
 
     def reduced(spark, **source_paths):
-        with scans_without(alias, row_ids):
-            return dataprep(spark, **source_paths)
+        with scans_without(alias, row_ids) as met:
+            prepared = dataprep(spark, **source_paths)
+        if not met:
+            raise ValueError(f"no scan of the preparation has the alias {alias}; sources: {sorted(prepared.sources)}")
+        return prepared
 
     return reduced
 

@@ -17,11 +17,12 @@ from provspark.functions.naming import SAMPLE_ID, source_name_of
 from provspark.functions.vectors import micro_text
 from provspark.operators import audit, lineage, maintain
 from provspark.operators.encoders import (
-    BatchEmbedding, CharCount, ColumnEncoders, FunctionEncoder, HashedText, OneHot, StandardScaler, WordCount, chain, range_table,
+    BatchEmbedding, CharCount, ColumnEncoders, FunctionEncoder, HashedText, OneHot, StandardScaler, WideOneHot, WordCount, chain,
+    range_table,
 )
 from provspark.operators.frame import TrackedFrame, join
 from provspark.operators.network import (
-    Network, Trainer, cross_entropy, gradient_sums, logistic, mean_loss, perceptron, prediction, probability,
+    Network, Trainer, cross_entropy, gradient_sums, logistic, mean_loss, prediction, probability,
 )
 from provspark.operators.split import (
     SPLIT, SPLIT_KEY, TEST, TRAIN, epoch_order, exact_threshold, hash_threshold, split_column, with_split_key,
@@ -30,7 +31,7 @@ from provspark.operators.storage import materialise, new_folder, spread
 from provspark.plans import complaints
 from provspark.plans.run import retrain_without_rows, run_pipeline, score
 from provspark.sources import synth
-from provspark.sources.artifacts import Run, compact, export_csv, runs
+from provspark.sources.artifacts import Run, compact, export_csv, purge, runs
 from provspark.sources.readers import read_csv, read_lines, read_parquet, read_tsv, write_tsv
 
 QUERIES: dict = {}
@@ -237,6 +238,22 @@ def q_csv_scan(spark, sf_dir):
     ))
 
 
+@query("""
+SELECT doc_id, text, n_chars,
+       (dense_rank() OVER (ORDER BY lang) - 1) * 1099511627776 + row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS prov_documents
+FROM documents
+""")
+def q_csv_breaks(spark, sf_dir):
+    """Documents with their line breaks as CSV, a file per language, scanned in splits with row ids."""
+    path = new_folder(spark, "csv")
+    documents = table(spark, sf_dir, "documents").data().select("doc_id", "text", "n_chars", "lang")
+    by_file = documents.repartition("lang").sortWithinPartitions("lang", "doc_id")
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    by_file.write.partitionBy("lang").options(**options).csv(path)
+    scanned = read_csv(spark, path, "doc_id long, text string, n_chars long", alias="documents", na_values=())
+    return visible(scanned)
+
+
 @query("""
 SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
        round(c_acctbal * 100)::BIGINT::VARCHAR AS cents, c_mktsegment, FALSE AS wrong_count, NULL::VARCHAR AS line,
@@ -502,6 +519,16 @@ def q_record_usage(spark, sf_dir):
     return usage.select("c_custkey", "used")
 
 
+@query("WITH " + ORDER_ROWS + """
+SELECT o_orderkey, o_orderkey IN (SELECT prov_orders FROM orders_split WHERE split = 'train') AS used FROM orders
+""")
+def q_record_usage_orders(spark, sf_dir):
+    """The same for the other relation of the join."""
+    _, samples = order_samples(spark, sf_dir)
+    usage = lineage.record_usage(table(spark, sf_dir, "orders"), samples.where(F.col(SPLIT) == TRAIN))
+    return usage.select("o_orderkey", "used")
+
+
 # --- splits -----------------------------------------------------------------------------------------
 
 @query("WITH " + TEXT_ROWS + "SELECT doc_id, sample_id, split FROM samples")
@@ -519,13 +546,12 @@ def q_split_hash(spark, sf_dir):
 
 
 @query("WITH " + ORDER_ROWS + """
-SELECT sample_id, md5('1:' || sample_id) AS place FROM orders_split WHERE split = 'train'
+SELECT sample_id, row_number() OVER (ORDER BY md5('1:' || sample_id), sample_id) - 1 AS place FROM orders_split WHERE split = 'train'
 """)
 def q_epoch_order(spark, sf_dir):
-    """The training samples as one epoch visits them, in every partition by their place."""
+    """The place of every training sample in the order in which one epoch visits them."""
     _, samples = order_samples(spark, sf_dir)
-    shuffled = epoch_order(samples.where(F.col(SPLIT) == TRAIN).select(SAMPLE_ID), epoch=1)
-    return shuffled.select(SAMPLE_ID, F.md5(F.concat(F.lit("1:"), SAMPLE_ID).cast("binary")).alias("place"))
+    return epoch_order(samples.where(F.col(SPLIT) == TRAIN).select(SAMPLE_ID), epoch=1)
 
 
 # --- scalar functions and encoders ---------------------------------------------------------------------
@@ -598,6 +624,65 @@ def q_scaler(spark, sf_dir):
     return encoders.transform(documents).select("doc_id", micro(F.get("features", 0)).alias("scaled_micro"))
 
 
+@query("""
+WITH counts AS (
+  SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 8 AS b, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY 1, 2),
+norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1),
+slots AS (
+  SELECT d.doc_id, r.b AS place, coalesce(c.n, 0) / norm AS x FROM (documents d JOIN norms USING (doc_id)) CROSS JOIN range(8) r(b)
+  LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.b = r.b
+  UNION ALL SELECT doc_id, 8 + dense_rank() OVER (ORDER BY l.lang) - 1, CASE WHEN d.lang = l.lang THEN 1.0 ELSE 0.0 END
+  FROM documents d, (SELECT DISTINCT lang FROM documents) l),
+moments AS (SELECT place, avg(x) AS m, stddev_pop(x) AS s FROM slots GROUP BY place)
+SELECT doc_id, place::INTEGER AS place, round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END * 1e6)::BIGINT AS scaled_micro
+FROM slots JOIN moments USING (place)
+""")
+def q_sequence_two_fits(spark, sf_dir):
+    """Chains that learn at several steps: buckets and categories are scaled by what the step after them learns."""
+    documents = table(spark, sf_dir, "documents").data()
+    encoders = ColumnEncoders([
+        ("tokens", chain(HashedText(8, hash="md5"), StandardScaler()), ["text"]), ("language", chain(OneHot(), StandardScaler()), ["lang"]),
+    ]).fit(documents)
+    slots = encoders.transform(documents).select("doc_id", F.posexplode("features").alias("place", "x"))
+    return slots.select("doc_id", "place", micro(F.col("x")).alias("scaled_micro"))
+
+
+WIDE_ROWS = """
+known AS (SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS place FROM (SELECT DISTINCT o_custkey FROM orders)),
+wide AS (SELECT o_orderkey, place, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END AS label FROM orders JOIN known USING (o_custkey))
+"""
+
+
+def wide_orders(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Orders with a position per customer, as sparse vectors, and the number of positions."""
+    orders = table(spark, sf_dir, "orders").data()
+    label = (F.col("o_orderstatus") == "F").cast("double").alias("label")
+    encoders = ColumnEncoders([("customer", WideOneHot(), ["o_custkey"])]).fit(orders)
+    return encoders.transform(orders).select("o_orderkey", label, "features"), encoders.width
+
+
+@query("WITH " + WIDE_ROWS + "SELECT o_orderkey, place::INTEGER AS place, 1.0::DOUBLE AS value FROM wide")
+def q_onehot_wide(spark, sf_dir):
+    """A position per customer: the categories are a joined table, the vectors hold what is not zero."""
+    wide, _ = wide_orders(spark, sf_dir)
+    return wide.select("o_orderkey", F.inline(F.arrays_zip("features.positions", "features.values"))).toDF("o_orderkey", "place", "value")
+
+
+@query("WITH " + WIDE_ROWS + """,
+scored AS (SELECT place, label, 1 / (1 + exp(-(0.1 + (place * 7 % 11 - 5) / 10.0))) AS p FROM wide),
+n AS (SELECT count(*) AS n FROM scored)
+SELECT place AS position, round(sum(p - label) / any_value(n) * 1e9)::BIGINT AS value FROM scored, n GROUP BY place
+UNION ALL SELECT count(DISTINCT place), round(avg(p - label) * 1e9)::BIGINT FROM scored
+""")
+def q_wide_gradient(spark, sf_dir):
+    """Mean gradient of a linear model over sparse vectors, the bias last."""
+    wide, width = wide_orders(spark, sf_dir)
+    (total,), n = gradient_sums(wide, fixed_network(width))
+    rows = [(j, int(round(v / n * 1e9))) for j, v in enumerate(total)]
+    return spark.createDataFrame(rows, "position long, value long")
+
+
 @query("""
 WITH c AS (SELECT list(DISTINCT lang ORDER BY lang) AS known FROM documents)
 SELECT doc_id, list_aggregate(list_transform(known, lambda x: CASE WHEN x = lang THEN '1000000' ELSE '0' END),
@@ -731,6 +816,11 @@ def q_relational_train(spark, sf_dir):
     return text_run(spark, sf_dir).relational(TRAIN)
 
 
+@query("WITH " + TEXT_ROWS + "SELECT doc_id, text, lang, is_premium, toxic FROM samples WHERE split = 'test'")
+def q_relational_test(spark, sf_dir):
+    return text_run(spark, sf_dir).relational(TEST)
+
+
 @query("WITH " + TEXT_ROWS + """
 SELECT sample_id, split, doc_id AS prov_documents, prov_labels FROM samples
 """)
@@ -930,12 +1020,131 @@ def q_logistic_train(spark, sf_dir):
     return weights.select("position", F.round(F.col("w") * 1e5).cast("long").alias("value"))
 
 
-@query(None)
+def _perceptron_sql() -> str:
+    """Forward pass, backward pass and Adam of the two-layer network, in full-gradient steps."""
+    sql = """, tr AS (SELECT sample_id, list_append(features, 1.0) AS x, label AS y FROM matrix WHERE split = 'train'),
+    shape AS (SELECT len(x) AS n FROM tr LIMIT 1),
+    p0 AS (SELECT k, list_transform(range(1, n + 1), lambda j: CASE WHEN j = n THEN 0.05 * k - 0.1 ELSE ((j - 1) * 5 + k * 3) % 7 / 10.0 - 0.3 END::DOUBLE) AS w,
+                  list_transform(range(1, n + 1), lambda j: 0.0::DOUBLE) AS m, list_transform(range(1, n + 1), lambda j: 0.0::DOUBLE) AS v
+           FROM shape, range(4) r(k)),
+    q0 AS (SELECT list_append(list_transform(range(4), lambda k: ((k * 2 % 5 - 2) / 10.0 + 0.05)::DOUBLE), 0.1::DOUBLE) AS w,
+                  [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0] AS m, [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0] AS v)"""
+    moved = "list_transform({a}.w, lambda a, i: a - {rate} * (({mean}) / {c1!r}) / (sqrt({square}) / sqrt({c2!r}) + 1e-8))"
+    for k in range(1, TRAINED_STEPS + 1):
+        mean, square = "0.9 * {a}.m[i] + 0.1 * g[i]", "0.999 * {a}.v[i] + 0.001 * g[i] * g[i]"
+
+        def update(a: str) -> str:
+            own = mean.format(a=a), square.format(a=a)
+            w = moved.format(a=a, rate=TRAINED_RATE, mean=own[0], square=own[1], c1=1 - 0.9**k, c2=1 - 0.999**k)
+            return f"{w} AS w, list_transform(g, lambda x, i: {own[0]}) AS m, list_transform(g, lambda x, i: {own[1]}) AS v"
+
+        sql += f""",
+    h{k} AS (SELECT sample_id, x, y, k, greatest(0.0, list_sum(list_transform(x, lambda a, j: a * w[j]))) AS h FROM tr, p{k - 1}),
+    o{k} AS (SELECT sample_id, any_value(y) AS y, list_append(list(h ORDER BY k), 1.0::DOUBLE) AS hs FROM h{k} GROUP BY sample_id),
+    e{k} AS (SELECT sample_id, hs, 1 / (1 + exp(-list_sum(list_transform(hs, lambda a, i: a * w[i])))) - y AS e FROM o{k}, q{k - 1}),
+    gq{k} AS (SELECT list(g ORDER BY i) AS g FROM (
+      SELECT i, avg(e * a) AS g FROM (SELECT e, unnest(hs) AS a, unnest(range(1, 6)) AS i FROM e{k}) GROUP BY i)),
+    gp{k} AS (SELECT k, list(g ORDER BY i) AS g FROM (
+      SELECT k, i, avg(back * a) AS g FROM (
+        SELECT k, CASE WHEN h > 0 THEN e * w[k + 1] ELSE 0.0 END AS back, unnest(x) AS a, unnest(range(1, len(x) + 1)) AS i
+        FROM h{k} JOIN e{k} USING (sample_id), q{k - 1}) GROUP BY k, i) GROUP BY k),
+    q{k} AS (SELECT {update(f'q{k - 1}')} FROM q{k - 1}, gq{k}),
+    p{k} AS (SELECT k, {update(f'p{k - 1}')} FROM p{k - 1} JOIN gp{k} USING (k))"""
+    return sql
+
+
+@query("WITH " + FEATURE_ROWS + _perceptron_sql() + f""",
+test AS (SELECT sample_id, label, list_append(features, 1.0) AS x FROM matrix WHERE split = 'test'),
+inner_layer AS (
+  SELECT sample_id, any_value(label) AS label, list_append(list(greatest(0.0, z) ORDER BY k), 1.0::DOUBLE) AS hs FROM (
+    SELECT sample_id, label, k, list_sum(list_transform(x, lambda a, j: a * w[j])) AS z FROM test, p{TRAINED_STEPS}) GROUP BY sample_id),
+outer_layer AS (
+  SELECT sample_id, label, 1 / (1 + exp(-list_sum(list_transform(hs, lambda a, i: a * w[i])))) AS p FROM inner_layer, q{TRAINED_STEPS})
+SELECT sample_id, label, CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction, round(p * 1e3)::BIGINT AS p_milli FROM outer_layer
+""")
 def q_mlp_train_score(spark, sf_dir):
-    """Train the two-layer network data-parallel and score the test side."""
+    """Train the two-layer network in full-gradient steps over all training samples and score the test side."""
     run = text_run(spark, sf_dir)
-    network = Trainer().fit(run.matrix(TRAIN), perceptron(run.document["num_features"]))
-    return score(run.matrix(TEST), network)
+    trainer = Trainer(epochs=TRAINED_STEPS, steps=1, learning_rate=TRAINED_RATE)
+    network = trainer.fit(run.matrix(TRAIN), fixed_perceptron(run.document["num_features"]))
+    scored = run.matrix(TEST).select(SAMPLE_ID, "label", probability(network).alias("p"))
+    return scored.select(SAMPLE_ID, "label", prediction(F.col("p")).alias("prediction"), F.round(F.col("p") * 1e3).cast("long").alias("p_milli"))
+
+
+@query("WITH " + FEATURE_ROWS + _perceptron_sql() + f""",
+test AS (SELECT sample_id, label, list_append(features, 1.0) AS x FROM matrix WHERE split = 'test'),
+inner_layer AS (
+  SELECT sample_id, any_value(label) AS label, list_append(list(greatest(0.0, z) ORDER BY k), 1.0::DOUBLE) AS hs FROM (
+    SELECT sample_id, label, k, list_sum(list_transform(x, lambda a, j: a * w[j])) AS z FROM test, p{TRAINED_STEPS}) GROUP BY sample_id)
+SELECT sample_id, label, CASE WHEN list_sum(list_transform(hs, lambda a, i: a * w[i])) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction
+FROM inner_layer, q{TRAINED_STEPS}
+""")
+def q_run_trained(spark, sf_dir):
+    """A whole run with training: the stored predictions of its test samples."""
+    trainer = Trainer(epochs=TRAINED_STEPS, steps=1, learning_rate=TRAINED_RATE)
+    run = run_pipeline(
+        spark, "trained", sources(sf_dir), text_frame, text_encoders, toxic_label, fixed_perceptron, random_seed=SEED, trainer=trainer,
+    )
+    return run.scores()
+
+
+def _perceptron_gradient_sql(vector: str, name: str) -> str:
+    """Tables ``{name}``: mean gradient of the fixed two-layer network over the toxic training samples."""
+    return f"""
+h_{name} AS (
+  SELECT sample_id, label, {vector} AS x, k, (k * 2 % 5 - 2) / 10.0 + 0.05 AS w, greatest(0.0, 0.05 * k - 0.1 +
+    list_sum(list_transform({vector}, lambda x, j: x * (((j - 1) * 5 + k * 3) % 7 - 3) / 10.0))) AS h
+  FROM zeroed, (SELECT unnest(range(4)) AS k) WHERE split = 'train' AND toxic = 1),
+e_{name} AS (SELECT sample_id, 1 / (1 + exp(-(0.1 + sum(h * w)))) - any_value(label) AS e FROM h_{name} GROUP BY sample_id),
+b_{name} AS (SELECT k, h, e, CASE WHEN h > 0 THEN e * w ELSE 0.0 END AS back, x FROM h_{name} JOIN e_{name} USING (sample_id)),
+{name} AS (
+  SELECT 'layer0' AS layer, j AS i, k AS j, avg(back * a) AS g FROM (
+    SELECT k, back, unnest(x) AS a, unnest(range(len(x))) AS j FROM b_{name}) GROUP BY j, k
+  UNION ALL SELECT 'layer0', -1, k, avg(back) FROM b_{name} GROUP BY k
+  UNION ALL SELECT 'layer1', k, 0, avg(e * h) FROM b_{name} GROUP BY k
+  UNION ALL SELECT 'layer1', -1, 0, avg(e) FROM e_{name})"""
+
+
+@query("WITH " + FEATURE_ROWS + "," + _perceptron_gradient_sql("features", "old") + "," + _perceptron_gradient_sql("patched", "new") + """
+SELECT layer, i::INTEGER AS i, j::INTEGER AS j, round((old.g - new.g) * 1e6)::BIGINT AS emptied_micro, round(old.g * 1e6)::BIGINT AS removed_micro
+FROM old JOIN new USING (layer, i, j)
+""")
+def q_unlearn_mlp(spark, sf_dir):
+    """How the weights of a two-layer network move if the text of toxic documents is deleted, or the documents are."""
+    run = text_run(spark, sf_dir)
+    network = fixed_perceptron(run.document["num_features"])
+    ranges = lineage.feature_ranges(run, lineage.output_columns(run, "documents", "text"))
+    hits = run.matrix_table.rows_from("__prov_documents", toxic_rows(spark, sf_dir)).where(F.col(SPLIT) == TRAIN)
+    emptied = maintain.unlearn_features(network, maintain.before_after(hits, ranges))
+    removed = maintain.unlearn_instances(network, hits)
+    moves = [network.with_flat(n.flat - network.flat).to_frame(spark) for n in (emptied, removed)]
+    moves = [m.select("layer", "i", "j", micro(F.col("value")).alias(c)) for m, c in zip(moves, ("emptied_micro", "removed_micro"))]
+    return moves[0].join(moves[1], ["layer", "i", "j"])
+
+
+@query("WITH " + FEATURE_ROWS + """,
+all_counts AS (
+  SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 16 AS b, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents) GROUP BY 1, 2),
+all_norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM all_counts GROUP BY 1),
+all_dense AS (
+  SELECT d.doc_id, list(coalesce(c.n, 0) / z.norm ORDER BY r.b) AS embedding
+  FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS b) r
+  LEFT JOIN all_counts c ON c.doc_id = d.doc_id AND c.b = r.b
+  JOIN all_norms z ON z.doc_id = d.doc_id GROUP BY 1),
+all_rows AS (
+  SELECT d.doc_id, list_concat([(len(string_split(lower(text), ' ')) - m) / s], embedding,
+                               list_transform(known, lambda x: CASE WHEN x = lang THEN 1.0 ELSE 0.0 END)) AS features
+  FROM documents d JOIN all_dense USING (doc_id), moments, langs),
+all_scored AS (
+  SELECT doc_id, 1 / (1 + exp(-(0.1 + list_sum(list_transform(features, lambda x, i: x * ((i - 1) * 7 % 11 - 5) / 10.0))))) AS p FROM all_rows)
+SELECT doc_id, CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction, round(p * 1e6)::BIGINT AS p_micro FROM all_scored
+""")
+def q_predict_new_rows(spark, sf_dir):
+    """The stored run on all documents, also those that no label made part of it."""
+    run, documents = text_run(spark, sf_dir), table(spark, sf_dir, "documents")
+    scored = run.predict(documents.project("text", ["text"], F.lower("text")).select("doc_id", "text", "lang"))
+    return scored.select("doc_id", "prediction", micro(F.col("probability")).alias("p_micro"))
 
 
 @query("WITH " + FEATURE_ROWS + """
@@ -991,6 +1200,30 @@ def q_del_features_matrix(spark, sf_dir):
     return matrix.select(SAMPLE_ID, SPLIT, "label", micro_text(F.col("features")).alias("features"))
 
 
+@query("WITH " + TEXT_ROWS + """
+SELECT s.doc_id, CASE WHEN s.toxic = 1 THEN NULL ELSE s.text END AS text, CASE WHEN s.is_premium THEN s.lang END AS lang, s.is_premium, s.toxic
+FROM samples s JOIN documents d USING (doc_id) WHERE d.n_chars <= 4000
+""")
+def q_del_batch(spark, sf_dir):
+    """One version for three requests: texts of toxic documents, languages by label rows, and long documents as a whole."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    texts = toxic_rows(spark, sf_dir).selectExpr("'documents' AS row_source", "__prov_documents AS row_id", "'documents' AS column_source", "'text' AS column")
+    languages = labels.filter("quality != 1").df.selectExpr("'labels'", "__prov_labels", "'documents'", "'lang'")
+    long = documents.filter("n_chars > 4000").df.selectExpr("'documents'", "__prov_documents", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+    return maintain.delete_batch(text_run(spark, sf_dir).branch(), texts.union(languages).union(long)).relational()
+
+
+@query("WITH " + TEXT_ROWS + "SELECT doc_id, text, lang, is_premium, toxic FROM samples WHERE toxic = 0")
+def q_purge(spark, sf_dir):
+    """Everything that is left on disk of the prepared rows after toxic documents were deleted and purged."""
+    run = run_pipeline(
+        spark, "purged", sources(sf_dir), text_frame, text_encoders, toxic_label, fixed_network, random_seed=SEED, trainer=None,
+    )
+    purge(maintain.delete_instances(run, "documents", toxic_rows(spark, sf_dir)))
+    stored = spark.read.option("recursiveFileLookup", True).parquet(f"{run.path}/data/relational")
+    return stored.select("doc_id", "text", "lang", "is_premium", "toxic")
+
+
 @query("WITH " + TEXT_ROWS + """
 SELECT sample_id, start, stop FROM samples, (VALUES (0, 1), (1, 17)) r(start, stop) WHERE toxic = 1
 """)

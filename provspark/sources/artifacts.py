@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provspark.functions.naming import PROV_PREFIX, SAMPLE_ID, source_name
-from provspark.operators.network import Network
+from provspark.operators.encoders import ColumnEncoders
+from provspark.operators.network import Network, prediction, probability
 from provspark.operators.split import SPLIT, SPLIT_KEY, TEST, TRAIN, split_column
 from provspark.operators.storage import (
     create_exclusive, delete_folder, delete_paths, read_json_document, shared_folder, together, write_json_document,
@@ -141,6 +142,24 @@ class Run:
     def model(self) -> Network:
         return Network.from_frame(self.spark.read.parquet(self.model_path))
 
+    # --- use on new rows ------------------------------------------------------------------
+
+    def encoders(self, code: ColumnEncoders | None = None) -> ColumnEncoders:
+        """The fitted encoders of the run; ``code`` is needed if some have functions of their own."""
+        saved = self.document["encoders"]
+        return ColumnEncoders.from_state(saved) if code is None else code.with_saved_state(saved)
+
+    def predict(self, rows, code: ColumnEncoders | None = None) -> DataFrame:
+        """Prepared rows (a table or tracked frame with the output columns) with ``probability`` and ``prediction``.
+
+        The rows need not have been part of the run: encoders and weights are the stored ones.
+        """
+        df = rows if isinstance(rows, DataFrame) else rows.df
+        names = [c for c in df.columns if c not in ("features", "probability", "prediction")]
+        encoded = self.encoders(code).transform(df.select(*[F.col(f"`{c}`") for c in names]))
+        scored = encoded.withColumn("probability", probability(self.model())).drop("features")
+        return scored.withColumn("prediction", prediction(F.col("probability")))
+
     # --- provenance maps ----------------------------------------------------------------
 
     def column_provenance(self) -> DataFrame:
@@ -334,11 +353,16 @@ def purge(run: Run, keep: list[Run] = ()) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Plain CSV copy of a table; vectors as comma-separated text."""
-    columns = [
-        (F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))) if t.startswith("array") else F.col(f"`{c}`")).alias(c)
-        for c, t in df.dtypes
-    ]
+    """Plain CSV copy of a table; vectors as comma-separated text, sparse ones as ``position:value``."""
+
+    def plain(c: str, kind: str) -> Column:
+        if kind.startswith("array"):
+            return F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+        if kind.startswith("struct<positions"):
+            return F.concat_ws(",", F.zip_with(f"{c}.positions", f"{c}.values", lambda p, v: F.concat_ws(":", p, v)))
+        return F.col(f"`{c}`")
+
+    columns = [plain(c, kind).alias(c) for c, kind in df.dtypes]
     df.select(*columns).write.options(header=True, escape='"').csv(path)
 
 

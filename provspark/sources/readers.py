@@ -49,18 +49,25 @@ _LEFT_OUT: ContextVar[dict] = ContextVar("left_out", default={})
 
 @contextmanager
 def scans_without(alias: str, row_ids):
-    """Within this block, tracked scans of the source leave the given rows out; the others keep their ids."""
-    token = _LEFT_OUT.set({**_LEFT_OUT.get(), alias: row_ids})
+    """Within this block, tracked scans of the source leave the given rows out; the others keep their ids.
+
+    Gives a list that holds the alias once for each scan that did.
+    """
+    met: list[str] = []
+    token = _LEFT_OUT.set({**_LEFT_OUT.get(), alias: (row_ids, met)})
     try:
-        yield
+        yield met
     finally:
         _LEFT_OUT.reset(token)
 
 
 def _scan(df: DataFrame, alias: str, columns: list[str]) -> TrackedFrame:
     frame = TrackedFrame(df, (prov_column(alias),), {c: frozenset({f"{alias}.{c}"}) for c in columns})
-    left_out = _LEFT_OUT.get()
-    return frame.not_originating_from(alias, left_out[alias]) if alias in left_out else frame
+    if alias not in _LEFT_OUT.get():
+        return frame
+    row_ids, met = _LEFT_OUT.get()[alias]
+    met.append(alias)
+    return frame.not_originating_from(alias, row_ids)
 
 
 def track(df: DataFrame, alias: str, row_id: Column) -> TrackedFrame:
@@ -85,13 +92,13 @@ def file_registry(folder: str):
         _REGISTRY.reset(token)
 
 
-def registered_files(spark: SparkSession, folder: str, alias: str, files: list[str]) -> dict[str, int]:
+def registered_files(spark: SparkSession, folder: str, source: str, files: list[str]) -> dict[str, int]:
     """Ordinals of the files of a source; files that are not in the registry yet are appended to it.
 
     The registry is a folder of numbered lists that are only ever added, each created exclusively: of two
     scans that meet new files at the same time one appends first, and the other reads what it wrote.
     """
-    where = f"{folder}/{alias}"
+    where = f"{folder}/{source}"
     while True:
         try:
             found = [json.loads(r[0]) for r in spark.read.text(where, wholetext=True).collect()]
@@ -106,13 +113,18 @@ def registered_files(spark: SparkSession, folder: str, alias: str, files: list[s
             return {name: i for i, name in enumerate(known + fresh)}
 
 
-def _with_file_ordinal(df: DataFrame, path_column: str, files: list[str], alias: str) -> tuple[DataFrame, Column]:
+def _source(alias: str, path: str) -> str:
+    """A source in the registry: the same alias on another path is another source."""
+    return f"{alias}-{source_name(path)}"
+
+
+def _with_file_ordinal(df: DataFrame, path_column: str, files: list[str], source: str) -> tuple[DataFrame, Column]:
     """Join the ordinal of the file on, by a hash of its path; no join for a source of one file."""
     spark = df.sparkSession
     # The listing is what the driver already holds to plan the scan.
     listing = sorted({re.sub(r"^file:/+", "file:/", f) for f in files})
     if _REGISTRY.get() is not None:
-        ordinals = registered_files(spark, _REGISTRY.get(), alias, listing)
+        ordinals = registered_files(spark, _REGISTRY.get(), source, listing)
     else:
         ordinals = {f: i for i, f in enumerate(listing)}
     if len(listing) <= 1:
@@ -139,13 +151,13 @@ def read_parquet(spark: SparkSession, path: str, alias: str | None = None) -> Tr
         F.col("_metadata.row_index").alias(prov),
         F.col("_metadata.file_path").alias("__path"),
     )
-    df, ordinal = _with_file_ordinal(df, "__path", raw.inputFiles(), alias)
+    df, ordinal = _with_file_ordinal(df, "__path", raw.inputFiles(), _source(alias, path))
     position = F.col(prov) + F.shiftleft(ordinal, FILE_BITS)
     df = df.select(*columns, position.alias(prov))
     return _scan(df, alias, columns)
 
 
-def _positions(raw: DataFrame, values: list[Column], files: list[str], alias: str, land: str | None) -> DataFrame:
+def _positions(raw: DataFrame, values: list[Column], files: list[str], alias: str, source: str, land: str | None) -> DataFrame:
     """Land parsed records and add their position; ``raw`` is a scan of splittable text."""
     path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     landed = materialise(
@@ -166,7 +178,7 @@ def _positions(raw: DataFrame, values: list[Column], files: list[str], alias: st
     splits = landed.groupBy("__split", "__path", "__start").agg(
         F.min("__order").alias("__first"), F.count("*").alias("__n")
     )
-    splits, ordinal = _with_file_ordinal(splits, "__path", files, alias)
+    splits, ordinal = _with_file_ordinal(splits, "__path", files, source)
     before = Window.partitionBy("__path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
     same_hash = F.count("*").over(Window.partitionBy("__split"))
@@ -350,7 +362,7 @@ def read_csv(
     surplus = F.when(F.col(EXTRA).isNotNull(), F.raise_error(message).cast(first.dataType))
     values[0] = F.coalesce(surplus, values[0]).alias(first.name)
     prov = prov_column(alias)
-    records, ordinal = _with_file_ordinal(records, "__path", files, alias)
+    records, ordinal = _with_file_ordinal(records, "__path", files, _source(alias, path))
     position = F.col("__position") + F.shiftleft(ordinal, FILE_BITS)
     df = materialise(records.select(fields.alias("__fields"), position.alias(prov)).select("__fields.*", prov).select(*values, prov), "landed", land)
     delete_folder(spark, folder)
@@ -376,7 +388,7 @@ def read_lines(
     wrong = F.size(parts) != len(names)
     values = [F.get(parts, i).alias(name) for i, name in enumerate(names)]
     values += [wrong.alias("_field_count_error"), F.when(wrong, F.col("value")).alias("_line")]
-    df = _positions(raw, values, raw.inputFiles(), alias, land)
+    df = _positions(raw, values, raw.inputFiles(), alias, _source(alias, path), land)
     return _scan(df, alias, [*names, "_field_count_error", "_line"])
 
 

@@ -96,7 +96,8 @@ class Requests:
     def of(spark: SparkSession, asked: list[tuple]) -> "Requests":
         """``asked`` has tuples of a provenance column, row ids (a list or a one-column table), and a target."""
         asked = [(prov, frame.settled_ids(spark, ids), target) for prov, ids, target in asked]
-        if all(isinstance(ids, list) for _, ids, _ in asked) and sum(len(ids) for _, ids, _ in asked) <= frame.LITERAL_IDS:
+        short = not any(isinstance(ids, frame.StoredIds) for _, ids, _ in asked)
+        if short and sum(len(ids) for _, ids, _ in asked) <= frame.LITERAL_IDS:
             literal = tuple((prov, target, tuple(ids)) for prov, ids, target in asked if ids)
             return Requests(sum(len(ids) for _, _, ids in literal), literal)
         table = None

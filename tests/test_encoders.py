@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provspark.operators import encoders as en
 from provspark.operators.encoders import (
     BatchEmbedding, CharCount, ColumnEncoders, FunctionEncoder, HashedText, Numeric, OneHot, StandardScaler,
-    WordCount, chain,
+    WideOneHot, WordCount, chain,
 )
 
 
@@ -140,3 +140,122 @@ def test_saved_state_restores_the_encoders(train):
 def test_missing_numbers_stay_visible(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "x double")
     assert math.isnan(vectors(ColumnEncoders([("n", Numeric(), ["x"])]), df)[1, 0])
+
+
+# --- several learning steps, wide blocks, encoders from their document ------------------------------
+
+def test_chains_that_learn_at_every_level(train):
+    parts = [
+        ("twice", chain(StandardScaler(), StandardScaler()), ["x", "same"]),
+        ("text", chain(HashedText(4), StandardScaler()), ["text"]),
+        ("country", chain(OneHot(), StandardScaler(), StandardScaler()), ["country"]),
+        ("words", chain(WordCount(), StandardScaler()), ["text"]),
+        ("plain", OneHot(), ["country"]),
+    ]
+    fitted = ColumnEncoders(parts).fit(train)
+    matrix = vectors(fitted, train)
+    assert matrix.shape == (4, fitted.width) == (4, 2 + 4 + 3 + 1 + 3)
+    x = np.array([1.0, 2.0, 6.0, 3.0])
+    assert np.allclose(matrix[:, 0], (x - x.mean()) / x.std()) and np.allclose(matrix[:, 1], 0)
+    hashed = vectors(ColumnEncoders([("t", HashedText(4), ["text"])]).fit(train), train)
+    slots = vectors(ColumnEncoders([("c", OneHot(), ["country"])]).fit(train), train)
+    for block, raw in ((matrix[:, 2:6], hashed), (matrix[:, 6:9], slots)):
+        deviation = raw.std(axis=0)
+        assert np.allclose(block, (raw - raw.mean(axis=0)) / np.where(deviation == 0, 1, deviation))
+    assert np.allclose(matrix[:, 10:], slots)
+
+
+def test_one_pass_a_level(train, monkeypatch):
+    calls = []
+    moments, categories = en._fit_moments, en._fit_categories
+    monkeypatch.setattr(en, "_fit_moments", lambda df, c: calls.append(len(c)) or moments(df, c))
+    monkeypatch.setattr(en, "_fit_categories", lambda df, c: categories(df, c))
+    ColumnEncoders([
+        ("a", chain(StandardScaler(), StandardScaler()), ["x"]), ("b", chain(OneHot(), StandardScaler()), ["country"]), ("c", StandardScaler(), ["same"]),
+    ]).fit(train)
+    assert calls == [2, 4]
+
+
+def test_many_moments_are_rows(train, monkeypatch):
+    parts = [("t", chain(HashedText(16), StandardScaler()), ["text"])]
+    expected = vectors(ColumnEncoders(parts).fit(train), train)
+    monkeypatch.setattr(en, "SCALARS", 3)
+    assert np.allclose(vectors(ColumnEncoders(parts).fit(train), train), expected)
+
+
+def test_ranges_through_chains(train):
+    fitted = ColumnEncoders([
+        ("h", chain(HashedText(2), StandardScaler()), ["text", "country"]), ("o", chain(OneHot(), StandardScaler()), ["country", "same"]),
+    ]).fit(train)
+    assert fitted.matrix_provenance() == [("text", 0, 2), ("country", 0, 2), ("country", 2, 5), ("same", 5, 6)]
+
+
+def dense_of(rows, width):
+    out = np.zeros((len(rows), width))
+    for i, (positions, values) in enumerate(rows):
+        out[i, positions] = values
+    return out
+
+
+def test_wide_blocks_equal_dense_ones(spark, train, monkeypatch):
+    from provspark.operators import sizing
+
+    parts = lambda kind: [("s", StandardScaler(), ["x"]), ("c", kind, ["country", "text"]), ("w", WordCount(), ["text"])]
+    dense = vectors(ColumnEncoders(parts(OneHot())).fit(train), train)
+    for limit in (500_000, 0):  # by a lookup, and by a shuffle
+        monkeypatch.setattr(sizing.broadcast_if_small, "__defaults__", (None, limit))
+        fitted = ColumnEncoders(parts(WideOneHot())).fit(train)
+        assert fitted.sparse and fitted.width == dense.shape[1]
+        assert fitted.matrix_provenance() == ColumnEncoders(parts(OneHot())).fit(train).matrix_provenance()
+        rows = [tuple(r[0]) for r in fitted.transform(train).select("features").collect()]
+        assert sorted(map(tuple, dense_of(rows, fitted.width))) == sorted(map(tuple, dense))
+    other = spark.createDataFrame([("new", "ES", 1.0, 5.0)], "text string, country string, x double, same double")
+    with pytest.raises(Exception, match="unknown category"):
+        fitted.transform(other).collect()
+    lenient = ColumnEncoders([("c", WideOneHot(unknown="ignore"), ["country"])]).fit(train)
+    assert tuple(lenient.transform(other).first()["features"]) == ([], [])
+    with pytest.raises(ValueError, match="last step"):
+        chain(WideOneHot(), StandardScaler())
+
+
+def test_wide_block_of_many_categories(spark):
+    df = spark.range(50_000).selectExpr("id % 30000 AS c")
+    fitted = ColumnEncoders([("c", WideOneHot(), ["c"])]).fit(df)
+    assert fitted.width == 30_000
+    wrong = fitted.transform(df).where("features.positions[0] != c or size(features.positions) != 1 or features.values[0] != 1")
+    assert wrong.count() == 0
+
+
+def test_too_many_dense_categories_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(en, "MOST_CATEGORIES", 10)
+    with pytest.raises(ValueError, match="WideOneHot"):
+        ColumnEncoders([("c", OneHot(), ["id"])]).fit(spark.range(11))
+
+
+def test_sparse_ranges_are_taken_out(spark, train):
+    from provspark.operators.maintain import patch_features
+
+    fitted = ColumnEncoders([("s", StandardScaler(), ["x"]), ("c", WideOneHot(), ["country"]), ("w", WordCount(), ["text"])]).fit(train)
+    encoded = fitted.transform(train)
+    ranges = [(a, b) for c, a, b in fitted.matrix_provenance() if c in ("country", "x")]
+    before = dense_of([tuple(r[0]) for r in encoded.select("features").collect()], fitted.width)
+    after = dense_of([tuple(r[0]) for r in patch_features(encoded, ranges).select("features").collect()], fitted.width)
+    before[:, 0:4] = 0
+    assert np.allclose(before, after)
+    assert encoded.schema["features"].dataType == patch_features(encoded, ranges).schema["features"].dataType
+
+
+def test_encoders_from_their_document_alone(train):
+    parts = [
+        ("h", chain(HashedText(4, "md5"), StandardScaler()), ["text"]), ("o", OneHot(unknown="ignore"), ["country"]),
+        ("n", chain(Numeric(), StandardScaler()), ["x"]), ("c", CharCount(), ["text"]),
+    ]
+    fitted = ColumnEncoders(parts).fit(train)
+    again = ColumnEncoders.from_state(json.loads(json.dumps(fitted.state())))
+    assert np.array_equal(vectors(fitted, train), vectors(again, train)) and again.parts == fitted.parts
+    custom = ColumnEncoders([("f", FunctionEncoder(lambda x: F.array(x), 1), ["x"])]).fit(train)
+    with pytest.raises(ValueError, match="pass the encoders"):
+        ColumnEncoders.from_state(custom.state())
+    assert np.array_equal(vectors(custom.with_saved_state(custom.state()), train)[:, 0], [1, 2, 6, 3])
+    with pytest.raises(ValueError, match="does not belong"):
+        ColumnEncoders([("h", OneHot(), ["text"])]).with_saved_state(fitted.state()[:1])

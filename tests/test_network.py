@@ -88,3 +88,70 @@ def test_weights_as_a_table(spark):
     stored = network.to_frame(spark)
     assert stored.columns == ["layer", "i", "j", "value"] and stored.count() == 4 * 3 + 3 + 3 + 1
     assert np.array_equal(Network.from_frame(stored.orderBy(F.rand())).flat, network.flat)
+
+
+# --- sparse vectors -----------------------------------------------------------------------------
+
+SPARSE = "features struct<positions: array<int>, values: array<double>>, label double"
+
+
+def sparse_data(spark, n=200, width=40):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((n, width)) < 0.1, rng.normal(size=(n, width)), 0.0)
+    x[0] = 0
+    y = (rng.random(n) < 0.5).astype(float)
+    rows = [((np.nonzero(r)[0].tolist(), r[np.nonzero(r)[0]].tolist()), float(v)) for r, v in zip(x, y)]
+    dense = [(r.tolist(), float(v)) for r, v in zip(x, y)]
+    return spark.createDataFrame(rows, SPARSE).repartition(3), spark.createDataFrame(dense, "features array<double>, label double"), x, y
+
+
+def test_sparse_vectors_give_what_dense_ones_give(spark, monkeypatch):
+    sparse, dense, x, y = sparse_data(spark)
+    for network in (perceptron(40, hidden=5, seed=1), logistic(40)):
+        (total,), n = gradient_sums(sparse, network)
+        assert n == len(y) and np.allclose(total, network.gradient_sum(x, y), atol=1e-9)
+        assert abs(mean_loss(sparse, network).first()["loss"] - network.loss_sum(x, y) / len(y)) < 1e-9
+    rows = [((r["positions"], r["values"]), v) for r, v in sparse.select("features", "label").collect()]
+    fixed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "sample_id long, " + SPARSE)
+    again = np.zeros((len(rows), 40))
+    for i, ((at, values), _) in enumerate(rows):
+        again[i, at] = values
+    same = spark.createDataFrame([(i, r.tolist(), rows[i][1]) for i, r in enumerate(again)], "sample_id long, features array<double>, label double")
+    trainer = Trainer(epochs=3, steps=2, learning_rate=0.05)
+    assert np.allclose(trainer.fit(fixed, perceptron(40)).flat, trainer.fit(same, perceptron(40)).flat, atol=1e-6)
+    monkeypatch.setattr(network_module, "SLICE", 16)  # blocks of zeros are not sent
+    (total,), _ = gradient_sums(sparse, logistic(40))
+    assert np.allclose(total, logistic(40).gradient_sum(x, y), atol=1e-9)
+
+
+def test_sparse_positions_beyond_the_model_are_an_error(spark):
+    df = spark.createDataFrame([(([7], [1.0]), 1.0)], SPARSE)
+    with pytest.raises(Exception, match="has not 3 positions"):
+        gradient_sums(df, logistic(3))
+
+
+# --- epochs over all samples ---------------------------------------------------------------------
+
+def test_an_epoch_visits_every_sample_once_in_its_order(spark, data, monkeypatch):
+    from pyspark.sql import Window
+
+    from provspark.operators.split import epoch_rank
+
+    x, y, df = data
+    ids = df.withColumn("sample_id", F.md5(F.array_join(F.transform("features", lambda v: v.cast("string")), ",")))
+    seen = []
+    gradient = network_module._batch_gradient
+    monkeypatch.setattr(network_module, "_batch_gradient", lambda batch, *a: seen.append(sorted(bytes(r.x) for r in batch.collect())) or gradient(batch, *a))
+    trained = Trainer(epochs=2, batch_size=64, learning_rate=0.05).fit(ids, logistic(6))
+    sizes = [len(b) for b in seen]
+    assert sizes == ([64] * 9 + [24]) * 2
+    for epoch in (0, 1):
+        place = F.row_number().over(Window.orderBy(epoch_rank(epoch + 1), "sample_id")) - 1
+        by_batch = {}
+        for r in ids.select("features", place.alias("place")).collect():
+            by_batch.setdefault(r.place // 64, []).append(np.array(r.features, np.float32).tobytes())
+        assert [sorted(by_batch[k]) for k in sorted(by_batch)] == seen[10 * epoch : 10 * epoch + 10]
+    assert seen[:10] != seen[10:]
+    other = Trainer(epochs=2, batch_size=64, learning_rate=0.05).fit(ids.repartition(7), logistic(6))
+    assert np.allclose(trained.flat, other.flat, atol=1e-9)
+    assert ((trained.probability(x) > 0.5) == y).mean() > 0.85

@@ -462,3 +462,51 @@ def test_scores_of_deleted_samples_are_gone(run):
     ids = [r[0] for r in run.matrix(TEST).select(run.prov_of(alias)).distinct().limit(2).collect()]
     left = maintain.delete_instances(run, alias, ids)
     assert left.scores().count() == left.matrix(TEST).count() < run.scores().count()
+
+
+def test_prediction_of_new_rows(spark, run):
+    """The stored run gives its own test samples the scores it stored, and takes rows it has never seen."""
+    rows = run.samples()
+    done = run.predict(rows.select(SAMPLE_ID, SPLIT, *run.output_cols))
+    stored = as_dict(run.scores(), "prediction")
+    assert {k: v for k, v in as_dict(done, "prediction").items() if k in stored} == stored
+    other = spark.createDataFrame([("a new title", "some text", "b", "XX", "positive", True)], "title string, text string, bank string, country string, sentiment string, is_premium boolean")
+    (row,) = run.predict(other).collect()
+    assert 0 < row.probability < 1 and row.title == "a new title"
+    loaded = load_run(spark, "example", run.run_id, root=run.root, branch=run.branch_name)
+    assert loaded.predict(other).first().probability == row.probability
+    assert loaded.encoders(encoders()).width == run.document["num_features"]
+
+
+def test_runs_with_wide_blocks(spark, root, paths):
+    from provspark.operators.encoders import WideOneHot
+
+    def wide(kind):
+        parts = [("length", chain(WordCount(), StandardScaler()), ["title"]), ("bank", kind, ["bank"]), ("country", kind, ["country"])]
+        return run_pipeline(
+            spark, "wide", paths, complaints.dataprep, lambda: ColumnEncoders(parts), complaints.extract_label, root=root, trainer=Trainer(epochs=1),
+            create_network=logistic,
+        )
+
+    sparse, dense = wide(WideOneHot(unknown="ignore")), wide(OneHot(unknown="ignore"))
+    for change in (
+        lambda r: maintain.delete_features(r, "customers_path", "bank", "customers_path", IDS), lambda r: maintain.delete_instances(r, "mails_path", [1, 2, 3]),
+    ):
+        a, b = change(sparse), change(dense)
+        vectors = as_dict(b.matrix(), "features")
+        for key, (positions, values) in as_dict(a.matrix(), "features").items():
+            full = [0.0] * len(vectors[key])
+            for p, v in zip(positions, values):
+                full[p] = v
+            assert full == vectors[key]
+        assert np.allclose(a.model().flat, b.model().flat, atol=1e-6)
+        sparse, dense = a, b
+    assert sparse.version == 2 and np.allclose(
+        [r.probability for r in sparse.predict(sparse.samples()).orderBy(SAMPLE_ID).collect()],
+        [r.probability for r in dense.predict(dense.samples()).orderBy(SAMPLE_ID).collect()], atol=1e-6,
+    )
+
+
+def test_retraining_without_rows_of_an_unknown_source_is_an_error(spark, root, paths):
+    with pytest.raises(ValueError, match="no scan of the preparation has the alias customer"):
+        execute(spark, root, paths, retrain_without_rows(complaints.dataprep, "customer", IDS), trainer=None)

@@ -37,6 +37,18 @@ def test_hash_split_is_stable_under_deletion(spark):
 
 
 def test_epoch_orders_differ_and_repeat(spark):
-    df = keyed(spark, 200).coalesce(1)
-    order = lambda e: [r[0] for r in sp.epoch_order(df, e).select("sample_id").collect()]
-    assert order(1) == order(1) != order(2) and sorted(order(1)) == sorted(order(2))
+    df = keyed(spark, 200)
+
+    def order(epoch, tasks):
+        placed = {r.place: r.sample_id for r in sp.epoch_order(df.repartition(tasks), epoch).select("place", "sample_id").collect()}
+        assert sorted(placed) == list(range(200))
+        return [placed[i] for i in range(200)]
+
+    assert order(1, 1) == order(1, 7) != order(2, 3) and sorted(order(1, 2)) == sorted(order(2, 2))
+
+
+def test_places_of_tied_and_null_rows(spark):
+    df = spark.createDataFrame([(3,), (None,), (1,), (3,), (2,)], "x int").repartition(4)
+    placed = sorted((r.place, r.x) for r in sp.with_place(df, [F.col("x")], "place").collect())
+    assert placed == [(0, None), (1, 1), (2, 2), (3, 3), (4, 3)]
+    assert sp.with_place(df.limit(0), [F.col("x")], "place").count() == 0
