@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.operators.storage import materialise
+from provspark.operators.storage import delete_folder, materialise
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
@@ -64,8 +64,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", "low")).where("a != b")
-        edges = materialise(small.distinct(), "edges")
+        last, edges = edges, materialise(small.distinct(), "edges")
         state, before = _state(edges), state
+        for folder in {f.rsplit("/", 1)[0] for f in last.inputFiles()}:
+            delete_folder(edges.sparkSession, folder)
         if state == before:
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

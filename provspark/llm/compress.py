@@ -63,7 +63,7 @@ def _blocks(width: int, scale: int, vector: str, carried: list[str], names: pa.S
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if len(set(lengths.tolist())) == 1 and lengths[0] == width:
             limit = integer_limit(width)
-            values = np.clip(np.floor(flat.reshape(-1, width) * scale), -limit, limit).astype(np.int64)
+            values = np.clip(np.floor(flat.reshape(len(lengths), width) * scale), -limit, limit).astype(np.int64)
         else:
             values = integers(np.split(flat, np.cumsum(lengths)[:-1]), width, scale)
         dictionaries, codes = [], np.empty((width, len(values)), np.int32)

@@ -124,6 +124,7 @@ def judge_urls(
     judged = judged.withColumn("rule", rule_of(rules)).withColumn("by_rule", verdict_of(rules))
     label = (F.col("by_rule") == "block").cast("double")
     labelled = judged.where("by_rule is not null").select("url", "host", "path", label.alias("label")).distinct()
+    labelled = materialise(labelled, "labelled")
     sample = with_lexical_features(bounded_sample(labelled, train_rows, "url"))
     drawn, blocked = sample.agg(F.count("*"), F.sum("label")).first()
     if drawn and 0 < blocked < drawn:
