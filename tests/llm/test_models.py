@@ -1,7 +1,9 @@
 """Toxicity, language, decontamination: gradients, brute force and held-out accuracy."""
 
+import math
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provspark.llm import decontaminate, langid, queries, toxicity
-from provspark.llm.common import held_out
+from provspark.llm.common import EDGES, held_out
 from provspark.llm.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR_LLM", "/root/testdata/sf0.01")
@@ -232,3 +234,77 @@ def test_folds(spark):
 
     rows = spark.range(50).select("id", held_out("id", 5, 0).alias("h")).collect()
     assert [r.h for r in rows] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)]
+
+
+# --- whole scores against plain loops ----------------------------------------------------------------
+
+def plain_gru(model, side, inputs):
+    """States of one direction, one word at a time."""
+    h, now, out = toxicity.HIDDEN, np.zeros(toxicity.HIDDEN), []
+    for x in inputs if side == "f" else inputs[::-1]:
+        a, s = x @ model[f"{side}_in"] + model[f"{side}_bias"], now @ model[f"{side}_state"]
+        z, r = (1 / (1 + np.exp(-(a[i : i + h] + s[i : i + h]))) for i in (0, h))
+        new = np.tanh(a[2 * h :] + r * s[2 * h :])
+        now = z * now + (1 - z) * new
+        out.append(now)
+    return out if side == "f" else out[::-1]
+
+
+def plain_score(model, text):
+    words = [w.strip(EDGES) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+    inputs = [toxicity.Vocabulary([w]).inputs(model)[0] for w in words if w.strip(EDGES)]
+    if not inputs:
+        return 0.0
+    best, start = -math.inf, 0
+    while True:
+        window = inputs[start : start + toxicity.WINDOW]
+        both = [np.concatenate(x) for x in zip(plain_gru(model, "f", window), plain_gru(model, "b", window))]
+        weights = [math.exp(np.tanh(x @ model["look"]) @ model["weigh"]) for x in both]
+        pooled = sum(w * x for w, x in zip(weights, both)) / sum(weights)
+        best = max(best, pooled @ model["out"] + model["bias"][0])
+        if start + toxicity.WINDOW >= len(inputs):
+            break
+        start += toxicity.STRIDE
+    slope, offset = model["curve"]
+    return 1 / (1 + math.exp(-(slope * best + offset)))
+
+
+def test_toxicity_scores_window_by_window():
+    draw = random.Random(14)
+    model = {k: v * 2 for k, v in toxicity.new_model(5).items()} | {"curve": np.array([1.5, -0.2])}
+    words = [f"word{i}" for i in range(50)] + ["«quoted»", "don't", "É", "...", "a-b", "x"]
+    texts = [" ".join(draw.choice(words) for _ in range(n)) for n in (1, 2, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 100, 333)]
+    texts += ["", None, " ... ", "one\n\ttwo"]
+    found = toxicity.scores(model, pa.array(texts))
+    assert np.allclose(found, [plain_score(model, t or "") for t in texts], atol=1e-6)
+
+
+def test_languages_pair_by_pair():
+    """The family by all pairs of families, then the language by all pairs inside it."""
+    draw = np.random.default_rng(15)
+    names = np.array(["en", "de", "nl", "fr", "es", "it", "fi"])
+    centres = draw.normal(size=(len(names), 30))
+    x = (centres.repeat(20, axis=0) + draw.normal(size=(140, 30))).astype(np.float32)
+    model = langid.Model(x, names.repeat(20))
+    family, languages = {n: langid.FAMILY.get(n, n) for n in names}, sorted(names)
+    rows = draw.normal(size=(60, 30)).astype(np.float32)
+
+    def winner(row, options, pairs, weights):
+        wins, sums, least = dict.fromkeys(options, 0), dict.fromkeys(options, 0.0), dict.fromkeys(options, math.inf)
+        for (a, b), w in zip(pairs, weights):
+            v = float(np.dot(row.astype(float), w[:-1].astype(float)) + w[-1])
+            a, b = options[a], options[b]
+            wins[a if v >= 0 else b] += 1
+            for name, margin in ((a, v), (b, -v)):
+                sums[name] += margin
+                least[name] = min(least[name], margin)
+        best = max(options, key=lambda n: (wins[n] + 1e-3 * math.tanh(sums[n]), -options.index(n)))
+        return best, 1 / (1 + math.exp(-3 * min(least[best], 30)))
+
+    found, scores = model.predict(rows)
+    families = sorted(set(family.values()))
+    for row, number, score in zip(rows, found, scores):
+        own, chance = winner(row, families, *model.levels[0][1:])
+        inside = [n for n in languages if family[n] == own]
+        best, second = winner(row, inside, *model.levels[1 + families.index(own)][1:])
+        assert model.languages[number] == best and abs(score - chance * second) < 1e-4
