@@ -23,7 +23,7 @@ interrupted run or deletion is never visible, and none gets lost.
 ``branch`` opens a line of versions of its own from any version, without copying. ``purge`` removes every
 file that no version to be kept names; until then earlier versions can be opened.
 
-``<root>/runs`` lists all runs and versions for inspection; the documents decide.
+``runs`` reads the documents of all runs and versions below a root.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ MAIN = "main"
 TABLES = {"relational": (), "matrix": (TRAIN, TEST), "scores": ()}
 PATIENCE = 60  # seconds to wait for the document of a version that another writer has claimed
 
+# What ``runs`` shows of a version's document.
 RUNS_SCHEMA = (
     "run_id string, pipeline string, branch string, version int, kind string, "
     "changed_rows long, created_at timestamp, source_paths map<string,string>"
@@ -207,19 +208,19 @@ def publish(run: Run, kind: str, changed_rows: int) -> None:
         for name, t in run.tables.items()
     }
     document = {
-        "kind": kind, "branch": run.branch_name, "version": run.version, "tables": tables,
-        "model": run.model_path.removeprefix(run.path + "/"), "changed_rows": changed_rows,
+        "run_id": run.run_id, "pipeline": run.pipeline, "branch": run.branch_name, "version": run.version, "kind": kind,
+        "changed_rows": changed_rows, "created_at": datetime.datetime.now(datetime.timezone.utc).isoformat(),
+        "source_paths": run.document["source_paths"], "tables": tables, "model": run.model_path.removeprefix(run.path + "/"),
     }
     path = f"{run.path}/versions/{run.branch_name}/{run.version}.json"
     if not create_exclusive(run.spark, path, json.dumps(document)):
         raise VersionTaken(path)
-    row = (run.run_id, run.pipeline, run.branch_name, run.version, kind, changed_rows, datetime.datetime.now(), run.document["source_paths"])
-    run.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run.root}/runs")
 
 
 def runs(spark: SparkSession, root: str | None = None) -> DataFrame:
-    """The list of all runs and versions, purged ones too."""
-    return spark.read.schema(RUNS_SCHEMA).parquet(f"{root or default_root(spark)}/runs")
+    """All runs and versions below a root, from their documents."""
+    documents = spark.read.text(f"{root or default_root(spark)}/*/*/versions/*", wholetext=True)
+    return documents.select(F.from_json("value", RUNS_SCHEMA).alias("run")).select("run.*").where("run_id is not null")
 
 
 def version_documents(spark: SparkSession, path: str, branch: str | None = None) -> list[dict]:
@@ -273,7 +274,7 @@ def next_version(run: Run, kind: str, make) -> Run:
         written, replaced_files, network, changed = make(run)
         parts = {name: t.parts for name, t in run.tables.items()}
         tables, model = together(
-            lambda: commit_files(run.spark, run.path, run.tables, written, replaced_files, parts),
+            lambda: commit_files(run.spark, run.path, run.tables, written, replaced_files, parts, whole=kind == "compact"),
             lambda: write_model(run.path, network, run.spark),
         )
         updated = replace(run, version=run.version + 1, tables=tables, model_path=model)

@@ -29,6 +29,7 @@ from provspark.operators.storage import together
 MANIFEST = "table string, part string, file string, rows long"
 INDEX = "table string, prov string, id long, file string"
 REQUESTS = "prov string, id long, target int"
+MOST_INDEXES = 16  # so many indexes, one per version, are looked through before they are written as one
 RELATIVE = r"((?:data|meta)/[^/]+/[0-9a-f]{32}/.*)$"
 
 
@@ -217,11 +218,12 @@ def _listed(spark: SparkSession, root: str, written: dict[str, Written], parts:
 
 def commit_files(
     spark: SparkSession, root: str, tables: dict[str, FileTable | None], written: dict[str, Written | None],
-    replaced: dict[str, list], parts: dict[str, tuple],
+    replaced: dict[str, list], parts: dict[str, tuple], whole: bool = False,
 ) -> dict[str, FileTable]:
     """Manifest and index of the next version of all tables.
 
-    ``replaced[name]`` are the files of the version before that the written ones stand for.
+    ``replaced[name]`` are the files of the version before that the written ones stand for; ``whole`` says
+    that these are all of them.
     """
     written = {name: w for name, w in written.items() if w is not None}
     before = next((t for t in tables.values() if t is not None), None)
@@ -235,12 +237,17 @@ def commit_files(
         else:
             named = spark.createDataFrame([(f,) for f in names], "file string")
             old = old.join(broadcast_if_small(named, len(names)), "file", "left_anti").select("table", "part", "file", "rows")
-    actions = []
+    actions, kept = [], () if before is None or whole else before.index
     if written:
         new, pairs = _listed(spark, root, written, parts)
         files = new if old is None else old.unionByName(new)
         # Sorted as a whole; what was few rows before is one task, without sampling for ranges.
         few = before is not None and sum(row.rows for row in gone) <= BROADCAST_ROWS
+        if len(kept) >= MOST_INDEXES:
+            former = spark.read.schema(INDEX).parquet(*[f"{root}/{i}" for i in kept])
+            live = broadcast_if_small(old.select("file"))
+            pairs = pairs.unionByName(former.join(live, "file", "left_semi").select(*pairs.columns))
+            kept, few = (), False
         pairs = pairs.coalesce(1) if few else pairs.repartitionByRange("table", "prov", "id")
         pairs = pairs.sortWithinPartitions("table", "prov", "id")
         actions.append(lambda: pairs.write.parquet(f"{root}/{index}"))
@@ -248,7 +255,7 @@ def commit_files(
         files = old
     actions.append(lambda: files.coalesce(1).write.parquet(f"{root}/{manifest}"))
     together(*actions)
-    indexes = (*(before.index if before else ()), *([index] if written else ()))
+    indexes = (*kept, *([index] if written else ()))
     out = {}
     for name, table in tables.items():
         if table is None:

@@ -415,6 +415,20 @@ def test_deletions_at_the_same_time_are_all_in_effect(spark, root, run):
     assert not latest.matrix().where(F.col(prov).isin(IDS[:4])).count()
 
 
+def test_many_versions_are_looked_up_in_few_indexes(run, monkeypatch):
+    from provspark.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_INDEXES", 2)
+    prov, there, state = run.prov_of("customers_path"), {r[0] for r in run.samples().select(run.prov_of("customers_path")).distinct().collect()}, run
+    for i in sorted(there)[:4]:
+        state = maintain.delete_instances(state, "customers_path", [i])
+        assert len(state.relational_table.index) <= 2
+        there.discard(i)
+        assert {r[0] for r in state.samples().select(prov).distinct().collect()} == there
+        assert {r[0] for r in state.matrix().select(prov).distinct().collect()} == there
+    assert len(compact(state).relational_table.index) == 1
+
+
 def test_branches_do_not_see_each_other(run):
     other = run.branch()
     gone = maintain.delete_instances(run, "customers_path", [1])
