@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provspark.llm.common import shared, text_slices
+from provspark.llm.common import give_back, shared, text_slices
 
 FEATURES = 1 << 12
 TRAIN_ROWS_PER_LANGUAGE = 1000
@@ -164,7 +164,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     if not got.num_rows:
         return None
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(got.num_rows, FEATURES).astype(np.float32)
-    return Model(x, np.array(got.column("lang").to_pylist(), dtype=object))
+    model = Model(x, np.array(got.column("lang").to_pylist(), dtype=object))
+    del x, got
+    give_back()
+    return model
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:

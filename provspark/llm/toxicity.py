@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import hash_texts, plain_words, shared, text_slices
+from provspark.llm.common import give_back, hash_texts, plain_words, shared, text_slices
 
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, LETTER_BUCKETS = 1 << 16, 1 << 12
@@ -337,8 +337,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = texts.orderBy("key").toArrow()
     if not got.num_rows:
         return None
-    label = np.array(got.column("label").to_pylist())
-    return fit_network(got.column("text").to_pylist(), label, counts[1] / (counts[0] + counts[1]))
+    label, texts = np.array(got.column("label").to_pylist()), got.column("text").to_pylist()
+    del got
+    model = fit_network(texts, label, counts[1] / (counts[0] + counts[1]))
+    del texts
+    give_back()  # the driver has other work to do
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: dict | None, text: str = "text", out: str = "toxicity") -> DataFrame:
