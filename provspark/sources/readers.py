@@ -277,7 +277,8 @@ def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str)
     lines = materialise(lines.withColumn("__s", states), "lines", folder)
 
     last = F.max_by(F.struct("__s.plain", "__s.quoted"), "__order")
-    splits = lines.groupBy("__split", "__path", "__start").agg(last.alias("__end"))
+    open_lines = [F.max(f"__s.{side}.ends").alias(f"__open_{side}") for side in ("plain", "quoted")]
+    splits = lines.groupBy("__split", "__path", "__start").agg(last.alias("__end"), *open_lines)
     by_file = Window.partitionBy("__path").orderBy("__start")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     end_plain, end_quoted = F.col("__end.plain.ends"), F.col("__end.quoted.ends")
@@ -296,25 +297,29 @@ def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str)
     splits = splits.withColumns({
         "__open": F.last("__open", ignorenulls=True).over(before), "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
         "__same": F.count("*").over(Window.partitionBy("__split")), "__last": F.lead("__start").over(by_file).isNull(),
+        "__several": F.col("__in") | F.when(F.col("__in"), F.col("__open_quoted")).otherwise(F.col("__open_plain")),
     })
-    splits = materialise(splits.select(F.col("__split").alias("__key"), "__path", "__in", "__out", "__open", "__before", "__same", "__last"), "splits")
-    odd = splits.where("__same > 1 or (__last and __out)").orderBy("__path").first()
-    if odd is not None:
-        raise ValueError("two input splits have the same hash" if odd["__same"] > 1 else f"{odd['__path']} ends inside a quoted field")
-
-    small = broadcast_if_small(splits.drop("__path", "__out", "__same", "__last"), limit=BROADCAST_FILES)
+    splits = splits.select(F.col("__split").alias("__key"), "__path", "__in", "__out", "__open", "__before", "__same", "__last", "__several")
+    splits = materialise(splits, "splits")
+    unclosed = F.min(F.when(F.col("__last") & F.col("__out"), F.col("__path")))
+    count, same, unclosed, any_several = splits.agg(F.count("*"), F.max("__same"), unclosed, F.max("__several")).first()
+    if (same or 0) > 1 or unclosed is not None:
+        raise ValueError("two input splits have the same hash" if unclosed is None else f"{unclosed} ends inside a quoted field")
+
+    small = broadcast_if_small(splits.select("__key", "__in", "__open", "__before"), count, BROADCAST_FILES)
     lines = lines.join(small, F.col("__split") == F.col("__key"))
     side = F.when(F.col("__in"), F.col("__s.quoted")).otherwise(F.col("__s.plain"))
     lines = lines.select("__line", "__path", "__start", "__order", "__open", "__before", side.alias("__s"))
     place = F.col("__before") + F.col("__s.count") - 1
     whole = lines.where(~F.col("__s.begins") & ~F.col("__s.ends") & (F.btrim(F.col("__line"), F.lit(" \t\r\x0b\x0c")) != ""))
-    whole = whole.select(F.col("__line").alias("__record"), "__path", place.alias("__position"))
+    records = whole.select(F.col("__line").alias("__record"), "__path", place.alias("__position"))
     parts = lines.where(F.col("__s.begins") | F.col("__s.ends"))
     number = F.when(F.col("__s.record") >= 0, F.col("__s.record")).otherwise(F.col("__open"))
     first = F.max(F.when(~F.col("__s.begins"), place))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__start", "__order", "__line"))), lambda x: x["__line"]), "\n")
     several = parts.groupBy(number.alias("__number"), "__path").agg(text.alias("__record"), first.alias("__position"))
-    records = whole.unionByName(several.select("__record", "__path", "__position"))
+    if any_several:
+        records = records.unionByName(several.select("__record", "__path", "__position"))
     records = records.withColumn("__record", F.regexp_replace("__record", r"\r\z", ""))
     if header:
         records = records.where("__position > 0").withColumn("__position", F.col("__position") - 1)
