@@ -219,7 +219,7 @@ class TrackedFrame:
         Keys of different names are both kept, keys of the same name once.
         Spark picks the strategy from the sizes and splits hot keys at run time. ``salt``
         spreads every key of the left side over that many tasks from the start (the right
-        side is repeated ``salt`` times), for keys known to hold a large part of the rows.
+        side is repeated ``salt`` times and never broadcast), for keys known to hold a large part of the rows.
         ``null_safe`` matches null with null.
         """
         left_on, right_on = _names(left_on), _names(right_on)
@@ -235,7 +235,8 @@ class TrackedFrame:
             spread = F.pmod(F.xxhash64(*self.key_cols), F.lit(salt)).cast("int")
             left_df = left_df.withColumn("__salt_l", spread)
             copies = F.explode(F.array(*[F.lit(i) for i in range(salt)]))
-            right_df = right_df.withColumn("__salt_r", copies)
+            # By a shuffle: Spark would take the copies for as small as one of them, and every task would hold them all.
+            right_df = right_df.withColumn("__salt_r", copies).hint("merge")
             on = on & (F.col("__salt_l") == F.col("__salt_r"))
         joined = left_df.join(right_df, on, "inner").drop("__salt_l", "__salt_r")
         col_prov = {**self.col_prov, **right.col_prov}

@@ -177,3 +177,8 @@ def test_null_ids_name_no_row(spark, people):
 def test_last_row_per_key_sorts_nothing_wide(people):
     plan = people.latest_by("email").df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_salted_join_holds_no_copies_in_a_task(people, mails):
+    plan = mails.join(people, "email", "email", salt=5).df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
