@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from provspark.functions.naming import PROV_PREFIX
 from provspark.operators import frame
-from provspark.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from provspark.operators.sizing import BROADCAST_FILES, BROADCAST_ROWS, broadcast_if_small
 from provspark.operators.split import SPLIT
 from provspark.operators.storage import together
 
@@ -198,22 +198,42 @@ def write_files(df: DataFrame, root: str, name: str, parts: tuple[str, ...] = ()
     return Written(folder, schema)
 
 
-def _listed(spark: SparkSession, root: str, written: dict[str, Written], parts: dict[str, tuple]) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows and index rows of files just written; reads the provenance columns only."""
-    files = index = None
+def _listed(spark: SparkSession, root: str, written: dict[str, Written], parts: dict[str, tuple]) -> tuple[list, DataFrame, list]:
+    """Files just written, one ``(table, part, file, rows)`` each; index pairs ``(kind, id, place)``; the kinds.
+
+    Reads the provenance columns only. The pairs are numbers until they are sorted: ``kind`` is the place of
+    ``(table, prov)`` among the sorted kinds, ``place`` a hash of the file's path. ``_named`` puts the names back.
+    """
+    path, counts, pairs = F.col("_metadata.file_path"), None, None
+    tables = {}
     for name, w in written.items():
         plain = T.StructType([f for f in w.schema.fields if not (parts[name] and f.name == SPLIT)])
-        reader = spark.read.schema(plain).option("recursiveFileLookup", True)
-        rows = reader.parquet(f"{root}/{w.folder}").withColumn("file", relative_file())
+        rows = spark.read.schema(plain).option("recursiveFileLookup", True).parquet(f"{root}/{w.folder}")
+        tables[name] = rows, [c for c in plain.fieldNames() if c.startswith(PROV_PREFIX)]
+    kinds = sorted((name, c) for name, (_, provs) in tables.items() for c in provs)
+    for name, (rows, provs) in tables.items():
+        counted = rows.groupBy(path.alias("path")).agg(F.count("*").alias("rows"))
+        counted = counted.select(F.lit(name).alias("table"), F.regexp_extract("path", RELATIVE, 1).alias("file"), "rows", F.xxhash64("path").alias("place"))
         part = F.regexp_extract("file", f"/{SPLIT}=([^/]+)/", 1) if parts[name] else F.lit("")
-        counted = rows.groupBy("file").agg(F.count("*").alias("rows"))
-        counted = counted.select(F.lit(name).alias("table"), part.alias("part"), "file", "rows")
-        provs = [c for c in plain.fieldNames() if c.startswith(PROV_PREFIX)]
-        pairs = F.array(*[F.struct(F.lit(c).alias("prov"), F.col(c).alias("id")) for c in provs])
-        found = rows.select(F.lit(name).alias("table"), F.inline(pairs), "file").where("id is not null").distinct()
-        files = counted if files is None else files.unionByName(counted)
-        index = found if index is None else index.unionByName(found)
-    return files, index
+        counted = counted.select("table", part.alias("part"), "file", "rows", "place")
+        counts = counted if counts is None else counts.unionByName(counted)
+        ids = F.array(*[F.struct(F.lit(kinds.index((name, c))).alias("kind"), F.col(c).alias("id")) for c in provs])
+        found = rows.select(F.inline(ids), F.xxhash64(path).alias("place")).where("id is not null").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    # One row per file, as the driver collects them whenever a table is read.
+    files = counts.collect()
+    if len({f.place for f in files}) < len(files):
+        raise ValueError("two files have the same hash")
+    return files, pairs, kinds
+
+
+def _named(pairs: DataFrame, files: list, kinds: list) -> DataFrame:
+    """Index rows ``(table, prov, id, file)``, in the order of the pairs."""
+    spark = pairs.sparkSession
+    places = spark.createDataFrame([(f.place, f.file) for f in files], "place long, file string")
+    table, prov = (F.get(F.array(*[F.lit(k[i]) for k in kinds]), F.col("kind")) for i in (0, 1))
+    pairs = pairs.join(broadcast_if_small(places, len(files), BROADCAST_FILES), "place")
+    return pairs.select(table.alias("table"), prov.alias("prov"), "id", "file")
 
 
 def commit_files(
@@ -239,17 +259,21 @@ def commit_files(
             old = old.join(broadcast_if_small(named, len(names)), "file", "left_anti").select("table", "part", "file", "rows")
     actions, kept = [], () if before is None or whole else before.index
     if written:
-        new, pairs = _listed(spark, root, written, parts)
+        found, pairs, kinds = _listed(spark, root, written, parts)
+        new = spark.createDataFrame([(f.table, f.part, f.file, f.rows) for f in found], MANIFEST)
         files = new if old is None else old.unionByName(new)
+        order = ["kind", "id"]
         # Sorted as a whole; what was few rows before is one task, without sampling for ranges.
         few = before is not None and sum(row.rows for row in gone) <= BROADCAST_ROWS
         if len(kept) >= MOST_INDEXES:
             former = spark.read.schema(INDEX).parquet(*[f"{root}/{i}" for i in kept])
             live = broadcast_if_small(old.select("file"))
+            pairs = _named(pairs, found, kinds)
             pairs = pairs.unionByName(former.join(live, "file", "left_semi").select(*pairs.columns))
-            kept, few = (), False
-        pairs = pairs.coalesce(1) if few else pairs.repartitionByRange("table", "prov", "id")
-        pairs = pairs.sortWithinPartitions("table", "prov", "id")
+            kept, few, order = (), False, ["table", "prov", "id"]
+        pairs = (pairs.coalesce(1) if few else pairs.repartitionByRange(*order)).sortWithinPartitions(*order)
+        if order[0] == "kind":
+            pairs = _named(pairs, found, kinds)
         actions.append(lambda: pairs.write.parquet(f"{root}/{index}"))
     else:
         files = old

@@ -528,3 +528,20 @@ def test_runs_with_wide_blocks(spark, root, paths):
 def test_retraining_without_rows_of_an_unknown_source_is_an_error(spark, root, paths):
     with pytest.raises(ValueError, match="no scan of the preparation has the alias customer"):
         execute(spark, root, paths, retrain_without_rows(complaints.dataprep, "customer", IDS), trainer=None)
+
+
+def test_index_is_sorted_as_numbers(spark, tmp_path):
+    from provspark.sources import tables
+
+    rows = spark.range(20, numPartitions=2).select(F.col("id").alias("__prov_b"), F.when(F.col("id") > 3, F.col("id") % 3).alias("__prov_a"))
+    written = {n: tables.write_files(rows, str(tmp_path), n) for n in ("two", "one")}
+    files, pairs, kinds = tables._listed(spark, str(tmp_path), written, {"one": (), "two": ()})
+    assert dict(pairs.dtypes) == {"kind": "int", "id": "bigint", "place": "bigint"}
+    assert kinds == [("one", "__prov_a"), ("one", "__prov_b"), ("two", "__prov_a"), ("two", "__prov_b")]
+    assert sorted((f.table, f.rows) for f in files) == [("one", 10), ("one", 10), ("two", 10), ("two", 10)]
+    named = {tuple(r) for r in tables._named(pairs, files, kinds).collect()}
+    wanted = set()
+    for name, w in written.items():
+        read = spark.read.parquet(f"{tmp_path}/{w.folder}").withColumn("file", tables.relative_file())
+        wanted |= {(name, c, r[c], r["file"]) for r in read.collect() for c in ("__prov_a", "__prov_b") if r[c] is not None}
+    assert named == wanted
