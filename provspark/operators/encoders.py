@@ -13,13 +13,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.util import PythonEvalType
 
 from provspark.functions.text import char_count, tokens, word_count
 from provspark.operators.sizing import broadcast_if_small
@@ -28,6 +33,7 @@ from provspark.operators.storage import materialise, new_folder, together
 
 MOST_CATEGORIES = 1_000_000  # of dense one-hot blocks; more positions than that belong in a sparse one
 SCALARS = 200  # up to so many moments are separate aggregates, more are rows of one
+SLICE_BYTES = 4 << 20  # of a batch that a pandas UDF is given at a time
 SPARSE = "struct<positions: array<int>, values: array<double>>"
 
 
@@ -285,6 +291,31 @@ class HashedText(Encoder):
         return self.dimensions
 
 
+def _in_slices(udf):
+    """The same pandas UDF, given some ``SLICE_BYTES`` of each batch at a time.
+
+    A batch holds a number of rows, however long their texts are; as pandas objects they would all lie in the worker at once.
+    """
+    function, arrow_type = udf.func, to_arrow_type(udf.returnType)
+
+    def series(column: pa.Array) -> pd.Series:
+        values = column.to_pandas()
+        zoned = pa.types.is_timestamp(column.type) and column.type.tz is not None
+        return values.dt.tz_localize(None) if zoned else values
+
+    @F.arrow_udf(udf.returnType)
+    def sliced(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            rows, held = len(columns[0]), sum(c.nbytes for c in columns)
+            step = max(1, rows * SLICE_BYTES // max(1, held))
+            for low in range(0, rows, step):
+                yield pa.Array.from_pandas(function(*[series(c.slice(low, step)) for c in columns]), type=arrow_type)
+            pa.default_memory_pool().release_unused()
+
+    return sliced if udf.deterministic else sliced.asNondeterministic()
+
+
 @dataclass(frozen=True)
 class BatchEmbedding(Encoder):
     """Vectors of a fixed width from a pandas UDF, such as a pretrained sentence encoder."""
@@ -293,7 +324,8 @@ class BatchEmbedding(Encoder):
     dimensions: int
 
     def column(self, inputs):
-        return self.udf(*inputs).cast("array<double>")
+        udf = _in_slices(self.udf) if getattr(self.udf, "evalType", None) == PythonEvalType.SQL_SCALAR_PANDAS_UDF else self.udf
+        return udf(*inputs).cast("array<double>")
 
     def width(self, n_inputs):
         return self.dimensions

@@ -259,3 +259,16 @@ def test_encoders_from_their_document_alone(train):
     assert np.array_equal(vectors(custom.with_saved_state(custom.state()), train)[:, 0], [1, 2, 6, 3])
     with pytest.raises(ValueError, match="does not belong"):
         ColumnEncoders([("h", OneHot(), ["text"])]).with_saved_state(fitted.state()[:1])
+
+
+def test_embeddings_meet_a_bounded_amount_of_text(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def embed(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [float(len(text)), float(len(t))] for t in text])
+
+    df = spark.range(2000).select("id", F.when(F.col("id") > 0, F.repeat(F.lit("abcdefghij"), 1000)).alias("text")).coalesce(1)
+    done = ColumnEncoders([("v", BatchEmbedding(embed, 2), ["text"])]).fit(df).transform(df)
+    features = {r.id: r.features for r in done.select("id", "features").collect()}
+    assert len(features) == 2000 and all(features[i][1] == 10_000 and features[i][0] * 10_000 <= 8 << 20 for i in range(1, 2000))
