@@ -10,24 +10,24 @@ UTF-8 bytes. This is what a unigram model computes; pieces of a merge-based file
 scores in the file, so that the ids are the best path of these scores, not the order of merges. Sums
 are in double precision (the public library adds in single, which rounds the large scores of some files).
 
-The ``HOT_CHUNKS`` most frequent chunks of a sample are solved that way, once, and become a
-dictionary of bounded size that every task holds. Chunks beyond it go through the same lattice inside
-the task that meets them, once per batch: substrings of all of them at a time, joined with the piece
-table by hash, folded position by position. So no text is shuffled, and the results do not depend on
-the dictionary. (Solved in Spark beside their documents, these chunks needed a shuffle of all text
-and twice the processor time allowed; see the README.)
+All different chunks of all texts are solved that way, once each. Those most frequent in a sample,
+``HOT_CHUNKS`` at most, become a dictionary of bounded size that every task holds; the others go back to
+their texts by joins, on the chunk and then on the hash of the text. So the results do not depend on the
+dictionary, which only spares most chunks the way through the joins.
 
 Decoding joins the pieces and bytes and takes the leading space away: every text comes back, also
 with runs of spaces, control signs or U+2581, which is treated as a sign without a piece.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; chunks longer
-than ``LONG`` signs are never in the dictionary (SQL arrays are copied at every step of a fold);
+than ``LONG`` signs are never in the dictionary and are folded outside SQL (its arrays are copied at every
+step of a fold);
 repeated rows get equal ids; no rows give no rows; other columns are kept, except those named like
 the outputs, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,13 +37,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provspark.llm.common import bounded_sample, mix, shared, text_slices
+from provspark.llm.common import bounded_sample, shared, text_slices
 from provspark.operators.storage import materialise
 
 CHUNK = r" *[\p{L}\p{M}]+|\p{Nd}| *[^\p{L}\p{M}\p{Nd} ]+| +"
 CHUNKS = regex.compile(CHUNK)
 HOT_CHUNKS, SAMPLE_ROWS = 1 << 18, 10_000
-LONG, WIDE = 256, 64
+LONG = 256
 MOST_PIECES = 1 << 20
 UNKNOWN_COST = 10.0
 AT_ONCE = 100_000
@@ -152,7 +152,7 @@ def best_paths(df: DataFrame, keys: list[str], pieces: Pieces, table: DataFrame)
 
 
 def fold(chunk: str, pieces: dict[str, tuple[int, float]], longest: int, unknown_score: float) -> list[int]:
-    """The same recurrence in plain Python, for chunks beyond ``WIDE`` signs."""
+    """The same recurrence in plain Python, for chunks beyond ``LONG`` signs."""
     best, back = [0.0] + [float("-inf")] * len(chunk), [(0, 0)] * (len(chunk) + 1)
     for end in range(1, len(chunk) + 1):
         for start in range(max(0, end - longest), end):
@@ -170,87 +170,25 @@ def fold(chunk: str, pieces: dict[str, tuple[int, float]], longest: int, unknown
     return ids[::-1]
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    """Code points of texts of one length, a row each."""
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
-
-
-def _step(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1))
-
-
-class Lattice:
-    """The piece table by length, as sorted hashes, and the best paths of many chunks at a time."""
-
-    def __init__(self, pieces: Pieces):
-        self.table = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores)}
-        self.longest, self.unknown_score = max(map(len, self.table)), pieces.unknown_score
-        self.by_length = {}
-        for size in {len(t) for t in self.table}:
-            texts = [t for t in self.table if len(t) == size]
-            codes, hashes = _codes(texts), np.zeros(len(texts), np.uint64)
-            for i in range(size):
-                hashes = _step(hashes, codes[:, i])
-            order = np.argsort(hashes)
-            ids, scores = (np.array([self.table[t][k] for t in texts])[order] for k in (0, 1))
-            self.by_length[size] = hashes[order], ids.astype(np.int64), scores
-
-    def solve(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk; unknown signs are -1 - code point."""
-        out: list = [None] * len(chunks)
-        by_size: dict[int, list[int]] = {}
-        for i, chunk in enumerate(chunks):
-            if len(chunk) > WIDE:
-                out[i] = np.array(fold(chunk, self.table, self.longest, self.unknown_score), np.int64)
-            else:
-                by_size.setdefault(len(chunk), []).append(i)
-        for size, where in by_size.items():
-            for i, ids in zip(where, self._solve(_codes([chunks[i] for i in where]), size)):
-                out[i] = ids
-        return out
-
-    def _solve(self, codes: np.ndarray, size: int) -> list[np.ndarray]:
-        edges, hashes = {}, np.zeros((len(codes), size), np.uint64)
-        for length in range(1, min(size, self.longest) + 1):
-            hashes = _step(hashes[:, : size - length + 1], codes[:, length - 1 :])
-            found = np.full(hashes.shape, -1 if length > 1 else 0, np.int64)
-            scores = np.full(hashes.shape, -np.inf)
-            if length == 1:
-                found, scores[:] = -1 - codes.astype(np.int64), self.unknown_score
-            if length in self.by_length:
-                keys, ids, known = self.by_length[length]
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                found[hit], scores[hit] = ids[at[hit]], known[at[hit]]
-            edges[length] = found, scores
-        best = np.full((len(codes), size + 1), -np.inf)
-        best[:, 0] = 0
-        start, number = np.zeros(best.shape, np.int64), np.zeros(best.shape, np.int64)
-        for end in range(1, size + 1):
-            # Longer pieces first; they stay on ties.
-            for length in range(min(end, self.longest), 0, -1):
-                found, scores = edges[length]
-                score = best[:, end - length] + scores[:, end - length]
-                better = score > best[:, end]
-                best[better, end], start[better, end] = score[better], end - length
-                number[better, end] = found[better, end - length]
-        rows, at, steps = np.arange(len(codes)), np.full(len(codes), size), []
-        while at.any():
-            steps.append(np.where(at > 0, number[rows, at], 0))
-            steps[-1] = (steps[-1], at > 0)
-            at = np.where(at > 0, start[rows, at], 0)
-        ids = np.stack([i for i, _ in reversed(steps)], axis=1)
-        some = np.stack([s for _, s in reversed(steps)], axis=1)
-        return [i[s] for i, s in zip(ids, some)]
+def solved_chunks(df: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
+    """``(chunk, ids)`` for the different chunks of ``df``, of any length."""
+    texts, longest, unknown = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores)}, max(map(len, pieces.texts)), pieces.unknown_score
+    held = shared(df.sparkSession, texts)
+
+    @F.arrow_udf("array<int>")
+    def folded(long: pa.Array) -> pa.Array:
+        return pa.array([fold(chunk, held(), longest, unknown) for chunk in long.to_pylist()], pa.list_(pa.int32()))
+
+    beyond = df.where(F.char_length("chunk") > LONG).select("chunk", folded("chunk").alias("ids"))
+    return best_paths(df, [], pieces, table).unionByName(beyond)
 
 
 class Dictionary(NamedTuple):
-    """Chunks with their ids after each other, and the lattice for all others."""
+    """Chunks with their ids after each other."""
 
     chunks: pa.Array
     ids: np.ndarray
     offsets: np.ndarray
-    lattice: Lattice
     pieces: Pieces
 
 
@@ -271,10 +209,10 @@ def hot_dictionary(docs: DataFrame, key: str, pieces: Pieces, table: DataFrame,
     got = best_paths(counted.select("chunk"), [], pieces, table).toArrow()
     got = got.combine_chunks()
     if not got.num_rows:
-        return Dictionary(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64), Lattice(pieces), pieces)
+        return Dictionary(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64), pieces)
     ids = pa.concat_arrays(got.column("ids").chunks)
     offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy())))
-    return Dictionary(pa.concat_arrays(got.column("chunk").chunks), ids.flatten().to_numpy().astype(np.int32), offsets, Lattice(pieces), pieces)
+    return Dictionary(pa.concat_arrays(got.column("chunk").chunks), ids.flatten().to_numpy().astype(np.int32), offsets, pieces)
 
 
 def _spread(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -297,19 +235,36 @@ def _spread(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, many
 
 
-def assemble(words: pa.Array, held: Dictionary) -> pa.Array:
-    """Ids of each row from its chunks."""
+def beyond(words: pa.Array, held: Dictionary) -> pa.Array:
+    """The different chunks of each row that the dictionary lacks."""
+    flat, offsets = pa.concat_arrays([words.flatten()]), words.offsets.to_numpy().astype(np.int64)
+    missing = np.nonzero(pc.is_null(pc.index_in(flat, held.chunks)).to_numpy(zero_copy_only=False))[0]
+    wanted = flat.take(pa.array(missing)).dictionary_encode()
+    rows = np.searchsorted(offsets - offsets[0], missing, side="right") - 1
+    many = max(1, len(wanted.dictionary))
+    pairs = np.unique(rows * many + wanted.indices.to_numpy())
+    ends = np.searchsorted(pairs // many, np.arange(len(words) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), wanted.dictionary.take(pa.array(pairs % many)))
+
+
+def assemble(words: pa.Array, held: Dictionary, solved: pa.Array) -> pa.Array:
+    """Ids of each row from its chunks; ``solved`` has ``(chunk, ids)`` of those that the dictionary lacks, by row."""
     flat, offsets = pa.concat_arrays([words.flatten()]), words.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     code = pc.fill_null(pc.index_in(flat, held.chunks), -1).to_numpy().copy()
     ids, starts = held.ids, held.offsets
     missing = np.nonzero(code < 0)[0]
     if len(missing):
-        wanted = flat.take(pa.array(missing)).dictionary_encode()
-        more = held.lattice.solve(wanted.dictionary.to_pylist())
-        code[missing] = len(held.chunks) + wanted.indices.to_numpy()
-        ids = np.concatenate((ids, np.concatenate(more).astype(np.int32)))
-        starts = np.concatenate((starts, starts[-1] + np.cumsum([len(m) for m in more])))
+        known = pa.concat_arrays([solved.flatten()])
+        names, more = known.field("chunk").dictionary_encode(), known.field("ids")
+        # The same chunk of several rows stands there once for each.
+        _, first = np.unique(names.indices.to_numpy(), return_index=True)
+        at, more = pc.index_in(flat.take(pa.array(missing)), names.dictionary), more.take(pa.array(first))
+        if at.null_count:
+            raise ValueError("a chunk is not among the solved ones")
+        code[missing] = len(held.chunks) + at.to_numpy()
+        ids = np.concatenate((ids, more.flatten().to_numpy()))
+        starts = np.concatenate((starts, starts[-1] + np.cumsum(pc.list_value_length(more).to_numpy())))
     # Ids are put together for a bounded number of chunks at a time.
     parts, sizes = [np.zeros(0, np.int32)], np.zeros(len(words), np.int32)
     low = 0
@@ -336,26 +291,40 @@ def encode(
     """Add ``out``: the piece ids of each text; with ``decoded`` also the text read back from the ids, in the same pass."""
     spark = docs.sparkSession
     docs = docs.drop(out, *([decoded] if decoded else []))
-    whole = F.col(text)
-    hot = hot_dictionary(docs.select(F.col(key).alias("key"), whole.alias("text")), "key", pieces, piece_table(spark, pieces), sample_rows, hot_chunks)
+    whole, table = F.col(text), piece_table(spark, pieces)
+    hot = hot_dictionary(docs.select(F.col(key).alias("key"), whole.alias("text")), "key", pieces, table, sample_rows, hot_chunks)
     held, spelt = shared(spark, hot), shared(spark, _spelling(pieces))
 
+    @F.arrow_udf("array<string>")
+    def lacking(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for low, high in text_slices(texts, AT_ONCE * 8):
+                yield beyond(cut_chunks(texts[low:high]), held())
+
+    # Results go back in small batches: a whole one would lie in Python and in the JVM at once.
     @F.arrow_udf("struct<ids:array<int>,text:string>")
-    def assembled(texts: pa.Array) -> pa.Array:
-        ids, read = [], []
-        for low, high in text_slices(texts, AT_ONCE * 8):
-            ids.append(assemble(cut_chunks(texts[low:high]), held()))
-            read += _joined(ids[-1], spelt()) if decoded else [None] * (high - low)
-        ids = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([ids, pa.array(read, pa.string())], ["ids", "text"])
+    def assembled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, solved in batches:
+            for low, high in text_slices(texts, AT_ONCE * 8):
+                ids = assemble(cut_chunks(texts[low:high]), held(), solved[low:high])
+                read = _joined(ids, spelt()) if decoded else [None] * (high - low)
+                yield pa.StructArray.from_arrays([ids, pa.array(read, pa.string())], ["ids", "text"])
+
+    # The chunks of a text go with its hash: two texts of one hash would merely get each other's chunks too.
+    mark, at = ("_" + name + "_" * max(map(len, docs.columns)) for name in ("solved", "text"))
+    pairs = docs.select(F.xxhash64(whole).alias(at), F.explode(lacking.asNondeterministic()(whole)).alias("chunk"))
+    pairs = materialise(pairs, "chunks")
+    solved = pairs.join(solved_chunks(pairs.select("chunk").distinct(), pieces, table), "chunk")
+    solved = solved.groupBy(at).agg(F.collect_set(F.struct("chunk", "ids")).alias(mark))
+    docs = docs.join(solved, F.xxhash64(whole) == F.col(at), "left").drop(at)
 
     # Not to be computed again for every use of its result.
     found = "_done" + "_" * max(map(len, docs.columns))  # no column has this name
-    done = docs.withColumn(found, assembled.asNondeterministic()(whole))
+    done = docs.withColumn(found, assembled.asNondeterministic()(whole, F.col(mark)))
     done = done.withColumn(out, F.col(f"{found}.ids"))
     if decoded:
         done = done.withColumn(decoded, F.col(f"{found}.text"))
-    return done.drop(found)
+    return done.drop(found, mark)
 
 
 def _spelling(pieces: Pieces) -> list[bytes]:

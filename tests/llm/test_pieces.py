@@ -92,3 +92,18 @@ def test_fold_is_the_best_path(model):
 def test_pieces_over_chunks_are_refused(spark, model):
     with pytest.raises(ValueError, match="reach over"):
         pieces.piece_table(spark, model._replace(texts=["ab.c", *model.texts[1:]]))
+
+
+def test_all_chunks_go_through_the_lattice_of_spark(spark, model, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(texts()) if len(t) < 500] + [(1000, "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met, inner = set(), pieces.solved_chunks
+
+    def seen(df, *rest):
+        met.update(r.chunk for r in df.select("chunk").collect())
+        return inner(df, *rest)
+
+    monkeypatch.setattr(pieces, "solved_chunks", seen)
+    assert all(r.text == r.decoded for r in pieces.encode(df, model, decoded="decoded", hot_chunks=5).collect())
+    chunks = {c for _, t in rows for c in pieces.CHUNKS.findall(" " + t)}
+    assert met <= chunks and len(chunks - met) <= 5
