@@ -244,13 +244,15 @@ SELECT doc_id, text, n_chars,
 FROM documents
 """)
 def q_csv_breaks(spark, sf_dir):
-    """Documents with their line breaks as CSV, a file per language, scanned in splits with row ids."""
+    """Documents with their line breaks as CSV, a folder of parts per language, scanned in splits with row ids."""
     path = new_folder(spark, "csv")
-    documents = table(spark, sf_dir, "documents").data().select("doc_id", "text", "n_chars", "lang")
-    by_file = documents.repartition("lang").sortWithinPartitions("lang", "doc_id")
+    documents = table(spark, sf_dir, "documents").df.select("doc_id", "text", "n_chars", "lang", "__prov_documents")
+    # Ranges, so that no task holds a language; parts are named in their order. Repeated or null ids spread by their place.
+    order = ["lang", "doc_id", "__prov_documents"]
+    by_part = documents.repartitionByRange(*order).sortWithinPartitions(*order).drop("__prov_documents")
     options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    by_file.write.partitionBy("lang").options(**options).csv(path)
-    scanned = read_csv(spark, path, "doc_id long, text string, n_chars long", alias="documents", na_values=())
+    by_part.write.partitionBy("lang").options(**options).csv(path)
+    scanned = read_csv(spark, path, "doc_id long, text string, n_chars long", alias="documents", na_values=(), parts=True)
     return visible(scanned)
 
 

@@ -262,8 +262,15 @@ def _line_states(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays(arrays, ["plain", "quoted"])
 
 
-def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str) -> tuple[DataFrame, str, list[str]]:
-    """``(__record, __path, __position)`` of all records of delimited text, and the folder that holds its lines."""
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str, one_file: bool = False) -> tuple[DataFrame, str, list[str]]:
+    """``(__record, __path, __position)`` of all records of delimited text, and the folder that holds its lines.
+
+    With ``one_file``, the files of a folder are one: the path is the folder's, and positions run on through its files.
+    """
     raw = spark.read.text(path, lineSep="\n")
     file, start, line = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col("value")
     lines = raw.select(
@@ -294,8 +301,9 @@ def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str)
     splits = splits.withColumns({"__in": state(before), "__out": state(by_file.rowsBetween(Window.unboundedPreceding, 0))})
     held = F.when(F.col("__in"), F.col("__end.quoted")).otherwise(F.col("__end.plain"))
     splits = splits.withColumns({"__open": F.when(held.record >= 0, held.record), "__n": held["count"]})
+    ahead = Window.partitionBy(_folder(F.col("__path"))).orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1) if one_file else before
     splits = splits.withColumns({
-        "__open": F.last("__open", ignorenulls=True).over(before), "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+        "__open": F.last("__open", ignorenulls=True).over(before), "__before": F.coalesce(F.sum("__n").over(ahead), F.lit(0)),
         "__same": F.count("*").over(Window.partitionBy("__split")), "__last": F.lead("__start").over(by_file).isNull(),
         "__several": F.col("__in") | F.when(F.col("__in"), F.col("__open_quoted")).otherwise(F.col("__open_plain")),
     })
@@ -323,7 +331,10 @@ def _records(spark: SparkSession, path: str, sep: str, header: bool, alias: str)
     records = records.withColumn("__record", F.regexp_replace("__record", r"\r\z", ""))
     if header:
         records = records.where("__position > 0").withColumn("__position", F.col("__position") - 1)
-    return records, folder, raw.inputFiles()
+    files = raw.inputFiles()
+    if one_file:
+        records, files = records.withColumn("__path", _folder(F.col("__path"))), [f.rsplit("/", 1)[0] for f in files]
+    return records, folder, files
 
 
 def read_csv(
@@ -335,6 +346,7 @@ def read_csv(
     na_values=NA_VALUES,
     alias: str | None = None,
     land: str | None = None,
+    parts: bool = False,
 ) -> TrackedFrame:
     """Tracked scan of a delimited file.
 
@@ -344,14 +356,18 @@ def read_csv(
     null. Records end at a line break that is not inside quotes; quotes inside a field are doubled, and
     a file that ends inside quotes raises. Blank lines between records are no records.
     ``land`` is the folder for the Parquet copy (default: the shared folder).
+    With ``parts``, the files of a folder are one source file in parts, in the order of their names, as
+    Spark writes them: they share an ordinal, and positions run on. Parts have no header.
     """
+    if parts and header:
+        raise ValueError("parts have no header")
     alias = alias or source_name(path)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if isinstance(schema, list):
         schema = T.StructType([T.StructField(name, T.StringType()) for name in schema])
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*schema.fieldNames(), EXTRA]])
-    records, folder, files = _records(spark, path, sep, header, alias)
+    records, folder, files = _records(spark, path, sep, header, alias, parts)
     options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "maxCharsPerColumn": "-1"}
     fields = F.from_csv("__record", as_text.simpleString()[len("struct<"):-1].replace(":", " "), options)
     values = []

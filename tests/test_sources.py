@@ -242,3 +242,32 @@ def test_synthetic_tables_do_not_depend_on_the_layout(spark):
     assert facts[0] == facts[1] == 30000
     assert facts[2] >= "2022-08-01" and facts[3] <= "2024-06-15"
     assert 0.38 < facts[4] < 0.42 and facts[5] > 0
+
+
+def test_parts_of_a_folder_are_one_file(spark, tmp_path):
+    for folder, files in (("a", ('1,"x\ny"\n2,z\n', "3,u\n")), ("b", ("4,v\n", '5,"\n"\n'))):
+        (tmp_path / folder).mkdir()
+        for i, text in enumerate(files):
+            (tmp_path / folder / f"part-{i}.csv").write_text(text)
+    scanned = read_csv(spark, f"{tmp_path}/*", "n long, t string", alias="s", na_values=(), parts=True)
+    found = {r["n"]: (r["__prov_s"], r["t"]) for r in scanned.df.collect()}
+    assert found == {1: (0, "x\ny"), 2: (1, "z"), 3: (2, "u"), 4: (1 << 40, "v"), 5: ((1 << 40) + 1, "\n")}
+    with pytest.raises(ValueError, match="header"):
+        read_csv(spark, str(tmp_path), ["n", "t"], header=True, parts=True)
+
+
+def test_csv_of_a_language_is_written_by_several_tasks(spark, tmp_path):
+    from provspark.plans import suite
+
+    rows = [(i, f"{i}:" + "ab\nc " * 2000, ["de", "en"][i % 2], 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suite, "new_folder", lambda s, kind: made.append(f"{tmp_path}/csv") or made[-1])
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        try:
+            done = suite.q_csv_breaks(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len([f for f in os.listdir(f"{made[0]}/lang=de") if f.endswith(".csv")]) > 1
+    assert {r.doc_id: r.prov_documents for r in done} == {i: ((i % 2) << 40) + i // 2 for i in range(400)}
