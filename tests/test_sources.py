@@ -259,15 +259,15 @@ def test_parts_of_a_folder_are_one_file(spark, tmp_path):
 def test_csv_of_a_language_is_written_by_several_tasks(spark, tmp_path):
     from provspark.plans import suite
 
-    rows = [(i, f"{i}:" + "ab\nc " * 2000, ["de", "en"][i % 2], 1) for i in range(400)]
+    rows = [(i, f"{i}:" + "ab\nc " * 20, ["de", "en"][i % 2], 1) for i in range(400)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     made = []
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(suite, "new_folder", lambda s, kind: made.append(f"{tmp_path}/csv") or made[-1])
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         try:
             done = suite.q_csv_breaks(spark, str(tmp_path)).collect()
         finally:
-            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len([f for f in os.listdir(f"{made[0]}/lang=de") if f.endswith(".csv")]) > 1
     assert {r.doc_id: r.prov_documents for r in done} == {i: ((i % 2) << 40) + i // 2 for i in range(400)}
