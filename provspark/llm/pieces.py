@@ -11,9 +11,10 @@ scores in the file, so that the ids are the best path of these scores, not the o
 are in double precision (the public library adds in single, which rounds the large scores of some files).
 
 All different chunks of all texts are solved that way, once each. Those most frequent in a sample,
-``HOT_CHUNKS`` at most, become a dictionary of bounded size that every task holds; the others go back to
-their texts by joins, on the chunk and then on the hash of the text. So the results do not depend on the
-dictionary, which only spares most chunks the way through the joins.
+``HOT_CHUNKS`` at most, become a dictionary of bounded size that every task holds. The texts are dealt by a
+hash into parts of about ``PART_BYTES``; the other chunks go to the lattice once per part, and back to the
+parts that have them, where each part meets its texts by a cogroup. So the results do not depend on the
+dictionary, which only spares most chunks the way through the shuffles.
 
 Decoding joins the pieces and bytes and takes the leading space away: every text comes back, also
 with runs of spaces, control signs or U+2581, which is treated as a sign without a piece.
@@ -36,17 +37,20 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provspark.llm.common import bounded_sample, shared, text_slices
-from provspark.operators.storage import materialise
+from provspark.operators.storage import materialise, setting
 
 CHUNK = r" *[\p{L}\p{M}]+|\p{Nd}| *[^\p{L}\p{M}\p{Nd} ]+| +"
-CHUNKS = regex.compile(CHUNK)
+CHUNKS, WORDS = regex.compile(CHUNK), regex.compile(" +[^ ]*")
 HOT_CHUNKS, SAMPLE_ROWS = 1 << 18, 10_000
 LONG = 256
+PART_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
+# So many chunks a task groups in memory before it sorts, and so many bytes of text go to one such task.
+GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 8 << 20
 MOST_PIECES = 1 << 20
 UNKNOWN_COST = 10.0
-AT_ONCE = 100_000
 
 
 class Pieces(NamedTuple):
@@ -92,63 +96,82 @@ def chunks(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(CHUNK), F.lit(0)))
 
 
-def cut_chunks(texts: pa.Array) -> pa.Array:
-    """The same inside a task, a list per text: only texts, not their chunks, go to Python."""
-    flat, ends = [], [0]
-    for text in texts.to_pylist():
-        if text:
-            flat += CHUNKS.findall(" " + text)
-        ends.append(len(flat))
-    mask = pc.is_null(texts) if texts.null_count else None
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()), mask=mask)
+class Cut(NamedTuple):
+    """Texts as words (spaces with what follows up to the next space) and the chunks of the different words.
 
+    No chunk reaches over a word's end. ``words`` are indexes into the different ones, ``ends`` where each
+    text's words begin and end; ``chunks`` of all different words after each other, by ``starts``.
+    """
 
-def best_paths(df: DataFrame, keys: list[str], pieces: Pieces, table: DataFrame) -> DataFrame:
-    """``(*keys, chunk, ids)`` for the rows ``(*keys, chunk)`` of ``df``: the lattice of every chunk and its best path.
-
-    Unknown signs are edges too, with the id -1 - code point.
+    words: np.ndarray
+    ends: np.ndarray
+    chunks: pa.Array
+    starts: np.ndarray
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] .. starts[i] + lengths[i] - 1`` for all ``i``, after each other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
+def cut(texts: pa.Array) -> Cut:
+    """The same as ``chunks`` inside a task: only texts, not their chunks, go to Python."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "")])
+    # Where each space stands alone between two words a split is enough.
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    lists = pc.split_pattern(pc.if_else(pc.or_(odd, pc.equal(texts, "")), None, texts), " ")
+    plain, others = lists.flatten().dictionary_encode(), []
+    starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0]:
+        found = WORDS.findall(" " + texts[int(i)].as_py())
+        starts[i], lengths[i] = len(plain) + len(others), len(found)
+        others += found
+    more = pa.array(others, pa.string()).dictionary_encode()
+    different = [" " + w for w in plain.dictionary.to_pylist()] + more.dictionary.to_pylist()
+    codes = np.concatenate((plain.indices.to_numpy(), more.indices.to_numpy() + len(plain.dictionary)))
+    # A digit is a chunk of its own, so one after each word keeps the words apart.
+    found = pa.array(CHUNKS.findall("0".join([*different, ""])), pa.string())
+    at = np.cumsum(pc.utf8_length(found).to_numpy())
+    after = np.searchsorted(at, np.cumsum(np.array([len(w) + 1 for w in different], np.int64)))
+    kept = np.ones(len(found), bool)
+    kept[after] = False
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return Cut(codes[_runs(starts, lengths)], ends, found.filter(pa.array(kept)), np.concatenate(([0], after - np.arange(len(after)))))
+
+
+def best_paths(df: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
+    """``df`` with ``ids`` for its different ``chunk``: the lattice of every chunk and its best path.
+
+    Unknown signs are edges too, with the id -1 - code point. A chunk beyond ``LONG`` signs has no edges but one
+    to keep its row, and no ids. Other columns go along with the first edge only.
     """
-    longest = max(map(len, pieces.texts))
+    longest, others = max(map(len, pieces.texts)), [c for c in df.columns if c != "chunk"]
     n = F.char_length("chunk")
-    starts = df.where(n <= LONG).select(*keys, "chunk", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.char_length("chunk")))
-    parts = starts.select(*keys, "chunk", "start", F.explode(ends).alias("end"))
+    ends = df.select("*", F.explode(F.when(n <= LONG, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))).alias("end"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("end") - longest), F.col("end") - 1)
+    parts = ends.select(*df.columns, "end", F.explode(starts).alias("start"))
     parts = parts.withColumn("piece", F.substring("chunk", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or end = start + 1")
     code = F.when(F.col("id").isNull(), -1 - F.conv(F.right(F.hex(F.encode("piece", "UTF-32")), F.lit(8)), 16, 10).cast("int"))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", code).alias("id"))
-    grouped = edges.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-    # done: best score and last edge of each position passed; now: the best edge so far into position at.
-    node = "struct<score:double,start:int,id:int>"
-    none = F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(node)
-    first = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(node)
-    zero = F.struct(F.array().cast(f"array<{node}>").alias("done"), first.alias("now"), F.lit(0).alias("at"))
-
-    def step(state: Column, e: Column) -> Column:
-        moved = e.end > state.at
-        done = F.when(moved, F.concat(state.done, F.array(state.now))).otherwise(state.done)
-        score = F.get(done, e.start).score + e.score
-        here = F.when(moved, none).otherwise(state.now)
-        # Edges come by end, then start: the longer piece is first and stays on ties.
-        now = F.when(score > here.score, F.struct(score.alias("score"), e.start.alias("start"), e.id.alias("id"))).otherwise(here)
-        return F.struct(done.alias("done"), now.cast(node).alias("now"), e.end.alias("at"))
-
-    nodes = F.aggregate("edges", zero, step, lambda s: F.concat(s.done, F.array(s.now)))
-    solved = grouped.select(*keys, "chunk", nodes.alias("nodes"))
-
-    # Walk back from the end, from one start to the next.
-    walk = F.aggregate(
-        F.reverse("nodes"),
-        F.struct(F.array().cast("array<int>").alias("ids"), (F.size("nodes") - 1).alias("at"), (F.size("nodes") - 1).alias("wanted")),
-        lambda s, x: F.struct(
-            F.when((s.at == s.wanted) & (s.at > 0), F.concat(F.array(x.id), s.ids)).otherwise(s.ids).alias("ids"),
-            (s.at - 1).alias("at"),
-            F.when((s.at == s.wanted) & (s.at > 0), x.start).otherwise(s.wanted).alias("wanted"),
-        ),
-        lambda s: s.ids,
-    )
-    return solved.select(*keys, "chunk", walk.alias("ids"))
+    along = [F.first(F.when(F.col("end") == 1, F.col(c)), ignorenulls=True).alias(c) for c in others]
+    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *along)
+
+    # The best path into each position so far. Edges come by end, then start: the longer piece is first and stays on ties.
+    nodes = "array<struct<score:double,ids:array<int>>>"
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(nodes)
+
+    def step(best: Column, e: Column) -> Column:
+        origin = F.get(best, e.start)
+        score = origin.score + e.score
+        node = F.array(F.struct(score.alias("score"), F.concat(origin.ids, F.array(e.id)).alias("ids")))
+        better = F.when(score > F.element_at(best, -1).score, F.concat(F.slice(best, F.lit(1), e.end), node)).otherwise(best)
+        return F.when(F.size(best) == e.end, F.concat(best, node)).otherwise(better)
+
+    path = F.aggregate("edges", first, step, lambda best: F.element_at(best, -1).ids)
+    return grouped.select("chunk", *others, F.when(n <= LONG, path).alias("ids"))
 
 
 def fold(chunk: str, pieces: dict[str, tuple[int, float]], longest: int, unknown_score: float) -> list[int]:
@@ -171,16 +194,17 @@ def fold(chunk: str, pieces: dict[str, tuple[int, float]], longest: int, unknown
 
 
 def solved_chunks(df: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
-    """``(chunk, ids)`` for the different chunks of ``df``, of any length."""
+    """``df`` with ``ids`` for its different ``chunk``, of any length."""
     texts, longest, unknown = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores)}, max(map(len, pieces.texts)), pieces.unknown_score
     held = shared(df.sparkSession, texts)
 
     @F.arrow_udf("array<int>")
     def folded(long: pa.Array) -> pa.Array:
-        return pa.array([fold(chunk, held(), longest, unknown) for chunk in long.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([c if c is None else fold(c, held(), longest, unknown) for c in long.to_pylist()], pa.list_(pa.int32()))
 
-    beyond = df.where(F.char_length("chunk") > LONG).select("chunk", folded("chunk").alias("ids"))
-    return best_paths(df, [], pieces, table).unionByName(beyond)
+    solved = best_paths(df, pieces, table)
+    long = F.when(F.char_length("chunk") > LONG, F.col("chunk"))
+    return solved.withColumn("ids", F.coalesce("ids", folded(long)))
 
 
 class Dictionary(NamedTuple):
@@ -206,7 +230,7 @@ def hot_dictionary(docs: DataFrame, key: str, pieces: Pieces, table: DataFrame,
                 break
             there, least = there - r.m, r.n + 1
         counted = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "chunk").limit(most)
-    got = best_paths(counted.select("chunk"), [], pieces, table).toArrow()
+    got = best_paths(counted.select("chunk"), pieces, table).toArrow()
     got = got.combine_chunks()
     if not got.num_rows:
         return Dictionary(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64), pieces)
@@ -235,53 +259,41 @@ def _spread(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, many
 
 
-def beyond(words: pa.Array, held: Dictionary) -> pa.Array:
-    """The different chunks of each row that the dictionary lacks."""
-    flat, offsets = pa.concat_arrays([words.flatten()]), words.offsets.to_numpy().astype(np.int64)
-    missing = np.nonzero(pc.is_null(pc.index_in(flat, held.chunks)).to_numpy(zero_copy_only=False))[0]
-    wanted = flat.take(pa.array(missing)).dictionary_encode()
-    rows = np.searchsorted(offsets - offsets[0], missing, side="right") - 1
-    many = max(1, len(wanted.dictionary))
-    pairs = np.unique(rows * many + wanted.indices.to_numpy())
-    ends = np.searchsorted(pairs // many, np.arange(len(words) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), wanted.dictionary.take(pa.array(pairs % many)))
-
-
-def assemble(words: pa.Array, held: Dictionary, solved: pa.Array) -> pa.Array:
-    """Ids of each row from its chunks; ``solved`` has ``(chunk, ids)`` of those that the dictionary lacks, by row."""
-    flat, offsets = pa.concat_arrays([words.flatten()]), words.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    code = pc.fill_null(pc.index_in(flat, held.chunks), -1).to_numpy().copy()
-    ids, starts = held.ids, held.offsets
+def beyond(texts: pa.Array, held: Dictionary) -> pa.Array:
+    """The different chunks of each text that the dictionary lacks."""
+    there = cut(texts)
+    lacks = pc.is_null(pc.index_in(there.chunks, held.chunks)).to_numpy(zero_copy_only=False)
+    wanted = there.chunks.filter(pa.array(lacks)).dictionary_encode()
+    # Where the lacking chunks of each word begin, then all pairs of a text and a chunk.
+    before = np.concatenate(([0], np.cumsum(lacks)))[there.starts]
+    many = np.diff(before)[there.words]
+    rows = np.repeat(np.arange(len(texts)), np.diff(there.ends))
+    size = max(1, len(wanted.dictionary))
+    pairs = np.unique(np.repeat(rows, many) * size + wanted.indices.to_numpy()[_runs(before[there.words], many)])
+    ends = np.searchsorted(pairs // size, np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), wanted.dictionary.take(pa.array(pairs % size)))
+
+
+def assemble(texts: pa.Array, held: Dictionary, names: pa.Array, more: pa.Array) -> pa.Array:
+    """Ids of each text from its chunks; ``names`` and ``more`` are the chunks that the dictionary lacks and their ids."""
+    there = cut(texts)
+    code = pc.fill_null(pc.index_in(there.chunks, held.chunks), -1).to_numpy().astype(np.int64)
     missing = np.nonzero(code < 0)[0]
-    if len(missing):
-        known = pa.concat_arrays([solved.flatten()])
-        names, more = known.field("chunk").dictionary_encode(), known.field("ids")
-        # The same chunk of several rows stands there once for each.
-        _, first = np.unique(names.indices.to_numpy(), return_index=True)
-        at, more = pc.index_in(flat.take(pa.array(missing)), names.dictionary), more.take(pa.array(first))
-        if at.null_count:
-            raise ValueError("a chunk is not among the solved ones")
-        code[missing] = len(held.chunks) + at.to_numpy()
-        ids = np.concatenate((ids, more.flatten().to_numpy()))
-        starts = np.concatenate((starts, starts[-1] + np.cumsum(pc.list_value_length(more).to_numpy())))
-    # Ids are put together for a bounded number of chunks at a time.
-    parts, sizes = [np.zeros(0, np.int32)], np.zeros(len(words), np.int32)
-    low = 0
-    while low < len(words):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + AT_ONCE, side="right")) - 1)
-        part = code[offsets[low] : offsets[high]]
-        lengths = starts[part + 1] - starts[part]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        place = np.repeat(starts[part] - before[:-1], lengths) + np.arange(before[-1])
-        out, many = _spread(ids[place], held.pieces)
-        ends = np.concatenate(([0], np.cumsum(many)))[before[offsets[low : high + 1] - offsets[low]]]
-        sizes[low:high] = np.diff(ends)
-        parts.append(out)
-        low = high
-    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    missing_text = pc.is_null(words).to_numpy(zero_copy_only=False)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)), mask=pa.array(missing_text))
+    at = pc.index_in(there.chunks.take(pa.array(missing)), names)
+    if at.null_count:
+        raise ValueError("a chunk is not among the solved ones")
+    code[missing] = len(held.chunks) + at.to_numpy()
+    ids = np.concatenate((held.ids, more.flatten().to_numpy().astype(np.int32)))
+    starts = np.concatenate((held.offsets, held.offsets[-1] + np.cumsum(pc.list_value_length(more).to_numpy())))
+    # The ids of every different word, then those of the texts.
+    lengths = starts[code + 1] - starts[code]
+    out, many = _spread(ids[_runs(starts[code], lengths)], held.pieces)
+    spread = np.concatenate(([0], np.cumsum(many)))
+    words = spread[np.concatenate(([0], np.cumsum(lengths)))[there.starts]]
+    lengths = np.diff(words)[there.words]
+    ends = np.concatenate(([0], np.cumsum(lengths)))[there.ends].astype(np.int32)
+    missing_text = pc.is_null(texts).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[_runs(words[there.words], lengths)]), mask=pa.array(missing_text))
 
 
 def encode(
@@ -298,33 +310,41 @@ def encode(
     @F.arrow_udf("array<string>")
     def lacking(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            for low, high in text_slices(texts, AT_ONCE * 8):
-                yield beyond(cut_chunks(texts[low:high]), held())
-
-    # Results go back in small batches: a whole one would lie in Python and in the JVM at once.
-    @F.arrow_udf("struct<ids:array<int>,text:string>")
-    def assembled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, solved in batches:
-            for low, high in text_slices(texts, AT_ONCE * 8):
-                ids = assemble(cut_chunks(texts[low:high]), held(), solved[low:high])
-                read = _joined(ids, spelt()) if decoded else [None] * (high - low)
-                yield pa.StructArray.from_arrays([ids, pa.array(read, pa.string())], ["ids", "text"])
-
-    # The chunks of a text go with its hash: two texts of one hash would merely get each other's chunks too.
-    mark, at = ("_" + name + "_" * max(map(len, docs.columns)) for name in ("solved", "text"))
-    pairs = docs.select(F.xxhash64(whole).alias(at), F.explode(lacking.asNondeterministic()(whole)).alias("chunk"))
-    pairs = materialise(pairs, "chunks")
-    solved = pairs.join(solved_chunks(pairs.select("chunk").distinct(), pieces, table), "chunk")
-    solved = solved.groupBy(at).agg(F.collect_set(F.struct("chunk", "ids")).alias(mark))
-    docs = docs.join(solved, F.xxhash64(whole) == F.col(at), "left").drop(at)
-
-    # Not to be computed again for every use of its result.
-    found = "_done" + "_" * max(map(len, docs.columns))  # no column has this name
-    done = docs.withColumn(found, assembled.asNondeterministic()(whole, F.col(mark)))
-    done = done.withColumn(out, F.col(f"{found}.ids"))
+            for low, high in text_slices(texts, SLICE_BYTES):
+                yield beyond(texts[low:high], held())
+
+    # Copies of a text are dealt by their key, so that no part grows with them.
+    part = "_part" + "_" * max(map(len, docs.columns))  # no column has this name
+    size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(key, whole), F.lit(size // PART_BYTES + 1)).cast("int"))
+    pairs = dealt.select(F.col(part).alias("part"), F.explode(lacking.asNondeterministic()(whole)).alias("chunk"))
+    pairs = pairs.repartition(size // TASK_BYTES + 1, "chunk")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_CHUNKS)):
+        wanted = pairs.groupBy("chunk").agg(F.collect_set("part").alias("parts"))
+        solved = materialise(solved_chunks(wanted, pieces, table), "solved")
+    solved = solved.select(F.explode("parts").alias(part), "chunk", "ids")
+
+    fields = [f for f in dealt.schema.fields if f.name != part]
+    fields.append(T.StructField(out, T.ArrayType(T.IntegerType())))
     if decoded:
-        done = done.withColumn(decoded, F.col(f"{found}.text"))
-    return done.drop(found, mark)
+        fields.append(T.StructField(decoded, T.StringType()))
+
+    def assembled(rows: pa.Table, known: pa.Table) -> pa.Table:
+        known, rows = known.combine_chunks(), rows.drop_columns([part])
+        names, more = (_array(known.column(c)) for c in ("chunk", "ids"))
+        texts, done, read = _array(rows.column(text)), [], []
+        for low, high in text_slices(texts, SLICE_BYTES):
+            done.append(assemble(texts[low:high], held(), names, more))
+            if decoded:
+                read.append(pa.array(_joined(done[-1], spelt()), pa.string()))
+        rows = rows.append_column(out, pa.chunked_array(done, pa.list_(pa.int32())))
+        return rows.append_column(decoded, pa.chunked_array(read, pa.string())) if decoded else rows
+
+    return dealt.groupBy(part).cogroup(solved.groupBy(part)).applyInArrow(assembled, T.StructType(fields))
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _spelling(pieces: Pieces) -> list[bytes]:

@@ -66,6 +66,17 @@ def materialise(df: DataFrame, kind: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """One of Spark's settings, for the jobs that run in this block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a stored folder, in whatever store it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -107,3 +107,34 @@ def test_all_chunks_go_through_the_lattice_of_spark(spark, model, monkeypatch):
     assert all(r.text == r.decoded for r in pieces.encode(df, model, decoded="decoded", hot_chunks=5).collect())
     chunks = {c for _, t in rows for c in pieces.CHUNKS.findall(" " + t)}
     assert met <= chunks and len(chunks - met) <= 5
+
+
+def test_chunks_go_back_once_for_each_part(spark, model, monkeypatch):
+    rows = [(i, f"zqvorl {t}") for i, t in enumerate(texts()) if len(t) < 500] + [(1000 + i, "a copy xwjq") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met, inner = [], pieces.solved_chunks
+
+    def seen(df, *rest):
+        met.extend(df.select("chunk", "parts").collect())
+        return inner(df, *rest)
+
+    monkeypatch.setattr(pieces, "solved_chunks", seen)
+    monkeypatch.setattr(pieces, "PART_BYTES", 3000)
+    done = pieces.encode(df, model, decoded="decoded", hot_chunks=0).collect()
+    assert sorted((r.doc_id, r.decoded) for r in done) == rows and all(r.text == r.decoded for r in done)
+    parts = sum(len(t.encode()) for _, t in rows) // 3000 + 1
+    assert 3 < parts < 100 and len({r.chunk for r in met}) == len(met)
+    found = {r.chunk: r.parts for r in met}
+    # Texts of one word lie in all parts; copies of a text do not make a part grow.
+    assert sorted(found[" zqvorl"]) == sorted(found[" xwjq"]) == list(range(parts))
+
+
+def test_cut_is_the_same_as_the_pattern():
+    draw = random.Random(4)
+    parts = ["the", " ", "  ", "\n", "é", "12", "0", "²", "😀", "#", "\t", "漢字", "."]
+    for n in (0, 1, 30):
+        rows = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 9))) for _ in range(n)] + [None, "", " ", "a ", "  5"]
+        there = pieces.cut(pieces.pa.array(rows, pieces.pa.string()))
+        for text, low, high in zip(rows, there.ends[:-1], there.ends[1:]):
+            found = [c for w in there.words[low:high] for c in there.chunks.to_pylist()[there.starts[w] : there.starts[w + 1]]]
+            assert found == (pieces.CHUNKS.findall(" " + text) if text else [])
