@@ -2,10 +2,11 @@
 
 A text gets one leading space and is cut into chunks (letters with their leading spaces, single
 digits, other signs, spaces). The cuts are safe if no piece reaches over one, which is checked
-against the piece table. For a chunk, all substrings of bounded length are exploded and joined with
-the piece table by equality; the hits are edges of the chunk's lattice, grouped by chunk and folded
-by a Spark ``aggregate`` into the best path (Viterbi): the highest sum of scores, the longer last
-piece on ties. A sign without a piece of its own costs ten more than the worst piece and becomes its
+against the piece table. For a chunk, all substrings of up to ``KEY`` signs are exploded and joined with
+the piece table by equality (longer pieces by their first signs, then compared whole); the hits are edges of
+the chunk's lattice, grouped by chunk and folded by a Spark ``aggregate`` into the best path (Viterbi): the
+highest sum of scores, the longer last piece on ties. Pieces that shorter ones together beat are on no best
+path and left out of the table. A sign without a piece of its own costs ten more than the worst piece and becomes its
 UTF-8 bytes. This is what a unigram model computes; pieces of a merge-based file are used with the
 scores in the file, so that the ids are the best path of these scores, not the order of merges. Sums
 are in double precision (the public library adds in single, which rounds the large scores of some files).
@@ -14,7 +15,8 @@ All different chunks of all texts are solved that way, once each. Those most fre
 ``HOT_CHUNKS`` at most, become a dictionary of bounded size that every task holds. The texts are dealt by a
 hash into parts of about ``PART_BYTES``; the other chunks go to the lattice once per part, and back to the
 parts that have them, where each part meets its texts by a cogroup. So the results do not depend on the
-dictionary, which only spares most chunks the way through the shuffles.
+dictionary, which only spares most chunks the way through the shuffles. Texts travel compressed, chunks come
+back as their ids alone (which spell the chunk), and the shuffles before the lattice are removed after it.
 
 Decoding joins the pieces and bytes and takes the leading space away: every text comes back, also
 with runs of spaces, control signs or U+2581, which is treated as a sign without a piece.
@@ -28,6 +30,7 @@ the outputs, which are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,11 +42,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provspark.llm.common import bounded_sample, shared, text_slices
+from provspark.llm.common import bounded_sample, give_back, shared, text_slices
 from provspark.operators.storage import materialise, setting
 
 CHUNK = r" *[\p{L}\p{M}]+|\p{Nd}| *[^\p{L}\p{M}\p{Nd} ]+| +"
 CHUNKS, WORDS = regex.compile(CHUNK), regex.compile(" +[^ ]*")
+OTHER, LETTER, DIGIT, SPACE = range(4)
+KEY = 3
 HOT_CHUNKS, SAMPLE_ROWS = 1 << 18, 10_000
 LONG = 256
 PART_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
@@ -51,6 +56,8 @@ PART_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
 GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 8 << 20
 MOST_PIECES = 1 << 20
 UNKNOWN_COST = 10.0
+# Ids below this are written as three bytes; unknown signs have ids down to -0x110000.
+LEAST_ID = -0x110000
 
 
 class Pieces(NamedTuple):
@@ -81,14 +88,30 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(texts, plain, scores, byte_ids, model.unk_id(), min(scores) - UNKNOWN_COST)
 
 
+def unbeaten(pieces: Pieces) -> list[bool]:
+    """Which pieces may be on a best path: all but those whose signs, as shorter pieces, have a higher sum of scores."""
+    table = {t: (i, s) for t, i, s in zip(pieces.texts, pieces.ids, pieces.scores)}
+    # Sums of whole numbers are exact; of others only what no rounding explains counts as higher.
+    margin = 0.0 if all(float(s).is_integer() for s in pieces.scores) else 1e-9 * max(map(abs, pieces.scores))
+    least = []
+    for text, score in zip(pieces.texts, pieces.scores):
+        best = [0.0] + [float("-inf")] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(end == len(text), end):
+                single = pieces.unknown_score if end - start == 1 else float("-inf")
+                best[end] = max(best[end], best[start] + table.get(text[start:end], (0, single))[1])
+        least.append(best[-1] <= score + margin)
+    return [len(t) == 1 or kept for t, kept in zip(pieces.texts, least)]
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """The table ``(piece, id, score)``; its size is bounded by ``MOST_PIECES``."""
-    table = pa.table({"piece": pieces.texts, "id": pa.array(pieces.ids, pa.int32()), "score": pieces.scores})
+    """The table ``(piece, id, score)`` of the pieces that may be on a best path; its size is bounded by ``MOST_PIECES``."""
+    table = pa.table({"piece": pieces.texts, "id": pa.array(pieces.ids, pa.int32()), "score": pieces.scores, "kept": unbeaten(pieces)})
     df = spark.createDataFrame(table)
     cut = df.where(F.size(F.regexp_extract_all("piece", F.lit(CHUNK), F.lit(0))) != 1)
     if not cut.isEmpty():
         raise ValueError(f"pieces reach over chunks: {[r.piece for r in cut.take(5)]}")
-    return df
+    return df.where("kept").drop("kept")
 
 
 def chunks(text: Column) -> Column:
@@ -115,6 +138,16 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every sign, as ``CHUNK`` has them."""
+    kinds, signs = np.full(0x110000, OTHER, np.uint8), "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((LETTER, r"[\p{L}\p{M}]+"), (DIGIT, r"\p{Nd}+"), (SPACE, " ")):
+        for found in regex.finditer(pattern, signs):
+            kinds[found.start() : found.end()] = kind
+    return kinds
+
+
 def cut(texts: pa.Array) -> Cut:
     """The same as ``chunks`` inside a task: only texts, not their chunks, go to Python."""
     texts = pa.concat_arrays([pc.fill_null(texts, "")])
@@ -129,16 +162,24 @@ def cut(texts: pa.Array) -> Cut:
         starts[i], lengths[i] = len(plain) + len(others), len(found)
         others += found
     more = pa.array(others, pa.string()).dictionary_encode()
-    different = [" " + w for w in plain.dictionary.to_pylist()] + more.dictionary.to_pylist()
     codes = np.concatenate((plain.indices.to_numpy(), more.indices.to_numpy() + len(plain.dictionary)))
-    # A digit is a chunk of its own, so one after each word keeps the words apart.
-    found = pa.array(CHUNKS.findall("0".join([*different, ""])), pa.string())
-    at = np.cumsum(pc.utf8_length(found).to_numpy())
-    after = np.searchsorted(at, np.cumsum(np.array([len(w) + 1 for w in different], np.int64)))
-    kept = np.ones(len(found), bool)
-    kept[after] = False
     ends = np.concatenate(([0], np.cumsum(lengths)))
-    return Cut(codes[_runs(starts, lengths)], ends, found.filter(pa.array(kept)), np.concatenate(([0], after - np.arange(len(after)))))
+    if not len(codes):
+        return Cut(codes, ends, pa.array([], pa.string()), np.zeros(1, np.int64))
+    spaced = pc.binary_join_element_wise("", plain.dictionary, " ")
+    different = pa.concat_arrays([spaced.cast(pa.string()), more.dictionary, pa.array([""])])
+    _, places, data = different.buffers()
+    places = np.frombuffer(places, np.int32)[: len(different)]
+    signs = np.frombuffer(data, np.uint8)[: places[-1]]
+    kinds = _kinds()[np.frombuffer(signs.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    signs = np.nonzero((signs & 0xC0) != 0x80)[0]
+    # A chunk begins with each word, at a digit, and where the kind changes, unless from spaces to what they lead.
+    first, before, here = np.zeros(len(signs), bool), kinds[:-1], kinds[1:]
+    first[1:] = (here == DIGIT) | ((here != before) & (before != SPACE))
+    first[np.searchsorted(signs, places[:-1])] = True
+    begin = signs[first]
+    found = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, places[-1]).astype(np.int32)), data)
+    return Cut(codes[_runs(starts, lengths)], ends, found, np.searchsorted(begin, places))
 
 
 def best_paths(df: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
@@ -147,14 +188,15 @@ def best_paths(df: DataFrame, pieces: Pieces, table: DataFrame) -> DataFrame:
     Unknown signs are edges too, with the id -1 - code point. A chunk beyond ``LONG`` signs has no edges but one
     to keep its row, and no ids. Other columns go along with the first edge only.
     """
-    longest, others = max(map(len, pieces.texts)), [c for c in df.columns if c != "chunk"]
-    n = F.char_length("chunk")
-    ends = df.select("*", F.explode(F.when(n <= LONG, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))).alias("end"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("end") - longest), F.col("end") - 1)
-    parts = ends.select(*df.columns, "end", F.explode(starts).alias("start"))
-    parts = parts.withColumn("piece", F.substring("chunk", F.col("start") + 1, F.col("end") - F.col("start")))
-    edges = parts.join(F.broadcast(table), "piece", "left").where("id is not null or end = start + 1")
-    code = F.when(F.col("id").isNull(), -1 - F.conv(F.right(F.hex(F.encode("piece", "UTF-32")), F.lit(8)), 16, 10).cast("int"))
+    others, n = [c for c in df.columns if c != "chunk"], F.char_length("chunk")
+    starts = df.select("*", F.explode(F.when(n <= LONG, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))).alias("start"))
+    parts = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(KEY), n - F.col("start")))).alias("signs"))
+    parts = parts.withColumn("key", F.substring("chunk", F.col("start") + 1, F.col("signs")))
+    table = table.select(F.left("piece", F.lit(KEY)).alias("key"), "piece", F.char_length("piece").alias("length"), "id", "score")
+    whole = (F.col("length") == F.col("signs")) | (F.substring("chunk", F.col("start") + 1, F.col("length")) == F.col("piece"))
+    edges = parts.join(F.broadcast(table), "key", "left").where(F.when(F.col("id").isNull(), F.col("signs") == 1).otherwise(whole))
+    edges = edges.withColumn("end", F.col("start") + F.coalesce("length", F.lit(1)))
+    code = F.when(F.col("id").isNull(), -1 - F.conv(F.right(F.hex(F.encode("key", "UTF-32")), F.lit(8)), 16, 10).cast("int"))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), F.coalesce("id", code).alias("id"))
     along = [F.first(F.when(F.col("end") == 1, F.col(c)), ignorenulls=True).alias(c) for c in others]
     grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *along)
@@ -296,6 +338,45 @@ def assemble(texts: pa.Array, held: Dictionary, names: pa.Array, more: pa.Array)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[_runs(words[there.words], lengths)]), mask=pa.array(missing_text))
 
 
+def _narrow(ids: pa.Array) -> pa.Array:
+    """Lists of ids, those of unknown signs too, as three bytes an id."""
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy()))).astype(np.int32)
+    flat = (ids.flatten().to_numpy().astype(np.int32) - LEAST_ID).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(3 * ends), pa.py_buffer(flat[:, :3].tobytes())])
+
+
+def _wide(narrow: pa.Array) -> pa.Array:
+    """The lists of ids that ``_narrow`` was given."""
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(narrow).to_numpy()))) // 3
+    flat = np.zeros((ends[-1], 4), np.uint8)
+    flat[:, :3] = np.frombuffer(b"".join(narrow.to_pylist()), np.uint8).reshape(-1, 3)
+    flat = flat.view("<u4").ravel().astype(np.int32) + np.int32(LEAST_ID)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def spelling_of(ids: pa.Array, pieces: Pieces) -> pa.Array:
+    """The chunks that lists of ids, with unknown signs as -1 - code point, come from."""
+    flat = ids.flatten().to_numpy()
+    unknown, at = np.unique(flat[flat < 0], return_inverse=True)
+    place = np.zeros(max(pieces.ids) + 1, np.int64)
+    place[pieces.ids] = np.arange(len(pieces.ids))
+    places = place[np.maximum(flat, 0)]
+    places[flat < 0] = len(pieces.ids) + at
+    spelt = pa.array([*pieces.texts, *(chr(-1 - c) for c in unknown.tolist())], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, spelt.take(pa.array(places))), "")
+
+
+def _squeezed(texts: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 3)
+    return pa.array([codec.compress(t.as_buffer(), asbytes=True) if t.is_valid else None for t in texts], pa.binary())
+
+
+def _unsqueezed(squeezed: pa.Array, sizes: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    texts = [None if t is None else codec.decompress(t, n, asbytes=True) for t, n in zip(squeezed.to_pylist(), sizes.to_pylist())]
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
 def encode(
     docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", out: str = "ids",
     decoded: str | None = None, sample_rows: int = SAMPLE_ROWS, hot_chunks: int = HOT_CHUNKS,
@@ -313,30 +394,46 @@ def encode(
             for low, high in text_slices(texts, SLICE_BYTES):
                 yield beyond(texts[low:high], held())
 
+    @F.arrow_udf("binary")
+    def narrowed(ids: pa.Array) -> pa.Array:
+        return _narrow(ids)
+
+    @F.arrow_udf("binary")
+    def squeezed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _squeezed(texts)
+        give_back()
+
     # Copies of a text are dealt by their key, so that no part grows with them.
     part = "_part" + "_" * max(map(len, docs.columns))  # no column has this name
     size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(key, whole), F.lit(size // PART_BYTES + 1)).cast("int"))
     pairs = dealt.select(F.col(part).alias("part"), F.explode(lacking.asNondeterministic()(whole)).alias("chunk"))
     pairs = pairs.repartition(size // TASK_BYTES + 1, "chunk")
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_CHUNKS)):
+    with (
+        setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_CHUNKS)),
+        setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
+    ):
         wanted = pairs.groupBy("chunk").agg(F.collect_set("part").alias("parts"))
-        solved = materialise(solved_chunks(wanted, pieces, table), "solved")
-    solved = solved.select(F.explode("parts").alias(part), "chunk", "ids")
+        solved = materialise(solved_chunks(wanted, pieces, table).select("parts", "ids"), "solved")
+    solved = solved.select("parts", narrowed("ids").alias("ids")).select(F.explode("parts").alias(part), "ids")
 
     fields = [f for f in dealt.schema.fields if f.name != part]
+    dealt = dealt.withColumn(text, F.struct(F.octet_length(whole).alias("size"), squeezed(whole).alias("bytes")))
     fields.append(T.StructField(out, T.ArrayType(T.IntegerType())))
     if decoded:
         fields.append(T.StructField(decoded, T.StringType()))
 
     def assembled(rows: pa.Table, known: pa.Table) -> pa.Table:
         known, rows = known.combine_chunks(), rows.drop_columns([part])
-        names, more = (_array(known.column(c)) for c in ("chunk", "ids"))
-        texts, done, read = _array(rows.column(text)), [], []
+        more = _wide(_array(known.column("ids")))
+        names, packed = spelling_of(more, held().pieces), _array(rows.column(text))
+        texts, done, read = _unsqueezed(packed.field("bytes"), packed.field("size")), [], []
         for low, high in text_slices(texts, SLICE_BYTES):
             done.append(assemble(texts[low:high], held(), names, more))
             if decoded:
-                read.append(pa.array(_joined(done[-1], spelt()), pa.string()))
+                read.append(_joined(done[-1], spelt()))
+        rows = rows.set_column(rows.column_names.index(text), text, texts)
         rows = rows.append_column(out, pa.chunked_array(done, pa.list_(pa.int32())))
         return rows.append_column(decoded, pa.chunked_array(read, pa.string())) if decoded else rows
 
@@ -347,19 +444,23 @@ def _array(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _spelling(pieces: Pieces) -> list[bytes]:
+def _spelling(pieces: Pieces) -> pa.Array:
     spelt = {i: t.encode("utf-8", "surrogatepass") for t, i in zip(pieces.texts, pieces.ids)}
     spelt |= {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
     spelt.setdefault(pieces.unknown_id, " ⁇ ".encode())
-    return [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+    return pa.array([spelt.get(i, b"") for i in range(max(spelt) + 1)], pa.binary())
 
 
-def _joined(ids: pa.Array, spelt: list[bytes]) -> list[str | None]:
-    offsets, flat, texts = ids.offsets.to_numpy(), ids.values.to_numpy(), []
-    for a, b, valid in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist()):
-        text = b"".join([spelt[i] for i in flat[a:b].tolist()])
-        texts.append(text.decode("utf-8", "replace")[1:] if valid else None)
-    return texts
+def _joined(ids: pa.Array, spelt: pa.Array) -> pa.Array:
+    """The text of each list of ids without its leading space."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), spelt.take(ids.flatten())), b"")
+    try:
+        texts = pc.utf8_slice_codeunits(whole.cast(pa.string()), 1)
+    except pa.ArrowInvalid:  # ids that no text has: bytes that are no sign
+        texts = pa.array([t.decode("utf-8", "replace")[1:] for t in whole.to_pylist()], pa.string())
+    return pc.if_else(ids.is_valid(), texts, None)
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -368,6 +469,6 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded"
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        return pa.array(_joined(ids, spelt()), pa.string())
+        return _joined(ids, spelt())
 
     return df.withColumn(out, decoded(F.col(ids)))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,63 @@ def test_cut_is_the_same_as_the_pattern():
         for text, low, high in zip(rows, there.ends[:-1], there.ends[1:]):
             found = [c for w in there.words[low:high] for c in there.chunks.to_pylist()[there.starts[w] : there.starts[w + 1]]]
             assert found == (pieces.CHUNKS.findall(" " + text) if text else [])
+
+
+def test_beaten_pieces_are_left_out(spark, model):
+    small = pieces.Pieces(["a", "b", " ", "ab", "aba", "bab", "abab"], [0, 1, 2, 3, 4, 5, 6], [-5.0, -5.0, -5.0, -3.0, -9.0, -8.0, -6.0], [], 9, -19.0)
+    # aba (-9) is beaten by ab + a (-8); bab and abab only equal theirs, and the longer last piece stays on ties.
+    kept = {r.piece for r in pieces.piece_table(spark, small).collect()}
+    assert kept == {"a", "b", " ", "ab", "bab", "abab"}
+    assert {r.piece for r in pieces.piece_table(spark, model).collect()} < set(model.texts)
+
+
+def test_lattice_is_the_fold_with_all_pieces(spark, model):
+    # Long pieces are found by their first signs: some chunks have all of one, others only these signs.
+    draw = random.Random(6)
+    long = draw.sample([t for t in model.texts if len(t) > pieces.KEY and " " not in t], 300)
+    made = {w for t in long for w in (t, t[:-1] + "q", t + draw.choice(long), "é😀" + t)}
+    made |= {"=" * n for n in range(1, 40)} | {" " * n for n in range(1, 40)}
+    table = {t: (i, s) for t, i, s in zip(model.texts, model.ids, model.scores)}
+    df = spark.createDataFrame([(c,) for c in made], "chunk string")
+    done = pieces.best_paths(df, model, pieces.piece_table(spark, model)).collect()
+    assert {r.chunk for r in done} == made
+    for r in done:
+        assert r.ids == pieces.fold(r.chunk, table, 16, model.unknown_score), r.chunk
+
+
+def test_chunks_return_as_ids(model):
+    rows = [[], [5, 260, 31999], [-1 - ord("😀"), -1 - 0x10FFFF, 0], [-1, 261]]
+    ids = pieces.pa.array(rows, pieces.pa.list_(pieces.pa.int32()))
+    assert pieces._wide(pieces._narrow(ids)).to_pylist() == rows
+    table = {t: (i, s) for t, i, s in zip(model.texts, model.ids, model.scores)}
+    chunks = sorted({c for t in texts() for c in pieces.CHUNKS.findall(" " + t) if len(c) < 300})
+    paths = pieces.pa.array([pieces.fold(c, table, 16, model.unknown_score) for c in chunks], pieces.pa.list_(pieces.pa.int32()))
+    assert pieces.spelling_of(pieces._wide(pieces._narrow(paths)), model).to_pylist() == chunks
+
+
+def test_texts_travel_compressed_and_shuffles_before_the_lattice_go(spark, model, monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abdeiklnorstu") for _ in range(draw.randint(3, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(draw.choices(words, k=400))) for i in range(400)]
+    size = sum(len(t) for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        there = files.getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in there if re.search(r"shuffle_.*\.data$", f) and os.path.exists(f)}
+
+    before, kept = set(shuffled()), []
+    inner = pieces.materialise
+
+    def seen(df, kind, *rest):
+        done = inner(df, kind, *rest)
+        if kind == "solved":
+            kept.append({f: n for f, n in shuffled().items() if f not in before})
+        return done
+
+    monkeypatch.setattr(pieces, "materialise", seen)
+    done = pieces.encode(df, model, decoded="decoded", sample_rows=10, hot_chunks=0)
+    assert sorted((r.doc_id, r.decoded) for r in done.collect()) == rows
+    moved = {f: n for f, n in shuffled().items() if f not in before and f not in kept[0]}
+    assert sum(kept[0].values()) < 0.05 * size and 0 < sum(moved.values()) < 0.55 * size
