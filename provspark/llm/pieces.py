@@ -52,8 +52,8 @@ KEY = 3
 HOT_CHUNKS, SAMPLE_ROWS = 1 << 18, 10_000
 LONG = 256
 PART_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
-# So many chunks a task groups in memory before it sorts, and so many bytes of text go to one such task.
-GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 8 << 20
+# So many chunks a task groups in memory before it sorts, and so many bytes of text go to one such task: about half as many chunks.
+GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 4 << 20
 MOST_PIECES = 1 << 20
 UNKNOWN_COST = 10.0
 # Ids below this are written as three bytes; unknown signs have ids down to -0x110000.
@@ -141,7 +141,8 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 @functools.cache
 def _kinds() -> np.ndarray:
     """The kind of every sign, as ``CHUNK`` has them."""
-    kinds, signs = np.full(0x110000, OTHER, np.uint8), "".join(map(chr, range(0x110000)))
+    # One text of all signs, not an object for each: every task's Python has this table.
+    kinds, signs = np.full(0x110000, OTHER, np.uint8), np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
     for kind, pattern in ((LETTER, r"[\p{L}\p{M}]+"), (DIGIT, r"\p{Nd}+"), (SPACE, " ")):
         for found in regex.finditer(pattern, signs):
             kinds[found.start() : found.end()] = kind
@@ -425,8 +426,7 @@ def encode(
         fields.append(T.StructField(decoded, T.StringType()))
 
     def assembled(rows: pa.Table, known: pa.Table) -> pa.Table:
-        known, rows = known.combine_chunks(), rows.drop_columns([part])
-        more = _wide(_array(known.column("ids")))
+        rows, more = rows.drop_columns([part]), _wide(_array(known.column("ids")))
         names, packed = spelling_of(more, held().pieces), _array(rows.column(text))
         texts, done, read = _unsqueezed(packed.field("bytes"), packed.field("size")), [], []
         for low, high in text_slices(texts, SLICE_BYTES):

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,35 @@ def test_texts_travel_compressed_and_shuffles_before_the_lattice_go(spark, model
     assert sorted((r.doc_id, r.decoded) for r in done.collect()) == rows
     moved = {f: n for f, n in shuffled().items() if f not in before and f not in kept[0]}
     assert sum(kept[0].values()) < 0.05 * size and 0 < sum(moved.values()) < 0.55 * size
+
+
+def test_table_of_signs_takes_little_memory():
+    pieces._kinds.cache_clear()
+    tracemalloc.start()
+    try:
+        kinds = pieces._kinds()
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+    assert [kinds[ord(c)] for c in "é7 .\ud800"] == [pieces.LETTER, pieces.DIGIT, pieces.SPACE, pieces.OTHER, pieces.OTHER]
+
+
+def test_a_task_of_the_lattice_groups_far_fewer_chunks_than_it_may(spark, model, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    def seen(df, *rest):
+        counts = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        raise Seen(len(counts), max(r["count"] for r in counts), sum(r["count"] for r in counts))
+
+    # A chunk of its own in 190 signs: natural texts of 0.5 GB have fewer.
+    rows = [(i, " ".join(f"w{name(1000 * i + j)}" + " the" * 46 for j in range(1000))) for i in range(96)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(pieces, "solved_chunks", seen)
+    with pytest.raises(Seen) as found:
+        pieces.encode(df, model, sample_rows=4, hot_chunks=0)
+    tasks, most, chunks = found.value.args
+    assert chunks == 96_000 + 1 and tasks > 3 and most < 0.75 * pieces.GROUPED_CHUNKS
