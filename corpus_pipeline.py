@@ -14,6 +14,10 @@ from provspark.llm.queries import PIECE_MODEL, table
 from provspark.operators.storage import materialise
 
 
+# Executors come to the last stage with memory that the others took: a task of its lattice gets half of the usual text.
+TASK_BYTES = 4 << 20
+
+
 def _unused(name: str, docs: DataFrame) -> str:
     """A column name that the documents do not have."""
     return name + "_" * max(map(len, docs.columns))
@@ -61,7 +65,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text read back from them."""
     model = pieces.load_pieces(PIECE_MODEL)
-    done = pieces.encode(docs, model, decoded="decoded")
+    done = pieces.encode(docs, model, decoded="decoded", task_bytes=TASK_BYTES)
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").alias("text"))
 
 

@@ -52,8 +52,8 @@ KEY = 3
 HOT_CHUNKS, SAMPLE_ROWS = 1 << 18, 10_000
 LONG = 256
 PART_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
-# So many chunks a task groups in memory before it sorts, and so many bytes of text go to one such task: about half as many chunks.
-GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 4 << 20
+# So many chunks a task groups in memory before it sorts, and so many bytes of text go to one such task.
+GROUPED_CHUNKS, TASK_BYTES = 1 << 15, 8 << 20
 MOST_PIECES = 1 << 20
 UNKNOWN_COST = 10.0
 # Ids below this are written as three bytes; unknown signs have ids down to -0x110000.
@@ -380,9 +380,12 @@ def _unsqueezed(squeezed: pa.Array, sizes: pa.Array) -> pa.Array:
 
 def encode(
     docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", out: str = "ids",
-    decoded: str | None = None, sample_rows: int = SAMPLE_ROWS, hot_chunks: int = HOT_CHUNKS,
+    decoded: str | None = None, sample_rows: int = SAMPLE_ROWS, hot_chunks: int = HOT_CHUNKS, task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
-    """Add ``out``: the piece ids of each text; with ``decoded`` also the text read back from the ids, in the same pass."""
+    """Add ``out``: the piece ids of each text; with ``decoded`` also the text read back from the ids, in the same pass.
+
+    With less ``task_bytes`` the lattice has more tasks, which take less memory and more time in all; the results are the same.
+    """
     spark = docs.sparkSession
     docs = docs.drop(out, *([decoded] if decoded else []))
     whole, table = F.col(text), piece_table(spark, pieces)
@@ -410,7 +413,7 @@ def encode(
     size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
     dealt = docs.withColumn(part, F.pmod(F.xxhash64(key, whole), F.lit(size // PART_BYTES + 1)).cast("int"))
     pairs = dealt.select(F.col(part).alias("part"), F.explode(lacking.asNondeterministic()(whole)).alias("chunk"))
-    pairs = pairs.repartition(size // TASK_BYTES + 1, "chunk")
+    pairs = pairs.repartition(size // task_bytes + 1, "chunk")
     with (
         setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED_CHUNKS)),
         setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),

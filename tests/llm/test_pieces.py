@@ -213,7 +213,9 @@ def test_table_of_signs_takes_little_memory():
     assert [kinds[ord(c)] for c in "é7 .\ud800"] == [pieces.LETTER, pieces.DIGIT, pieces.SPACE, pieces.OTHER, pieces.OTHER]
 
 
-def test_a_task_of_the_lattice_groups_far_fewer_chunks_than_it_may(spark, model, monkeypatch):
+def test_a_task_of_the_pipelines_lattice_groups_far_fewer_chunks_than_it_may(spark, monkeypatch):
+    import corpus_pipeline
+
     class Seen(Exception):
         pass
 
@@ -226,9 +228,9 @@ def test_a_task_of_the_lattice_groups_far_fewer_chunks_than_it_may(spark, model,
 
     # A chunk of its own in 190 signs: natural texts of 0.5 GB have fewer.
     rows = [(i, " ".join(f"w{name(1000 * i + j)}" + " the" * 46 for j in range(1000))) for i in range(96)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({"lang": F.lit("en"), "source": F.lit("x")})
     monkeypatch.setattr(pieces, "solved_chunks", seen)
     with pytest.raises(Seen) as found:
-        pieces.encode(df, model, sample_rows=4, hot_chunks=0)
+        corpus_pipeline.tokenise(spark, df, "")
     tasks, most, chunks = found.value.args
-    assert chunks == 96_000 + 1 and tasks > 3 and most < 0.75 * pieces.GROUPED_CHUNKS
+    assert chunks == 96_000 and tasks > 3 and most < 0.75 * pieces.GROUPED_CHUNKS
